@@ -42,8 +42,7 @@ class Checker:
         self, table: DataFrame, dataset: str | None = None, tables: Tables | None = None
     ) -> tuple[Evaluation, bool]:
         """Bind a table to its named or detected profile."""
-        columns = [c for c in table.columns if not c.startswith("_src_")]
-        profile, detected = self.registry.resolve(columns, dataset)
+        profile, detected = self.registry.resolve(table.columns, dataset)
         return Evaluation(table, profile, tables, self.as_of), detected
 
     def check_table(

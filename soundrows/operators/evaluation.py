@@ -10,6 +10,7 @@ materialised, measured, and broadcast when small.
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -35,6 +36,7 @@ from soundrows.session import durable
 from soundrows.sources import origin
 
 TABLE_ROW = -1  # rule_index of the row that carries table-level counts
+DESCRIBED = ("rule_id", "title", "category", "severity", "column", "message", "skip_reason")
 
 
 @dataclass(frozen=True)
@@ -62,19 +64,21 @@ class Evaluation:
         self.profile = profile
         self.tables = dict(tables or {})
         self.limits = limits
-        self.columns = origin.data_columns(table)
+        self.columns = list(table.columns)
         self.cells = Cells(table.schema, as_of_column(as_of))
         self.skipped: dict[int, str] = {}
         self._verdicts: dict[int, tuple[DataFrame, bool]] = {}
         self._failed: dict[int, Column] = {}
-        self._checked: dict[int, Column | None] = {}
+        # Rules on the same column share one "checked" count.
+        self._checked: dict[int, str | None] = {}
+        self._checks: dict[str, Column] = {}
         keyed: dict[tuple[str, ...], list] = {}
         for index, rule in enumerate(profile.rules):
             reason = rule.skip_reason(self.columns, self.tables)
             if reason is not None:
                 self.skipped[index] = reason
                 continue
-            self._checked[index] = rule.checked(self.cells)
+            self._checked[index] = self._check_name(rule)
             if isinstance(rule, KeyRule):
                 keyed.setdefault(rule.key_columns, []).append((index, rule))
             else:
@@ -84,6 +88,16 @@ class Evaluation:
             for n, (columns, rules) in enumerate(keyed.items())
         ]
 
+    def _check_name(self, rule: Rule) -> str | None:
+        """Name of the rule's presence check; None when it applies to every row."""
+        check = rule.checked(self.cells)
+        if check is None:
+            return None
+        columns = rule.key_columns if isinstance(rule, KeyRule) else (rule.column,)
+        name = "_checked_" + "_".join(str(self.columns.index(c)) for c in columns)
+        self._checks[name] = check
+        return name
+
     # -- keys ------------------------------------------------------------------
     def _typed_key(self, columns: Sequence[str]) -> list[Column]:
         return [key_cell(F.col(f"`{c}`"), self.cells.types[c]) for c in columns]
@@ -139,34 +153,39 @@ class Evaluation:
         return self._verdicts[at]
 
     # -- rows ------------------------------------------------------------------
-    def _flagged(self, keep: Sequence[str], severities: Sequence[str]) -> DataFrame:
+    def _flagged(
+        self,
+        keep: Sequence[str],
+        severities: Sequence[str],
+        table: DataFrame | None = None,
+    ) -> DataFrame:
         """Rows with one boolean ``_failed<i>`` per rule of the given severities.
 
-        Row rules always get their flag.  ``keep`` names the columns to carry on.
+        Row rules always get their flag.  ``keep`` names the columns to carry on;
+        ``table`` may stand in for the table with columns added to it.
         """
         wanted = [
             s for s in self.key_sets
             if any(rule.severity in severities for _, rule in s.rules)
         ]
-        checks = {
-            f"_checked{i}": c for i, c in self._checked.items() if c is not None
-        }
-        if origin.has_origin(self.table):
-            keep = list(dict.fromkeys((*keep, *origin.ORIGIN)))
-        viewed = self.cells.with_views(self.table)
-        rows = viewed.select(
-            *[F.col(f"`{c}`") for c in keep],
+        measured = [self.verdicts(key_set) for key_set in wanted]
+        rows = self.table if table is None else table
+        identity = ()
+        if not all(small for _, small in measured):
+            # Settled rows are spread by file position, which tells even copies
+            # apart; rows without one are spread by their contents.
+            located = rows if origin.FILE in rows.columns else origin.with_file_origin(rows)
+            if located is not None:
+                rows, identity = located, origin.ORIGIN
+        carried = list(dict.fromkeys((*keep, *identity)))
+        rows = self.cells.with_views(rows).select(
+            *[F.col(f"`{c}`") for c in carried],
             *[flag.alias(f"_failed{i}") for i, flag in self._failed.items()],
-            *[check.alias(name) for name, check in checks.items()],
+            *[check.alias(name) for name, check in self._checks.items()],
             *[self._text_key(self._typed_key(s.columns)).alias(s.key) for s in wanted],
         )
-        # Used only to spread settled rows; a file position tells even copies apart.
-        identity = [
-            F.col(f"`{c}`")
-            for c in (origin.ORIGIN if origin.has_origin(rows) else rows.columns)
-        ]
-        for key_set in wanted:
-            kept, small = self.verdicts(key_set)
+        spread = [F.col(f"`{c}`") for c in identity or rows.columns]
+        for key_set, (kept, small) in zip(wanted, measured):
             broken = kept.filter(self._any_broken(key_set) & F.col(key_set.key).isNotNull())
             hot = None
             if not small:
@@ -179,12 +198,12 @@ class Evaluation:
                 )
             carried = rows.columns
             rows = attach(
-                rows, key_set.key, broken.drop("_rows"), identity, hot, small, self.limits
+                rows, key_set.key, broken.drop("_rows"), spread, hot, small, self.limits
             )
             flags = []
             for index, rule in key_set.rules:
                 # A missing group breaks the rules that count rows without a group.
-                orphan = F.col(key_set.key).isNull() & F.lit(rule.checked(self.cells) is None)
+                orphan = F.col(key_set.key).isNull() & F.lit(self._checked[index] is None)
                 flags.append(
                     (F.coalesce(F.col(f"_broken{index}"), F.lit(False)) | orphan).alias(
                         f"_failed{index}"
@@ -224,81 +243,51 @@ class Evaluation:
             rule.severity == ERROR for s in self.key_sets for _, rule in s.rules
         )
         rows = self._flagged((), (ERROR,) if needs_keys else ())
-        counts = [F.count(F.lit(1)).alias("_row_count")]
-        for index, check in self._checked.items():
-            if check is not None:
-                counts.append(F.count_if(f"_checked{index}").alias(f"_checked{index}"))
-        for index in self._failed:
-            counts.append(F.count_if(f"_failed{index}").alias(f"_failed{index}"))
+        counts = ["count(*) AS _row_count"]
+        counts += [f"count_if({check}) AS {check}" for check in self._checks]
+        counts += [f"count_if(_failed{i}) AS _failed{i}" for i in self._failed]
+        error_rows = "CAST(NULL AS BIGINT)"
         if rows_with_errors:
             errors = [
-                F.col(f"_failed{i}") for i, r in self._active()
-                if r.severity == ERROR and f"_failed{i}" in rows.columns
+                f"_failed{i}" for i, rule in self._active()
+                if rule.severity == ERROR and f"_failed{i}" in rows.columns
             ]
-            any_error = reduce(Column.__or__, errors) if errors else F.lit(False)
-            counts.append(F.count_if(any_error).alias("_error_rows"))
-        scan = rows.agg(*counts)
-
-        table_row = self._measure(
-            TABLE_ROW, None, F.col("_row_count"),
-            F.col("_error_rows") if rows_with_errors else F.lit(None),
-        )
-        scanned = [table_row]
-        for index, rule in enumerate(self.profile.rules):
+            counts.append(f"count_if({' OR '.join(errors) or 'false'}) AS _error_rows")
+            error_rows = "_error_rows"
+        scanned = [(TABLE_ROW, "_row_count", error_rows)]
+        for index, _ in enumerate(self.profile.rules):
             if index in self.skipped:
-                scanned.append(self._measure(index, rule, F.lit(0), F.lit(0)))
+                scanned.append((index, "0L", "0L"))
             else:
-                checked = F.col(
-                    "_row_count" if self._checked[index] is None else f"_checked{index}"
-                )
-                failed = F.col(f"_failed{index}") if index in self._failed else F.lit(0)
-                scanned.append(self._measure(index, rule, checked, failed))
-        parts = [scan.select(F.inline(F.array(*scanned)))]
-        for key_set in self.key_sets:
-            at = self.key_sets.index(key_set)
+                checked = self._checked[index] or "_row_count"
+                failed = f"_failed{index}" if index in self._failed else "0L"
+                scanned.append((index, checked, failed))
+        parts = [_stacked(rows.selectExpr(*counts), scanned)]
+        for at, key_set in enumerate(self.key_sets):
             keys = self._verdicts[at][0] if at in self._verdicts else self.judged_keys(key_set)
-            tallies = keys.agg(
-                *[
-                    F.coalesce(F.sum(F.when(F.col(f"_broken{i}"), F.col("_rows"))), F.lit(0))
-                    .alias(f"_failed{i}")
-                    for i, _ in key_set.rules
-                ]
+            indices = [index for index, _ in key_set.rules]
+            tallies = keys.selectExpr(
+                *[f"coalesce(sum(if(_broken{i}, _rows, 0L)), 0L) AS _failed{i}" for i in indices]
             )
-            parts.append(
-                tallies.select(
-                    F.inline(
-                        F.array(
-                            *[
-                                self._measure(i, rule, F.lit(0), F.col(f"_failed{i}"))
-                                for i, rule in key_set.rules
-                            ]
-                        )
-                    )
-                )
-            )
-        return reduce(DataFrame.unionByName, parts)
-
-    def _measure(self, index: int, rule: Rule | None, checked: Column, failed: Column) -> Column:
-        def text(value):
-            return F.lit(value).cast("string")
+            parts.append(_stacked(tallies, [(i, "0L", f"_failed{i}") for i in indices]))
+        rule = F.get(self._described_rules(), F.col("rule_index"))
+        return reduce(DataFrame.unionByName, parts).select(
+            F.lit(self.profile.key).alias("dataset"),
+            "rule_index",
+            *[rule.getField(f).alias(f) for f in DESCRIBED],
+            "checked",
+            "failed",
+        )
 
-        reason = self.skipped.get(index)
-        message = None
-        if rule is not None:
+    def _described_rules(self) -> Column:
+        """The profile's rules as one constant array, in rule order."""
+        described = []
+        for index, rule in enumerate(self.profile.rules):
+            reason = self.skipped.get(index)
             message = MESSAGES["skipped"].format(reason=reason) if reason else rule.message
-        return F.struct(
-            text(self.profile.key).alias("dataset"),
-            F.lit(index).alias("rule_index"),
-            text(rule and rule.rule_id).alias("rule_id"),
-            text(rule and rule.title).alias("title"),
-            text(rule and rule.dimension).alias("category"),
-            text(rule and rule.severity).alias("severity"),
-            text(rule and rule.column).alias("column"),
-            checked.cast("bigint").alias("checked"),
-            failed.cast("bigint").alias("failed"),
-            text(message).alias("message"),
-            text(reason).alias("skip_reason"),
-        )
+            described.append({**rule.describe(), "message": message, "skip_reason": reason})
+        fields = ", ".join(f"`{f}`: string" for f in DESCRIBED)
+        return F.from_json(F.lit(json.dumps(described)), f"array<struct<{fields}>>")
 
     def results(self) -> DataFrame:
         """One row per rule, in profile order."""
@@ -319,43 +308,35 @@ class Evaluation:
         Rows come in the order of ``order_by`` when given (it must be a total
         order), else in file order, and then carry their line number.
         """
-        source = self if order_by else Evaluation(
-            origin.with_partition_origin(self.table), self.profile, self.tables,
-            self.cells.as_of, self.limits,
-        )
-        return source._samples(tuple(order_by) if order_by else None)
-
-    def _samples(self, order_by: tuple[str, ...] | None) -> DataFrame:
-        order = order_by or origin.ORIGIN
-        rows = self._flagged(list(dict.fromkeys((*self.columns, *order))), (ERROR, WARNING))
+        table = self.table if order_by else origin.with_origin(self.table)
+        order = tuple(order_by or origin.ORIGIN)
+        kept = list(dict.fromkeys((*self.columns, *order)))
+        rows = self._flagged(kept, (ERROR, WARNING), table)
         broken = F.array_compact(
             F.array(*[F.when(F.col(f"_failed{i}"), F.lit(i)) for i, _ in self._active()])
         )
-        hits = (
-            rows.select(*[F.col(f"`{c}`") for c in dict.fromkeys((*self.columns, *order))],
-                        F.explode(broken).alias("rule_index"))
+        hits = rows.select(
+            *[F.col(f"`{c}`") for c in kept], F.explode(broken).alias("rule_index")
         )
         # Every task keeps its own first rows per rule before anything is shuffled.
         first = Window.partitionBy("rule_index").orderBy(*[F.col(f"`{c}`") for c in order])
         top = hits.withColumn("rank", F.row_number().over(first)).filter(
             F.col("rank") <= SAMPLE_ROWS
         )
-        ids = F.element_at(
-            F.array(*[F.lit(r.rule_id) for r in self.profile.rules]), F.col("rule_index") + 1
-        )
         shown = reduce(
             lambda chain, entry: chain.when(F.col("rule_index") == entry[0], entry[1]),
             [(i, self._shown(rule)) for i, rule in self._active()],
             F,
         )
-        if order_by:
-            numbered = top.withColumn("_line", F.lit(None).cast("bigint"))
-        else:
-            numbered = self._numbered(top)
+        numbered = (
+            top.withColumn("_line", F.lit(None).cast("bigint")) if order_by
+            else self._numbered(table, top)
+        )
+        rule = F.get(self._described_rules(), F.col("rule_index"))
         return numbered.select(
             F.lit(self.profile.key).alias("dataset"),
             "rule_index",
-            ids.alias("rule_id"),
+            rule.getField("rule_id").alias("rule_id"),
             "rank",
             "_line",
             shown.alias("row"),
@@ -367,7 +348,7 @@ class Evaluation:
             pairs += [F.lit(column), F.col(f"`{column}`").cast("string")]
         return F.create_map(*pairs)
 
-    def _numbered(self, top: DataFrame) -> DataFrame:
+    def _numbered(self, table: DataFrame, top: DataFrame) -> DataFrame:
         """Line numbers for a handful of sampled rows, from row counts per block."""
         before = (
             Window.partitionBy(origin.FILE)
@@ -375,7 +356,7 @@ class Evaluation:
             .rowsBetween(Window.unboundedPreceding, -1)
         )
         blocks = (
-            self.table.groupBy(origin.FILE, origin.BLOCK)
+            table.groupBy(origin.FILE, origin.BLOCK)
             .agg(
                 F.count(F.lit(1)).alias("_block_rows"),
                 F.min(origin.SEQUENCE).alias("_block_first"),
@@ -392,12 +373,16 @@ class Evaluation:
         ).withColumn("_line", line.cast("bigint"))
 
 
+def _stacked(totals: DataFrame, counts: Sequence[tuple[int, str, str]]) -> DataFrame:
+    """Turn one row of totals into (rule_index, checked, failed) rows."""
+    values = ", ".join(f"{index}, {checked}, {failed}" for index, checked, failed in counts)
+    return totals.selectExpr(f"stack({len(counts)}, {values}) AS (rule_index, checked, failed)")
+
+
 # -- derived frames ---------------------------------------------------------------
 def combined(measures: DataFrame) -> DataFrame:
     """Bring the scan's and the keys' halves of every rule together."""
-    described = ["dataset", "rule_index", "rule_id", "title", "category", "severity",
-                 "column", "message", "skip_reason"]
-    return measures.groupBy(*described).agg(
+    return measures.groupBy("dataset", "rule_index", *DESCRIBED).agg(
         F.sum("checked").alias("checked"), F.sum("failed").alias("failed")
     )
 

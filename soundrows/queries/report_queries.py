@@ -22,7 +22,7 @@ from soundrows.queries.register import AS_OF, query, table
 from soundrows.session import checkpoint_dir
 from soundrows.sources.csv import read_csv
 from soundrows.sources.history import History
-from soundrows.sources.tables import load_parquet_tables, read_parquet
+from soundrows.sources.tables import load_parquet_tables
 
 COUNTS = ("dataset", "rule_index", "rule_id", "category", "severity", "status", "checked",
           "failed", "pass_rate")

@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from soundrows.errors import CheckError
 from soundrows.functions.text import without_na_tokens
-from soundrows.sources.origin import ORIGIN, with_file_origin
 
 OVERFLOW = "_overflow"
 
@@ -44,7 +43,7 @@ def read_csv(
     strip_header: bool = True,
     multi_line: bool | None = None,
 ) -> DataFrame:
-    """Read a CSV file or folder as text columns plus row origin.
+    """Read a CSV file or folder as text columns.
 
     Missing-value words become NULL; blank lines are skipped; short rows are padded.
     A row with more cells than the header fails the job that meets it.  ``multi_line``
@@ -56,7 +55,7 @@ def read_csv(
         multi_line = has_quoted_line_breaks(spark, path)
     positions = [f"_c{n}" for n in range(len(names))]
     schema = T.StructType([T.StructField(p, T.StringType()) for p in [*positions, OVERFLOW]])
-    rows = with_file_origin(
+    rows = (
         spark.read.schema(schema)
         .option("header", True)
         .option("escape", '"')
@@ -64,16 +63,12 @@ def read_csv(
         .csv(path)
     )
     too_long = F.raise_error(
-        F.concat(
-            F.lit(f"Could not parse CSV: expected {len(names)} fields, saw more in "),
-            F.col(ORIGIN[0]),
-        )
+        F.lit(f"Could not parse CSV: expected {len(names)} fields, saw more")
     )
     whole = rows.filter(
         F.when(F.col(OVERFLOW).isNull(), F.lit(True)).otherwise(too_long.cast("boolean"))
     )
     shown = [name.strip() if strip_header else name for name in names]
     return whole.select(
-        *[without_na_tokens(F.col(p)).alias(name) for p, name in zip(positions, shown)],
-        *ORIGIN,
+        *[without_na_tokens(F.col(p)).alias(name) for p, name in zip(positions, shown)]
     )

@@ -1,56 +1,54 @@
 """Where a row comes from: file, block and sequence inside the block.
 
-Readers carry these three columns along.  They cost nothing until something asks
-for row order: column pruning drops them from every other plan.
+Rows are tagged only when something asks for row order.  File metadata is not pruned
+from scans, so readers do not carry it along.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PREFIX = "_src_"
 FILE = "_src_file"
 BLOCK = "_src_block"
 SEQUENCE = "_src_seq"
 ORIGIN = (FILE, BLOCK, SEQUENCE)
 
 
-def data_columns(frame: DataFrame) -> list[str]:
-    return [c for c in frame.columns if not c.startswith(PREFIX)]
-
-
-def has_origin(frame: DataFrame) -> bool:
-    return set(ORIGIN) <= set(frame.columns)
-
-
-def with_file_origin(frame: DataFrame) -> DataFrame:
-    """Tag rows straight after a file scan of any format."""
+def _tagged(frame: DataFrame, file: Column, block: Column, sequence: Column) -> DataFrame:
     return frame.select(
         "*",
-        F.col("_metadata.file_path").alias(FILE),
-        F.col("_metadata.file_block_start").alias(BLOCK),
-        F.monotonically_increasing_id().alias(SEQUENCE),
+        file.alias(FILE),
+        block.cast("bigint").alias(BLOCK),
+        sequence.cast("bigint").alias(SEQUENCE),
     )
 
 
-def with_parquet_origin(frame: DataFrame) -> DataFrame:
-    """Tag rows of a Parquet scan: the format knows each row's index in its file."""
-    return frame.select(
-        "*",
-        F.col("_metadata.file_path").alias(FILE),
-        F.lit(0).cast("bigint").alias(BLOCK),
-        F.col("_metadata.row_index").alias(SEQUENCE),
-    )
-
-
-def with_partition_origin(frame: DataFrame) -> DataFrame:
-    """Tag rows of a frame that does not come straight from files."""
-    if has_origin(frame):
-        return frame
-    return frame.select(
-        "*",
-        F.lit("").alias(FILE),
-        F.spark_partition_id().cast("bigint").alias(BLOCK),
-        F.monotonically_increasing_id().alias(SEQUENCE),
+def with_file_origin(frame: DataFrame) -> DataFrame | None:
+    """Tag the rows of a file scan; None when the frame is not one.
+
+    Parquet knows each row's index in its file.  Other formats number the rows of
+    each block (split) in reading order.
+    """
+    path = F.col("_metadata.file_path")
+    try:
+        return _tagged(frame, path, F.lit(0), F.col("_metadata.row_index"))
+    except AnalysisException:
+        pass
+    try:
+        return _tagged(
+            frame, path, F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+        )
+    except AnalysisException:
+        return None
+
+
+def with_origin(frame: DataFrame) -> DataFrame:
+    """Tag rows by file position, or by partition where there is no file."""
+    tagged = with_file_origin(frame)
+    if tagged is not None:
+        return tagged
+    return _tagged(
+        frame, F.lit(""), F.spark_partition_id(), F.monotonically_increasing_id()
     )

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from soundrows.errors import CheckError
 from soundrows.sources.csv import read_csv
-from soundrows.sources.origin import with_parquet_origin
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -29,10 +28,6 @@ def list_tables(spark: SparkSession, folder: str, suffix: str = ".csv") -> list[
     return sorted(n.removesuffix(suffix) for n in names if n.endswith(suffix))
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return with_parquet_origin(spark.read.parquet(path))
-
-
 def load_csv_tables(
     spark: SparkSession, folder: str, names: Iterable[str], **options
 ) -> dict[str, DataFrame]:
@@ -52,7 +47,7 @@ def load_parquet_tables(
     spark: SparkSession, folder: str, names: Iterable[str]
 ) -> dict[str, DataFrame]:
     return {
-        name: read_parquet(spark, f"{folder}/{name}.parquet")
+        name: spark.read.parquet(f"{folder}/{name}.parquet")
         for name in names
         if path_exists(spark, f"{folder}/{name}.parquet")
     }

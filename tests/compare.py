@@ -6,9 +6,12 @@ import datetime as dt
 import decimal
 import math
 import os
+import time
 
 import duckdb
 
+SECONDS: dict[str, float] = {}
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -45,8 +48,10 @@ def rows_of(columns, rows):
 
 def differences(spark, connection, name, function, sql, folder):
     """None when both sides agree, else a short description."""
+    start = time.time()
     frame = function(spark, folder)
     ours = rows_of(frame.columns, frame.collect())
+    SECONDS[name] = time.time() - start
     cursor = connection.execute(sql)
     theirs = rows_of([c[0] for c in cursor.description], cursor.fetchall())
     if ours[0] != theirs[0]:

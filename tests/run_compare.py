@@ -7,7 +7,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from compare import connect, differences  # noqa: E402
+from compare import SECONDS, connect, differences  # noqa: E402
 
 from soundrows.queries import ORACLES, QUERIES  # noqa: E402
 from soundrows.session import build_session  # noqa: E402
@@ -33,7 +33,7 @@ def main(folder="/root/testdata/sf0.01", *names):
         except Exception as error:
             problem = f"{name}: {type(error).__name__}: {str(error)[:1500]}"
         bad += problem is not None
-        print("ok  " if problem is None else "BAD ", f"{time.time() - start:6.2f}s",
+        print("ok  " if problem is None else "BAD ", f"{time.time() - start:6.2f}s", f"spark {SECONDS.get(name, 0):6.2f}s",
               name if problem is None else problem, flush=True)
     print(f"{bad} bad of {len(names or QUERIES)}")
 

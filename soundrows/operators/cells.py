@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +23,16 @@ class Cells:
     def __init__(self, schema: T.StructType, as_of: Column):
         self.types = {field.name: field.dataType for field in schema.fields}
         self.as_of = as_of
-        self._views: dict[tuple, tuple[str, Column]] = {}
+        self._views: dict[tuple, tuple[Column, Column]] = {}
 
-    def _view(self, kind: tuple, expression: Column) -> Column:
-        if kind not in self._views:
-            self._views[kind] = (f"_view{len(self._views)}", expression)
-        return F.col(self._views[kind][0])
+    def _view(self, kind: str, column: str, parser: Callable, *options) -> Column:
+        """The column that holds a view; its expression is built on first use only."""
+        wanted = (kind, column, *options)
+        if wanted not in self._views:
+            name = f"_view{len(self._views)}"
+            expression = parser(self.raw(column), self.types[column], *options)
+            self._views[wanted] = (expression.alias(name), F.col(name))
+        return self._views[wanted][1]
 
     def raw(self, column: str) -> Column:
         return F.col(f"`{column}`")
@@ -36,19 +41,13 @@ class Cells:
         return parse.as_text(self.raw(column), self.types[column])
 
     def present(self, column: str) -> Column:
-        return self._view(
-            ("present", column), parse.present(self.raw(column), self.types[column])
-        )
+        return self._view("present", column, parse.present)
 
     def number(self, column: str) -> Column:
-        return self._view(
-            ("number", column), parse.number(self.raw(column), self.types[column])
-        )
+        return self._view("number", column, parse.number)
 
     def date(self, column: str, formats: tuple[str, ...] = (parse.ISO_DATE,)) -> Column:
-        return self._view(
-            ("date", column, formats), parse.date(self.raw(column), self.types[column], formats)
-        )
+        return self._view("date", column, parse.date, formats)
 
     def days_between(self, later: str, earlier: str) -> Column:
         stamped = any(
@@ -64,7 +63,7 @@ class Cells:
     def with_views(self, rows: DataFrame) -> DataFrame:
         if not self._views:
             return rows
-        return rows.select("*", *[e.alias(name) for name, e in self._views.values()])
+        return rows.select("*", *[expression for expression, _ in self._views.values()])
 
 
 def as_of_column(as_of: dt.date | str | Column | None) -> Column:

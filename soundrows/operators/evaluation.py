@@ -64,7 +64,7 @@ class Evaluation:
         self.profile = profile
         self.tables = dict(tables or {})
         self.limits = limits
-        self.columns = list(table.columns)
+        self.columns = [c for c in table.columns if c not in origin.ORIGIN]
         self.cells = Cells(table.schema, as_of_column(as_of))
         self.skipped: dict[int, str] = {}
         self._verdicts: dict[int, tuple[DataFrame, bool]] = {}
@@ -349,28 +349,40 @@ class Evaluation:
         return F.create_map(*pairs)
 
     def _numbered(self, table: DataFrame, top: DataFrame) -> DataFrame:
-        """Line numbers for a handful of sampled rows, from row counts per block."""
+        """Line numbers for a handful of sampled rows, from row counts per block.
+
+        ``top`` holds at most SAMPLE_ROWS rows per rule, so it is the broadcast side.
+        """
+        place = [origin.FILE, origin.BLOCK]
         before = (
             Window.partitionBy(origin.FILE)
             .orderBy(origin.BLOCK)
             .rowsBetween(Window.unboundedPreceding, -1)
         )
         blocks = (
-            table.groupBy(origin.FILE, origin.BLOCK)
+            table.groupBy(*place)
             .agg(
                 F.count(F.lit(1)).alias("_block_rows"),
                 F.min(origin.SEQUENCE).alias("_block_first"),
             )
             .withColumn("_earlier", F.coalesce(F.sum("_block_rows").over(before), F.lit(0)))
         )
-        line = (
-            F.col("_earlier") + F.col(origin.SEQUENCE) - F.col("_block_first")
-            + F.lit(FIRST_DATA_LINE)
-        )
-        # ``top`` holds at most SAMPLE_ROWS rows per rule.
-        return blocks.join(
-            F.broadcast(top), [origin.FILE, origin.BLOCK], "inner"
-        ).withColumn("_line", line.cast("bigint"))
+        located = blocks.join(F.broadcast(top), place, "inner")
+        in_block = F.col(origin.SEQUENCE) - F.col("_block_first")
+        if origin.FILE in self.table.columns:
+            # Rows that were made from other rows leave gaps in the sequence.
+            wanted = top.select(*place, F.col(origin.SEQUENCE).alias("_at")).distinct()
+            ranks = (
+                table.select(*origin.ORIGIN)
+                .join(F.broadcast(wanted), place)
+                .filter(F.col(origin.SEQUENCE) < F.col("_at"))
+                .groupBy(*place, F.col("_at").alias(origin.SEQUENCE))
+                .agg(F.count(F.lit(1)).alias("_in_block"))
+            )
+            located = located.join(F.broadcast(ranks), list(origin.ORIGIN), "left")
+            in_block = F.coalesce(F.col("_in_block"), F.lit(0))
+        line = F.col("_earlier") + in_block + F.lit(FIRST_DATA_LINE)
+        return located.withColumn("_line", line.cast("bigint"))
 
 
 def _stacked(totals: DataFrame, counts: Sequence[tuple[int, str, str]]) -> DataFrame:

@@ -48,8 +48,10 @@ class Report:
         if samples and broken:
             # At most a handful of rows per rule.
             for row in evaluation.samples().orderBy("rule_index", "rank").collect():
+                rule = profile.rules[row["rule_index"]]
+                cells = {c: row["row"][c] for c in rule.sample_columns(evaluation.columns)}
                 shown.setdefault(row["rule_index"], []).append(
-                    {"_line": row["_line"], **row["row"]}
+                    {"_line": row["_line"], **cells}
                 )
         self.results = []
         for index in range(len(profile.rules)):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +17,7 @@ from soundrows.operators.report import (
 from soundrows.plans.profile import Registry, profile_from
 from soundrows.queries.commerce import commerce_registry
 from soundrows.queries.register import AS_OF, query, table
-from soundrows.session import checkpoint_dir
+from soundrows.session import scratch_path
 from soundrows.sources.csv import read_csv
 from soundrows.sources.history import History
 from soundrows.sources.tables import load_parquet_tables
@@ -41,11 +39,6 @@ def audit_of(spark: SparkSession, folder: str) -> Audit:
     return Audit(tables_of(spark, folder), commerce_registry(), AS_OF)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder next to the checkpoints, shared by all executors."""
-    return f"{checkpoint_dir(spark)}/soundrows-{name}-{uuid.uuid4().hex}"
-
-
 # -- the expected counts, written by hand per rule --------------------------------
 E, W = "error", "warning"
 
@@ -249,7 +242,7 @@ def report_summary(spark, folder):
 def report_document_query(spark, folder):
     """The nested document, written as JSON text and read back."""
     document = report_document(evaluation_of(spark, folder, "customer"))
-    path = scratch(spark, "report")
+    path = scratch_path(spark, "report")
     document.write.json(path)
     back = spark.read.schema(document.schema).json(path)
     return back.select(
@@ -393,7 +386,7 @@ def csv_results(spark, folder):
     customers = table(spark, folder, "customer").withColumn(
         "c_acctbal", F.col("c_acctbal").cast("string")
     )
-    path = scratch(spark, "csv")
+    path = scratch_path(spark, "csv")
     customers.write.option("header", True).csv(path)
     tables = {**tables_of(spark, folder), "customer": read_csv(spark, path)}
     profile = commerce_registry().get("customer")
@@ -408,7 +401,7 @@ def csv_missing_words(spark, folder):
     word = F.when(F.col("o_orderpriority") == "5-LOW", "N/A").when(
         F.col("o_orderstatus") == "P", " "
     ).otherwise("-")
-    path = scratch(spark, "csv")
+    path = scratch_path(spark, "csv")
     table(spark, folder, "orders").select("o_orderkey", word.alias(" word ")).write.option(
         "header", True
     ).option("ignoreLeadingWhiteSpace", False).option(
@@ -427,7 +420,7 @@ def csv_missing_words(spark, folder):
            grade, errors, warnings, rules_failed FROM s""")
 def history_append(spark, folder):
     """Audit summaries appended to a history and read back."""
-    history = History(spark, scratch(spark, "history"), enabled=True)
+    history = History(spark, scratch_path(spark, "history"), enabled=True)
     history.append(audit_of(spark, folder).summaries(), "audit")
     return history.recent().drop("id", "created_at")
 

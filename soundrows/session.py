@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Profiles build many small expressions; recording a call site for each is slow.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
 }
 
@@ -48,3 +52,19 @@ def durable(frame: DataFrame) -> DataFrame:
     """Compute ``frame`` once into reliable storage and cut its lineage."""
     checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder next to the checkpoints."""
+    return f"{checkpoint_dir(spark)}/soundrows-{name}-{uuid.uuid4().hex}"
+
+
+def stored(frame: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``frame`` as a Parquet table in the shared folder and read it back.
+
+    Unlike a checkpoint, later reads prune columns and partitions.
+    """
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.partitionBy(*partition_by).parquet(path)
+    back = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    return back.select(*[f"`{c}`" for c in frame.columns])

@@ -31,21 +31,22 @@ def with_file_origin(frame: DataFrame) -> DataFrame | None:
     Parquet knows each row's index in its file.  Other formats number the rows of
     each block (split) in reading order.
     """
-    path = F.col("_metadata.file_path")
-    try:
-        return _tagged(frame, path, F.lit(0), F.col("_metadata.row_index"))
-    except AnalysisException:
-        pass
     try:
-        return _tagged(
-            frame, path, F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
-        )
+        known = frame.select("_metadata").schema[0].dataType.names
     except AnalysisException:
         return None
+    path = F.col("_metadata.file_path")
+    if "row_index" in known:
+        return _tagged(frame, path, F.lit(0), F.col("_metadata.row_index"))
+    return _tagged(
+        frame, path, F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    )
 
 
 def with_origin(frame: DataFrame) -> DataFrame:
     """Tag rows by file position, or by partition where there is no file."""
+    if FILE in frame.columns:
+        return frame
     tagged = with_file_origin(frame)
     if tagged is not None:
         return tagged

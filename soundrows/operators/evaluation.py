@@ -29,7 +29,7 @@ from soundrows.fixed_values import (
 )
 from soundrows.functions import scoring
 from soundrows.operators.cells import Cells, as_of_column
-from soundrows.operators.keyed import DEFAULT_LIMITS, Limits, attach, fits_broadcast
+from soundrows.operators.keyed import DEFAULT_LIMITS, Limits, attach, fits_broadcast, most_frequent
 from soundrows.operators.rules import KeyRule, Rule, Tables, key_cell, key_type
 from soundrows.plans.profile import Profile
 from soundrows.session import durable
@@ -187,15 +187,7 @@ class Evaluation:
         spread = [F.col(f"`{c}`") for c in identity or rows.columns]
         for key_set, (kept, small) in zip(wanted, measured):
             broken = kept.filter(self._any_broken(key_set) & F.col(key_set.key).isNotNull())
-            hot = None
-            if not small:
-                hot = (
-                    kept.filter(F.col(key_set.key).isNotNull())
-                    .filter(F.col("_rows") >= self.limits.hot_rows)
-                    .orderBy(F.desc("_rows"), key_set.key)
-                    .limit(self.limits.hot_keys)
-                    .drop("_rows")
-                )
+            hot = None if small else most_frequent(kept, key_set.key, self.limits)
             carried = rows.columns
             rows = attach(
                 rows, key_set.key, broken.drop("_rows"), spread, hot, small, self.limits

@@ -16,7 +16,7 @@ class Limits:
     broadcast_bytes: int = 64 * 1024 * 1024
     hot_rows: int = 1_000_000
     hot_keys: int = 10_000
-    tickets: int = 4096
+    salts: int = 256
 
 
 DEFAULT_LIMITS = Limits()
@@ -34,57 +34,59 @@ def attach(
     rows: DataFrame,
     key: str,
     values: DataFrame,
-    identity: Sequence[Column],
+    spread: Sequence[Column],
     hot: DataFrame | None = None,
     small: bool = False,
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """Left-join ``values`` (one row per text ``key``) to ``rows``.
+    """Left-join ``values`` (one row per ``key``) to ``rows``.
 
     * ``small`` (a measured frame): broadcast, no shuffle of the rows.
-    * otherwise the keys in ``hot`` (at most ``limits.hot_keys`` of them, with their
-      values) are broadcast, and only the remaining rows meet the rest of ``values``
-      in a shuffled join.  Rows already settled, and rows without a key, are spread
-      by ``identity`` over tickets that match nothing, so no task gets a hot key.
+    * otherwise a shuffled join on the key and a salt.  Rows of the ``hot`` keys (a
+      frame of at most ``limits.hot_keys`` names) and rows without a key are salted by
+      ``spread``; the values of hot keys are repeated once per salt.  All other rows
+      have salt 0, so nothing else is repeated.
 
-    The spread depends on row contents alone: a recomputed task sends every row to
-    the same place.
+    The salt depends on row contents alone: a recomputed task sends every row to the
+    same place.
     """
     if small:
         return rows.join(F.broadcast(values), key, "left")
-    value_columns = [c for c in values.columns if c != key]
-    carried = F.struct(*value_columns)
     if hot is None:
-        hot = values.limit(0)
-    marked = rows.join(
-        F.broadcast(hot.select(key, carried.alias("_hot"))), key, "left"
+        hot = values.select(key).limit(0)
+    named = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
+    salt = F.pmod(F.xxhash64(*spread), F.lit(limits.salts))
+    salted = F.col("_hot") | F.col(key).isNull()
+    left = rows.join(named, key, "left").withColumn(
+        "_salt", F.when(salted, salt).otherwise(F.lit(0)).cast("int")
     )
-    settled = F.col("_hot").isNotNull() | F.col(key).isNull()
-    spread = F.pmod(F.xxhash64(*identity), F.lit(limits.tickets)).cast("string")
-    ticketed = marked.withColumn(
-        "_ticket",
-        F.when(settled, F.concat(F.lit("s"), spread)).otherwise(
-            F.concat(F.lit("k"), F.col(key))
-        ),
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(limits.salts - 1))).otherwise(
+        F.array(F.lit(0))
     )
-    cold = values.select(
-        F.concat(F.lit("k"), F.col(key)).alias("_ticket"), carried.alias("_cold")
+    right = (
+        values.join(named, key, "left")
+        .select(*[f"`{c}`" for c in values.columns], F.explode(salts).alias("_salt"))
     )
-    joined = ticketed.join(cold, "_ticket", "left")
-    found = F.coalesce(F.col("_hot"), F.col("_cold"))
-    return joined.select(
-        *[F.col(f"`{c}`") for c in rows.columns],
-        *[found.getField(c).alias(c) for c in value_columns],
+    return left.join(right, [key, "_salt"], "left").select(
+        *[f"`{c}`" for c in rows.columns],
+        *[f"`{c}`" for c in values.columns if c != key],
     )
 
 
 def hot_keys(rows: DataFrame, key: str, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """The most frequent keys of ``rows``: at most ``hot_keys``, each with many rows."""
-    return (
+    counted = (
         rows.filter(F.col(key).isNotNull())
         .groupBy(key)
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") >= limits.hot_rows)
+    )
+    return most_frequent(counted, key, limits)
+
+
+def most_frequent(counted: DataFrame, key: str, limits: Limits) -> DataFrame:
+    """Names of the hot keys in a frame of (key, _rows)."""
+    return (
+        counted.filter(F.col(key).isNotNull() & (F.col("_rows") >= limits.hot_rows))
         .orderBy(F.desc("_rows"), key)
         .limit(limits.hot_keys)
         .select(key)
@@ -95,11 +97,11 @@ def lookup(
     rows: DataFrame,
     key: str,
     values: DataFrame,
-    identity: Sequence[Column],
+    spread: Sequence[Column],
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """``attach`` for unmeasured rows: finds their hot keys first."""
-    names = hot_keys(rows, key, limits)
-    found = values.join(F.broadcast(names), key, "inner")
-    hot = names.join(F.broadcast(found), key, "left")
-    return attach(rows, key, values, identity, hot, limits=limits)
+    """``attach`` for rows whose hot keys are not known yet.
+
+    Reads the key column of ``rows`` once more to count it.
+    """
+    return attach(rows, key, values, spread, hot_keys(rows, key, limits), limits=limits)

@@ -284,7 +284,7 @@ def fhir_prescriptions(spark, folder):
     texts = bundles(lines, place("l", "l_orderkey", "l_linenumber"), request).unionByName(
         bundles(parts, place("p", "p_partkey"), earlier, latest)
     )
-    return fhir.prescriptions(fhir.resources_of(texts)).drop(*ORIGIN)
+    return fhir.prescriptions(fhir.staged(fhir.resources_of(texts))).drop(*ORIGIN)
 
 
 # -- billing -------------------------------------------------------------------------
@@ -321,9 +321,11 @@ def billing_bundles(spark: SparkSession, folder: str) -> DataFrame:
         obj(category=obj(text=F.lit("Deductible")), amount=amount(F.lit(5000.0))),
     )
     more = F.array(
-        obj(category=obj(coding=F.array(obj(code=F.lit("x")), obj(code=F.lit("COINSURANCE")))),
+        obj(category=obj(text=F.lit("Other"), coding=F.array(
+                obj(code=F.lit("x")), obj(code=F.lit("COINSURANCE")))),
             amount=amount(F.col("o_custkey") % 7)),
-        obj(category=obj(coding=F.array(obj(code=F.lit("coinsurance")), obj(code=F.lit("x")))),
+        obj(category=obj(text=F.lit("Other"), coding=F.array(
+                obj(code=F.lit("coinsurance")), obj(code=F.lit("x")))),
             amount=amount(F.lit(7777))),
     )
     paid = F.when(status == "F", total.cast("string")).when(status == "O", "100")
@@ -352,7 +354,8 @@ def billing_bundles(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("fhir_billing", BILLING_SQL)
 def fhir_billing(spark, folder):
-    return fhir.billing(fhir.resources_of(billing_bundles(spark, folder))).drop(*ORIGIN)
+    resources = fhir.staged(fhir.resources_of(billing_bundles(spark, folder)))
+    return fhir.billing(resources).drop(*ORIGIN)
 
 
 # -- insurance and surrogate keys ----------------------------------------------------
@@ -385,27 +388,27 @@ def fhir_insurance(spark, folder):
     texts = patient_bundles(spark, folder).unionByName(
         bundles(table(spark, folder, "orders"), place("c", "o_orderkey"), benefit)
     )
-    resources = fhir.resources_of(texts)
+    resources = fhir.staged(fhir.resources_of(texts))
     filled = fhir.with_insurance(fhir.patients(resources), resources)
     return filled.select("patient_id", "insurance_provider")
 
 
 def visit_resources(spark: SparkSession, folder: str) -> DataFrame:
     texts = patient_bundles(spark, folder).unionByName(encounter_bundles(spark, folder))
-    return fhir.resources_of(texts)
+    return fhir.staged(fhir.resources_of(texts))
 
 
 @query("fhir_surrogate_keys", f"""
     WITH visits AS ({ENCOUNTERS_SQL}),
     seen AS (
-        SELECT 'c' || c_custkey AS id, 0 AS t, 0 AS c, c_custkey AS at FROM customer
+        SELECT 'c' || c_custkey AS id, 0 AS t, 0 AS c, c_custkey AS place FROM customer
         UNION ALL SELECT encounter_id, 1, 0, o_orderkey FROM visits
         UNION ALL SELECT patient_id, 1, 1, o_orderkey FROM visits
         UNION ALL SELECT provider_id, 1, 2, o_orderkey FROM visits
         UNION ALL SELECT department_id, 1, 3, o_orderkey FROM visits
         WHERE department_id IS NOT NULL),
-    first AS (SELECT id, min((t, c, at)) AS at FROM seen GROUP BY id),
-    numbers AS (SELECT id, CAST(row_number() OVER (ORDER BY at) AS VARCHAR) AS n FROM first)
+    first AS (SELECT id, min((t, c, place)) AS place FROM seen GROUP BY id),
+    numbers AS (SELECT id, CAST(row_number() OVER (ORDER BY place) AS VARCHAR) AS n FROM first)
     SELECT e.n AS encounter_id, p.n AS patient_id, d.n AS provider_id, g.n AS department_id,
            admit_date
     FROM visits v JOIN numbers e ON v.encounter_id = e.id JOIN numbers p ON v.patient_id = p.id
@@ -465,7 +468,7 @@ AUDITED = {
         for name, rules in AUDITED.items() for rule, checked, failed in rules)}""")
 def fhir_audit(spark, folder):
     """A merged set of bundles, flattened, renumbered and audited."""
-    tables = fhir.tables_of(fhir.staged(visit_resources(spark, folder)))
+    tables = fhir.tables_of(visit_resources(spark, folder))
     results = Audit(tables, clinical_registry(), AS_OF).results()
     return results.select("dataset", "rule_id", "checked", "failed")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from soundrows.errors import CheckError
@@ -21,7 +21,14 @@ from soundrows.fixed_values import (
 )
 from soundrows.functions import fhir as fx
 from soundrows.functions.text import float_text, mapped, nonempty
-from soundrows.operators.keyed import DEFAULT_LIMITS, Limits, attach, fits_broadcast, lookup
+from soundrows.operators.keyed import (
+    DEFAULT_LIMITS,
+    Limits,
+    attach,
+    fits_broadcast,
+    lookup,
+    most_frequent,
+)
 from soundrows.operators.numbering import numbered
 from soundrows.session import stored
 from soundrows.sources.origin import BLOCK, FILE, ORIGIN, SEQUENCE, with_file_origin
@@ -60,11 +67,15 @@ def opened(bundles: DataFrame) -> DataFrame:
 
 
 def resources_of(bundles: DataFrame) -> DataFrame:
-    """One row per resource of every readable bundle; anything else is skipped."""
-    entries = (
-        opened(bundles)
-        .filter(F.col("bundle_type") == "Bundle")
-        .select(FILE, F.posexplode("entries").alias(SEQUENCE, "entry"))
+    """One row per bundle entry; entries without a resource object have no type.
+
+    Nothing is filtered on parsed values here: a pushed-down filter would parse the text
+    again.  Files that are no bundle, and entries that hold no object, stay typeless rows
+    that no table selects.
+    """
+    listed = F.when(F.col("bundle_type") == "Bundle", F.col("entries"))
+    entries = opened(bundles).select(FILE, listed.alias("entries")).select(
+        FILE, F.posexplode_outer("entries").alias(SEQUENCE, "entry")
     )
     parts = entries.select(
         FILE, SEQUENCE, F.from_json("entry", "fullUrl string, resource string").alias("e")
@@ -90,13 +101,19 @@ def read_resources(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _typed(resources: DataFrame) -> DataFrame:
-    objects = resources.filter(F.ltrim(F.col("resource")).startswith("{"))
-    body = F.try_parse_json("resource")
-    return objects.select(*ORIGIN, "full_url", body.alias("body")).select(
+    is_object = F.ltrim(F.col("resource")).startswith("{")
+    parsed = resources.select(
+        *ORIGIN, "full_url", F.when(is_object, F.try_parse_json("resource")).alias("body")
+    )
+    body = F.col("body")
+    return parsed.select(
         *ORIGIN,
-        "full_url",
-        fx.text_at(F.col("body"), "$.resourceType").alias("resource_type"),
-        fx.text_at(F.col("body"), "$.id").alias("id"),
+        F.when(body.isNotNull(), F.col("full_url")).alias("full_url"),
+        fx.text_at(body, "$.resourceType").alias("resource_type"),
+        fx.text_at(body, "$.id").alias("id"),
+        fx.label_at(body, "$.code").alias("label"),
+        fx.amount_text(body, "$.total.value").alias("total_text"),
+        fx.amount(body, "$.total.value").alias("total"),
         "body",
     )
 
@@ -110,23 +127,30 @@ def of_type(resources: DataFrame, *types: str) -> DataFrame:
     return resources.filter(F.col("resource_type").isin(*types))
 
 
-def indexed(resources: DataFrame, **values: Column) -> DataFrame:
+def indexed(resources: DataFrame, **values: str) -> DataFrame:
     """(reference, values): what a reference resolves to, the last resource winning.
 
-    A resource answers to its id.  A full URL counts where a reference can spell it:
-    references are cut to the text after their last slash or after ``urn:uuid:``.
+    ``values`` names extracted columns, so no bodies are read.  A resource answers to its
+    id.  A full URL counts where a reference can spell it: references are cut to the text
+    after their last slash or after ``urn:uuid:``.
     """
     url = F.col("full_url")
     spelled = F.when(~url.contains("/") & ~url.startswith(fx.URN), url)
     own = F.when(F.col("resource_type").isNotNull(), nonempty(F.col("id")))
-    named = [value.alias(name) for name, value in values.items()]
     keys = F.array_distinct(F.array_compact(F.array(spelled, own)))
+    place = F.struct(*ORIGIN)
     return (
-        resources.select(*ORIGIN, F.struct(*named).alias("value"), keys.alias("keys"))
-        .select(*ORIGIN, "value", F.explode("keys").alias("reference"))
+        resources.select(
+            F.explode(keys).alias("reference"),
+            F.struct(place.alias("place"), *values.values()).alias("last"),
+        )
         .groupBy("reference")
-        .agg(F.max_by("value", F.struct(*ORIGIN)).alias("value"))
-        .select("reference", *[F.col("value").getField(n).alias(n) for n in values])
+        .agg(F.max("last").alias("last"))
+        .select(
+            "reference",
+            F.lit(True).alias("_found"),
+            *[F.col(f"last.{column}").alias(name) for name, column in values.items()],
+        )
     )
 
 
@@ -229,7 +253,7 @@ def prescriptions(resources: DataFrame, limits: Limits = DEFAULT_LIMITS) -> Data
         fx.list_at(body, "$.contained"),
         lambda c: fx.text_at(c, "$.id") == F.substring(reference, 2, 1 << 30),
     )
-    rows = of_type(resources, "MedicationRequest").select(
+    requests = of_type(resources, "MedicationRequest").select(
         *ORIGIN,
         F.col("id").alias("prescription_id"),
         fx.reference_at(body, "$.encounter").alias("encounter_id"),
@@ -238,9 +262,8 @@ def prescriptions(resources: DataFrame, limits: Limits = DEFAULT_LIMITS) -> Data
         F.when(reference.startswith("#"), fx.label_at(contained, "$.code")).alias("_contained"),
         fx.label_at(body, "$.dosageInstruction[0].route").alias("route"),
     )
-    named = indexed(
-        resources, _found=F.lit(True), _name=fx.label_at(body, "$.code")
-    )
+    rows = stored(requests, "requests")
+    named = indexed(resources, _name="label")
     resolved = lookup(rows, "reference", named, [F.col(c) for c in ORIGIN], limits)
     # A resource that was found but has no label does not fall back to contained ones.
     other = F.when(F.col("_found"), F.col("_name")).otherwise(F.col("_contained"))
@@ -254,7 +277,7 @@ def billing(resources: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Benefits joined to their claims, then claims of encounters without a benefit."""
     body = F.col("body")
     submitted = fx.submitted_total(body)
-    benefits = of_type(resources, "ExplanationOfBenefit").select(
+    benefits = stored(of_type(resources, "ExplanationOfBenefit").select(
         *ORIGIN,
         fx.billed_encounter(body).alias("encounter_id"),
         fx.reference_at(body, "$.claim").alias("reference"),
@@ -263,12 +286,8 @@ def billing(resources: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
         fx.amount_text(body, "$.payment.amount.value").alias("_insurance_text"),
         fx.amount(body, "$.payment.amount.value").alias("_insurance"),
         fx.patient_share(body).alias("_patient"),
-    )
-    claimed = indexed(
-        resources,
-        _claimed_text=fx.amount_text(body, "$.total.value"),
-        _claimed=fx.amount(body, "$.total.value"),
-    )
+    ), "benefits")
+    claimed = indexed(resources, _claimed_text="total_text", _claimed="total")
     position = [F.col(c) for c in ORIGIN]
     linked = lookup(benefits, "reference", claimed, position, limits)
     has_claimed = F.col("_claimed_text").isNotNull()
@@ -284,13 +303,13 @@ def billing(resources: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
             total_text, total, F.col("_insurance_text"), F.col("_insurance"), F.col("_patient")
         ).alias("payment_status"),
     )
-    claims = of_type(resources, "Claim").select(
+    claims = stored(of_type(resources, "Claim").select(
         FILE,
         (F.col(BLOCK) + F.lit(LATER)).alias(BLOCK),
         SEQUENCE,
         nonempty(fx.claimed_encounter(body)).alias("encounter_id"),
-        fx.amount_text(body, "$.total.value").alias("total_charge"),
-    ).filter(F.col("encounter_id").isNotNull())
+        F.col("total_text").alias("total_charge"),
+    ), "claims").filter(F.col("encounter_id").isNotNull())
     billed = (
         benefits.filter(F.col("encounter_id").isNotNull())
         .select("encounter_id").distinct().withColumn("_billed", F.lit(True))
@@ -366,11 +385,7 @@ def with_surrogate_keys(
     """Replace the ids of all tables by shared whole numbers, as text."""
     numbers = surrogate_numbers(tables)
     small = fits_broadcast(numbers, "id", limits)
-    hot = (
-        numbers.filter(F.col("_rows") >= limits.hot_rows)
-        .orderBy(F.desc("_rows"), "id")
-        .limit(limits.hot_keys)
-    )
+    hot = most_frequent(numbers, "id", limits)
     position = [F.col(c) for c in ORIGIN]
     renumbered = {}
     for name, rows in tables.items():
@@ -379,12 +394,11 @@ def with_surrogate_keys(
             if column not in ID_COLUMNS:
                 continue
 
-            def keyed(frame: DataFrame) -> DataFrame:
-                return frame.select(
-                    F.col("id").alias(column), F.col("number").cast("string").alias("_number")
-                )
-
-            joined = attach(rows, column, keyed(numbers), position, keyed(hot), small, limits)
+            named = numbers.select(
+                F.col("id").alias(column), F.col("number").cast("string").alias("_number")
+            )
+            often = hot.select(F.col("id").alias(column))
+            joined = attach(rows, column, named, position, often, small, limits)
             rows = joined.select(
                 *[F.col("_number").alias(c) if c == column else F.col(c) for c in columns]
             )

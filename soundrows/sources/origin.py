@@ -6,6 +6,8 @@ from scans, so readers do not carry it along.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +33,15 @@ def with_file_origin(frame: DataFrame) -> DataFrame | None:
     Parquet knows each row's index in its file.  Other formats number the rows of
     each block (split) in reading order.
     """
+    # A frame without file metadata is an ordinary answer here, not an error to log.
+    query_log = logging.getLogger("DataFrameQueryContextLogger")
+    was_off, query_log.disabled = query_log.disabled, True
     try:
         known = frame.select("_metadata").schema[0].dataType.names
     except AnalysisException:
         return None
+    finally:
+        query_log.disabled = was_off
     path = F.col("_metadata.file_path")
     if "row_index" in known:
         return _tagged(frame, path, F.lit(0), F.col("_metadata.row_index"))

@@ -140,7 +140,7 @@ def test_messages(spark):
 
 
 # Few, hot and many broken keys must all give the same flags.
-TINY = Limits(broadcast_bytes=0, hot_rows=5, hot_keys=2, tickets=7)
+TINY = Limits(broadcast_bytes=0, hot_rows=5, hot_keys=2, salts=7)
 
 
 def test_hot_keys_take_the_spread_path(spark):

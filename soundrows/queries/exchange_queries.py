@@ -32,6 +32,10 @@ def bundles(rows: DataFrame, file: Column, *resources: Column) -> DataFrame:
     return rows.select(file.alias(FILE), bundle.alias("bundle"))
 
 
+def staged(texts: DataFrame) -> DataFrame:
+    return fhir.staged(fhir.resources_of(texts))
+
+
 def place(prefix: str, *keys: str) -> Column:
     """A file name that sorts like its keys."""
     return F.concat_ws("/", F.lit(prefix), *[F.lpad(F.col(k).cast("string"), 12, "0")
@@ -108,7 +112,7 @@ PATIENTS_SQL = """
 
 @query("fhir_patients", f"SELECT * EXCLUDE c_custkey FROM ({PATIENTS_SQL})")
 def fhir_patients(spark, folder):
-    resources = fhir.resources_of(patient_bundles(spark, folder))
+    resources = staged(patient_bundles(spark, folder))
     return fhir.patients(resources).drop(*ORIGIN)
 
 
@@ -170,7 +174,7 @@ ENCOUNTERS_SQL = """
 
 @query("fhir_encounters", f"SELECT * EXCLUDE o_orderkey FROM ({ENCOUNTERS_SQL})")
 def fhir_encounters(spark, folder):
-    resources = fhir.resources_of(encounter_bundles(spark, folder))
+    resources = staged(encounter_bundles(spark, folder))
     return fhir.encounters(resources).drop(*ORIGIN)
 
 
@@ -217,7 +221,7 @@ def fhir_diagnoses(spark, folder):
         onsetDateTime=F.when(kind == "view", day("ts")),
         recordedDate=F.when(kind.isin("purchase", "view"), day("ts")),
     )
-    resources = fhir.resources_of(bundles(rows, place("e", "event_id"), condition))
+    resources = staged(bundles(rows, place("e", "event_id"), condition))
     return fhir.diagnoses(resources).drop(*ORIGIN)
 
 
@@ -240,7 +244,7 @@ def fhir_procedures(spark, folder):
         performedDateTime=F.when(flag == "A", stamp),
         performedPeriod=F.when(flag == "N", obj(start=stamp)),
     )
-    resources = fhir.resources_of(
+    resources = staged(
         bundles(rows, place("l", "l_orderkey", "l_linenumber"), procedure)
     )
     return fhir.procedures(resources).drop(*ORIGIN)
@@ -284,7 +288,7 @@ def fhir_prescriptions(spark, folder):
     texts = bundles(lines, place("l", "l_orderkey", "l_linenumber"), request).unionByName(
         bundles(parts, place("p", "p_partkey"), earlier, latest)
     )
-    return fhir.prescriptions(fhir.staged(fhir.resources_of(texts))).drop(*ORIGIN)
+    return fhir.prescriptions(staged(texts)).drop(*ORIGIN)
 
 
 # -- billing -------------------------------------------------------------------------
@@ -354,7 +358,7 @@ def billing_bundles(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("fhir_billing", BILLING_SQL)
 def fhir_billing(spark, folder):
-    resources = fhir.staged(fhir.resources_of(billing_bundles(spark, folder)))
+    resources = staged(billing_bundles(spark, folder))
     return fhir.billing(resources).drop(*ORIGIN)
 
 
@@ -388,14 +392,14 @@ def fhir_insurance(spark, folder):
     texts = patient_bundles(spark, folder).unionByName(
         bundles(table(spark, folder, "orders"), place("c", "o_orderkey"), benefit)
     )
-    resources = fhir.staged(fhir.resources_of(texts))
+    resources = staged(texts)
     filled = fhir.with_insurance(fhir.patients(resources), resources)
     return filled.select("patient_id", "insurance_provider")
 
 
 def visit_resources(spark: SparkSession, folder: str) -> DataFrame:
     texts = patient_bundles(spark, folder).unionByName(encounter_bundles(spark, folder))
-    return fhir.staged(fhir.resources_of(texts))
+    return staged(texts)
 
 
 @query("fhir_surrogate_keys", f"""

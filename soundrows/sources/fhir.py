@@ -103,7 +103,8 @@ def read_resources(spark: SparkSession, path: str) -> DataFrame:
 def _typed(resources: DataFrame) -> DataFrame:
     is_object = F.ltrim(F.col("resource")).startswith("{")
     parsed = resources.select(
-        *ORIGIN, "full_url", F.when(is_object, F.try_parse_json("resource")).alias("body")
+        *ORIGIN, "full_url", "resource",
+        F.when(is_object, F.try_parse_json("resource")).alias("body"),
     )
     body = F.col("body")
     return parsed.select(
@@ -114,17 +115,23 @@ def _typed(resources: DataFrame) -> DataFrame:
         fx.label_at(body, "$.code").alias("label"),
         fx.amount_text(body, "$.total.value").alias("total_text"),
         fx.amount(body, "$.total.value").alias("total"),
-        "body",
+        "resource",
     )
 
 
 def staged(resources: DataFrame) -> DataFrame:
-    """Write resources once, one folder per type, so that every table reads only its own."""
+    """Write resources once, one folder per type, so that every table reads only its own.
+
+    Bodies stay text: a stored VARIANT may come back with whole numbers as decimals.
+    """
     return stored(resources, "resources", partition_by=["resource_type"])
 
 
-def of_type(resources: DataFrame, *types: str) -> DataFrame:
-    return resources.filter(F.col("resource_type").isin(*types))
+def of_type(resources: DataFrame, kind: str) -> DataFrame:
+    """The resources of one type with their parsed ``body``."""
+    return resources.filter(F.col("resource_type") == kind).withColumn(
+        "body", F.try_parse_json("resource")
+    )
 
 
 def indexed(resources: DataFrame, **values: str) -> DataFrame:
@@ -414,7 +421,8 @@ def tables_of(resources: DataFrame, limits: Limits = DEFAULT_LIMITS) -> dict[str
     wanted = sorted({t for types in TABLE_TYPES.values() for t in types})
     present = {
         row["resource_type"]
-        for row in of_type(resources, *wanted).select("resource_type").distinct().collect()
+        for row in resources.filter(F.col("resource_type").isin(*wanted))
+        .select("resource_type").distinct().collect()
     }
     makers = {
         "patients": lambda: with_insurance(patients(resources), resources, limits),

@@ -12,6 +12,11 @@ from pyspark.sql import types as T
 from soundrows.functions import text as parse
 
 
+def named(column: str) -> Column:
+    """A column by its exact name, whatever characters the name has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 class Cells:
     """Hands out presence, number and date views and parses each of them once.
 
@@ -35,7 +40,7 @@ class Cells:
         return self._views[wanted][1]
 
     def raw(self, column: str) -> Column:
-        return F.col(f"`{column}`")
+        return named(column)
 
     def text(self, column: str) -> Column:
         return parse.as_text(self.raw(column), self.types[column])

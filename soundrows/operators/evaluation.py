@@ -28,8 +28,8 @@ from soundrows.fixed_values import (
     WARNING,
 )
 from soundrows.functions import scoring
-from soundrows.operators.cells import Cells, as_of_column
-from soundrows.operators.keyed import DEFAULT_LIMITS, Limits, attach, fits_broadcast, most_frequent
+from soundrows.operators.cells import Cells, as_of_column, named
+from soundrows.operators.keyed import DEFAULT_LIMITS, Limits, attach, most_frequent, size_in_bytes
 from soundrows.operators.rules import KeyRule, Rule, Tables, key_cell, key_type
 from soundrows.plans.profile import Profile
 from soundrows.session import durable
@@ -67,7 +67,7 @@ class Evaluation:
         self.columns = [c for c in table.columns if c not in origin.ORIGIN]
         self.cells = Cells(table.schema, as_of_column(as_of))
         self.skipped: dict[int, str] = {}
-        self._verdicts: dict[int, tuple[DataFrame, bool]] = {}
+        self._verdicts: dict[int, tuple[DataFrame, int]] = {}
         self._failed: dict[int, Column] = {}
         # Rules on the same column share one "checked" count.
         self._checked: dict[int, str | None] = {}
@@ -100,7 +100,7 @@ class Evaluation:
 
     # -- keys ------------------------------------------------------------------
     def _typed_key(self, columns: Sequence[str]) -> list[Column]:
-        return [key_cell(F.col(f"`{c}`"), self.cells.types[c]) for c in columns]
+        return [key_cell(named(c), self.cells.types[c]) for c in columns]
 
     def _text_key(self, parts: Sequence[Column]) -> Column:
         """One text per key; NULL when a part of it is."""
@@ -140,8 +140,8 @@ class Evaluation:
     def _any_broken(self, key_set: KeySet) -> Column:
         return reduce(Column.__or__, [F.col(f"_broken{i}") for i, _ in key_set.rules])
 
-    def verdicts(self, key_set: KeySet) -> tuple[DataFrame, bool]:
-        """Broken and very frequent keys, materialised; and whether they are small."""
+    def verdicts(self, key_set: KeySet) -> tuple[DataFrame, int]:
+        """Broken and very frequent keys, materialised; and their measured size."""
         at = self.key_sets.index(key_set)
         if at not in self._verdicts:
             kept = durable(
@@ -149,7 +149,8 @@ class Evaluation:
                     self._any_broken(key_set) | (F.col("_rows") >= self.limits.hot_rows)
                 )
             )
-            self._verdicts[at] = (kept, fits_broadcast(kept, key_set.key, self.limits))
+            size = size_in_bytes(kept, key_set.key)
+            self._verdicts[at] = (kept, size)
         return self._verdicts[at]
 
     # -- rows ------------------------------------------------------------------
@@ -171,7 +172,7 @@ class Evaluation:
         measured = [self.verdicts(key_set) for key_set in wanted]
         rows = self.table if table is None else table
         identity = ()
-        if not all(small for _, small in measured):
+        if any(size > self.limits.broadcast_bytes for _, size in measured):
             # Settled rows are spread by file position, which tells even copies
             # apart; rows without one are spread by their contents.
             located = rows if origin.FILE in rows.columns else origin.with_file_origin(rows)
@@ -179,28 +180,29 @@ class Evaluation:
                 rows, identity = located, origin.ORIGIN
         carried = list(dict.fromkeys((*keep, *identity)))
         rows = self.cells.with_views(rows).select(
-            *[F.col(f"`{c}`") for c in carried],
+            *[named(c) for c in carried],
             *[flag.alias(f"_failed{i}") for i, flag in self._failed.items()],
             *[check.alias(name) for name, check in self._checks.items()],
             *[self._text_key(self._typed_key(s.columns)).alias(s.key) for s in wanted],
         )
-        spread = [F.col(f"`{c}`") for c in identity or rows.columns]
-        for key_set, (kept, small) in zip(wanted, measured):
+        spread = [named(c) for c in identity or rows.columns]
+        for key_set, (kept, size) in zip(wanted, measured):
             broken = kept.filter(self._any_broken(key_set) & F.col(key_set.key).isNotNull())
-            hot = None if small else most_frequent(kept, key_set.key, self.limits)
-            carried = rows.columns
-            rows = attach(
-                rows, key_set.key, broken.drop("_rows"), spread, hot, small, self.limits
-            )
-            flags = []
-            for index, rule in key_set.rules:
-                # A missing group breaks the rules that count rows without a group.
-                orphan = F.col(key_set.key).isNull() & F.lit(self._checked[index] is None)
-                flags.append(
-                    (F.coalesce(F.col(f"_broken{index}"), F.lit(False)) | orphan).alias(
-                        f"_failed{index}"
-                    )
+            carried = [named(c) for c in rows.columns]
+            if size:
+                small = size <= self.limits.broadcast_bytes
+                hot = None if small else most_frequent(kept, key_set.key, self.limits)
+                rows = attach(
+                    rows, key_set.key, broken.drop("_rows"), spread, hot, small, self.limits
                 )
+            flags = []
+            for index, _ in key_set.rules:
+                found = F.coalesce(F.col(f"_broken{index}"), F.lit(False)) if size \
+                    else F.lit(False)
+                # Rows without a group break the rules that also count such rows.
+                if self._checked[index] is None:
+                    found = found | F.col(key_set.key).isNull()
+                flags.append(found.alias(f"_failed{index}"))
             rows = rows.select(*carried, *flags)
         return rows
 
@@ -208,7 +210,7 @@ class Evaluation:
         """The table plus ``failed_rules``: ids of the rules each row breaks."""
         rows = self._flagged(self.table.columns, (ERROR, WARNING))
         return rows.select(
-            *[F.col(f"`{c}`") for c in self.columns],
+            *[named(c) for c in self.columns],
             self._failed_ids((ERROR, WARNING)).alias("failed_rules"),
             (F.size(self._failed_ids((ERROR,))) > 0).alias("has_error"),
         )
@@ -308,10 +310,10 @@ class Evaluation:
             F.array(*[F.when(F.col(f"_failed{i}"), F.lit(i)) for i, _ in self._active()])
         )
         hits = rows.select(
-            *[F.col(f"`{c}`") for c in kept], F.explode(broken).alias("rule_index")
+            *[named(c) for c in kept], F.explode(broken).alias("rule_index")
         )
         # Every task keeps its own first rows per rule before anything is shuffled.
-        first = Window.partitionBy("rule_index").orderBy(*[F.col(f"`{c}`") for c in order])
+        first = Window.partitionBy("rule_index").orderBy(*[named(c) for c in order])
         top = hits.withColumn("rank", F.row_number().over(first)).filter(
             F.col("rank") <= SAMPLE_ROWS
         )
@@ -337,7 +339,7 @@ class Evaluation:
     def _shown(self, rule: Rule) -> Column:
         pairs = []
         for column in rule.sample_columns(self.columns):
-            pairs += [F.lit(column), F.col(f"`{column}`").cast("string")]
+            pairs += [F.lit(column), named(column).cast("string")]
         return F.create_map(*pairs)
 
     def _numbered(self, table: DataFrame, top: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from soundrows.operators.cells import named
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -22,12 +24,14 @@ class Limits:
 DEFAULT_LIMITS = Limits()
 
 
-def fits_broadcast(frame: DataFrame, key: str, limits: Limits) -> bool:
+def size_in_bytes(frame: DataFrame, key: str) -> int:
     """Measure a materialised key frame; an action over key lengths only."""
-    size = frame.agg(
-        F.coalesce(F.sum(F.octet_length(key) + F.lit(64)), F.lit(0)).alias("bytes")
-    ).first()["bytes"]
-    return size <= limits.broadcast_bytes
+    size = F.sum(F.octet_length(key) + F.lit(64))
+    return frame.agg(F.coalesce(size, F.lit(0)).alias("bytes")).first()["bytes"]
+
+
+def fits_broadcast(frame: DataFrame, key: str, limits: Limits) -> bool:
+    return size_in_bytes(frame, key) <= limits.broadcast_bytes
 
 
 def attach(
@@ -54,22 +58,22 @@ def attach(
         return rows.join(F.broadcast(values), key, "left")
     if hot is None:
         hot = values.select(key).limit(0)
-    named = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
+    often = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
     salt = F.pmod(F.xxhash64(*spread), F.lit(limits.salts))
     salted = F.col("_hot") | F.col(key).isNull()
-    left = rows.join(named, key, "left").withColumn(
+    left = rows.join(often, key, "left").withColumn(
         "_salt", F.when(salted, salt).otherwise(F.lit(0)).cast("int")
     )
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(limits.salts - 1))).otherwise(
         F.array(F.lit(0))
     )
     right = (
-        values.join(named, key, "left")
-        .select(*[f"`{c}`" for c in values.columns], F.explode(salts).alias("_salt"))
+        values.join(often, key, "left")
+        .select(*[named(c) for c in values.columns], F.explode(salts).alias("_salt"))
     )
     return left.join(right, [key, "_salt"], "left").select(
-        *[f"`{c}`" for c in rows.columns],
-        *[f"`{c}`" for c in values.columns if c != key],
+        *[named(c) for c in rows.columns],
+        *[named(c) for c in values.columns if c != key],
     )
 
 

@@ -28,7 +28,7 @@ from soundrows.fixed_values import (
     WARNING,
 )
 from soundrows.functions import text
-from soundrows.operators.cells import Cells
+from soundrows.operators.cells import Cells, named
 
 Tables = Mapping[str, DataFrame]
 
@@ -383,7 +383,7 @@ class ForeignKey(KeyRule):
     def with_parents(self, keys, name, types, tables):
         parent = tables[self.parent_table]
         parent_type = parent.schema[self.parent_column].dataType
-        parent_key = key_cell(F.col(f"`{self.parent_column}`"), parent_type)
+        parent_key = key_cell(named(self.parent_column), parent_type)
         child_key = F.col("_key0")
         whole = isinstance(types["_key0"], T.LongType) and isinstance(
             parent_type, T.IntegralType

@@ -29,7 +29,9 @@ def bundles(rows: DataFrame, file: Column, *resources: Column) -> DataFrame:
         F.concat_ws(", ", *entries),
         F.lit("]}"),
     )
-    return rows.select(file.alias(FILE), bundle.alias("bundle"))
+    # Bundles would come as many files, hence as many tasks; a table may be one split.
+    spread = rows.select("*", file.alias(FILE)).repartition(FILE)
+    return spread.select(FILE, bundle.alias("bundle"))
 
 
 def staged(texts: DataFrame) -> DataFrame:

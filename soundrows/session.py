@@ -12,6 +12,8 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    # Column names that differ in case only are different columns.
+    "spark.sql.caseSensitive": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -46,19 +46,17 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def segments_of(lines: DataFrame) -> DataFrame:
-    """Known segments: (origin, kind, fields).  Blank lines are no segments."""
-    fields = hx.fields_of(strip(F.col("value")))
-    return (
-        lines.select(*ORIGIN, fields.alias("fields"))
-        .withColumn("kind", F.get("fields", F.lit(0)))
-        .filter(F.col("kind").isin(*HL7_SEGMENTS))
-    )
+    """Known segments: (origin, kind, segment).  Blank lines are no segments."""
+    segment = strip(F.col("value"))
+    return lines.select(
+        *ORIGIN, F.substring_index(segment, "|", 1).alias("kind"), segment.alias("segment")
+    ).filter(F.col("kind").isin(*HL7_SEGMENTS))
 
 
 def patients(segments: DataFrame) -> DataFrame:
     fields = F.col("fields")
     sex = hx.code(fields, 8)
-    return segments.filter("kind = 'PID'").select(
+    return with_fields(segments.filter("kind = 'PID'")).select(
         *ORIGIN,
         hx.component(fields, 3, 0).alias("patient_id"),
         hx.component(fields, 5, 1).alias("first_name"),
@@ -72,15 +70,45 @@ def patients(segments: DataFrame) -> DataFrame:
     )
 
 
-def with_latest_patient(segments: DataFrame) -> DataFrame:
-    """Add ``patient_id`` to visit segments.
+def encounters(segments: DataFrame) -> DataFrame:
+    fields = F.col("fields")
+    leaving = hx.code(fields, 36)
+    visits = {
+        "encounter_id": hx.component(fields, 19, 0),
+        "provider_id": hx.component(fields, 7, 0),
+        "department_id": hx.component(fields, 3, 0),
+        "admit_date": hx.day(fields, 44),
+        "discharge_date": hx.day(fields, 45),
+        "admission_type": F.coalesce(
+            mapped(hx.code(fields, 4), HL7_ADMISSION_TYPES),
+            mapped(hx.code(fields, 2), HL7_PATIENT_CLASSES),
+        ),
+        "discharge_disposition": mapped(leaving, HL7_DISPOSITIONS, nonempty(leaving)),
+    }
+    is_visit = F.col("kind") == "PV1"
+    # Only the finished columns are shuffled, not whole segments.
+    rows = with_fields(segments.filter("kind IN ('PID', 'PV1')")).select(
+        *ORIGIN,
+        "kind",
+        F.when(~is_visit, F.struct(hx.component(fields, 3, 0).alias("id"))).alias("_own"),
+        *[F.when(is_visit, value).alias(name) for name, value in visits.items()],
+    )
+    return with_latest_patient(rows).select(
+        *ORIGIN, "encounter_id", "patient_id", *[c for c in visits if c != "encounter_id"]
+    )
+
+
+def with_fields(segments: DataFrame) -> DataFrame:
+    return segments.withColumn("fields", hx.fields_of(F.col("segment")))
 
-    A patient segment without an id counts too: it resets the carry to NULL.
+
+def with_latest_patient(rows: DataFrame) -> DataFrame:
+    """Visits with the ``patient_id`` of the latest patient segment above them.
+
+    ``_own`` is set on patient segments, also on those without an id: they reset the
+    carry to NULL.
     """
     place = [FILE, BLOCK]
-    is_patient = F.col("kind") == "PID"
-    own = F.when(is_patient, F.struct(hx.component(F.col("fields"), 3, 0).alias("id")))
-    rows = segments.filter("kind IN ('PID', 'PV1')").withColumn("_own", own)
     above = (
         Window.partitionBy(*place)
         .orderBy(SEQUENCE)
@@ -93,36 +121,15 @@ def with_latest_patient(segments: DataFrame) -> DataFrame:
     )
     handed_on = (
         rows.groupBy(*place)
-        .agg(F.max_by("_own", F.when(is_patient, F.col(SEQUENCE))).alias("_last"))
+        .agg(F.max_by("_own", F.when(F.col("kind") == "PID", F.col(SEQUENCE))).alias("_last"))
         .select(*place, F.last("_last", ignorenulls=True).over(earlier_blocks).alias("_before"))
     )
     carried = rows.withColumn("_inside", F.last("_own", ignorenulls=True).over(above))
+    latest = F.coalesce("_inside", "_before").getField("id")
     return (
-        carried.join(handed_on, place, "left")
-        .filter(~is_patient)
-        .select(
-            *ORIGIN, "fields",
-            F.coalesce("_inside", "_before").getField("id").alias("patient_id"),
-        )
-    )
-
-
-def encounters(segments: DataFrame) -> DataFrame:
-    fields = F.col("fields")
-    leaving = hx.code(fields, 36)
-    return with_latest_patient(segments).select(
-        *ORIGIN,
-        hx.component(fields, 19, 0).alias("encounter_id"),
-        "patient_id",
-        hx.component(fields, 7, 0).alias("provider_id"),
-        hx.component(fields, 3, 0).alias("department_id"),
-        hx.day(fields, 44).alias("admit_date"),
-        hx.day(fields, 45).alias("discharge_date"),
-        F.coalesce(
-            mapped(hx.code(fields, 4), HL7_ADMISSION_TYPES),
-            mapped(hx.code(fields, 2), HL7_PATIENT_CLASSES),
-        ).alias("admission_type"),
-        mapped(leaving, HL7_DISPOSITIONS, nonempty(leaving)).alias("discharge_disposition"),
+        carried.filter("kind = 'PV1'")
+        .join(handed_on, place, "left")
+        .withColumn("patient_id", latest)
     )
 
 

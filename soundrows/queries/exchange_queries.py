@@ -30,7 +30,8 @@ def bundles(rows: DataFrame, file: Column, *resources: Column) -> DataFrame:
         F.lit("]}"),
     )
     # Bundles would come as many files, hence as many tasks; a table may be one split.
-    spread = rows.select("*", file.alias(FILE)).repartition(FILE)
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    spread = rows.select("*", file.alias(FILE)).repartition(tasks, FILE)
     return spread.select(FILE, bundle.alias("bundle"))
 
 

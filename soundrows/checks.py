@@ -15,7 +15,8 @@ from soundrows.operators.rules import Tables
 from soundrows.plans.catalogue import clinical_registry
 from soundrows.plans.profile import Registry
 from soundrows.sources import tables as table_source
-from soundrows.sources.csv import read_csv
+from soundrows.sources.csv import stage_csv
+from soundrows.sources.origin import ORIGIN
 from soundrows.sources.history import History
 
 
@@ -42,7 +43,8 @@ class Checker:
         self, table: DataFrame, dataset: str | None = None, tables: Tables | None = None
     ) -> tuple[Evaluation, bool]:
         """Bind a table to its named or detected profile."""
-        profile, detected = self.registry.resolve(table.columns, dataset)
+        columns = [c for c in table.columns if c not in ORIGIN]
+        profile, detected = self.registry.resolve(columns, dataset)
         return Evaluation(table, profile, tables, self.as_of), detected
 
     def check_table(
@@ -54,7 +56,7 @@ class Checker:
     def check_csv(self, path: str, dataset: str | None = None) -> dict[str, Any]:
         """Check one file on its own; links to other tables are skipped."""
         self._guard_bytes(path)
-        table = read_csv(self.spark, path)
+        table = stage_csv(self.spark, path)
         table_source.check_not_empty(table)
         self._guard_rows([table])
         report = self.check_table(table, dataset)
@@ -111,7 +113,7 @@ class Checker:
     # -- helpers -----------------------------------------------------------------
     def _load(self, folder: str) -> dict[str, DataFrame]:
         return table_source.load_csv_tables(
-            self.spark, folder, [p.key for p in self.registry]
+            self.spark, folder, [p.key for p in self.registry], staged=True
         )
 
     def _guard_bytes(self, path: str) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import Any
@@ -19,8 +20,8 @@ from soundrows.operators.evaluation import (
     summary_of,
 )
 from soundrows.operators.keyed import DEFAULT_LIMITS, Limits
-from soundrows.operators.report import Report
-from soundrows.operators.rules import Tables
+from soundrows.operators.report import Report, report_document
+from soundrows.operators.rules import ForeignKey, ParentKeys, Tables
 from soundrows.plans.profile import Registry
 
 
@@ -36,10 +37,20 @@ class Audit:
         **extra: Any,
     ):
         self.extra = extra
+        profiles = [p for p in registry if p.key in tables]
+        links = Counter(
+            (rule.parent_table, rule.parent_column)
+            for p in profiles
+            for rule in p.rules
+            if isinstance(rule, ForeignKey)
+            and rule.skip_reason(tables[p.key].columns, tables) is None
+        )
+        shared = [link for link, uses in links.items() if uses > 1]
+        # One plan shares equal exchanges by itself; separate jobs share stored keys.
+        self._lazy = [Evaluation(tables[p.key], p, tables, as_of, limits) for p in profiles]
+        parents = ParentKeys(tables, shared)
         self.evaluations = [
-            Evaluation(tables[p.key], p, tables, as_of, limits)
-            for p in registry
-            if p.key in tables
+            Evaluation(tables[p.key], p, tables, as_of, limits, parents) for p in profiles
         ]
 
     @property
@@ -50,10 +61,8 @@ class Audit:
         """Counts of all tables in one plan; equal key scans are shared exchanges."""
         if rows_with_errors:
             self._prepare()
-        return reduce(
-            DataFrame.unionByName,
-            [e.measures(rows_with_errors) for e in self.evaluations],
-        )
+        bound = self.evaluations if rows_with_errors else self._lazy
+        return reduce(DataFrame.unionByName, [e.measures(rows_with_errors) for e in bound])
 
     def _prepare(self) -> None:
         """Materialise the key verdicts of all tables; independent jobs overlap."""
@@ -82,6 +91,13 @@ class Audit:
         with ThreadPoolExecutor(max_workers=4) as pool:
             return list(pool.map(lambda e: Report(e, samples), self.evaluations))
 
+    def documents(self, samples: bool = True) -> DataFrame:
+        """One nested row per table; write it with ``.write.json``."""
+        self._prepare()
+        return reduce(
+            DataFrame.unionByName, [report_document(e, samples) for e in self.evaluations]
+        )
+
     def to_dict(self, source: str, samples: bool = True) -> dict[str, Any]:
         tables = [report.to_dict() for report in self.reports(samples)]
         summaries = [t["summary"] for t in tables]

@@ -30,7 +30,14 @@ from soundrows.fixed_values import (
 from soundrows.functions import scoring
 from soundrows.operators.cells import Cells, as_of_column, named
 from soundrows.operators.keyed import DEFAULT_LIMITS, Limits, attach, most_frequent, size_in_bytes
-from soundrows.operators.rules import KeyRule, Rule, Tables, key_cell, key_type
+from soundrows.operators.rules import (
+    KeyRule,
+    ParentKeys,
+    Rule,
+    Tables,
+    key_cell,
+    key_type,
+)
 from soundrows.plans.profile import Profile
 from soundrows.session import durable
 from soundrows.sources import origin
@@ -59,10 +66,12 @@ class Evaluation:
         tables: Tables | None = None,
         as_of: dt.date | str | None = None,
         limits: Limits = DEFAULT_LIMITS,
+        parents: ParentKeys | None = None,
     ):
         self.table = table
         self.profile = profile
         self.tables = dict(tables or {})
+        self.parents = parents or ParentKeys(self.tables)
         self.limits = limits
         self.columns = [c for c in table.columns if c not in origin.ORIGIN]
         self.cells = Cells(table.schema, as_of_column(as_of))
@@ -127,7 +136,7 @@ class Evaluation:
         types = dict(zip(names, key_types))
         broken = []
         for index, rule in key_set.rules:
-            keys = rule.with_parents(keys, str(index), types, self.tables)
+            keys = rule.with_parents(keys, str(index), types, self.parents)
             broken.append(
                 F.coalesce(rule.broken(keys, str(index), key_types), F.lit(False)).alias(
                     f"_broken{index}"
@@ -304,7 +313,10 @@ class Evaluation:
         """
         table = self.table if order_by else origin.with_origin(self.table)
         order = tuple(order_by or origin.ORIGIN)
-        kept = list(dict.fromkeys((*self.columns, *order)))
+        shown_columns = [
+            c for _, rule in self._active() for c in rule.sample_columns(self.columns)
+        ]
+        kept = list(dict.fromkeys((*shown_columns, *order)))
         rows = self._flagged(kept, (ERROR, WARNING), table)
         broken = F.array_compact(
             F.array(*[F.when(F.col(f"_failed{i}"), F.lit(i)) for i, _ in self._active()])

@@ -17,7 +17,14 @@ from soundrows.fixed_values import (
     SEVERITY_WEIGHTS,
     WARNING,
 )
-from soundrows.operators.evaluation import TABLE_ROW, Evaluation, combined, results_of
+from soundrows.operators.evaluation import (
+    TABLE_ROW,
+    Evaluation,
+    combined,
+    dimensions_of,
+    results_of,
+    summary_of,
+)
 
 STATUSES = ("failed", "passed", "skipped")
 
@@ -172,13 +179,11 @@ def failed_findings(results: DataFrame) -> DataFrame:
 
 
 # -- documents ---------------------------------------------------------------------
-def report_document(evaluation: Evaluation) -> DataFrame:
+def report_document(evaluation: Evaluation, samples: bool = True) -> DataFrame:
     """One row per table: dataset, summary, dimensions and results, nested.
 
     Write it with ``.write.json`` or turn it into text with ``to_json``.
     """
-    from soundrows.operators.evaluation import dimensions_of, summary_of
-
     measures = evaluation.measures()
 
     def nested(rows: DataFrame, order: str, name: str) -> DataFrame:
@@ -187,6 +192,23 @@ def report_document(evaluation: Evaluation) -> DataFrame:
         # One entry per rule or dimension of a profile.
         return rows.groupBy("dataset").agg(F.sort_array(F.collect_list(entry)).alias(name))
 
+    results = results_of(measures)
+    if samples:
+        # A handful of rows per rule.
+        shown = evaluation.samples().groupBy("rule_index").agg(
+            F.array_sort(
+                F.collect_list(F.struct("rank", "_line", "row")),
+                lambda a, b: a["rank"] - b["rank"],
+            ).alias("sample")
+        )
+        results = results.join(shown, "rule_index", "left")
+    described = [c for c in results.columns if c not in ("dataset", "rule_index")]
+    results = results.groupBy("dataset").agg(
+        F.array_sort(
+            F.collect_list(F.struct("rule_index", *described)),
+            lambda a, b: a["rule_index"] - b["rule_index"],
+        ).alias("results")
+    )
     summary = summary_of(measures)
     return (
         summary.select(
@@ -200,5 +222,5 @@ def report_document(evaluation: Evaluation) -> DataFrame:
             .alias("summary"),
         )
         .join(nested(dimensions_of(measures), "dimension_index", "dimensions"), "dataset")
-        .join(nested(results_of(measures), "rule_index", "results"), "dataset")
+        .join(results, "dataset")
     )

@@ -9,6 +9,7 @@ is one row before anything is shuffled.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 from typing import Any
@@ -29,6 +30,7 @@ from soundrows.fixed_values import (
 )
 from soundrows.functions import text
 from soundrows.operators.cells import Cells, named
+from soundrows.session import durable
 
 Tables = Mapping[str, DataFrame]
 
@@ -310,7 +312,9 @@ class KeyRule(Rule):
         """Row-level numbers to sum per key, by name."""
         return {}
 
-    def with_parents(self, keys: DataFrame, name: str, types: Mapping, tables: Tables):
+    def with_parents(
+        self, keys: DataFrame, name: str, types: Mapping[str, T.DataType], parents: ParentKeys
+    ) -> DataFrame:
         """Add what the rule needs from other tables to the key frame."""
         return keys
 
@@ -380,24 +384,14 @@ class ForeignKey(KeyRule):
             )
         return None
 
-    def with_parents(self, keys, name, types, tables):
-        parent = tables[self.parent_table]
-        parent_type = parent.schema[self.parent_column].dataType
-        parent_key = key_cell(named(self.parent_column), parent_type)
-        child_key = F.col("_key0")
-        whole = isinstance(types["_key0"], T.LongType) and isinstance(
-            parent_type, T.IntegralType
+    def with_parents(self, keys, name, types, parents):
+        known = parents.keys_of(self.parent_table, self.parent_column).select(
+            F.col("key").alias(f"_parent_{name}")
         )
-        if not whole:
-            parent_key = parent_key.cast("string")
-            child_key = child_key.cast("string")
-        # Distinct first: a repeated parent must not multiply child keys.
-        known = (
-            parent.select(parent_key.alias(f"_parent_{name}"))
-            .filter(F.col(f"_parent_{name}").isNotNull())
-            .distinct()
-        )
-        return keys.join(known, child_key == known[f"_parent_{name}"], "left")
+        parent_key, child_key = known[f"_parent_{name}"], F.col("_key0")
+        if types["_key0"] != known.schema[0].dataType:
+            parent_key, child_key = parent_key.cast("string"), child_key.cast("string")
+        return keys.join(known, child_key == parent_key, "left")
 
     def broken(self, keys, name, key_types):
         return _key_present(key_types) & F.col(f"_parent_{name}").isNull()
@@ -446,6 +440,30 @@ class ExactlyOne(KeyRule):
         return F.col("_key0").isNull() | (F.col(f"_sum_{name}_marked") != 1)
 
 
+class ParentKeys:
+    """The distinct keys of parent columns.
+
+    Keys are distinct so that a repeated parent does not multiply its children.  A
+    column that ``shared`` links refer to more than once is materialised on first use.
+    """
+
+    def __init__(self, tables: Tables, shared: Iterable[tuple[str, str]] = ()):
+        self.tables = tables
+        self.shared = set(shared)
+        self._keys: dict[tuple[str, str], DataFrame] = {}
+        self._lock = threading.Lock()
+
+    def keys_of(self, table: str, column: str) -> DataFrame:
+        link = (table, column)
+        with self._lock:
+            if link not in self._keys:
+                parent = self.tables[table]
+                key = key_cell(named(column), parent.schema[column].dataType).alias("key")
+                keys = parent.select(key).filter(F.col("key").isNotNull()).distinct()
+                self._keys[link] = durable(keys) if link in self.shared else keys
+            return self._keys[link]
+
+
 def key_cell(cell: Column, dtype: T.DataType) -> Column:
     """A key as it is compared: whole numbers stay numbers, the rest is text."""
     return cell.cast("bigint") if isinstance(dtype, T.IntegralType) else cell.cast("string")

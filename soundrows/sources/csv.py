@@ -11,15 +11,18 @@ from pyspark.sql import types as T
 
 from soundrows.errors import CheckError
 from soundrows.functions.text import without_na_tokens
+from soundrows.session import stored
+from soundrows.sources.origin import with_origin
 
 OVERFLOW = "_overflow"
+PARSE_ERROR = "Could not parse CSV"
 
 
 def header_names(spark: SparkSession, path: str) -> list[str]:
     """Column names from the first line of a file (or of a folder's first file)."""
     lines = spark.read.text(path).take(1)
     if not lines:
-        raise CheckError("Could not parse CSV: No columns to parse from file")
+        raise CheckError(f"{PARSE_ERROR}: No columns to parse from file")
     names = next(csv_format.reader([lines[0][0].removeprefix("﻿")]), [])
     named = [name or f"Unnamed: {n}" for n, name in enumerate(names)]
     seen: Counter[str] = Counter()
@@ -63,7 +66,7 @@ def read_csv(
         .csv(path)
     )
     too_long = F.raise_error(
-        F.lit(f"Could not parse CSV: expected {len(names)} fields, saw more")
+        F.lit(f"{PARSE_ERROR}: expected {len(names)} fields, saw more")
     )
     whole = rows.filter(
         F.when(F.col(OVERFLOW).isNull(), F.lit(True)).otherwise(too_long.cast("boolean"))
@@ -72,3 +75,18 @@ def read_csv(
     return whole.select(
         *[without_na_tokens(F.col(p)).alias(name) for p, name in zip(positions, shown)]
     )
+
+
+def stage_csv(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Parse a CSV file once into a stored table that keeps the rows' file position.
+
+    An evaluation reads a table once per key set; stored columns are pruned, text is not.
+    Unreadable rows surface here, before any rule runs.
+    """
+    table = read_csv(spark, path, **options)
+    try:
+        return stored(with_origin(table), "csv")
+    except Exception as error:
+        if PARSE_ERROR in str(error):
+            raise CheckError(f"{PARSE_ERROR}: a row has too many fields") from error
+        raise

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from soundrows.errors import CheckError
-from soundrows.sources.csv import read_csv
+from soundrows.sources.csv import read_csv, stage_csv
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -29,18 +29,19 @@ def list_tables(spark: SparkSession, folder: str, suffix: str = ".csv") -> list[
 
 
 def load_csv_tables(
-    spark: SparkSession, folder: str, names: Iterable[str], **options
+    spark: SparkSession, folder: str, names: Iterable[str], staged: bool = False, **options
 ) -> dict[str, DataFrame]:
     """The named tables that exist as ``<folder>/<name>.csv``, in the given order.
 
     Header names are taken as they stand here; only a single-file check strips them.
+    ``staged`` parses each file once into a stored table.
     """
-    found = {}
-    for name in names:
-        path = f"{folder}/{name}.csv"
-        if path_exists(spark, path):
-            found[name] = read_csv(spark, path, strip_header=False, **options)
-    return found
+    read = stage_csv if staged else read_csv
+    return {
+        name: read(spark, f"{folder}/{name}.csv", strip_header=False, **options)
+        for name in names
+        if path_exists(spark, f"{folder}/{name}.csv")
+    }
 
 
 def load_parquet_tables(

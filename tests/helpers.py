@@ -1,12 +1,14 @@
 """Small frames and profiles for tests."""
 
+from pyspark.sql import types as T
+
 from soundrows.operators.evaluation import Evaluation
 from soundrows.plans.profile import Profile
 
 
 def frame(spark, columns, rows):
     """An all-text frame in one partition per row order."""
-    schema = ", ".join(f"`{c}` string" for c in columns)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     return spark.createDataFrame([tuple(r) for r in rows], schema)
 
 

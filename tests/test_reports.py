@@ -1,6 +1,7 @@
 """Reports, samples, detection, audits, gates."""
 
 import pytest
+from pyspark.sql import functions as F
 from helpers import column, evaluate, frame, profile
 
 from soundrows.checks import Checker
@@ -12,10 +13,10 @@ from soundrows.operators.report import (
     Report, failed_findings, findings, letter_grade, report_document, sorted_findings,
 )
 from soundrows.operators.rules import (
-    AllowedValues, Consistency, ForeignKey, IntegerType, NotNull, Unique,
+    AllowedValues, Consistency, ForeignKey, IntegerType, NotNull, RowRule, Unique,
 )
 from soundrows.plans.catalogue import clinical_registry
-from soundrows.plans.profile import profile_from
+from soundrows.plans.profile import Registry, profile_from
 
 PATIENTS = ["patient_id", "first_name", "last_name", "gender", "birth_date", "city", "state",
             "insurance_provider", "registration_date"]
@@ -209,6 +210,47 @@ def test_audit_resolves_links_and_ignores_unknown_tables(spark):
     assert alone["summary"]["rules_skipped"] == 1 and alone["summary"]["errors"] == 0
 
 
+def test_shared_parents_and_documents(spark, tmp_path):
+    keys = column(spark, ["1", "2"], "encounter_id")
+    child = frame(spark, ["encounter_id", "v"], [("1", "a"), ("9", "b")])
+    link = lambda name: profile(ForeignKey(
+        f"{name}.fk", "t", "encounter_id", "encounters", "encounter_id"), key=name)
+    registry = Registry([link("x"), link("y"), profile(NotNull("n", "t", "encounter_id"),
+                                                       key="encounters")])
+    audit = Audit({"x": child, "y": child, "encounters": keys}, registry, "2024-06-01")
+    assert {r["dataset"]: r["errors"] for r in audit.summaries().collect()} == {
+        "x": 1, "y": 1, "encounters": 0}
+    audit.documents().write.json(str(tmp_path / "out"))
+    back = {r["dataset"]: r for r in spark.read.json(str(tmp_path / "out")).collect()}
+    assert back["x"]["summary"]["errors"] == 1 and back["x"]["columns"] == ["encounter_id", "v"]
+    [failed] = back["y"]["results"]
+    assert failed["sample"][0]["_line"] == 3
+    assert failed["sample"][0]["row"]["encounter_id"] == "9"
+
+
+class ShortText(RowRule):
+    """A rule type of a user's own."""
+
+    message = "too long"
+
+    def failed(self, cells):
+        return cells.present(self.column) & (F.length(cells.text(self.column)) > 2)
+
+
+def test_rule_types_of_your_own(spark):
+    report = Report(evaluate(column(spark, ["ab", "abc", None]), ShortText("s", "t", "x")))
+    assert [(r["checked"], r["failed"], r["message"]) for r in report.results] == [
+        (2, 1, "too long")]
+
+
+def test_odd_column_names(spark):
+    table = frame(spark, ["a.b", "c`d", "e f"], [("1", None, "x"), ("1", "2", None)])
+    evaluation = evaluate(table, Unique("u", "t", ["a.b", "e f"]), Unique("v", "t", "a.b"),
+                          NotNull("n", "t", "c`d"), IntegerType("i", "t", "e f"))
+    failed = {r["rule_id"]: r["failed"] for r in Report(evaluation).results}
+    assert failed == {"u": 0, "v": 2, "n": 1, "i": 1}
+
+
 def test_aggregate_of_no_tables(spark):
     summaries = evaluate(column(spark, []), NotNull("n", "t", "x")).summary().limit(0)
     assert aggregate_of(summaries).first()["score"] == 100.0
@@ -216,8 +258,6 @@ def test_aggregate_of_no_tables(spark):
 
 def test_row_rules_run_on_a_stream(spark, tmp_path):
     """Row rules are plain expressions, so they flag a stream of rows unchanged."""
-    from pyspark.sql import functions as F
-
     column(spark, ["1", "x", None]).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("x string").parquet(str(tmp_path / "in"))
     flagged = Evaluation(

@@ -57,6 +57,13 @@ def test_long_rows_are_rejected(spark, tmp_path):
         cells(spark, tmp_path, "a,b\n1,2\n1,2,3\n")
 
 
+def test_long_rows_fail_a_check_before_any_rule(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text(DEPARTMENTS + "4,A,Inpatient,1,extra\n")
+    with pytest.raises(CheckError, match="Could not parse CSV"):
+        Checker(spark).check_csv(str(path))
+
+
 def test_header_names(spark, tmp_path):
     path = tmp_path / "h.csv"
     path.write_bytes("﻿ a ,b,b,\n1,2,3,4\n".encode())

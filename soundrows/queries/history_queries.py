@@ -31,7 +31,7 @@ def runs(spark, folder) -> DataFrame:
     score = F.lit(100.0) * (F.lit(1.0) - F.col("errors") / F.col("row_count"))
     return counts.select(
         (F.unix_date("day") * 10 + F.length("event_type")).cast("bigint").alias("id"),
-        F.col("day").cast("timestamp").alias("created_at"),
+        F.col("day").cast("timestamp_ntz").alias("created_at"),
         F.col("event_type").alias("dataset"),
         "row_count", "errors", "warnings",
         F.bround(score, 1).alias("score"),

@@ -37,14 +37,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     back to a folder of its own: executors of a cluster do not share one.
     """
     context = spark.sparkContext
-    folder = spark.conf.get(CHECKPOINT_SETTING, None)
+    folder = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
     if folder is None:
         if not context.master.startswith("local"):
             raise RuntimeError(
                 f"set {CHECKPOINT_SETTING} to a folder that all executors share"
             )
         folder = tempfile.mkdtemp(prefix="soundrows-")
-        spark.conf.set(CHECKPOINT_SETTING, folder)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from soundrows.fixed_values import WHITE_SPACE
 from soundrows.functions.text import nonempty, strip
 
 
@@ -29,10 +30,5 @@ def component(fields: Column, number: int, place: int) -> Column:
 
 def day(fields: Column, number: int) -> Column:
     """The day of a timestamp that starts with eight digits, as YYYY-MM-DD."""
-    stamp = strip(field(fields, number))
-    return F.when(
-        stamp.rlike("^[0-9]{8}"),
-        F.concat_ws(
-            "-", F.substring(stamp, 1, 4), F.substring(stamp, 5, 2), F.substring(stamp, 7, 2)
-        ),
-    )
+    digits = F.regexp_extract(field(fields, number), f"^[{WHITE_SPACE}]*([0-9]{{8}})", 1)
+    return nonempty(F.regexp_replace(digits, "^(....)(..)(..)$", "$1-$2-$3"))

@@ -130,11 +130,6 @@ def nonempty(text: Column) -> Column:
 
 def mapped(key: Column, table: dict[str, str], otherwise: Column | None = None) -> Column:
     """Look a code up in a small fixed table."""
-    result = None
-    by_meaning: dict[str, list[str]] = {}
-    for code, meaning in table.items():
-        by_meaning.setdefault(meaning, []).append(code)
-    for meaning, codes in by_meaning.items():
-        hit = key.isin(*codes)
-        result = F.when(hit, meaning) if result is None else result.when(hit, meaning)
-    return result if otherwise is None else result.otherwise(otherwise)
+    meanings = F.create_map(*[F.lit(word) for pair in table.items() for word in pair])
+    found = F.try_element_at(meanings, key)
+    return found if otherwise is None else F.coalesce(found, otherwise)

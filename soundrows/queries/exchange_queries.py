@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from soundrows.operators.audit import Audit
 from soundrows.plans.catalogue import clinical_registry
 from soundrows.queries.register import AS_OF, query, table
+from soundrows.session import stored
 from soundrows.sources import fhir, hl7
 from soundrows.sources.origin import BLOCK, FILE, ORIGIN, SEQUENCE
 
@@ -374,7 +375,8 @@ def fhir_billing(spark, folder):
         FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey) ON o_custkey = c_custkey""")
 def fhir_insurance(spark, folder):
     status = F.col("o_orderstatus")
-    kind = "struct<resourceType:string,payor:array<struct<display:string>>,type:struct<text:string>>"
+    kind = ("struct<resourceType:string, payor:array<struct<display:string>>, "
+            "type:struct<text:string>>")
     coverage = F.when(
         status == "F",
         obj(resourceType=F.lit("Coverage"),
@@ -532,12 +534,13 @@ def feed(spark: SparkSession, folder: str) -> DataFrame:
     header = F.lit("MSH|^~\\&|HIS|HOSP|EHR|D|20240310||ADT^A01|1|P|2.5")
     with_pid = customers.filter(key % 10 != 5)
     buyer = F.col("o_custkey")
-    return (
+    written = (
         lines(customers, key, F.lit(0), header)
         .unionByName(lines(customers, key, F.lit(1), F.lit("  ")))
         .unionByName(lines(with_pid, key, F.lit(2), pid))
         .unionByName(lines(orders, buyer, order + 10, pv1))
     )
+    return stored(written, "feed")
 
 
 @query("hl7_patients", """

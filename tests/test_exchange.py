@@ -209,6 +209,8 @@ def test_folder_skips_bad_files_and_shares_keys(spark, tmp_path):
     write_bundle(tmp_path / "a.json", {"resourceType": "Patient", "id": "p"})
     (tmp_path / "c.json").write_text("broken {")
     (tmp_path / "d.json").write_text('{"resourceType": "Patient", "id": "q"}')
+    checked = Checker(spark, as_of="2024-06-01").check_fhir_folder(str(tmp_path))
+    assert checked["recognised"] == ["patients", "encounters"]
     tables = fhir.tables_of_folder(spark, str(tmp_path))
     [patient] = tables["patients"].collect()
     [encounter] = tables["encounters"].collect()

@@ -5,6 +5,7 @@ from helpers import column
 
 from soundrows.checks import Checker
 from soundrows.errors import CheckError
+from soundrows.fixed_values import MAX_INPUT_BYTES, MAX_INPUT_ROWS
 from soundrows.sources import tables as table_source
 from soundrows.sources.csv import header_names, read_csv
 from soundrows.sources.history import History
@@ -136,6 +137,8 @@ def test_guards(spark, folder):
         Checker(spark, max_rows=5).check_csv(path)
     with pytest.raises(CheckError, match="Too many rows"):
         Checker(spark, max_rows=8).audit_folder(folder)
+    usual = Checker(spark, max_bytes=MAX_INPUT_BYTES, max_rows=MAX_INPUT_ROWS)
+    assert usual.check_csv(path)["row_count"] == 6
     table_source.check_rows([column(spark, ["1", "2"]), column(spark, ["3"])], 3)
     with pytest.raises(CheckError, match="no data rows"):
         table_source.check_not_empty(column(spark, []))

@@ -153,7 +153,8 @@ class Regex(RowRule):
         return MESSAGES[wording].format(column=self.column, hint=self.hint)
 
     def failed(self, cells):
-        anchored = rf"\A(?:{self.pattern})"
+        # Only \n ends a line, and character classes are Unicode, as in Python patterns.
+        anchored = rf"(?dU)\A(?:{self.pattern})"
         return cells.present(self.column) & ~cells.text(self.column).rlike(anchored)
 
 

@@ -6,8 +6,9 @@ are selected from these rows; references between resources are joins.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from functools import reduce
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -210,7 +211,7 @@ def diagnoses(resources: DataFrame) -> DataFrame:
     """
     body = F.col("body")
     code, description = fx.diagnosis_code(body)
-    rows = of_type(resources, "Condition").select(
+    rows = stored(of_type(resources, "Condition").select(
         *ORIGIN,
         F.col("id").alias("diagnosis_id"),
         fx.reference_at(body, "$.encounter").alias("encounter_id"),
@@ -222,7 +223,7 @@ def diagnoses(resources: DataFrame) -> DataFrame:
             F.lit(""),
         ).alias("_since"),
         fx.is_encounter_diagnosis(body).alias("_candidate"),
-    )
+    ), "conditions")
     primaries = (
         rows.filter(F.col("_candidate") & (F.col("encounter_id") != ""))
         .groupBy("encounter_id")
@@ -416,7 +417,8 @@ def with_surrogate_keys(
 def tables_of(resources: DataFrame, limits: Limits = DEFAULT_LIMITS) -> dict[str, DataFrame]:
     """The tables that have rows, with insurers and surrogate keys, in table order.
 
-    The tables are written once: an audit reads each of them several times.
+    Tables are stored before and after renumbering, so that bodies are parsed once and an
+    audit reads finished columns.
     """
     wanted = sorted({t for types in TABLE_TYPES.values() for t in types})
     present = {
@@ -432,9 +434,8 @@ def tables_of(resources: DataFrame, limits: Limits = DEFAULT_LIMITS) -> dict[str
         "prescriptions": lambda: prescriptions(resources, limits),
         "billing": lambda: billing(resources, limits),
     }
-    tables = {
-        name: makers[name]() for name, types in TABLE_TYPES.items() if present & set(types)
-    }
+    names = [name for name, types in TABLE_TYPES.items() if present & set(types)]
+    tables = _stored_together({name: makers[name] for name in names})
     only_claims = "billing" in tables and "ExplanationOfBenefit" not in present
     if only_claims and tables["billing"].isEmpty():
         del tables["billing"]
@@ -444,7 +445,14 @@ def tables_of(resources: DataFrame, limits: Limits = DEFAULT_LIMITS) -> dict[str
             "(expected Patient, Encounter, Condition, ...)."
         )
     renumbered = with_surrogate_keys(tables, limits)
-    return {name: stored(rows, name) for name, rows in renumbered.items()}
+    return _stored_together({name: partial(dict.get, renumbered, name) for name in renumbered})
+
+
+def _stored_together(makers: Mapping[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+    """Write independent tables side by side."""
+    with ThreadPoolExecutor(max_workers=max(len(makers), 1)) as pool:
+        frames = pool.map(lambda name: stored(makers[name](), name), makers)
+        return dict(zip(makers, frames))
 
 
 def tables_of_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:

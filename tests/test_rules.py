@@ -24,7 +24,8 @@ ICD10 = r"^[A-TV-Z][0-9][0-9A-Z](\.[0-9A-Z]{1,4})?$"
         (["Oral", "oral", "ORAL", "iv"],
          AllowedValues("r", "t", "x", ["oral"], case_sensitive=False), 4, 1),
         (["E11.9", "S72.0", "12345", "ABC", ""], Regex("r", "t", "x", ICD10), 4, 2),
-        (["MA", "MA\n", "MAX"], Regex("r", "t", "x", "^[A-Z]{2}$"), 3, 1),
+        (["MA", "MA\n", "MA\r", "MAX"], Regex("r", "t", "x", "^[A-Z]{2}$"), 4, 2),
+        (["é1", "٣", "-"], Regex("r", "t", "x", r"\w+"), 3, 1),
         (["ab1", "1ab"], Regex("r", "t", "x", "[a-z]+"), 2, 1),
         (["a", "b1", "xb"], Regex("r", "t", "x", "a|b"), 3, 1),
         (["1", "2", "3.5", "abc", None], IntegerType("r", "t", "x"), 4, 2),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from soundrows.llm import decontaminate, sql
+from soundrows.llm import decontaminate, secrets, sql
 from soundrows.queries.register import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -25,3 +25,8 @@ def query(name: str, oracle: str | None = None):
 def op1_decontaminate(spark, folder):
     documents, benchmark = table(spark, folder, "documents"), table(spark, folder, "benchmark")
     return decontaminate.digest(decontaminate.contamination(documents, benchmark))
+
+
+@query("op7_secret_scan")
+def op7_secret_scan(spark, folder):
+    return secrets.digest(secrets.scan(table(spark, folder, "documents")))

@@ -122,3 +122,20 @@ def covered(starts: np.ndarray, lengths: np.ndarray | int, size: int) -> np.ndar
     np.add.at(change, starts, 1)
     np.subtract.at(change, starts + lengths, 1)
     return np.cumsum(change[:-1]) > 0
+
+
+def runs(
+    data: np.ndarray, offsets: np.ndarray, members: np.ndarray, least: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of at least ``least`` member bytes that stay inside one text."""
+    inside = members[data]
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:]
+    begins = offsets[:-1][offsets[1:] > offsets[:-1]]
+    starts[begins] = inside[begins]
+    ends[begins[1:] - 1] = inside[begins[1:] - 1]
+    first, last = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    long = last - first >= least
+    return first[long], last[long]

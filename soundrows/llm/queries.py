@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from soundrows.llm import decontaminate, secrets, sql
+from soundrows.llm import decontaminate, quality, secrets, sql
 from soundrows.queries.register import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -30,3 +30,8 @@ def op1_decontaminate(spark, folder):
 @query("op7_secret_scan")
 def op7_secret_scan(spark, folder):
     return secrets.digest(secrets.scan(table(spark, folder, "documents")))
+
+
+@query("op9_quality_rules", sql.QUALITY)
+def op9_quality_rules(spark, folder):
+    return quality.digest(quality.judged(table(spark, folder, "documents")))

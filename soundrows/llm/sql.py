@@ -30,3 +30,48 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+FAILING_LINE = " OR ".join(
+    f"regexp_matches({{0}}, '{pattern}')"
+    for pattern in (
+        r"^[^.!?\x{2026}\x{3002}]*$",
+        r"(?:[#*$%&]{2,}[^#*$%&]*){3}|[!?]{2,}(?:[^!?]*[!?]{2,}){2}",
+        r"^[^a-z]*[A-Z]{2}[^a-z]*$",
+        r"(?:[|\x{00bb}\x{203a}>\x{2022}][^|\x{00bb}\x{203a}>\x{2022}]*){3}",
+        r"(?i)(?:^licensed under |^released under |is licensed under |all rights reserved|privacy policy"
+        r"|terms of (?:use|service)|cookie (?:policy|settings|preferences)|accept (?:all )?cookies"
+        r"|(?:enable|requires) javascript|lorem ipsum|click here|read more|sign in|log in to"
+        r"|subscribe to our|share (?:this|on) |powered by |\x{00a9}|&copy;)",
+    )
+).replace("{2,}", "{{2,}}").replace("{3}", "{{3}}").replace("{2}", "{{2}}").replace(
+    r"\x{2026}", "…").replace(r"\x{3002}", "。").replace(r"\x{00bb}", "»").replace(
+    r"\x{203a}", "›").replace(r"\x{2022}", "•").replace(r"\x{00a9}", "©")
+
+QUALITY = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, {SPACE_WORDS} AS w,
+    string_split(coalesce(text, ''), chr(10)) AS all_lines FROM documents),
+m AS (
+  SELECT *, list_filter(all_lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    length(translate(text, {SPACES}, '')) AS word_chars,
+    length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols FROM d),
+grams AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, g FROM grams GROUP BY doc_id, g HAVING count(*) > 1),
+repeated AS (
+  SELECT doc_id, count(DISTINCT q) AS n
+  FROM (SELECT doc_id, unnest(range(i, i + 8)) AS q FROM grams JOIN twice USING (doc_id, g))
+  GROUP BY doc_id),
+v AS (
+  SELECT m.doc_id, len(w) AS n_words, word_chars, n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+    length(translate(array_to_string(list_filter(lines, lambda x: NOT ({FAILING_LINE.format('x')})), ' '), {SPACES}, '')) AS left_chars
+  FROM m LEFT JOIN repeated USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND left_chars >= 0.5 * word_chars AS kept
+FROM v
+"""

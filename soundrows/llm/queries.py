@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from soundrows.llm import decontaminate, quality, secrets, sql
+from soundrows.llm import decontaminate, mixing, quality, secrets, sql, tokens
 from soundrows.queries.register import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -35,3 +35,13 @@ def op7_secret_scan(spark, folder):
 @query("op9_quality_rules", sql.QUALITY)
 def op9_quality_rules(spark, folder):
     return quality.digest(quality.judged(table(spark, folder, "documents")))
+
+
+@query("op8_mix_sources", sql.MIX)
+def op8_mix_sources(spark, folder):
+    return mixing.mixed(table(spark, folder, "documents"))
+
+
+@query("op2_token_counts")
+def op2_token_counts(spark, folder):
+    return tokens.context_limits(tokens.histogram(table(spark, folder, "documents")))

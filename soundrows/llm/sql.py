@@ -75,3 +75,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND left_chars >= 0.5 * word_chars AS kept
 FROM v
 """
+
+MIX = """
+WITH n AS (SELECT source, count(*) AS n_docs, pow(CAST(count(*) AS DOUBLE), 0.5) AS weight FROM documents GROUP BY source),
+r AS (
+  SELECT source, (SELECT sum(n_docs) FROM n) * weight / (SELECT sum(weight) FROM n) / n_docs AS rate FROM n),
+parts AS (
+  SELECT doc_id, d.source, rate, greatest(1, CAST(ceil(rate / 16) AS INTEGER)) AS parts
+  FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+draws AS (SELECT DISTINCT doc_id, rate / parts AS mean, unnest(range(1, parts + 1)) AS j FROM parts),
+u AS (
+  SELECT *, CAST('0x' || substr(md5('20:' || j || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT)
+    / 4503599627370496.0 AS u FROM draws),
+cumulative AS (
+  SELECT mean, k, sum(exp(-mean) * pow(mean, k) / gamma(k + 1)) OVER (PARTITION BY mean ORDER BY k) AS below
+  FROM (SELECT DISTINCT mean FROM draws), range(0, 90) AS t(k)),
+counts AS (
+  SELECT doc_id, sum(n) AS n
+  FROM (SELECT doc_id, j, count(CASE WHEN below <= u THEN 1 END) AS n FROM u JOIN cumulative USING (mean) GROUP BY doc_id, j)
+  GROUP BY doc_id),
+copies AS (
+  SELECT d.*, CAST(unnest(range(1, CAST(n AS BIGINT) + 1)) AS INTEGER) AS copy
+  FROM documents d JOIN counts c ON d.doc_id IS NOT DISTINCT FROM c.doc_id)
+SELECT *, CAST('0x' || substr(md5('20:place:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || copy), 1, 15) AS BIGINT) AS place
+FROM copies
+"""

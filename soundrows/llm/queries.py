@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from soundrows.llm import decontaminate, mixing, quality, secrets, sql, tokens
+from soundrows.llm import decontaminate, mixing, quality, secrets, sql, tokens, urlfilter
 from soundrows.queries.register import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -45,3 +45,9 @@ def op8_mix_sources(spark, folder):
 @query("op2_token_counts")
 def op2_token_counts(spark, folder):
     return tokens.context_limits(tokens.histogram(table(spark, folder, "documents")))
+
+
+@query("op6_url_filter", sql.URLS)
+def op6_url_filter(spark, folder):
+    pages = table(spark, folder, "pages")
+    return urlfilter.judged(pages, urlfilter.RULES, urlfilter.keys_on_hosts(pages))

@@ -100,3 +100,22 @@ copies AS (
 SELECT *, CAST('0x' || substr(md5('20:place:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || copy), 1, 15) AS BIGINT) AS place
 FROM copies
 """
+
+URLS = rf"""
+WITH r AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {UPPER}, {LOWERED}) AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+rules(verdict, rule_host, rule_path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
+  ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+best AS (
+  SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+    arg_max(verdict, length(rule_host || rule_path)) AS verdict
+  FROM p JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict,
+  CASE WHEN regexp_matches(host, '(^|\.)(ads-track|free-bets|spam-farm|casino-win|cheap-pills|adult-x)\.')
+    THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN best USING (page_id)
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from soundrows.llm import decontaminate, mixing, quality, secrets, sql, tokens, urlfilter
+from soundrows.llm import decontaminate, mixing, quality, secrets, sql, tokens, urlfilter, warc
 from soundrows.queries.register import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -51,3 +51,8 @@ def op2_token_counts(spark, folder):
 def op6_url_filter(spark, folder):
     pages = table(spark, folder, "pages")
     return urlfilter.judged(pages, urlfilter.RULES, urlfilter.keys_on_hosts(pages))
+
+
+@query("op3_warc", sql.WARC)
+def op3_warc(spark, folder):
+    return warc.round_trip(table(spark, folder, "pages"))

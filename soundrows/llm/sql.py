@@ -119,3 +119,14 @@ SELECT page_id, host, path, rule, coalesce(verdict,
     THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN best USING (page_id)
 """
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+g AS (SELECT html, max(page_id) AS last FROM p GROUP BY html)
+SELECT page_id, strlen(html) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (((CAST('0x' || substr(hex, 1 + (5 * i) // 4, 2) AS INTEGER)) >> CAST(3 - (5 * i) % 4 AS INTEGER)) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM p JOIN g USING (html)
+"""

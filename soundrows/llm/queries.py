@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from soundrows.llm import decontaminate, mixing, quality, secrets, sql, tokens, urlfilter, warc
+from soundrows.llm import decontaminate, minhash, mixing, quality, secrets, sql, tokens, urlfilter, warc
 from soundrows.queries.register import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -56,3 +56,8 @@ def op6_url_filter(spark, folder):
 @query("op3_warc", sql.WARC)
 def op3_warc(spark, folder):
     return warc.round_trip(table(spark, folder, "pages"))
+
+
+@query("op10_minhash_dedup", sql.NEAR_DUPLICATES)
+def op10_minhash_dedup(spark, folder):
+    return minhash.judged(table(spark, folder, "documents"))

@@ -28,29 +28,48 @@ from pyspark.sql import functions as F
 
 from soundrows.llm.frames import Renamed, narrowed
 
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SPACES = r"[\x20\x09-\x0D]+"
+SYMBOLS = r"[#*$%&|<>]+"
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # per cent of the words
 
-NO_SENTENCE = r"^[^.!?…。]*$"
+SENTENCE = r"[.!?…。]"
 SYMBOL_WORDS = r"(?:[#*$%&]{2,}[^#*$%&]*){3}|[!?]{2,}(?:[^!?]*[!?]{2,}){2}"
 SHOUTING = r"^[^a-z]*[A-Z]{2}[^a-z]*$"
 NAVIGATION = r"(?:[|»›>•][^|»›>•]*){3}"
 BOILERPLATE = (
-    r"(?i)(?:^licensed under |^released under |is licensed under |all rights reserved|privacy policy"
-    r"|terms of (?:use|service)|cookie (?:policy|settings|preferences)|accept (?:all )?cookies"
-    r"|(?:enable|requires) javascript|lorem ipsum|click here|read more|sign in|log in to"
-    r"|subscribe to our|share (?:this|on) |powered by |©|&copy;)"
+    "licensed under ",
+    "released under ",
+    "all rights reserved",
+    "privacy policy",
+    "terms of use",
+    "terms of service",
+    "cookie policy",
+    "cookie settings",
+    "accept cookies",
+    "accept all cookies",
+    "enable javascript",
+    "requires javascript",
+    "lorem ipsum",
+    "click here",
+    "read more",
+    "sign in",
+    "log in to",
+    "subscribe to our",
+    "powered by ",
+    "©",
+    "&copy;",
 )
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Patterns of failing lines, and the share of word characters that must remain."""
+    """Line rules, and the share of word characters that must remain in a document."""
 
-    failing: tuple[str, ...] = (NO_SENTENCE, SYMBOL_WORDS, SHOUTING, NAVIGATION, BOILERPLATE)
+    needed: tuple[str, ...] = (SENTENCE,)  # a line without a match fails
+    failing: tuple[str, ...] = (SYMBOL_WORDS, SHOUTING, NAVIGATION)  # a line with one fails
+    phrases: tuple[str, ...] = BOILERPLATE  # in small letters; a line with one fails
     least_kept: float = 0.5
 
 
@@ -63,11 +82,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
-
-
-def word_characters(text: Column) -> Column:
-    return F.length(F.translate(text, SPACES, "")).cast("long")
+    return F.array_remove(F.split(text, SPACES), "")
 
 
 def covered_words(starts: Column, window: int) -> Column:
@@ -118,53 +133,82 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 def fails(line: Column, rules: Rules) -> Column:
     """Does a line with words break any rule?"""
     bad = F.lit(False)
+    for pattern in rules.needed:
+        bad = bad | ~line.rlike(pattern)
     for pattern in rules.failing:
         bad = bad | line.rlike(pattern)
-    return bad
+
+    def phrase(lower: Column) -> Column:
+        found = F.lit(False)
+        for words in rules.phrases:
+            found = found | lower.contains(words)
+        return found
+
+    return bad | let(F.lower(line), phrase)
 
 
 def has_word(line: Column) -> Column:
-    return F.length(F.translate(line, SPACES, "")) > 0
+    return line.rlike(r"[^\x20\x09-\x0D]")
+
+
+def without(text: Column, pattern: str) -> Column:
+    return F.regexp_replace(text, pattern, "")
+
+
+def marked_lines(text: Column, rules: Rules) -> Column:
+    """All lines, each with whether it has words and whether it goes; judged once."""
+    return F.transform(
+        F.split(text, "\n", -1),
+        lambda x: F.struct(
+            x.alias("line"), has_word(x).alias("full"), (has_word(x) & fails(x, rules)).alias("bad")
+        ),
+    )
+
+
+def joined(lines: Column, keep: Callable[[Column], Column], separator: str) -> Column:
+    return F.array_join(F.transform(F.filter(lines, keep), lambda x: x["line"]), separator)
 
 
 def measures(text: Column, rules: Rules = DEFAULT_RULES) -> Column:
     """All measures of a text as one struct."""
     text = F.coalesce(text, F.lit(""))
-    lines = lambda t: F.split(t, "\n", -1)
     words = let(
         words_of(text),
         lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("chars"),
+            repeated_words(w).alias("n_repeat"),
         ),
     )
-    by_line = let(
-        F.filter(lines(text), has_word),
-        lambda full: F.struct(
-            (F.size(full) - F.size(F.array_distinct(full))).cast("long").alias("n_dup_lines"),
-            F.size(F.filter(full, lambda x: fails(x, rules))).cast("long").alias("n_bad_lines"),
-        ),
-    )
-    cleaned = F.array_join(
-        F.filter(lines(text), lambda x: ~has_word(x) | ~fails(x, rules)), "\n"
-    )
+
+    def by_line(lines: Column) -> Column:
+        full = F.transform(F.filter(lines, lambda x: x["full"]), lambda x: x["line"])
+        lost = F.length(without(joined(lines, lambda x: x["bad"], " "), SPACES))
+        return F.struct(
+            let(full, lambda f: F.size(f) - F.size(F.array_distinct(f))).cast("long").alias("n_dup"),
+            F.size(F.filter(lines, lambda x: x["bad"])).cast("long").alias("n_bad"),
+            lost.cast("long").alias("lost"),
+            lines.alias("marked"),
+        )
+
     return F.struct(
         words.alias("words"),
-        by_line.alias("lines"),
-        word_characters(text).alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(
-            cleaned,
-            lambda c: F.struct(c.alias("text"), word_characters(c).alias("word_chars")),
-        ).alias("cleaned"),
+        let(marked_lines(text, rules), by_line).alias("lines"),
+        (F.length(text) - F.length(without(text, SYMBOLS))).cast("long").alias("n_symbols"),
     )
 
 
+def cleaned_text(lines: Column) -> Column:
+    return joined(lines, lambda x: ~x["bad"], "\n")
+
+
 def verdicts(frame: DataFrame, text: Column, rules: Rules) -> DataFrame:
     """The frame with a struct column ``_m`` of measures and the two verdicts."""
     m = frame.withColumn("_m", measures(text, rules))
-    n_words, repeated = F.col("_m.words.n_words"), F.col("_m.words.n_repeat_words")
+    n_words, repeated = F.col("_m.words.n_words"), F.col("_m.words.n_repeat")
     failed = (n_words < LEAST_WORDS) | (100 * repeated > MOST_REPEATED * n_words)
-    enough = F.col("_m.cleaned.word_chars") >= F.lit(rules.least_kept) * F.col("_m.word_chars")
+    chars = F.col("_m.words.chars")
+    enough = chars - F.col("_m.lines.lost") >= F.lit(rules.least_kept) * chars
     return m.withColumn("_failed", failed).withColumn("_kept", ~failed & enough)
 
 
@@ -176,14 +220,14 @@ def judged(
     return verdicts(docs, F.col("text"), rules).select(
         "doc_id",
         "_m.words.n_words",
-        "_m.word_chars",
+        F.col("_m.words.chars").alias("word_chars"),
         "_m.n_symbols",
-        "_m.lines.n_dup_lines",
-        "_m.words.n_repeat_words",
+        F.col("_m.lines.n_dup").alias("n_dup_lines"),
+        F.col("_m.words.n_repeat").alias("n_repeat_words"),
         F.col("_failed").alias("base_failed"),
         F.col("_kept").alias("kept"),
-        "_m.lines.n_bad_lines",
-        F.col("_m.cleaned.text").alias("cleaned"),
+        F.col("_m.lines.n_bad").alias("n_bad_lines"),
+        cleaned_text(F.col("_m.lines.marked")).alias("cleaned"),
     )
 
 
@@ -199,7 +243,7 @@ def cleaned(
     """
     renamed = Renamed(docs)
     judged = verdicts(renamed.frame, renamed.column(text), rules).filter("_kept")
-    judged = judged.withColumn(renamed.name(text), F.col("_m.cleaned.text"))
+    judged = judged.withColumn(renamed.name(text), cleaned_text(F.col("_m.lines.marked")))
     if length:
         kind = docs.schema[length].dataType
         judged = judged.withColumn(renamed.name(length), F.length(renamed.name(text)).cast(kind))

@@ -33,21 +33,16 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-FAILING_LINE = " OR ".join(
-    f"regexp_matches({{0}}, '{pattern}')"
-    for pattern in (
-        r"^[^.!?\x{2026}\x{3002}]*$",
-        r"(?:[#*$%&]{2,}[^#*$%&]*){3}|[!?]{2,}(?:[^!?]*[!?]{2,}){2}",
-        r"^[^a-z]*[A-Z]{2}[^a-z]*$",
-        r"(?:[|\x{00bb}\x{203a}>\x{2022}][^|\x{00bb}\x{203a}>\x{2022}]*){3}",
-        r"(?i)(?:^licensed under |^released under |is licensed under |all rights reserved|privacy policy"
-        r"|terms of (?:use|service)|cookie (?:policy|settings|preferences)|accept (?:all )?cookies"
-        r"|(?:enable|requires) javascript|lorem ipsum|click here|read more|sign in|log in to"
-        r"|subscribe to our|share (?:this|on) |powered by |\x{00a9}|&copy;)",
-    )
-).replace("{2,}", "{{2,}}").replace("{3}", "{{3}}").replace("{2}", "{{2}}").replace(
-    r"\x{2026}", "…").replace(r"\x{3002}", "。").replace(r"\x{00bb}", "»").replace(
-    r"\x{203a}", "›").replace(r"\x{2022}", "•").replace(r"\x{00a9}", "©")
+FAILING_LINE = r"""NOT regexp_matches(x, '[.!?…。]')
+  OR regexp_matches(x, '(?:[#*$%&]{2,}[^#*$%&]*){3}|[!?]{2,}(?:[^!?]*[!?]{2,}){2}')
+  OR regexp_matches(x, '^[^a-z]*[A-Z]{2}[^a-z]*$') OR regexp_matches(x, '(?:[|»›>•][^|»›>•]*){3}')""" + "".join(
+    f" OR contains(lower(x), '{phrase}')"
+    for phrase in (
+        "licensed under |released under |all rights reserved|privacy policy|terms of use|terms of service"
+        "|cookie policy|cookie settings|accept cookies|accept all cookies|enable javascript|requires javascript"
+        "|lorem ipsum|click here|read more|sign in|log in to|subscribe to our|powered by |©|&copy;"
+    ).split("|")
+)
 
 QUALITY = rf"""
 WITH d AS (
@@ -68,7 +63,7 @@ repeated AS (
 v AS (
   SELECT m.doc_id, len(w) AS n_words, word_chars, n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
-    length(translate(array_to_string(list_filter(lines, lambda x: NOT ({FAILING_LINE.format('x')})), ' '), {SPACES}, '')) AS left_chars
+    length(translate(array_to_string(list_filter(lines, lambda x: NOT ({FAILING_LINE})), ' '), {SPACES}, '')) AS left_chars
   FROM m LEFT JOIN repeated USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from soundrows.llm import decontaminate, minhash, mixing, quality, secrets, sql, tokens, urlfilter, warc
 from soundrows.queries.register import Query, table
 
@@ -61,3 +62,8 @@ def op3_warc(spark, folder):
 @query("op10_minhash_dedup", sql.NEAR_DUPLICATES)
 def op10_minhash_dedup(spark, folder):
     return minhash.judged(table(spark, folder, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, folder):
+    return corpus_pipeline.run(spark, folder)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from soundrows.llm import decontaminate, minhash, mixing, quality, secrets, sql, tokens, urlfilter, warc
+from soundrows.llm import decontaminate, minhash, mixing, quality, secrets, sql, suffixes, tokens, urlfilter, warc
 from soundrows.queries.register import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -67,3 +67,8 @@ def op10_minhash_dedup(spark, folder):
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)
+
+
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark, folder):
+    return suffixes.digest(suffixes.deduplicated(table(spark, folder, "documents")))

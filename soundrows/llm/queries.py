@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from soundrows.llm import decontaminate, minhash, mixing, quality, secrets, sql, suffixes, tokens, urlfilter, warc
+from soundrows.llm import decontaminate, minhash, mixing, pii, quality, secrets, sql, suffixes, tokens, urlfilter, warc
 from soundrows.queries.register import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -72,3 +72,9 @@ def pipeline(spark, folder):
 @query("op5_suffix_dedup")
 def op5_suffix_dedup(spark, folder):
     return suffixes.digest(suffixes.deduplicated(table(spark, folder, "documents")))
+
+
+@query("op4_pii_surrogates")
+def op4_pii_surrogates(spark, folder):
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.pseudonymized(documents, key="surrogates of the registered query")

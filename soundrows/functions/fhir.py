@@ -1,4 +1,4 @@
-"""Column functions over FHIR resources held as VARIANT values.
+"""Column functions over FHIR resources whose used members are VARIANT values.
 
 Paths that do not exist, or lead through a value of another shape, give NULL, so
 malformed resources flow through instead of failing a job.
@@ -6,6 +6,8 @@ malformed resources flow through instead of failing a job.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,16 +22,66 @@ from soundrows.fixed_values import (
 from soundrows.functions.text import float_text, nonempty
 
 URN = "urn:uuid:"
+#: The members of resources that any table uses.
+MEMBERS = (
+    "resourceType", "id", "code", "total", "name", "gender", "birthDate", "address", "meta",
+    "class", "subject", "serviceProvider", "period", "hospitalization", "participant",
+    "encounter", "onsetDateTime", "recordedDate", "category", "performedDateTime",
+    "performedPeriod", "medicationCodeableConcept", "medicationReference", "contained",
+    "dosageInstruction", "item", "claim", "payment", "patient",
+)
+#: Nothing in a file is too long to be read.
+NO_LIMITS = {
+    "maxStringLen": str((1 << 31) - 1),
+    "maxNumLen": str((1 << 31) - 1),
+    "maxNestingDepth": "1000000",
+}
+MALFORMED = "_malformed"
+
+
+def shaped(text: Column, shape: str) -> Column:
+    """JSON text as a struct; ``_malformed`` holds text that is no JSON object."""
+    options = {**NO_LIMITS, "columnNameOfCorruptRecord": MALFORMED}
+    return F.from_json(text, f"{shape}, {MALFORMED} string", options)
+
+
+def opened(resource: Column) -> Column:
+    """The used members of a resource, each a VARIANT; all others are skipped unread."""
+    return shaped(resource, ", ".join(f"`{name}` variant" for name in MEMBERS))
+
+
+class Body:
+    """An opened resource: paths begin with the name of a member."""
 
+    def __init__(self, column: str):
+        self.column = column
 
-def text_at(value: Column, path: str) -> Column:
-    return F.try_variant_get(value, path, "string")
+    def split(self, path: str) -> tuple[Column, str]:
+        name, rest = re.match(r"\$\.(\w+)(.*)", path).groups()
+        return F.col(self.column).getField(name), f"${rest}"
 
 
-def list_at(value: Column, path: str) -> Column:
+def pick(value: Column | Body, path: str, kind: str) -> Column:
+    """What a path leads to, as a type; NULL where it is not there or does not fit."""
+    if isinstance(value, Body):
+        value, path = value.split(path)
+    return F.try_variant_get(value, path, kind)
+
+
+def text_at(value: Column | Body, path: str) -> Column:
+    return pick(value, path, "string")
+
+
+def string_at(value: Column | Body, path: str) -> Column:
+    """A JSON string; NULL for numbers, lists and objects."""
+    is_string = F.schema_of_variant(pick(value, path, "variant")) == "STRING"
+    return F.when(is_string, text_at(value, path))
+
+
+def list_at(value: Column | Body, path: str) -> Column:
     """The items of a JSON list; an empty array when there is no list."""
     return F.coalesce(
-        F.try_variant_get(value, path, "array<variant>"),
+        pick(value, path, "array<variant>"),
         F.array().cast("array<variant>"),
     )
 
@@ -39,8 +91,8 @@ def is_object(value: Column) -> Column:
 
 
 def date_at(value: Column, path: str) -> Column:
-    """The day of a FHIR date or dateTime."""
-    return day_of(text_at(value, path))
+    """The day of a FHIR date or dateTime, which is a JSON string."""
+    return day_of(string_at(value, path))
 
 
 def day_of(stamp: Column) -> Column:
@@ -49,10 +101,7 @@ def day_of(stamp: Column) -> Column:
 
 def reference_at(value: Column, path: str) -> Column:
     """The id a reference points to: a reference object, or a plain string."""
-    plain = text_at(value, path)
-    written = F.coalesce(
-        text_at(value, f"{path}.reference"), F.when(~plain.startswith("{"), plain)
-    )
+    written = F.coalesce(string_at(value, f"{path}.reference"), string_at(value, path))
     return (
         F.when(written == "", F.lit(None).cast("string"))
         .when(written.startswith(URN), F.substring(written, len(URN) + 1, 1 << 30))
@@ -84,7 +133,7 @@ def attending_id(encounter: Column) -> Column:
     """The first participant that names an individual."""
     named = first_where(
         list_at(encounter, "$.participant"),
-        lambda p: F.try_variant_get(p, "$.individual", "variant").isNotNull()
+        lambda p: pick(p, "$.individual", "variant").isNotNull()
         & text_at(p, "$.individual").isNotNull(),
     )
     return reference_at(named, "$.individual")
@@ -124,15 +173,15 @@ def is_encounter_diagnosis(condition: Column) -> Column:
 
 def amount_text(value: Column, path: str) -> Column:
     """An amount as written: whole numbers stay whole, others show as floats."""
-    shape = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+    shape = F.schema_of_variant(pick(value, path, "variant"))
     fractional = shape.startswith("DECIMAL") | shape.isin("DOUBLE", "FLOAT")
     return F.when(
-        fractional, float_text(F.try_variant_get(value, path, "double"))
+        fractional, float_text(pick(value, path, "double"))
     ).otherwise(text_at(value, path))
 
 
 def amount(value: Column, path: str) -> Column:
-    return F.try_variant_get(value, path, "double")
+    return pick(value, path, "double")
 
 
 def billed_encounter(benefit: Column) -> Column:

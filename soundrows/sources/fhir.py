@@ -43,7 +43,8 @@ TABLE_TYPES = {
     "prescriptions": ("MedicationRequest",),
     "billing": ("ExplanationOfBenefit", "Claim"),
 }
-LATER = 1 << 40  # block offset of rows that follow all others of their file
+USED_TYPES = tuple(sorted({t for types in TABLE_TYPES.values() for t in types}))
+OTHER = "other"  # stands for all types that no table uses
 
 
 # -- bundles to resources ------------------------------------------------------------
@@ -55,18 +56,35 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def opened(bundles: DataFrame) -> DataFrame:
-    """Split bundles into (type, entries); NULL type for text that is no JSON object.
+    """Split bundles into (type, entries); ``sound`` is false for text that is no JSON.
 
-    Entries are read as text, so one malformed entry does not lose the others.
+    Entries are read as text, so one malformed entry does not lose the others.  Of a
+    repeated key the last value counts, and no string is too long.
     """
-    shape = F.from_json("bundle", "resourceType string, entry array<string>")
+    shape = fx.shaped(F.col("bundle"), "resourceType string, entry array<string>")
+    is_object = F.ltrim(F.col("bundle")).startswith("{")
+    listed = F.from_json(F.concat(F.lit("["), "bundle", F.lit("]")), "array<string>", fx.NO_LIMITS)
+    sound = F.when(is_object, shape.getField(fx.MALFORMED).isNull()).otherwise(
+        F.size(listed) == 1  # a list or a single value is JSON, too
+    )
     return bundles.select(
         FILE,
+        F.coalesce(sound, F.lit(False)).alias("sound"),
         shape.getField("resourceType").alias("bundle_type"),
         shape.getField("entry").alias("entries"),
     )
 
 
+def skipped(bundles: DataFrame) -> DataFrame:
+    """(_src_file, reason) of the files that contribute nothing."""
+    reason = (
+        F.when(~F.col("sound"), "Could not parse JSON.")
+        .when(~F.col("bundle_type").eqNullSafe(F.lit("Bundle")), "Not a Bundle.")
+        .when(F.coalesce(F.size("entries"), F.lit(0)) <= 0, "No entries.")
+    )
+    return opened(bundles).select(FILE, reason.alias("reason")).filter("reason is not null")
+
+
 def resources_of(bundles: DataFrame) -> DataFrame:
     """One row per bundle entry; entries without a resource object have no type.
 
@@ -74,12 +92,14 @@ def resources_of(bundles: DataFrame) -> DataFrame:
     again.  Files that are no bundle, and entries that hold no object, stay typeless rows
     that no table selects.
     """
-    listed = F.when(F.col("bundle_type") == "Bundle", F.col("entries"))
+    listed = F.when(F.col("sound") & (F.col("bundle_type") == "Bundle"), F.col("entries"))
     entries = opened(bundles).select(FILE, listed.alias("entries")).select(
         FILE, F.posexplode_outer("entries").alias(SEQUENCE, "entry")
     )
     parts = entries.select(
-        FILE, SEQUENCE, F.from_json("entry", "fullUrl string, resource string").alias("e")
+        FILE,
+        SEQUENCE,
+        F.from_json("entry", "fullUrl string, resource string", fx.NO_LIMITS).alias("e"),
     )
     return _typed(
         parts.select(
@@ -102,26 +122,40 @@ def read_resources(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _typed(resources: DataFrame) -> DataFrame:
+    """Type, keys and referable values of each resource; its body only if a table uses it."""
+    _last_key_wins(resources.sparkSession)
     is_object = F.ltrim(F.col("resource")).startswith("{")
     parsed = resources.select(
-        *ORIGIN, "full_url", "resource",
-        F.when(is_object, F.try_parse_json("resource")).alias("body"),
+        *ORIGIN, "full_url", "resource", F.when(is_object, fx.opened(F.col("resource"))).alias("body")
+    )
+    sound = F.col("body").isNotNull() & F.col(f"body.{fx.MALFORMED}").isNull()
+    body = fx.Body("body")
+    typed = parsed.select(
+        *ORIGIN, "full_url", "resource", sound.alias("sound"),
+        F.when(sound, fx.text_at(body, "$.resourceType")).alias("resource_type"),
+        F.when(sound, fx.text_at(body, "$.id")).alias("id"),
+        F.when(sound, fx.label_at(body, "$.code")).alias("label"),
+        F.when(sound, fx.amount_text(body, "$.total.value")).alias("total_text"),
+        F.when(sound, fx.amount(body, "$.total.value")).alias("total"),
     )
-    body = F.col("body")
-    return parsed.select(
+    used = F.col("resource_type").isin(*USED_TYPES)
+    return typed.select(
         *ORIGIN,
-        F.when(body.isNotNull(), F.col("full_url")).alias("full_url"),
-        fx.text_at(body, "$.resourceType").alias("resource_type"),
-        fx.text_at(body, "$.id").alias("id"),
-        fx.label_at(body, "$.code").alias("label"),
-        fx.amount_text(body, "$.total.value").alias("total_text"),
-        fx.amount(body, "$.total.value").alias("total"),
-        "resource",
+        F.when(F.col("sound"), F.col("full_url")).alias("full_url"),
+        F.when(used, F.col("resource_type"))
+        .when(F.col("resource_type").isNotNull(), OTHER).alias("resource_type"),
+        "id", "label", "total_text", "total",
+        F.when(used, F.col("resource")).alias("resource"),
     )
 
 
+def _last_key_wins(spark: SparkSession) -> None:
+    """Of a repeated key inside a member the last value counts, as it does outside."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def staged(resources: DataFrame) -> DataFrame:
-    """Write resources once, one folder per type, so that every table reads only its own.
+    """Write resources once, one folder per used type, so that every table reads only its own.
 
     Bodies stay text: a stored VARIANT may come back with whole numbers as decimals.
     """
@@ -129,29 +163,33 @@ def staged(resources: DataFrame) -> DataFrame:
 
 
 def of_type(resources: DataFrame, kind: str) -> DataFrame:
-    """The resources of one type with their parsed ``body``."""
+    """The resources of one type with their opened ``body``."""
+    _last_key_wins(resources.sparkSession)
     return resources.filter(F.col("resource_type") == kind).withColumn(
-        "body", F.try_parse_json("resource")
+        "body", fx.opened(F.col("resource"))
     )
 
 
-def indexed(resources: DataFrame, **values: str) -> DataFrame:
+def indexed(resources: DataFrame, wanted: DataFrame, **values: str) -> DataFrame:
     """(reference, values): what a reference resolves to, the last resource winning.
 
-    ``values`` names extracted columns, so no bodies are read.  A resource answers to its
-    id.  A full URL counts where a reference can spell it: references are cut to the text
-    after their last slash or after ``urn:uuid:``.
+    ``wanted`` holds the references to be resolved; others are dropped before anything is
+    grouped.  ``values`` names extracted columns, so no bodies are read.  A resource answers
+    to its id.  A full URL counts where a reference can spell it: references are cut to the
+    text after their last slash or after ``urn:uuid:``.
     """
     url = F.col("full_url")
     spelled = F.when(~url.contains("/") & ~url.startswith(fx.URN), url)
     own = F.when(F.col("resource_type").isNotNull(), nonempty(F.col("id")))
     keys = F.array_distinct(F.array_compact(F.array(spelled, own)))
     place = F.struct(*ORIGIN)
+    asked = wanted.select("reference").filter("reference is not null").distinct()
     return (
         resources.select(
             F.explode(keys).alias("reference"),
             F.struct(place.alias("place"), *values.values()).alias("last"),
         )
+        .join(asked, "reference", "left_semi")
         .groupBy("reference")
         .agg(F.max("last").alias("last"))
         .select(
@@ -165,7 +203,7 @@ def indexed(resources: DataFrame, **values: str) -> DataFrame:
 # -- resources to tables -------------------------------------------------------------
 
 def patients(resources: DataFrame) -> DataFrame:
-    body = F.col("body")
+    body = fx.Body("body")
     named = of_type(resources, "Patient").withColumn("name", fx.official_name(body))
     gender = fx.text_at(body, "$.gender")
     return named.select(
@@ -183,7 +221,7 @@ def patients(resources: DataFrame) -> DataFrame:
 
 
 def encounters(resources: DataFrame) -> DataFrame:
-    body = F.col("body")
+    body = fx.Body("body")
     code = nonempty(fx.text_at(body, "$.class.code"))
     admission = mapped(
         code, FHIR_ENCOUNTER_CLASSES, F.when(code.isNotNull(), F.lit(FHIR_DEFAULT_ADMISSION))
@@ -209,7 +247,7 @@ def diagnoses(resources: DataFrame) -> DataFrame:
     The primary's position is a pre-aggregated minimum per encounter, and rows are
     matched by position, so an encounter with very many conditions is no hot key.
     """
-    body = F.col("body")
+    body = fx.Body("body")
     code, description = fx.diagnosis_code(body)
     rows = stored(of_type(resources, "Condition").select(
         *ORIGIN,
@@ -238,10 +276,10 @@ def diagnoses(resources: DataFrame) -> DataFrame:
 
 
 def procedures(resources: DataFrame) -> DataFrame:
-    body = F.col("body")
+    body = fx.Body("body")
     performed = F.coalesce(
-        nonempty(fx.text_at(body, "$.performedDateTime")),
-        fx.text_at(body, "$.performedPeriod.start"),
+        nonempty(fx.string_at(body, "$.performedDateTime")),
+        fx.string_at(body, "$.performedPeriod.start"),
     )
     return of_type(resources, "Procedure").select(
         *ORIGIN,
@@ -254,7 +292,7 @@ def procedures(resources: DataFrame) -> DataFrame:
 
 def prescriptions(resources: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Medication requests; a medication may be inline, another resource, or contained."""
-    body = F.col("body")
+    body = fx.Body("body")
     label = fx.label_at(body, "$.medicationCodeableConcept")
     reference = F.when(label.isNull(), fx.reference_at(body, "$.medicationReference"))
     contained = fx.first_where(
@@ -271,7 +309,7 @@ def prescriptions(resources: DataFrame, limits: Limits = DEFAULT_LIMITS) -> Data
         fx.label_at(body, "$.dosageInstruction[0].route").alias("route"),
     )
     rows = stored(requests, "requests")
-    named = indexed(resources, _name="label")
+    named = indexed(resources, rows, _name="label")
     resolved = lookup(rows, "reference", named, [F.col(c) for c in ORIGIN], limits)
     # A resource that was found but has no label does not fall back to contained ones.
     other = F.when(F.col("_found"), F.col("_name")).otherwise(F.col("_contained"))
@@ -281,11 +319,11 @@ def prescriptions(resources: DataFrame, limits: Limits = DEFAULT_LIMITS) -> Data
     )
 
 
-def billing(resources: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
-    """Benefits joined to their claims, then claims of encounters without a benefit."""
-    body = F.col("body")
+def benefit_rows(resources: DataFrame) -> DataFrame:
+    """What billing and insurers need from benefits, extracted once."""
+    body = fx.Body("body")
     submitted = fx.submitted_total(body)
-    benefits = stored(of_type(resources, "ExplanationOfBenefit").select(
+    return stored(of_type(resources, "ExplanationOfBenefit").select(
         *ORIGIN,
         fx.billed_encounter(body).alias("encounter_id"),
         fx.reference_at(body, "$.claim").alias("reference"),
@@ -294,8 +332,21 @@ def billing(resources: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
         fx.amount_text(body, "$.payment.amount.value").alias("_insurance_text"),
         fx.amount(body, "$.payment.amount.value").alias("_insurance"),
         fx.patient_share(body).alias("_patient"),
+        nonempty(fx.reference_at(body, "$.patient")).alias("patient_id"),
+        fx.coverage_name(body).alias("payer"),
     ), "benefits")
-    claimed = indexed(resources, _claimed_text="total_text", _claimed="total")
+
+
+def billing(
+    resources: DataFrame, limits: Limits = DEFAULT_LIMITS, benefits: DataFrame | None = None
+) -> DataFrame:
+    """Benefits joined to their claims, then claims of encounters without a benefit.
+
+    The rows get new places: all claims follow all benefits, whatever their files.
+    """
+    body = fx.Body("body")
+    benefits = benefit_rows(resources) if benefits is None else benefits
+    claimed = indexed(resources, benefits, _claimed_text="total_text", _claimed="total")
     position = [F.col(c) for c in ORIGIN]
     linked = lookup(benefits, "reference", claimed, position, limits)
     has_claimed = F.col("_claimed_text").isNotNull()
@@ -312,9 +363,7 @@ def billing(resources: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
         ).alias("payment_status"),
     )
     claims = stored(of_type(resources, "Claim").select(
-        FILE,
-        (F.col(BLOCK) + F.lit(LATER)).alias(BLOCK),
-        SEQUENCE,
+        *ORIGIN,
         nonempty(fx.claimed_encounter(body)).alias("encounter_id"),
         F.col("total_text").alias("total_charge"),
     ), "claims").filter(F.col("encounter_id").isNotNull())
@@ -325,29 +374,38 @@ def billing(resources: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     bare = lookup(claims, "encounter_id", billed, position, limits).filter(
         F.col("_billed").isNull()
     )
-    return paid_rows.unionByName(
-        bare.select(
-            *ORIGIN, "encounter_id", "total_charge",
-            F.lit("0").alias("insurance_paid"),
-            F.lit("0").alias("patient_paid"),
-            F.lit("Pending").alias("payment_status"),
-        )
+    later = bare.select(
+        *ORIGIN, "encounter_id", "total_charge",
+        F.lit("0").alias("insurance_paid"),
+        F.lit("0").alias("patient_paid"),
+        F.lit("Pending").alias("payment_status"),
+        F.lit(True).alias("_later"),
+    )
+    return in_one_order(paid_rows.withColumn("_later", F.lit(False)).unionByName(later), "_later")
+
+
+def in_one_order(rows: DataFrame, *before: str) -> DataFrame:
+    """The rows as if they came from one file: in order of ``before``, then of their places."""
+    kept = [c for c in rows.columns if c not in (*ORIGIN, *before)]
+    order = [F.col(c) for c in (*before, *ORIGIN)]
+    return numbered(rows, order, "_number").select(
+        F.lit("").alias(FILE),
+        F.lit(0).cast("bigint").alias(BLOCK),
+        (F.col("_number") - 1).alias(SEQUENCE),
+        *kept,
     )
 
 
 def with_insurance(
-    patient_rows: DataFrame, resources: DataFrame, limits: Limits = DEFAULT_LIMITS
+    patient_rows: DataFrame,
+    resources: DataFrame,
+    limits: Limits = DEFAULT_LIMITS,
+    benefits: DataFrame | None = None,
 ) -> DataFrame:
     """Fill in the insurer from the coverage of a patient's latest benefit that names one."""
-    body = F.col("body")
+    benefits = benefit_rows(resources) if benefits is None else benefits
     payers = (
-        of_type(resources, "ExplanationOfBenefit")
-        .select(
-            *ORIGIN,
-            nonempty(fx.reference_at(body, "$.patient")).alias("patient_id"),
-            fx.coverage_name(body).alias("payer"),
-        )
-        .filter(F.col("patient_id").isNotNull() & F.col("payer").isNotNull())
+        benefits.filter(F.col("patient_id").isNotNull() & F.col("payer").isNotNull())
         .groupBy("patient_id")
         .agg(F.max_by("payer", F.struct(*ORIGIN)).alias("_payer"))
     )
@@ -371,8 +429,7 @@ def surrogate_numbers(tables: Mapping[str, DataFrame]) -> DataFrame:
         rows.select(
             F.col(column).alias("id"),
             F.struct(
-                F.lit(table_at).alias("t"), F.lit(column_at).alias("c"),
-                (F.col(BLOCK) >= LATER).alias("later"), *ORIGIN,
+                F.lit(table_at).alias("t"), F.lit(column_at).alias("c"), *ORIGIN,
             ).alias("at"),
         ).filter(F.col("id").isNotNull())
         for table_at, rows in enumerate(tables.values())
@@ -393,7 +450,8 @@ def with_surrogate_keys(
     """Replace the ids of all tables by shared whole numbers, as text."""
     numbers = surrogate_numbers(tables)
     small = fits_broadcast(numbers, "id", limits)
-    hot = most_frequent(numbers, "id", limits)
+    # Joined by every id column, so the names are found once; a small map needs none.
+    hot = None if small else stored(most_frequent(numbers, "id", limits), "hot-ids")
     position = [F.col(c) for c in ORIGIN]
     renumbered = {}
     for name, rows in tables.items():
@@ -405,7 +463,7 @@ def with_surrogate_keys(
             named = numbers.select(
                 F.col("id").alias(column), F.col("number").cast("string").alias("_number")
             )
-            often = hot.select(F.col("id").alias(column))
+            often = None if small else hot.select(F.col("id").alias(column))
             joined = attach(rows, column, named, position, often, small, limits)
             rows = joined.select(
                 *[F.col("_number").alias(c) if c == column else F.col(c) for c in columns]
@@ -414,26 +472,30 @@ def with_surrogate_keys(
     return renumbered
 
 
-def tables_of(resources: DataFrame, limits: Limits = DEFAULT_LIMITS) -> dict[str, DataFrame]:
+def tables_of(
+    resources: DataFrame, limits: Limits = DEFAULT_LIMITS, merged: bool = False
+) -> dict[str, DataFrame]:
     """The tables that have rows, with insurers and surrogate keys, in table order.
 
     Tables are stored before and after renumbering, so that bodies are parsed once and an
-    audit reads finished columns.
+    audit reads finished columns.  ``merged`` counts rows through all files.
     """
-    wanted = sorted({t for types in TABLE_TYPES.values() for t in types})
     present = {
         row["resource_type"]
-        for row in resources.filter(F.col("resource_type").isin(*wanted))
+        for row in resources.filter(F.col("resource_type").isin(*USED_TYPES))
         .select("resource_type").distinct().collect()
     }
+    benefits = benefit_rows(resources) if present & {"ExplanationOfBenefit", "Patient"} else None
     makers = {
-        "patients": lambda: with_insurance(patients(resources), resources, limits),
+        "patients": lambda: with_insurance(patients(resources), resources, limits, benefits),
         "encounters": lambda: encounters(resources),
         "diagnoses": lambda: diagnoses(resources),
         "procedures": lambda: procedures(resources),
         "prescriptions": lambda: prescriptions(resources, limits),
-        "billing": lambda: billing(resources, limits),
+        "billing": lambda: billing(resources, limits, benefits),
     }
+    if merged:
+        makers = {name: partial(_made_in_one_order, make) for name, make in makers.items()}
     names = [name for name, types in TABLE_TYPES.items() if present & set(types)]
     tables = _stored_together({name: makers[name] for name in names})
     only_claims = "billing" in tables and "ExplanationOfBenefit" not in present
@@ -448,6 +510,10 @@ def tables_of(resources: DataFrame, limits: Limits = DEFAULT_LIMITS) -> dict[str
     return _stored_together({name: partial(dict.get, renumbered, name) for name in renumbered})
 
 
+def _made_in_one_order(make: Callable[[], DataFrame]) -> DataFrame:
+    return in_one_order(make())
+
+
 def _stored_together(makers: Mapping[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
     """Write independent tables side by side."""
     with ThreadPoolExecutor(max_workers=max(len(makers), 1)) as pool:
@@ -459,9 +525,9 @@ def tables_of_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of one bundle file; anything that is no usable bundle is an error."""
     bundles = read_bundles(spark, path)
     shape = opened(bundles).select(
-        F.col("bundle_type"), F.coalesce(F.size("entries"), F.lit(0)).alias("entries")
+        "sound", "bundle_type", F.coalesce(F.size("entries"), F.lit(0)).alias("entries")
     ).first()
-    if shape is None or bundles.filter(F.try_parse_json("bundle").isNull()).count():
+    if shape is None or not shape["sound"]:
         raise CheckError("Could not parse JSON.")
     if shape["bundle_type"] != "Bundle":
         raise CheckError("Payload is not a FHIR Bundle (resourceType != 'Bundle').")
@@ -472,7 +538,12 @@ def tables_of_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def tables_of_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The tables of all ``*.json`` bundles of a folder, merged in file-name order."""
-    return tables_of(staged(resources_of(read_bundles(spark, f"{folder}/*.json"))))
+    return tables_of(staged(resources_of(read_bundles(spark, f"{folder}/*.json"))), merged=True)
+
+
+def skipped_in_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of a folder that ``tables_of_folder`` passes over, and why."""
+    return skipped(read_bundles(spark, f"{folder}/*.json"))
 
 
 def tables_of_ndjson(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from soundrows.operators.audit import Audit
 from soundrows.plans.catalogue import clinical_registry
 from soundrows.queries.register import AS_OF, query, table
-from soundrows.session import stored
+from soundrows.session import scratch_path, stored
 from soundrows.sources import fhir, hl7
 from soundrows.sources.origin import BLOCK, FILE, ORIGIN, SEQUENCE
 
@@ -367,9 +367,9 @@ def fhir_billing(spark, folder):
 
 
 # -- insurance and surrogate keys ----------------------------------------------------
-@query("fhir_insurance", """
-    SELECT 'c' || c_custkey AS patient_id, payer AS insurance_provider
-    FROM customer LEFT JOIN (
+@query("fhir_insurance", f"""
+    SELECT p.* EXCLUDE c_custkey REPLACE (payer AS insurance_provider)
+    FROM ({PATIENTS_SQL}) p LEFT JOIN (
         SELECT o_custkey, arg_max(CASE o_orderstatus WHEN 'F' THEN 'Payer ' || o_orderpriority
                                   ELSE 'Plan ' || o_orderkey END, o_orderkey) AS payer
         FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey) ON o_custkey = c_custkey""")
@@ -399,7 +399,7 @@ def fhir_insurance(spark, folder):
     )
     resources = staged(texts)
     filled = fhir.with_insurance(fhir.patients(resources), resources)
-    return filled.select("patient_id", "insurance_provider")
+    return filled.drop(*ORIGIN)
 
 
 def visit_resources(spark: SparkSession, folder: str) -> DataFrame:
@@ -419,15 +419,78 @@ def visit_resources(spark: SparkSession, folder: str) -> DataFrame:
     first AS (SELECT id, min((t, c, place)) AS place FROM seen GROUP BY id),
     numbers AS (SELECT id, CAST(row_number() OVER (ORDER BY place) AS VARCHAR) AS n FROM first)
     SELECT e.n AS encounter_id, p.n AS patient_id, d.n AS provider_id, g.n AS department_id,
-           admit_date
+           admit_date, discharge_date, admission_type, discharge_disposition
     FROM visits v JOIN numbers e ON v.encounter_id = e.id JOIN numbers p ON v.patient_id = p.id
     JOIN numbers d ON v.provider_id = d.id LEFT JOIN numbers g ON v.department_id = g.id""")
 def fhir_surrogate_keys(spark, folder):
     resources = visit_resources(spark, folder)
     tables = {"patients": fhir.patients(resources), "encounters": fhir.encounters(resources)}
-    return fhir.with_surrogate_keys(tables)["encounters"].select(
-        "encounter_id", "patient_id", "provider_id", "department_id", "admit_date"
+    return fhir.with_surrogate_keys(tables)["encounters"].drop(*ORIGIN)
+
+
+# -- real files ----------------------------------------------------------------------
+def written(lines: DataFrame, name: str, *order: str) -> str:
+    """Write text rows as files, one per value of the column ``file``, lines in order."""
+    path = scratch_path(lines.sparkSession, name)
+    spread = lines.repartition("file").sortWithinPartitions("file", *order)
+    spread.select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
+def file_name(number: Column, suffix: str) -> Column:
+    return F.concat(F.lpad(number.cast("string"), 9, "0"), F.lit(suffix))
+
+
+@query("fhir_folder", f"""
+    SELECT * EXCLUDE (c_custkey, patient_id),
+           CAST(row_number() OVER (ORDER BY c_custkey) AS VARCHAR) AS patient_id
+    FROM ({PATIENTS_SQL})""")
+def fhir_folder(spark, folder):
+    """Bundle files of up to 250 patients, with broken files between them, as one set."""
+    single = patient_bundles(spark, folder)
+    entry = F.explode(F.from_json("bundle", "entry array<string>").getField("entry"))
+    key = F.substring_index(FILE, "/", -1).cast("long")
+    grouped = (
+        single.select(F.floor(key / 250).alias("n"), key.alias("key"), entry.alias("entry"))
+        .filter(F.col("entry").startswith("{"))
+        .groupBy("n").agg(F.sort_array(F.collect_list(F.struct("key", "entry"))).alias("e"))
     )
+    bundle = F.concat(
+        F.lit('{"resourceType": "Bundle", "entry": ['),
+        F.concat_ws(", ", F.transform("e", lambda x: x["entry"])), F.lit("]}"),
+    )
+    sound = grouped.select(file_name(F.col("n") * 2, ".json").alias("file"), bundle.alias("value"))
+    broken = grouped.select(file_name(F.col("n") * 2 + 1, ".json").alias("file"), F.lit('{"entry": [').alias("value"))
+    path = written(sound.unionByName(broken), "bundles")
+    return fhir.tables_of_folder(spark, path)["patients"].drop(*ORIGIN)
+
+
+@query("fhir_ndjson", f"""
+    WITH visits AS ({ENCOUNTERS_SQL}),
+    seen AS (
+        SELECT encounter_id AS id, 0 AS c, o_orderkey AS place FROM visits
+        UNION ALL SELECT patient_id, 1, o_orderkey FROM visits
+        UNION ALL SELECT provider_id, 2, o_orderkey FROM visits
+        UNION ALL SELECT department_id, 3, o_orderkey FROM visits WHERE department_id IS NOT NULL),
+    first AS (SELECT id, min((c, place)) AS place FROM seen GROUP BY id),
+    numbers AS (SELECT id, CAST(row_number() OVER (ORDER BY place) AS VARCHAR) AS n FROM first)
+    SELECT e.n AS encounter_id, p.n AS patient_id, d.n AS provider_id, g.n AS department_id,
+           admit_date, discharge_date, admission_type, discharge_disposition
+    FROM visits v JOIN numbers e ON v.encounter_id = e.id JOIN numbers p ON v.patient_id = p.id
+    JOIN numbers d ON v.provider_id = d.id LEFT JOIN numbers g ON v.department_id = g.id""")
+def fhir_ndjson(spark, folder):
+    """One resource per line, malformed lines between them."""
+    found = F.get(F.from_json("bundle", "entry array<string>").getField("entry"), F.lit(2))
+    entries = encounter_bundles(spark, folder).select(
+        F.substring_index(FILE, "/", -1).cast("long").alias("key"),
+        F.from_json(found, "resource string").getField("resource").alias("resource"),
+    )
+    lines = entries.select(
+        "key", F.explode(F.array("resource", F.lit("{cut off"), F.lit(""))).alias("value"),
+        file_name(F.floor(F.col("key") / 5000), ".ndjson").alias("file"),
+    )
+    path = written(lines, "ndjson", "key")
+    return fhir.tables_of_ndjson(spark, f"{path}/*")["encounters"].drop(*ORIGIN)
 
 
 # -- audit of a bundle ---------------------------------------------------------------
@@ -501,7 +564,7 @@ def feed(spark: SparkSession, folder: str) -> DataFrame:
     born = F.date_add(F.lit("1950-01-01").cast("date"), (key % 9000).cast("int"))
     pid = segment(
         "PID", 33,
-        f3=F.when(key % 10 != 0, F.concat(key.cast("string"), F.lit("^^^H^MR"))).otherwise(""),
+        f3=F.when(key % 10 != 0, F.concat(key.cast("string"), F.lit("^^^REG^PI"))).otherwise(""),
         f5=F.concat(F.col("c_name"), F.lit("^"), F.initcap("c_mktsegment"), F.lit("^X")),
         f7=F.concat(F.date_format(born, "yyyyMMdd"), F.lit("0930")),
         f8=F.when(key % 3 == 0, " M ").when(key % 3 == 1, "F").otherwise("X"),
@@ -514,9 +577,9 @@ def feed(spark: SparkSession, folder: str) -> DataFrame:
     pv1 = segment(
         "PV1", 45,
         f2=F.when(status == "F", "I").when(status == "O", "E").otherwise("Z"),
-        f3=F.concat(F.lit("W"), (order % 9).cast("string"), F.lit("^201")),
+        f3=F.concat(F.lit("W"), (order % 9).cast("string"), F.lit("^11^B")),
         f4=F.when(priority == "1-URGENT", " E").when(priority == "2-HIGH", "N").otherwise("?"),
-        f7=F.concat((order % 40).cast("string"), F.lit("^House")),
+        f7=F.concat((order % 40).cast("string"), F.lit("^Doctor")),
         f19=order.cast("string"),
         f36=F.when(status == "F", "01").when(status == "O", "99").otherwise(" "),
         f44=F.date_format("o_orderdate", "yyyyMMddHHmmss"),
@@ -531,7 +594,7 @@ def feed(spark: SparkSession, folder: str) -> DataFrame:
             text.alias("value"),
         )
 
-    header = F.lit("MSH|^~\\&|HIS|HOSP|EHR|D|20240310||ADT^A01|1|P|2.5")
+    header = F.lit("MSH|^~\\&|SOURCE|WARD|SINK|X|20010101||ADT^A08|7|T|2.4")
     with_pid = customers.filter(key % 10 != 5)
     buyer = F.col("o_custkey")
     written = (
@@ -543,7 +606,7 @@ def feed(spark: SparkSession, folder: str) -> DataFrame:
     return stored(written, "feed")
 
 
-@query("hl7_patients", """
+HL7_PATIENTS_SQL = """
     SELECT CASE WHEN c_custkey % 10 <> 0 THEN CAST(c_custkey AS VARCHAR) END AS patient_id,
            upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS first_name,
            c_name AS last_name,
@@ -553,7 +616,10 @@ def feed(spark: SparkSession, folder: str) -> DataFrame:
            c_mktsegment AS city, 'S' || c_nationkey AS state,
            CAST(NULL AS VARCHAR) AS insurance_provider,
            CASE WHEN c_custkey % 2 = 0 THEN '2001-01-01' END AS registration_date
-    FROM customer WHERE c_custkey % 10 <> 5""")
+    FROM customer WHERE c_custkey % 10 <> 5"""
+
+
+@query("hl7_patients", HL7_PATIENTS_SQL)
 def hl7_patients(spark, folder):
     return hl7.patients(hl7.segments_of(feed(spark, folder))).drop(*ORIGIN)
 
@@ -581,29 +647,72 @@ def hl7_encounters(spark, folder):
     return hl7.encounters(hl7.segments_of(feed(spark, folder))).drop(*ORIGIN)
 
 
+def feed_files(spark: SparkSession, folder: str, name: str, value: Column) -> str:
+    """The feed as files of up to 1,000 customers; every file begins with a patient."""
+    customer = F.floor(F.col(SEQUENCE) / 1_000_000_000)
+    lines = feed(spark, folder).select(
+        file_name(F.floor(customer / 1000), ".hl7").alias("file"), SEQUENCE, value.alias("value")
+    )
+    return f"{written(lines, name, SEQUENCE)}/*"
+
+
+@query("hl7_feed", HL7_ENCOUNTERS_SQL)
+def hl7_feed(spark, folder):
+    """Visits of feed files; line ends of three kinds."""
+    end = F.when(F.col(SEQUENCE) % 3 == 0, "\r").when(F.col(SEQUENCE) % 3 == 1, "\r\n").otherwise("")
+    path = feed_files(spark, folder, "feed-files", F.concat("value", end))
+    return hl7.tables_of_feed(spark, path)["encounters"].drop(*ORIGIN)
+
+
+@query("hl7_latin1", HL7_PATIENTS_SQL.replace("c_name AS last_name", "c_name || 'é' AS last_name"))
+def hl7_latin1(spark, folder):
+    """Patients of feed files in Latin-1."""
+    accented = F.regexp_replace("value", r"(Customer#[0-9]+)\^", "$1é^")
+    path = feed_files(spark, folder, "latin-files", F.encode(accented, "ISO-8859-1").cast("string"))
+    return hl7.tables_of_feed(spark, path)["patients"].drop(*ORIGIN)
+
+
+HL7_AUDITED = {
+    "patients": [
+        *_missing("patient_id", "first_name", "last_name", "gender", "birth_date", "city",
+                  "state", "insurance_provider", "registration_date"),
+        ("unique.id", "patient_id IS NOT NULL", "false"),
+        ("int.id", "patient_id IS NOT NULL", "false"),
+        ("enum.gender", "gender IS NOT NULL", "gender = 'X'"),
+        ("regex.state", "state IS NOT NULL", "NOT regexp_full_match(state, '[A-Z][A-Z]')"),
+        ("date.birth", "birth_date IS NOT NULL", "false"),
+        ("date.registration", "registration_date IS NOT NULL", f"registration_date > '{AS_OF}'"),
+        ("consistency.birth_before_registration", None, "birth_date > registration_date"),
+        ("consistency.plausible_age", None, "false"),
+    ],
+    "encounters": [
+        *_missing("encounter_id", "patient_id", "provider_id", "department_id", "admit_date",
+                  "discharge_date", "admission_type", "discharge_disposition"),
+        ("unique.id", None, "false"),
+        ("int.id", None, "false"),
+        ("date.admit", None, f"admit_date > '{AS_OF}'"),
+        ("date.discharge", "false", "false"),
+        ("enum.admission", "admission_type IS NOT NULL", "false"),
+        ("enum.disposition", "discharge_disposition IS NOT NULL", "discharge_disposition = '99'"),
+        ("consistency.discharge_after_admit", None, "false"),
+        ("consistency.los_plausible", None, "false"),
+        ("fk.patient", "patient_id IS NOT NULL",
+         "patient_id NOT IN (SELECT patient_id FROM patients WHERE patient_id IS NOT NULL)"),
+        ("fk.provider", "false", "false"),
+        ("fk.dept", "false", "false"),
+    ],
+}
+
+
 @query("hl7_audit", f"""
-    WITH e AS ({HL7_ENCOUNTERS_SQL})
-    SELECT 'encounters.consistency.discharge_after_admit' AS rule_id,
-           CAST(count(*) AS BIGINT) AS checked, CAST(0 AS BIGINT) AS failed FROM e
-    UNION ALL SELECT 'encounters.enum.disposition', count(discharge_disposition),
-           count(*) FILTER (WHERE discharge_disposition = '99') FROM e
-    UNION ALL SELECT 'encounters.enum.admission', count(admission_type), 0 FROM e
-    UNION ALL SELECT 'encounters.fk.patient', count(patient_id),
-           count(*) FILTER (WHERE patient_id NOT IN (SELECT CAST(c_custkey AS VARCHAR)
-                            FROM customer WHERE c_custkey % 10 NOT IN (0, 5))) FROM e
-    UNION ALL SELECT 'patients.unique.id', count(*), 0 FROM customer
-              WHERE c_custkey % 10 NOT IN (0, 5)
-    UNION ALL SELECT 'patients.not_null.patient_id', count(*),
-           count(*) FILTER (WHERE c_custkey % 10 = 0) FROM customer WHERE c_custkey % 10 <> 5
-    """)
+    WITH patients AS ({HL7_PATIENTS_SQL}), encounters AS ({HL7_ENCOUNTERS_SQL})
+    {" UNION ALL ".join(
+        f"SELECT '{name}' AS dataset, '{name}.{rule}' AS rule_id, "
+        f"CAST(count(*) FILTER (WHERE {checked or 'true'}) AS BIGINT) AS checked, "
+        f"CAST(count(*) FILTER (WHERE {failed}) AS BIGINT) AS failed FROM {name}"
+        for name, rules in HL7_AUDITED.items() for rule, checked, failed in rules)}""")
 def hl7_audit(spark, folder):
-    """The feed's tables audited together; six of the rules that have work to do."""
+    """The feed's tables audited together."""
     tables = hl7.tables_of(feed(spark, folder))
     results = Audit(tables, clinical_registry(), AS_OF).results()
-    return results.filter(
-        F.col("rule_id").isin(
-            "encounters.consistency.discharge_after_admit", "encounters.enum.disposition",
-            "encounters.enum.admission", "encounters.fk.patient", "patients.unique.id",
-            "patients.not_null.patient_id",
-        )
-    ).select("rule_id", "checked", "failed")
+    return results.select("dataset", "rule_id", "checked", "failed")

@@ -10,6 +10,7 @@ from soundrows.plans.catalogue import clinical_registry
 from soundrows.queries.register import AS_OF, query, table
 from soundrows.session import scratch_path, stored
 from soundrows.sources import fhir, hl7
+from soundrows.sources.csv import read_csv
 from soundrows.sources.origin import BLOCK, FILE, ORIGIN, SEQUENCE
 
 
@@ -465,6 +466,22 @@ def fhir_folder(spark, folder):
     return fhir.tables_of_folder(spark, path)["patients"].drop(*ORIGIN)
 
 
+@query("csv_quotes", """
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id,
+           CASE WHEN doc_id % 3 = 0 THEN lang || '" wide' ELSE text END AS note, lang
+    FROM documents""")
+def csv_quotes(spark, folder):
+    """Files with quoted cells over several lines next to files with stray quotes."""
+    docs = table(spark, folder, "documents")
+    stray = F.col("doc_id") % 3 == 0
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    cell = F.when(stray, F.concat("lang", F.lit('" wide'))).otherwise(quoted)
+    file = file_name(F.col("doc_id") % 6, ".csv").alias("file")
+    rows = docs.select(file, "doc_id", F.concat_ws(",", "doc_id", cell, "lang").alias("value"))
+    header = rows.select("file", F.lit(-1).cast("long").alias("doc_id"), F.lit("doc_id,note,lang").alias("value")).distinct()
+    return read_csv(spark, f"{written(rows.unionByName(header), 'csv-files', 'doc_id')}/*")
+
+
 @query("fhir_ndjson", f"""
     WITH visits AS ({ENCOUNTERS_SQL}),
     seen AS (

@@ -417,12 +417,14 @@ def csv_missing_words(spark, folder):
 @query("history_append", f"""
     WITH {rules_sql(*ALL)}, s AS ({SUMMARY_SQL})
     SELECT dataset, 'audit' AS source, CAST(NULL AS VARCHAR) AS variant, row_count, score,
-           grade, errors, warnings, rules_failed FROM s""")
+           grade, errors, warnings, rules_failed,
+           CAST(now() AT TIME ZONE 'UTC' AS DATE) AS created_day FROM s""")
 def history_append(spark, folder):
     """Audit summaries appended to a history and read back."""
     history = History(spark, scratch_path(spark, "history"), enabled=True)
     history.append(audit_of(spark, folder).summaries(), "audit")
-    return history.recent().drop("id", "created_at")
+    day = F.to_date(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("created_at").cast("timestamp_ntz")))
+    return history.recent().withColumn("created_day", day).drop("id", "created_at")
 
 
 # -- detection ---------------------------------------------------------------------

@@ -3,41 +3,89 @@
 from __future__ import annotations
 
 import csv as csv_format
+import io
 from collections import Counter
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from soundrows.errors import CheckError
 from soundrows.functions.text import without_na_tokens
 from soundrows.session import stored
-from soundrows.sources.origin import with_origin
+from soundrows.sources.origin import BLOCK, FILE, ORIGIN, SEQUENCE, with_file_origin, with_origin
 
-OVERFLOW = "_overflow"
+BOM = "\ufeff"
+
+RECORD = "_record"
 PARSE_ERROR = "Could not parse CSV"
+HEADER_LINES = 200  # lines that a header with line breaks may have
 
 
-def header_names(spark: SparkSession, path: str) -> list[str]:
-    """Column names from the first line of a file (or of a folder's first file)."""
-    lines = spark.read.text(path).take(1)
-    if not lines:
-        raise CheckError(f"{PARSE_ERROR}: No columns to parse from file")
-    names = next(csv_format.reader([lines[0][0].removeprefix("﻿")]), [])
-    named = [name or f"Unnamed: {n}" for n, name in enumerate(names)]
+def unique_names(cells: list[str]) -> list[str]:
+    """Names for all columns: later ones of equal names get the next free number."""
+    names = [name or f"Unnamed: {n}" for n, name in enumerate(cells)]
+    taken = set(names)
     seen: Counter[str] = Counter()
     unique = []
-    for name in named:
-        shown = f"{name}.{seen[name]}" if seen[name] else name
-        seen[name] += 1
+    for name in names:
+        number, shown = seen[name], name
+        while number and (shown := f"{name}.{number}") in taken:
+            number += 1
+        taken.add(shown)
+        seen[name] = number + 1
         unique.append(shown)
     return unique
 
 
-def has_quoted_line_breaks(spark: SparkSession, path: str) -> bool:
-    """Does some line open a quote that it does not close?"""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+def without_quoted_cells(line: Column) -> Column:
+    """What is left of a line when its complete quoted cells become empty."""
+    return F.regexp_replace(F.replace(line, F.lit('""'), F.lit("")), r'(^|,)"[^"]*"(?=,|$)', "$1")
+
+
+@dataclass(frozen=True)
+class Survey:
+    """What one look at all lines tells: the header, and files with line breaks in cells."""
+
+    names: list[str]
+    broken: list[str]
+    all_broken: bool
+
+
+def survey(spark: SparkSession, path: str) -> Survey:
+    """Read all lines once.  Files of a folder must have the same header."""
+    lines = with_file_origin(spark.read.text(path))
+    text = F.when(F.trim("value") != "", F.col("value"))
+    opened = without_quoted_cells(F.col("value")).rlike('(^|,)"')  # and closed further down
+    files = stored(
+        lines.groupBy(FILE).agg(
+            F.min_by(text, F.when(text.isNotNull(), F.struct(BLOCK, SEQUENCE))).alias("header"),
+            F.max(opened).alias("broken"),
+        ).filter("header is not null"),
+        "csv-files",
+    )
+    headers = files.groupBy(F.ltrim("header", F.lit(BOM)).alias("header")).agg(F.min(FILE).alias(FILE)).take(2)
+    if not headers:
+        raise CheckError(f"{PARSE_ERROR}: No columns to parse from file")
+    if len(headers) > 1:
+        shown = " and ".join(sorted(h[FILE] for h in headers))
+        raise CheckError(f"{PARSE_ERROR}: {shown} have different headers")
+    header, first = headers[0]["header"], headers[0][FILE]
+    broken = [r[FILE] for r in files.filter("broken").select(FILE).orderBy(FILE).collect()]
+    if first in broken:  # the header itself may go on
+        top = with_file_origin(spark.read.text(first)).orderBy(*ORIGIN).limit(HEADER_LINES)
+        lines_of = [r["value"] for r in top.collect()]
+        while lines_of and not lines_of[0].strip():
+            del lines_of[0]
+        header = "\n".join(lines_of).removeprefix(BOM)
+    cells = next(csv_format.reader(io.StringIO(header, newline="")), [])
+    return Survey(unique_names(cells), broken, len(broken) == files.count())
+
+
+def header_names(spark: SparkSession, path: str) -> list[str]:
+    """Column names of a file, or of the files of a folder."""
+    return survey(spark, path).names
 
 
 def read_csv(
@@ -49,30 +97,39 @@ def read_csv(
     """Read a CSV file or folder as text columns.
 
     Missing-value words become NULL; blank lines are skipped; short rows are padded.
-    A row with more cells than the header fails the job that meets it.  ``multi_line``
-    (line breaks inside quotes) makes a file unsplittable, so it is used only where
-    the data needs it: by default the lines are searched for open quotes first.
+    A row with more cells than the header fails the job that meets it, also when the
+    surplus cells are empty.  ``multi_line`` (line breaks inside quotes) makes a file
+    unsplittable, so by default only files with such a cell are read that way.  A quote
+    inside a cell opens nothing.
     """
-    names = header_names(spark, path)
-    if multi_line is None:
-        multi_line = has_quoted_line_breaks(spark, path)
+    found = survey(spark, path)
+    names = found.names
     positions = [f"_c{n}" for n in range(len(names))]
-    schema = T.StructType([T.StructField(p, T.StringType()) for p in [*positions, OVERFLOW]])
-    rows = (
+    schema = T.StructType([T.StructField(p, T.StringType()) for p in [*positions, RECORD]])
+    reader = (
         spark.read.schema(schema)
         .option("header", True)
         .option("escape", '"')
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
-    too_long = F.raise_error(
-        F.lit(f"{PARSE_ERROR}: expected {len(names)} fields, saw more")
+        .option("columnNameOfCorruptRecord", RECORD)
     )
-    whole = rows.filter(
-        F.when(F.col(OVERFLOW).isNull(), F.lit(True)).otherwise(too_long.cast("boolean"))
+    if multi_line is None and found.broken and not found.all_broken:
+        plain = reader.csv(path).filter(~F.col("_metadata.file_path").isin(found.broken))
+        rows = plain.unionByName(reader.option("multiLine", True).csv(found.broken))
+    else:
+        whole = found.all_broken if multi_line is None else multi_line
+        rows = reader.option("multiLine", whole).csv(path)
+    # The reader hands on the text of rows with too few or too many cells.  It refuses to
+    # read that column alone, so a cell (nothing of it) goes along.
+    nothing = F.substring(F.coalesce(positions[0], F.lit("")), 1, 0)
+    record = F.rtrim(F.concat(F.col(RECORD), nothing), F.lit("\r\n"))
+    commas = F.regexp_replace(without_quoted_cells(record), "[^,]", "")
+    too_long = F.raise_error(F.lit(f"{PARSE_ERROR}: expected {len(names)} fields, saw more"))
+    kept = rows.filter(
+        F.when(record.isNull() | (F.length(commas) < len(names)), F.lit(True))
+        .otherwise(too_long.cast("boolean"))
     )
     shown = [name.strip() if strip_header else name for name in names]
-    return whole.select(
+    return kept.select(
         *[without_na_tokens(F.col(p)).alias(name) for p, name in zip(positions, shown)]
     )
 

@@ -42,9 +42,9 @@ class History:
         """Append one row per summary straight from a summary frame."""
         if not self.enabled:
             return
-        stamp = dt.datetime.now(dt.timezone.utc).replace(microsecond=0, tzinfo=None)
+        stamp = now()
         order = F.row_number().over(_by_dataset()) - 1
-        first = self._next_id()
+        first = self._reserved_ids(summaries.count())
         rows = summaries.select(
             (F.lit(first) + order).cast("bigint").alias("id"),
             F.lit(stamp).cast("timestamp").alias("created_at"),
@@ -59,10 +59,10 @@ class History:
         """Append the summaries of finished reports; returns how many were saved."""
         if not self.enabled:
             return 0
-        stamp = dt.datetime.now(dt.timezone.utc).replace(microsecond=0, tzinfo=None)
+        stamp = now()
         rows = [
             (
-                self._next_id(), stamp, r.get("dataset", "unknown"), source, r.get("variant"),
+                self._reserved_ids(1), stamp, r.get("dataset", "unknown"), source, r.get("variant"),
                 int(r.get("row_count", 0)), float(r.get("summary", {}).get("score", 0.0)),
                 str(r.get("summary", {}).get("grade", "")),
                 *(int(r.get("summary", {}).get(f, 0))
@@ -92,10 +92,14 @@ class History:
     def _write(self, rows: DataFrame) -> None:
         rows.write.mode("append").partitionBy("dataset").parquet(self.path)
 
-    def _next_id(self) -> int:
-        """Ids grow with time; the last one is kept so that a burst stays in order."""
-        self._last_id = max(self._last_id + 1, time.time_ns() // 1000)
-        return self._last_id
+    def _reserved_ids(self, count: int) -> int:
+        """The first of ``count`` ids of our own.
+
+        Ids grow with time; the last one is kept so that a burst stays in order.
+        """
+        first = max(self._last_id + 1, time.time_ns() // 1000)
+        self._last_id = first + max(count, 1) - 1
+        return first
 
     # -- reading -----------------------------------------------------------------
     def records(self) -> DataFrame:
@@ -128,6 +132,11 @@ class History:
         return {"dataset": dataset, "enabled": True, "count": len(points), "points": points}
 
 
+def now() -> dt.datetime:
+    """This second, with its time zone: Spark would read a bare time as local time."""
+    return dt.datetime.now(dt.timezone.utc).replace(microsecond=0)
+
+
 def _by_dataset():
     from pyspark.sql import Window
 

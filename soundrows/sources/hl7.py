@@ -134,8 +134,11 @@ def with_latest_patient(rows: DataFrame) -> DataFrame:
 
 
 def tables_of(lines: DataFrame) -> dict[str, DataFrame]:
-    """The tables that have rows, materialised."""
-    segments = segments_of(lines)
+    """The tables that have rows, materialised.
+
+    Segments are stored once by kind, so the feed itself is read once.
+    """
+    segments = stored(segments_of(lines), "segments", partition_by=["kind"])
     kinds = {row["kind"] for row in segments.select("kind").distinct().collect()}
     if not kinds:
         raise CheckError("No HL7 v2 segments found (expected MSH/PID/PV1).")

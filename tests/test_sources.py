@@ -7,7 +7,7 @@ from soundrows.checks import Checker
 from soundrows.errors import CheckError
 from soundrows.fixed_values import MAX_INPUT_BYTES, MAX_INPUT_ROWS
 from soundrows.sources import tables as table_source
-from soundrows.sources.csv import header_names, read_csv
+from soundrows.sources.csv import header_names, read_csv, stage_csv, survey
 from soundrows.sources.history import History
 
 DEPARTMENTS = """department_id,department_name,department_type,floor
@@ -193,3 +193,66 @@ def test_failed_history_write_does_not_fail_a_check(spark, folder, tmp_path):
     Checker(spark, history=kept, as_of="2024-06-01").audit_folder(folder)
     assert {(r["dataset"], r["source"]) for r in kept.recent().collect()} == {
         ("departments", "audit"), ("providers", "audit")}
+
+
+# -- CSV without loss ---------------------------------------------------------------
+@pytest.mark.parametrize("row", ["3,4,,x", "5,6,", "5,6,,", '"a,b",2,"c"', "1,2,3"])
+def test_surplus_cells_are_refused(spark, tmp_path, row):
+    path = tmp_path / "x.csv"
+    path.write_text(f"a,b\n1,2\n{row}\n7,8\n")
+    with pytest.raises(CheckError, match="too many fields"):
+        stage_csv(spark, str(path))
+
+
+def test_short_rows_quotes_and_commas_are_whole_rows(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text('a,b\n1\n"x,""y"",z",2\n,\n"",3\n"l\nm, n",4\n')
+    rows = [tuple(r) for r in read_csv(spark, str(path)).collect()]
+    assert rows == [("1", None), ('x,"y",z', "2"), (None, None), (None, "3"), ("l\nm, n", "4")]
+
+
+def test_header_names_like_pandas(spark, tmp_path):
+    import pandas
+
+    for header in ("a,a,a.1", "a,a.1,a", "a,a,a", "x,,x,", "a,a,a.1,a.1,a.2", '"l\nm",b', '\ufeffa,b'):
+        path = tmp_path / "h.csv"
+        path.write_text(f"{header}\n" + ",".join("1" * (header.count(",") + 1)) + "\n")
+        assert header_names(spark, str(path)) == list(pandas.read_csv(path, dtype=str).columns)
+        assert len(read_csv(spark, str(path)).collect()) == 1
+
+
+def test_folders_need_one_header(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "2.csv").write_text("b,a\n3,4\n")
+    with pytest.raises(CheckError, match="different headers"):
+        read_csv(spark, str(tmp_path))
+
+
+def test_line_breaks_are_a_matter_of_each_file(spark, tmp_path):
+    (tmp_path / "1.csv").write_text('a,b\n5" pipe,2\nx"y,"3"\n')
+    (tmp_path / "2.csv").write_text('a,b\n"l\nm",4\n')
+    assert [f.rsplit("/", 1)[1] for f in survey(spark, str(tmp_path)).broken] == ["2.csv"]
+    rows = sorted(tuple(r) for r in read_csv(spark, str(tmp_path)).collect())
+    assert rows == [('5" pipe', "2"), ("l\nm", "4"), ('x"y', "3")]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_history_times_are_utc(spark, tmp_path, monkeypatch, zone):
+    import datetime as dt
+    import time
+
+    monkeypatch.setenv("TZ", zone)
+    time.tzset()
+    try:
+        history = History(spark, str(tmp_path / "h"), enabled=True)
+        history.save([{"dataset": "a"}], "x")
+        summary = "'b' dataset, 1L row_count, 1.0D score, 'A' grade, 0L errors, 0L warnings, 0L rules_failed"
+        history.append(spark.range(3).selectExpr(*summary.split(", ")), "y")
+        history.save([{"dataset": "c"}], "x")
+        rows = history.records().selectExpr("id", "dataset", "unix_timestamp(created_at) s").orderBy("id").collect()
+        assert [r.dataset for r in rows] == ["a", "b", "b", "b", "c"] and len({r.id for r in rows}) == 5
+        now = dt.datetime.now(dt.timezone.utc).timestamp()
+        assert all(abs(r.s - now) < 120 for r in rows)
+    finally:
+        monkeypatch.undo()
+        time.tzset()

@@ -1,22 +1,24 @@
 """Duplicate passages by sorting suffixes in buckets, with a difference cover.
 
 A byte goes when it lies in a ``length``-byte string that also starts in a document with a
-smaller id.  Whether two suffixes agree on ``length`` bytes is all that matters, so
-suffixes are sorted to that depth, in three steps:
+smaller id.  Only whether two suffixes agree on ``length`` bytes matters, so suffixes are
+sorted to that depth, one bucket at a time, in these steps:
 
 1. Cover sample.  Places of a document in a difference cover of period v (|D| of v places)
    are named by their next ``length - v + 1`` bytes.  For any two suffixes there is an
    offset below v at which both have a sampled place, so if they agree on ``length``
-   bytes they share the name there.  Names are sorted one bucket at a time; a name found in
-   one document only is dropped.
-2. Suffix buckets.  Only suffixes with a shared name among their next v places go on.  They
-   are dealt to buckets by a fingerprint of their ``length`` bytes and one bucket at a time
-   is sorted; suffixes that tie get the least document id among them.
-3. Each document loses the bytes under suffixes that tie with a smaller document.
-
-Ties are told apart by fingerprints of 96 bits, not by comparing text.  Names and
-fingerprints travel as sorted runs per (unit, bucket) in an Elias-Fano code, and answers
-come back as one bit each.
+   bytes they share the name there.  Sorting the names bucket by bucket leaves those that
+   several documents have; only suffixes with one among their next v places go on.
+2. Long ties.  Neighbouring suffixes are joined to stretches between places chosen by their
+   content.  Stretches are sorted by fingerprints of their suffixes; one that a smaller
+   document has too settles all its suffixes at once.
+3. Suffix buckets.  What is left is sorted by short fingerprints of ``length`` bytes, which
+   drops suffixes that occur in one document only, and then by long ones; suffixes that
+   tie get the least document id among them.
+4. Each document loses the bytes under settled and tied suffixes.
+
+Ties are told apart by fingerprints of 96 bits, not by comparing text.  Fingerprints
+travel as sorted runs per (unit, bucket) in an Elias-Fano code; answers are one bit each.
 
 Scale: documents are packed into units of bounded size, written once as a table bucketed by
 unit, which all passes read without shuffling texts.  The number of buckets follows the
@@ -43,6 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from soundrows.llm.frames import narrowed, small_batches
+from soundrows.llm.shingles import constants, mix
 from soundrows.llm.textbytes import covered, pieces, ranges
 from soundrows.session import scratch_path, stored
 
@@ -51,20 +54,26 @@ COVERS = {31: (1, 5, 11, 24, 25, 27), 13: (0, 1, 3, 9), 7: (0, 1, 3), 1: (0,)}
 LEAST_NAME = 20
 UNIT_BYTES = 4 << 20
 BUCKET_ENTRIES = 2 << 20
-SPARE_BITS = 9  # names are cut to this many bits more than needed to count them
+SPARE_BITS = 9  # short fingerprints have this many bits more than needed to count them
+ANCHOR_MASK = np.uint64(31)  # a stretch begins where a fingerprint's low bits are zero
+STRETCH = 256  # or after this many suffixes
 FACTORS = tuple(
     np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 )
+WEIGHTS = constants(STRETCH, 61), constants(STRETCH, 62)
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Settings of a run; the bits follow the size of the corpus."""
+    """Settings of a run; bits and buckets (as powers of two) follow the corpus."""
 
     length: int
     period: int
     name_bits: int
-    name_buckets: int  # as a power of two
+    name_buckets: int
+    stretch_buckets: int
+    short_bits: int
+    short_buckets: int
     suffix_buckets: int
 
     @property
@@ -76,8 +85,11 @@ def plan_for(length: int, total_bytes: int, bucket_entries: int) -> Plan:
     period = max(v for v in COVERS if length - v + 1 >= min(LEAST_NAME, length))
     sample = max(1, total_bytes * len(COVERS[period]) // period)
     power = lambda entries: max(0, math.ceil(math.log2(max(1, entries / bucket_entries))))
-    bits = min(62, math.ceil(math.log2(sample + 1)) + SPARE_BITS)
-    return Plan(length, period, bits, power(sample), power(total_bytes / 4))
+    bits = lambda entries: min(62, math.ceil(math.log2(entries + 1)) + SPARE_BITS)
+    return Plan(
+        length, period, bits(sample), power(sample), power(total_bytes // 64),
+        bits(total_bytes // 4), power(total_bytes // 4), power(total_bytes // 32),
+    )
 
 
 class Unit:
@@ -205,8 +217,9 @@ def below(values: np.ndarray, bits: int) -> np.ndarray:
 
 
 NAMES = "unit long, bucket int, n int, low int, packed binary, several binary"
-SUFFIXES = "unit long, bucket int, n int, low int, packed binary, rest binary, document binary, ids binary"
-ANSWERS = "unit long, step int, bucket int, flags binary"
+#: Entries of a bucket, or (bucket -1) a unit's places, to be told about later.
+ENTRIES = "unit long, bucket int, n int, low int, packed binary, rest binary, document binary, ids binary"
+ANSWERS = "unit long, step int, bucket int, n int, flags binary"
 
 
 def rows_table(rows: list[tuple], schema: str) -> pa.Table:
@@ -216,40 +229,44 @@ def rows_table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
+def short_rows(unit: Unit, short: Sorted, documents: np.ndarray, bits: int, buckets: int) -> pa.Table:
+    """Distinct short fingerprints by bucket, and which of them several documents have."""
+    several = short.least(documents) != short.most(documents)
+    rows = []
+    for bucket, first, last in cuts(short.values, bits, buckets):
+        low, packed = pack(below(short.values[first:last], bits - buckets), bits - buckets)
+        flags = np.packbits(several[first:last]).tobytes()
+        rows.append((unit.number, bucket, last - first, low, packed, flags))
+    return rows_table(rows, NAMES)
+
+
 def name_rows(batches, plan: Plan):
-    """A unit's distinct names by bucket, and which of them several documents have."""
+    """The names of the cover sample of each unit."""
     for batch in batches:
         for i in range(batch.num_rows):
             unit = Unit(pa.Table.from_batches([batch.slice(i, 1)]))
             places, names = unit.names(plan)
-            documents = unit.ids[unit.document[places]]
-            several = names.least(documents) != names.most(documents)
-            bits = plan.name_bits - plan.name_buckets
-            rows = []
-            for bucket, first, last in cuts(names.values, plan.name_bits, plan.name_buckets):
-                low, packed = pack(below(names.values[first:last], bits), bits)
-                flags = np.packbits(several[first:last]).tobytes()
-                rows.append((unit.number, bucket, last - first, low, packed, flags))
-            yield from rows_table(rows, NAMES).to_batches()
-
-
-def shared_names(table: pa.Table) -> pa.Table:
-    """Of one bucket: per unit one bit for each name, whether other documents have it."""
+            table = short_rows(unit, names, unit.ids[unit.document[places]], plan.name_bits, plan.name_buckets)
+            yield from table.to_batches()
+
+
+def shared(table: pa.Table, step: int) -> pa.Table:
+    """Of one bucket: per unit one bit for each value, whether other documents have it."""
     rows = table.to_pylist()
     values = np.concatenate([unpack(r["n"], r["low"], r["packed"]) for r in rows])
     several = np.concatenate([np.unpackbits(np.frombuffer(r["several"], np.uint8))[: r["n"]] for r in rows])
     order = np.argsort(values)
     same = values[order][1:] == values[order][:-1]
-    shared = several.astype(bool)
-    shared[order[1:][same]] = True
-    shared[order[:-1][same]] = True
-    return answers(rows, shared, 1)
+    found = several.astype(bool)
+    found[order[1:][same]] = True
+    found[order[:-1][same]] = True
+    return answers(rows, found, step)
 
 
 def answers(rows: list[dict], flags: np.ndarray, step: int) -> pa.Table:
     out, first = [], 0
     for r in rows:
-        out.append((r["unit"], step, r["bucket"], np.packbits(flags[first : first + r["n"]]).tobytes()))
+        out.append((r["unit"], step, r["bucket"], r["n"], np.packbits(flags[first : first + r["n"]]).tobytes()))
         first += r["n"]
     return rows_table(out, ANSWERS)
 
@@ -265,43 +282,118 @@ def answered(table: pa.Table, step: int, values: np.ndarray, bits: int, buckets:
     return out
 
 
-class Strings:
-    """A unit's suffixes that may be duplicates, sorted by fingerprint."""
+def entry_rows(
+    unit: Unit, starts: np.ndarray, lengths: np.ndarray, values: np.ndarray, rest: np.ndarray, buckets: int
+) -> pa.Table:
+    """Distinct entries by bucket, each with the least document id that has it.
 
-    def __init__(self, unit: Unit, told: pa.Table, plan: Plan):
-        places, names = unit.names(plan)
-        flags = answered(told, 1, names.values, plan.name_bits, plan.name_buckets)
-        self.places = unit.suffixes(plan, places[names.back(flags)])
-        del places, names, flags
-        values = unit.fingerprints(self.places, plan.length, 1)
-        rest = (unit.fingerprints(self.places, plan.length, 2) >> np.uint64(32)).astype(np.uint32)
-        self.sorted = Sorted(values, rest)
-        self.rest = rest[self.sorted.order][self.sorted.firsts]
-        self.document = unit.document[self.places]
-        self.least = self.sorted.least(unit.ids[self.document])
-
-
-def suffix_rows(unit_table: pa.Table, told: pa.Table, plan: Plan) -> pa.Table:
-    """A unit's distinct strings by bucket, each with the least document id that has it."""
-    unit = Unit(unit_table)
-    strings = Strings(unit, told, plan)
-    ids, index = np.unique(strings.least, return_inverse=True)
+    A last row keeps all places: (start, length, number of its entry, whether the unit
+    has the entry in a smaller document).
+    """
+    entries = Sorted(values, rest)
+    ids_of = unit.ids[unit.document[starts]]
+    least = entries.least(ids_of)
+    later = ids_of > entries.back(least)
+    rank = entries.back(np.arange(len(least), dtype=np.uint32))
+    rest = rest[entries.order][entries.firsts]
+    ids, index = np.unique(least, return_inverse=True)
     index = index.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32)
     packed_ids = zlib.compress(np.diff(ids, prepend=0).tobytes(), 1)
-    bits = 64 - plan.suffix_buckets
     rows = []
-    for bucket, first, last in cuts(strings.sorted.values, 64, plan.suffix_buckets):
+    for bucket, first, last in cuts(entries.values, 64, buckets):
         here = slice(first, last)
-        low, packed = pack(below(strings.sorted.values[here], bits), bits)
+        low, packed = pack(below(entries.values[here], 64 - buckets), 64 - buckets)
         rows.append(
             (unit.number, bucket, last - first, low, packed,
-             strings.rest[here].tobytes(), index[here].tobytes(), packed_ids)
+             rest[here].tobytes(), index[here].tobytes(), packed_ids)
         )
-    return rows_table(rows, SUFFIXES)
+    # Starts ascend, so their steps are small numbers.
+    state = (np.diff(starts, prepend=0).astype(np.uint32), lengths.astype(np.uint16), rank)
+    rows.append(
+        (unit.number, -1, len(starts), 0, zlib.compress(state[0].tobytes(), 1), state[1].tobytes(),
+         state[2].tobytes(), np.packbits(later).tobytes())
+    )
+    return rows_table(rows, ENTRIES)
+
+
+class Places:
+    """A unit's places from an earlier pass, with what was found out about them."""
+
+    def __init__(self, told: pa.Table, step: int, buckets: int):
+        states = [r for r in told.to_pylist() if r["step"] == -step]
+        if not states:
+            self.starts = self.lengths = np.empty(0, np.int64)
+            self.settled = np.empty(0, bool)
+            return
+        n, state = states[0]["bucket"], states[0]
+        self.starts = np.cumsum(np.frombuffer(zlib.decompress(state["flags"]), np.uint32).astype(np.int64))
+        self.lengths = np.frombuffer(state["rest"], np.uint16).astype(np.int64)
+        rank = np.frombuffer(state["document"], np.uint32)
+        self.settled = np.unpackbits(np.frombuffer(state["ids"], np.uint8))[:n].astype(bool)
+        # Buckets are runs of the sorted entries, so their answers follow each other.
+        rows = sorted((r for r in told.to_pylist() if r["step"] == step), key=lambda r: r["bucket"])
+        flags = [np.unpackbits(np.frombuffer(r["flags"], np.uint8))[: r["n"]] for r in rows]
+        if flags:
+            self.settled |= np.concatenate(flags).astype(bool)[rank]
+
+    def windows(self, settled: bool) -> np.ndarray:
+        """All suffixes at places that are settled, or not."""
+        which = self.settled if settled else ~self.settled
+        return ranges(self.starts[which], self.lengths[which])
+
+
+def stretch_rows(unit_table: pa.Table, told: pa.Table, plan: Plan) -> pa.Table:
+    """Suffixes with a shared name, joined to stretches."""
+    unit = Unit(unit_table)
+    places, names = unit.names(plan)
+    flags = answered(told, 1, names.values, plan.name_bits, plan.name_buckets)
+    suffixes = unit.suffixes(plan, places[names.back(flags)])
+    del places, names, flags
+    if not len(suffixes):
+        return rows_table([], ENTRIES)
+    prints = unit.fingerprints(suffixes, plan.length, 1)
+    starts = (prints & ANCHOR_MASK) == 0
+    starts[0] = True
+    starts[1:] |= np.diff(suffixes) != 1
+    firsts = np.flatnonzero(starts)
+    lengths = np.diff(np.r_[firsts, len(suffixes)])
+    pieces_of = -(-lengths // STRETCH)  # long stretches are cut
+    firsts = np.repeat(firsts, pieces_of) + ranges(np.zeros(len(pieces_of), np.int64), pieces_of) * STRETCH
+    lengths = np.diff(np.r_[firsts, len(suffixes)])
+    offset = np.arange(len(suffixes)) - np.repeat(firsts, lengths)
+    values = mix(np.add.reduceat(prints * WEIGHTS[0][offset], firsts) + lengths.astype(np.uint64))
+    rest = mix(np.add.reduceat(prints * WEIGHTS[1][offset], firsts)) >> np.uint64(32)
+    return entry_rows(unit, suffixes[firsts], lengths, values, rest.astype(np.uint32), plan.stretch_buckets)
+
+
+def open_suffixes(unit: Unit, told: pa.Table, plan: Plan) -> tuple[np.ndarray, Sorted]:
+    """Suffixes that no stretch has settled, sorted by short fingerprints."""
+    places = Places(told, 2, plan.stretch_buckets).windows(False)
+    values = unit.fingerprints(places, plan.length, 1) >> np.uint64(64 - plan.short_bits)
+    return places, Sorted(values)
+
+
+def open_rows(unit_table: pa.Table, told: pa.Table, plan: Plan) -> pa.Table:
+    unit = Unit(unit_table)
+    places, short = open_suffixes(unit, told, plan)
+    return short_rows(unit, short, unit.ids[unit.document[places]], plan.short_bits, plan.short_buckets)
 
 
-def tied_with_smaller(table: pa.Table) -> pa.Table:
-    """Of one bucket: does the string occur in a document before the unit's first with it?"""
+def suffix_rows(unit_table: pa.Table, told: pa.Table, plan: Plan) -> pa.Table:
+    """Suffixes whose short fingerprint several documents have."""
+    unit = Unit(unit_table)
+    places, short = open_suffixes(unit, told, plan)
+    flags = answered(told, 3, short.values, plan.short_bits, plan.short_buckets)
+    places = places[short.back(flags)]
+    if not len(places):
+        return rows_table([], ENTRIES)
+    values = unit.fingerprints(places, plan.length, 1)
+    rest = (unit.fingerprints(places, plan.length, 2) >> np.uint64(32)).astype(np.uint32)
+    return entry_rows(unit, places, np.ones(len(places), np.int64), values, rest, plan.suffix_buckets)
+
+
+def tied_with_smaller(table: pa.Table, step: int) -> pa.Table:
+    """Of one bucket: is the entry in a document before the unit's first with it?"""
     rows = table.to_pylist()
     values, rest, least = [], [], []
     for r in rows:
@@ -312,7 +404,7 @@ def tied_with_smaller(table: pa.Table) -> pa.Table:
         least.append(ids[index])
     least = np.concatenate(least)
     ordered = Sorted(np.concatenate(values), np.concatenate(rest))
-    return answers(rows, ordered.back(ordered.least(least)) < least, 2)
+    return answers(rows, ordered.back(ordered.least(least)) < least, step)
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -321,13 +413,10 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 def kept_rows(unit_table: pa.Table, told: pa.Table, plan: Plan) -> pa.Table:
     """Per document of a unit its removed spans and the bytes that are left."""
     unit = Unit(unit_table)
-    gone = np.zeros(unit.size, bool)
-    if told.num_rows:
-        strings = Strings(unit, told, plan)
-        elsewhere = answered(told, 2, strings.sorted.values, 64, plan.suffix_buckets)
-        later = unit.ids[strings.document] > strings.sorted.back(strings.least)
-        places = strings.places[strings.sorted.back(elsewhere) | later]
-        gone = covered(places, plan.length, unit.size)
+    found = [Places(told, 2, plan.stretch_buckets), Places(told, 4, plan.suffix_buckets)]
+    starts = np.concatenate([x.starts[x.settled] for x in found])
+    lengths = np.concatenate([x.lengths[x.settled] for x in found])
+    gone = covered(starts, lengths + plan.length - 1, unit.size)
     spans, kept = [], []
     for first, size in zip(unit.starts.tolist(), unit.lengths.tolist()):
         mine = gone[first : first + size]
@@ -406,18 +495,35 @@ def deduplicated(
     units = units_table(narrowed(docs, doc_id=doc_id, text=text), unit_bytes)
     total = units.agg(F.sum("n_bytes")).first()[0] or 0
     plan = plan_for(length, total, bucket_entries)
-    names = units.mapInArrow(lambda b: name_rows(b, plan), NAMES)
-    shared = stored(names.groupBy("bucket").applyInArrow(shared_names, ANSWERS), "names")
     by_unit = units.groupBy("unit")
-    strings = by_unit.cogroup(shared.groupBy("unit")).applyInArrow(
-        lambda u, a: suffix_rows(u, a, plan), SUFFIXES
-    )
-    tied = stored(strings.groupBy("bucket").applyInArrow(tied_with_smaller, ANSWERS), "suffixes")
-    told = shared.unionByName(tied)
+
+    def passed(work, told: DataFrame, schema: str) -> DataFrame:
+        """``work`` on every unit with all that was told about it."""
+        return by_unit.cogroup(told.groupBy("unit")).applyInArrow(lambda u, t: work(u, t, plan), schema)
+
+    def by_bucket(rows: DataFrame, work, step: int, name: str) -> DataFrame:
+        found = rows.filter("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: work(t, step), ANSWERS)
+        return stored(found, name)
+
+    def and_places(entries: DataFrame, found: DataFrame, step: int) -> DataFrame:
+        """Answers, and the rows of places (as step -step)."""
+        places = entries.filter("bucket < 0").select(
+            "unit", F.lit(-step).alias("step"), F.col("n").alias("bucket"), "n",
+            F.col("packed").alias("flags"), "rest", "document", "ids",
+        )
+        return found.unionByName(places, allowMissingColumns=True)
+
+    names = units.mapInArrow(lambda b: name_rows(b, plan), NAMES)
+    stretches = stored(passed(stretch_rows, by_bucket(names, shared, 1, "names"), ENTRIES), "stretches")
+    settled = and_places(stretches, by_bucket(stretches, tied_with_smaller, 2, "stretch-ties"), 2)
+    several = by_bucket(passed(open_rows, settled, NAMES), shared, 3, "short")
+    told = settled.unionByName(several, allowMissingColumns=True)
+    suffixes = stored(passed(suffix_rows, told, ENTRIES), "suffixes")
+    tied = and_places(suffixes, by_bucket(suffixes, tied_with_smaller, 4, "suffix-ties"), 4)
+    told = settled.unionByName(tied, allowMissingColumns=True)
     kind = docs.select(doc_id).schema[0].dataType
-    out = by_unit.cogroup(told.groupBy("unit")).applyInArrow(
-        lambda u, a: kept_rows(u, a, plan),
-        "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary",
+    out = passed(
+        kept_rows, told, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
     )
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 

@@ -8,8 +8,11 @@ whole-stage code generation.
 
 from __future__ import annotations
 
+import re
+import warnings
 from collections.abc import Sequence
 
+from pandas.tseries.api import guess_datetime_format
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +27,13 @@ from soundrows.fixed_values import (
 )
 
 ISO_DATE = "yyyy-M-d"
+#: Tried one after the other where a column does not show its format.
+COMMON_DATES = (ISO_DATE, "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "M/d/yyyy", "MMM d, yyyy")
+#: Parts of a date as strptime and as Java write them.
+DATE_PARTS = {
+    "%Y": "yyyy", "%m": "M", "%d": "d", "%H": "H", "%M": "m", "%S": "s", "%b": "MMM",
+    "%B": "MMMM", "%I": "h", "%p": "a", "%z": "XXX", "%y": "yy",
+}
 
 
 def strip(cell: Column) -> Column:
@@ -67,6 +77,39 @@ def number(cell: Column, dtype: T.DataType | None = None) -> Column:
     )
 
 
+def formats_like(first: str | None) -> tuple[str, ...]:
+    """The formats of a column whose first value is ``first``.
+
+    A column has one format, that of its first value.  A value that shows none leaves
+    every later one to the common formats.
+    """
+    if first is None or re.fullmatch(r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}", first):
+        return (ISO_DATE,)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        shown = guess_datetime_format(first)
+    if shown is None:
+        return COMMON_DATES
+    if shown == "%Y%m%d":
+        return ("yyyyMMdd",)
+    fraction = re.search(r"[0-9]\.([0-9]+)", first) if "%f" in shown else None
+    if fraction:
+        # One to as many digits of the second as are usual.
+        shown = shown.replace("%S.%f", "%S.#")
+    pattern = ""
+    for part in re.findall(r"%.|[^%]", shown):
+        if part.startswith("%") and part not in DATE_PARTS:
+            return COMMON_DATES
+        pattern += DATE_PARTS.get(part) or (f"'{part}'" if part.isalpha() else part)
+    if fraction:
+        return tuple(pattern.replace("#", "S" * n) for n in range(1, 10))
+    return (pattern,)
+
+
+def has_time(formats: Sequence[str]) -> bool:
+    return any(letter in re.sub("'[^']*'", "", f) for f in formats for letter in "Hh")
+
+
 def date(
     cell: Column,
     dtype: T.DataType | None = None,
@@ -74,7 +117,7 @@ def date(
 ) -> Column:
     """Parse a calendar date in one of ``formats``; NULL when none fits.
 
-    Date and timestamp columns are returned as they are.  Dates outside the
+    Formats with a time give timestamps.  Date and timestamp columns are returned as they are.  Dates outside the
     nanosecond clock's window are unparseable.
     """
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
@@ -89,6 +132,8 @@ def date(
                 # The cast has a hand-written ISO parser, several times faster than
                 # a formatter; the pattern keeps out what the cast would add.
                 readings.append(F.when(text.rlike(ISO_DATE_PATTERN), text.try_cast("date")))
+            elif has_time(formats):
+                readings.append(F.try_to_timestamp(text, F.lit(pattern)))
             else:
                 readings.append(F.try_to_date(text, pattern))
         value = readings[0] if len(readings) == 1 else F.coalesce(*readings)

@@ -50,7 +50,8 @@ class Audit:
         self._lazy = [Evaluation(tables[p.key], p, tables, as_of, limits) for p in profiles]
         parents = ParentKeys(tables, shared)
         self.evaluations = [
-            Evaluation(tables[p.key], p, tables, as_of, limits, parents) for p in profiles
+            Evaluation(tables[p.key], p, tables, as_of, limits, parents, lazy.date_formats)
+            for p, lazy in zip(profiles, self._lazy)
         ]
 
     @property

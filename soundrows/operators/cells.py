@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +25,16 @@ class Cells:
     the parse.
     """
 
-    def __init__(self, schema: T.StructType, as_of: Column):
+    def __init__(
+        self,
+        schema: T.StructType,
+        as_of: Column,
+        date_formats: Mapping[str, tuple[str, ...]] | None = None,
+    ):
         self.types = {field.name: field.dataType for field in schema.fields}
         self.as_of = as_of
+        self.date_formats = dict(date_formats or {})
+        self.dated: list[str] = []  # text columns that were read as dates
         self._views: dict[tuple, tuple[Column, Column]] = {}
 
     def _view(self, kind: str, column: str, parser: Callable, *options) -> Column:
@@ -51,19 +58,28 @@ class Cells:
     def number(self, column: str) -> Column:
         return self._view("number", column, parse.number)
 
-    def date(self, column: str, formats: tuple[str, ...] = (parse.ISO_DATE,)) -> Column:
-        return self._view("date", column, parse.date, formats)
+    def date(self, column: str, formats: tuple[str, ...] | None = None) -> Column:
+        """The date in a cell: in the given formats, or in the column's own."""
+        if formats is None and isinstance(self.types[column], T.StringType):
+            self.dated.append(column)
+        return self._view("date", column, parse.date, formats or self._formats(column))
+
+    def _formats(self, column: str) -> tuple[str, ...]:
+        return self.date_formats.get(column, (parse.ISO_DATE,))
+
+    def _stamped(self, column: str) -> bool:
+        """Does the column have times of day?"""
+        kind = self.types[column]
+        if isinstance(kind, T.StringType):
+            return parse.has_time(self._formats(column))
+        return isinstance(kind, (T.TimestampType, T.TimestampNTZType))
 
     def days_between(self, later: str, earlier: str) -> Column:
-        stamped = any(
-            isinstance(self.types[c], (T.TimestampType, T.TimestampNTZType))
-            for c in (later, earlier)
-        )
+        stamped = self._stamped(later) or self._stamped(earlier)
         return parse.days_between(self.date(later), self.date(earlier), stamped)
 
     def days_until_as_of(self, column: str) -> Column:
-        stamped = isinstance(self.types[column], (T.TimestampType, T.TimestampNTZType))
-        return parse.days_between(self.as_of, self.date(column), stamped)
+        return parse.days_between(self.as_of, self.date(column), self._stamped(column))
 
     def with_views(self, rows: DataFrame) -> DataFrame:
         if not self._views:

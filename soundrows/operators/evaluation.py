@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -27,10 +27,12 @@ from soundrows.fixed_values import (
     SEVERITY_WEIGHTS,
     WARNING,
 )
-from soundrows.functions import scoring
+from soundrows.functions import scoring, text
 from soundrows.operators.cells import Cells, as_of_column, named
 from soundrows.operators.keyed import DEFAULT_LIMITS, Limits, attach, most_frequent, size_in_bytes
 from soundrows.operators.rules import (
+    Consistency,
+    DateValid,
     KeyRule,
     ParentKeys,
     Rule,
@@ -67,14 +69,15 @@ class Evaluation:
         as_of: dt.date | str | None = None,
         limits: Limits = DEFAULT_LIMITS,
         parents: ParentKeys | None = None,
+        date_formats: Mapping[str, tuple[str, ...]] | None = None,
     ):
+        """``date_formats`` (Java patterns by column) spares looking at the first dates."""
         self.table = table
         self.profile = profile
         self.tables = dict(tables or {})
         self.parents = parents or ParentKeys(self.tables)
         self.limits = limits
         self.columns = [c for c in table.columns if c not in origin.ORIGIN]
-        self.cells = Cells(table.schema, as_of_column(as_of))
         self.skipped: dict[int, str] = {}
         self._verdicts: dict[int, tuple[DataFrame, int]] = {}
         self._failed: dict[int, Column] = {}
@@ -82,11 +85,16 @@ class Evaluation:
         self._checked: dict[int, str | None] = {}
         self._checks: dict[str, Column] = {}
         keyed: dict[tuple[str, ...], list] = {}
+        reference_day = as_of_column(as_of)
         for index, rule in enumerate(profile.rules):
             reason = rule.skip_reason(self.columns, self.tables)
             if reason is not None:
                 self.skipped[index] = reason
-                continue
+        if date_formats is None:
+            date_formats = self._first_formats(reference_day)
+        self.date_formats = date_formats
+        self.cells = Cells(table.schema, reference_day, date_formats)
+        for index, rule in self._active():
             self._checked[index] = self._check_name(rule)
             if isinstance(rule, KeyRule):
                 keyed.setdefault(rule.key_columns, []).append((index, rule))
@@ -97,6 +105,24 @@ class Evaluation:
             for n, (columns, rules) in enumerate(keyed.items())
         ]
 
+    def _first_formats(self, reference_day: Column) -> dict[str, tuple[str, ...]]:
+        """The format of each text column that rules read as dates: its first value's."""
+        probe = Cells(self.table.schema, reference_day)
+        for _, rule in self._active():
+            if isinstance(rule, (Consistency, DateValid)):
+                rule.failed(probe)
+        columns = list(dict.fromkeys(probe.dated))
+        if not columns or self.table.isStreaming:
+            return {}
+        place = F.struct(*origin.ORIGIN)
+        first = origin.with_origin(self.table).agg(
+            *[
+                F.min_by(named(c), F.when(text.present(named(c)), place)).alias(f"_first{i}")
+                for i, c in enumerate(columns)
+            ]
+        ).first()
+        return {c: text.formats_like(value) for c, value in zip(columns, first)}
+
     def _check_name(self, rule: Rule) -> str | None:
         """Name of the rule's presence check; None when it applies to every row."""
         check = rule.checked(self.cells)

@@ -232,13 +232,14 @@ class DateValid(RowRule):
         min_date: str | None = None,
         max_date: str | None = None,
         severity: str = ERROR,
-        formats: Sequence[str] = (text.ISO_DATE,),
+        formats: Sequence[str] | None = None,
     ):
+        """``formats`` are Java patterns; without them the column's first value shows it."""
         super().__init__(rule_id, title, column, severity)
         self.not_future = not_future
         self.min_date = min_date
         self.max_date = max_date
-        self.formats = tuple(formats)
+        self.formats = tuple(formats) if formats else None
 
     @property
     def message(self):

@@ -158,3 +158,31 @@ def test_hot_keys_take_the_spread_path(spark):
     assert summary["errors"] == 54 + 4 + 20
     assert summary["rows_with_errors"] == 54 + 20
     assert plain.summary().first() == summary
+
+
+@pytest.mark.parametrize("values, bad", [
+    (["2020-01-01 10:00:00", "2020-01-02", "2020-1-3 1:2:3", "2999-01-01 00:00:00", None], [1, 3]),
+    (["01/02/2020", "1/2/2020", "13/02/2020", "2020-01-01"], [2, 3]),
+    (["25/12/2020", "01/02/2020", "12/25/2020"], [2]),
+    (["2020-01-01T10:00:00Z", "2020-01-01T10:00:00+02:00", "2020-01-01"], [2]),
+    (["2020-01-01 10:00:00.5", "2020-01-01 10:00:00.123456", "2020-01-01 10:00:00"], [2]),
+    (["Jan 5, 2020", "Feb 30, 2020", "Dec 31, 2019"], [1]),
+    (["20200101", "2020-01-02", "20201301"], [1, 2]),
+    (["never", "2020-01-02", "01/02/2020", "Jan 5, 2020"], [0]),
+    (["  ", "2020-01-02", "01/02/2020"], [2]),
+])
+def test_dates_follow_the_first_value(spark, values, bad):
+    table = column(spark, values).coalesce(1)
+    failed = flags(table, DateValid("d", "d", "x"))
+    assert [i for i, f in enumerate(failed) if f] == bad
+
+
+def test_consistency_reads_times(spark):
+    table = frame(spark, ["a", "b"], [
+        ("2020-01-01 10:00:00", "2020-01-01 09:00:00"), ("2020-01-01 10:00:00", "2020-01-02 09:59:59"),
+        ("2020-01-01 10:00:00", "2020-01-02 10:00:00"), ("x", "2020-01-02 10:00:00"),
+    ]).coalesce(1)
+    later = Consistency("c", "c", lambda c: c.date("b") < c.date("a"), ["a", "b"])
+    whole = Consistency("c", "c", lambda c: c.days_between("b", "a") >= 1, ["a", "b"])
+    assert flags(table, later) == [True, False, False, False]
+    assert flags(table, whole) == [False, False, True, False]

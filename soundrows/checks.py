@@ -3,23 +3,41 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from soundrows.errors import CheckError
+from soundrows.fixed_values import MAX_INPUT_BYTES, MAX_INPUT_ROWS
 from soundrows.operators.audit import Audit
 from soundrows.operators.evaluation import Evaluation
 from soundrows.operators.report import Report
 from soundrows.operators.rules import Tables
 from soundrows.plans.catalogue import clinical_registry
 from soundrows.plans.profile import Registry
+from soundrows.session import tidy
 from soundrows.sources import tables as table_source
 from soundrows.sources.csv import stage_csv
 from soundrows.sources.origin import ORIGIN
 from soundrows.sources.history import History
 
 
+#: Usual limits of a single process: ``Checker(spark, **USUAL_LIMITS)``.
+USUAL_LIMITS = {"max_bytes": MAX_INPUT_BYTES, "max_rows": MAX_INPUT_ROWS}
+
+
+def _tidied(check):
+    """Checks return plain values, so what they store on the way goes when they end."""
+
+    @functools.wraps(check)
+    def tidied(self, *args, **kwargs):
+        with tidy(self.spark):
+            return check(self, *args, **kwargs)
+
+    return tidied
+
+
 class Checker:
     """The catalogue, the reference day and the history that checks share."""
 
@@ -47,12 +65,14 @@ class Checker:
         profile, detected = self.registry.resolve(columns, dataset)
         return Evaluation(table, profile, tables, self.as_of), detected
 
+    @_tidied
     def check_table(
         self, table: DataFrame, dataset: str | None = None, tables: Tables | None = None
     ) -> dict[str, Any]:
         evaluation, detected = self.evaluate(table, dataset, tables)
         return {**Report(evaluation).to_dict(), "auto_detected": detected}
 
+    @_tidied
     def check_csv(self, path: str, dataset: str | None = None) -> dict[str, Any]:
         """Check one file on its own; links to other tables are skipped."""
         self._guard_bytes(path)
@@ -63,10 +83,11 @@ class Checker:
         self._remember([report], "upload")
         return report
 
+    @_tidied
     def check_member(self, folder: str, dataset: str, variant: str | None = None) -> dict:
         """Check one table of a set, with its sibling tables available for links."""
         if self.registry.get(dataset) is None:
-            raise CheckError(f"Unknown dataset '{dataset}'.")
+            raise CheckError(f"There is no profile '{dataset}'.")
         tables = self._load(folder)
         if dataset not in tables:
             raise CheckError(f"No table '{dataset}' in '{folder}'.")
@@ -75,18 +96,21 @@ class Checker:
         self._remember([report], "sample")
         return report
 
+    @_tidied
     def audit_folder(self, folder: str, **extra: Any) -> dict[str, Any]:
         tables = self._load(folder)
         if not tables:
             raise CheckError(f"No tables found in '{folder}'.")
         return self.audit_tables(tables, "audit", **extra)
 
+    @_tidied
     def audit_tables(self, tables: Tables, source: str, **extra: Any) -> dict[str, Any]:
         self._guard_rows(tables.values())
         result = Audit(tables, self.registry, self.as_of, **extra).to_dict(source)
         self._remember(result["tables"], source)
         return result
 
+    @_tidied
     def check_fhir(self, path: str) -> dict[str, Any]:
         """Audit the tables of one bundle file."""
         from soundrows.sources import fhir
@@ -95,14 +119,22 @@ class Checker:
         tables = fhir.tables_of_bundle(self.spark, path)
         return self.audit_tables(tables, "fhir", format="FHIR R4")
 
+    @_tidied
     def check_fhir_folder(self, folder: str) -> dict[str, Any]:
-        """Audit a folder of bundles as if they were one; bad files are skipped."""
+        """Audit a folder of bundles as if they were one.
+
+        Files that are no bundle are skipped and counted by reason in ``skipped``; their
+        names are in ``fhir.skipped_in_folder``.
+        """
         from soundrows.sources import fhir
 
-        return self.audit_tables(
+        audit = self.audit_tables(
             fhir.tables_of_folder(self.spark, folder), "fhir", format="FHIR R4"
         )
+        reasons = fhir.skipped_in_folder(self.spark, folder).groupBy("reason").count()
+        return {**audit, "skipped": {r["reason"]: r["count"] for r in reasons.collect()}}
 
+    @_tidied
     def check_hl7(self, path: str) -> dict[str, Any]:
         from soundrows.sources import hl7
 

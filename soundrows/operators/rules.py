@@ -9,6 +9,7 @@ is one row before anything is shuffled.
 
 from __future__ import annotations
 
+import re
 import threading
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
@@ -131,6 +132,43 @@ class AllowedValues(RowRule):
         return cells.present(self.column) & ~value.isin(*sorted(self.allowed))
 
 
+NAMED_GROUP = re.compile(r"\(\?P<(\w+)>")
+NAMED_REFERENCE = re.compile(r"\(\?P=(\w+)\)")
+UNSUPPORTED = (
+    (re.compile(r"\(\?\("), "conditional groups"),
+    (re.compile(r"\(\?[aiLmsux]*L"), "locale flags"),
+    (re.compile(r"\\N\{"), "characters by name"),
+)
+
+
+def java_pattern(pattern: str) -> str:
+    """A Python pattern as Java writes it; ValueError for what Java does not have.
+
+    Escaped backslashes are skipped, so that only real group openings count.
+    """
+    plain = re.sub(r"\\\\", "  ", pattern)  # same length
+    for found, what in UNSUPPORTED:
+        if found.search(plain):
+            raise ValueError(f"pattern {pattern!r}: {what} are not supported")
+    try:
+        re.compile(pattern)
+    except re.error as error:
+        if "possessive" not in str(error):
+            raise ValueError(f"pattern {pattern!r}: {error}") from None
+    named = lambda m: m[1].replace("_", "U")  # noqa: E731  Java's names are letters and digits
+    out, done = [], 0
+    for m in re.finditer(r"\(\?P<\w+>|\(\?P=\w+\)|\\Z", plain):
+        out.append(pattern[done : m.start()])
+        if group := NAMED_GROUP.fullmatch(m[0]):
+            out.append(f"(?<{named(group)}>")
+        elif group := NAMED_REFERENCE.fullmatch(m[0]):
+            out.append(rf"\k<{named(group)}>")
+        else:
+            out.append(r"\z")
+        done = m.end()
+    return "".join([*out, pattern[done:]])
+
+
 class Regex(RowRule):
     """The value matches a pattern from its first character on."""
 
@@ -144,7 +182,7 @@ class Regex(RowRule):
         hint: str = "",
     ):
         super().__init__(rule_id, title, column, severity)
-        self.pattern = pattern
+        self.pattern = java_pattern(pattern)
         self.hint = hint
 
     @property
@@ -466,9 +504,23 @@ class ParentKeys:
             return self._keys[link]
 
 
+LONG_KEY = 256
+DIGEST = "\x01sha256:"  # no cell of a table begins like this
+
+
 def key_cell(cell: Column, dtype: T.DataType) -> Column:
-    """A key as it is compared: whole numbers stay numbers, the rest is text."""
-    return cell.cast("bigint") if isinstance(dtype, T.IntegralType) else cell.cast("string")
+    """A key as it is compared: whole numbers stay numbers, the rest is text.
+
+    Long texts are compared by their SHA-256, so that no shuffle or broadcast carries
+    whole texts.  Long blank cells stay: a blank is no key.
+    """
+    if isinstance(dtype, T.IntegralType):
+        return cell.cast("bigint")
+    key = cell.cast("string")
+    if not isinstance(dtype, T.StringType):
+        return key
+    digest = F.concat(F.lit(DIGEST), F.sha2(key, 256))
+    return F.when((F.length(key) > LONG_KEY) & text.present(key), digest).otherwise(key)
 
 
 def key_type(dtype: T.DataType) -> T.DataType:

@@ -101,13 +101,12 @@ class Registry:
         if dataset:
             profile = self.get(dataset)
             if profile is None:
-                raise CheckError(f"Unknown dataset '{dataset}'. Known datasets: {known}.")
+                raise CheckError(f"There is no profile '{dataset}'; profiles are: {known}.")
             return profile, False
         profile = self.detect(columns)
         if profile is None:
             raise CheckError(
-                "Could not recognise this dataset from its columns. "
-                f"Pass an explicit dataset name. Supported: {known}."
+                f"No profile fits these columns; name one of: {known}."
             )
         return profile, True
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +22,13 @@ SETTINGS = {
     # Profiles build many small expressions; recording a call site for each is slow.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
+    # Checkpoints go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
+_made: list[str] = []  # folders of intermediates, in the order they were made
+_made_lock = threading.Lock()
+
 
 def build_session(app_name: str = "soundrows", **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
@@ -57,7 +64,36 @@ def durable(frame: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder next to the checkpoints."""
-    return f"{checkpoint_dir(spark)}/soundrows-{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/soundrows-{name}-{uuid.uuid4().hex}"
+    with _made_lock:
+        _made.append(path)
+    return path
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Own the intermediates that are made inside the block and remove them at its end.
+
+    For work that ends in plain values.  Frames that still read them must not leave the
+    block, and other work of this process must not make any meanwhile.
+    """
+    with _made_lock:
+        before = len(_made)
+    try:
+        yield
+    finally:
+        with _made_lock:
+            mine = _made[before:]
+            del _made[before:]
+        for path in mine:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system owns it; a missing one is fine."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(hadoop_path, True)
 
 
 def stored(frame: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:

@@ -78,9 +78,9 @@ def opened(bundles: DataFrame) -> DataFrame:
 def skipped(bundles: DataFrame) -> DataFrame:
     """(_src_file, reason) of the files that contribute nothing."""
     reason = (
-        F.when(~F.col("sound"), "Could not parse JSON.")
-        .when(~F.col("bundle_type").eqNullSafe(F.lit("Bundle")), "Not a Bundle.")
-        .when(F.coalesce(F.size("entries"), F.lit(0)) <= 0, "No entries.")
+        F.when(~F.col("sound"), "This is not JSON.")
+        .when(~F.col("bundle_type").eqNullSafe(F.lit("Bundle")), "Not a bundle.")
+        .when(F.coalesce(F.size("entries"), F.lit(0)) <= 0, "Empty.")
     )
     return opened(bundles).select(FILE, reason.alias("reason")).filter("reason is not null")
 
@@ -503,8 +503,7 @@ def tables_of(
         del tables["billing"]
     if not tables:
         raise CheckError(
-            "No recognised clinical resources found "
-            "(expected Patient, Encounter, Condition, ...)."
+            f"None of the resources makes a table (known types: {', '.join(USED_TYPES)})."
         )
     renumbered = with_surrogate_keys(tables, limits)
     return _stored_together({name: partial(dict.get, renumbered, name) for name in renumbered})
@@ -528,11 +527,11 @@ def tables_of_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         "sound", "bundle_type", F.coalesce(F.size("entries"), F.lit(0)).alias("entries")
     ).first()
     if shape is None or not shape["sound"]:
-        raise CheckError("Could not parse JSON.")
+        raise CheckError("This is not JSON.")
     if shape["bundle_type"] != "Bundle":
-        raise CheckError("Payload is not a FHIR Bundle (resourceType != 'Bundle').")
+        raise CheckError("This JSON is not a FHIR Bundle.")
     if shape["entries"] <= 0:
-        raise CheckError("Bundle has no entries.")
+        raise CheckError("The bundle is empty.")
     return tables_of(staged(resources_of(bundles)))
 
 

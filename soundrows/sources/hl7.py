@@ -141,14 +141,14 @@ def tables_of(lines: DataFrame) -> dict[str, DataFrame]:
     segments = stored(segments_of(lines), "segments", partition_by=["kind"])
     kinds = {row["kind"] for row in segments.select("kind").distinct().collect()}
     if not kinds:
-        raise CheckError("No HL7 v2 segments found (expected MSH/PID/PV1).")
+        raise CheckError(f"The feed has no segment of the kinds {', '.join(HL7_SEGMENTS)}.")
     tables = {}
     if "PID" in kinds:
         tables["patients"] = stored(patients(segments), "patients")
     if "PV1" in kinds:
         tables["encounters"] = stored(encounters(segments), "encounters")
     if not tables:
-        raise CheckError("No PID/PV1 segments produced any rows.")
+        raise CheckError("The feed has neither patients nor visits.")
     return tables
 
 

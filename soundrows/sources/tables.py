@@ -77,12 +77,12 @@ def check_bytes(spark: SparkSession, path: str, limit: int) -> None:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if files.getContentSummary(hadoop_path).getLength() > limit:
-        raise CheckError(f"File is too large (limit {limit // (1024 * 1024)} MB).")
+        raise CheckError(f"The input has more than {limit:,} bytes.")
 
 
 def check_not_empty(table: DataFrame) -> None:
     if table.isEmpty():
-        raise CheckError("The uploaded file contains no data rows.")
+        raise CheckError("The table has no rows.")
 
 
 def check_rows(tables: Iterable[DataFrame], limit: int) -> None:
@@ -91,4 +91,4 @@ def check_rows(tables: Iterable[DataFrame], limit: int) -> None:
     for table in tables:
         total += table.select(F.lit(1)).limit(limit - total + 1).count()
         if total > limit:
-            raise CheckError(f"Too many rows (limit {limit:,}).")
+            raise CheckError(f"The input has more than {limit:,} rows.")

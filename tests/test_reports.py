@@ -57,9 +57,9 @@ def test_detection():
     assert registry.detect(["foo", "bar", "baz"]) is None
     billing = ["encounter_id", "total_charge", "insurance_paid", "patient_paid", "payment_status"]
     assert registry.detect(billing).match_score(billing) == 1.0
-    with pytest.raises(CheckError, match="Unknown dataset 'x'. Known datasets: departments"):
+    with pytest.raises(CheckError, match="no profile 'x'; profiles are: departments"):
         registry.resolve(PATIENTS, "x")
-    with pytest.raises(CheckError, match="Could not recognise"):
+    with pytest.raises(CheckError, match="No profile fits"):
         registry.resolve(["foo"], None)
 
 

@@ -186,3 +186,25 @@ def test_consistency_reads_times(spark):
     whole = Consistency("c", "c", lambda c: c.days_between("b", "a") >= 1, ["a", "b"])
     assert flags(table, later) == [True, False, False, False]
     assert flags(table, whole) == [False, False, True, False]
+
+
+def test_long_texts_are_keys_by_digest(spark):
+    long = "x" * 300
+    table = column(spark, [long + "a", long + "b", long + "a", " " * 300, " " * 300, "short"])
+    assert flags(table, Unique("u", "u", "x")) == [True, False, True, False, False, False]
+    evaluation = evaluate(table, Unique("u", "u", "x"))
+    keys = evaluation.judged_keys(evaluation.key_sets[0]).collect()
+    assert len(keys) == 4 and max(len(r[0]) for r in keys if r[0].strip()) < 100
+    parent = column(spark, [long + "a", "short"], "y")
+    link = ForeignKey("f", "f", "x", "p", "y")
+    assert flags(table, link, {"p": parent}) == [False, True, False, False, False, False]
+
+
+def test_python_patterns(spark):
+    table = column(spark, ["ab-ab", "ab-ac", "AB", "x"])
+    rule = Regex("r", "r", "x", r"(?P<two_letters>[a-z]{2})-(?P=two_letters)\Z")
+    assert flags(table, rule) == [False, True, True, True]
+    for pattern, what in ((r"(a)?(?(1)b|c)", "conditional"), ("(", "unterminated"), (r"[z-a]", "bad character range")):
+        with pytest.raises(ValueError, match=what):
+            Regex("r", "r", "x", pattern)
+    assert flags(table, Regex("r", "r", "x", r"\\(?P<a>x)")) == [True] * 4

@@ -9,16 +9,14 @@ from pyspark.sql import functions as F
 
 from soundrows.operators.cells import named
 
-#: Texts handed to a Python worker at once.  Rows can be long, so this is far below
-#: Spark's own 10,000.
-BATCH_ROWS = 1_000
+#: Bytes handed to a Python worker at once (or one longer row).  Spark's own 64 MB would be
+#: held several times over on both sides of the pipe.
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark) -> None:
-    """Hand at most ``BATCH_ROWS`` rows to a Python worker at once."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
-        spark.conf.set(setting, str(BATCH_ROWS))
+    """Hand at most ``BATCH_BYTES`` to a Python worker at once, from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 class Renamed:

@@ -46,6 +46,8 @@ from soundrows.llm.textbytes import as_text, buffer_of, pieces
 from soundrows.session import stored
 
 PIECE = 2 << 20
+SMALL_LIST = 8
+PAIR_ROWS = 16
 
 
 @dataclass(frozen=True)
@@ -58,6 +60,7 @@ class Settings:
     matches: int = 20
     block_rows: int = 512
     block_shingles: int = 1 << 20
+    task_rows: int = 4096
 
 
 DEFAULT = Settings()
@@ -122,7 +125,6 @@ def candidates(rows: DataFrame, settings: Settings) -> DataFrame:
     classes = rows.filter("cls is not null").groupBy("cls").agg(
         F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), head()
     )
-    classes = stored(classes, "classes")
     tokens = classes.select("cls", F.explode(tokens_of(F.col("signature"))).alias("token"))
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = tokens.join(often, "token").groupBy("cls").agg(
@@ -141,11 +143,10 @@ def candidates(rows: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def star_pairs(lists: DataFrame, tokens: DataFrame, signed: DataFrame, settings: Settings) -> DataFrame:
+def star_pairs(lists: DataFrame, signed: DataFrame, settings: Settings) -> DataFrame:
     """Each class with the typical class of each of its lists, if they match enough."""
     pairs = (
-        lists.join(tokens.select("token", "pivot"), "token")
-        .filter("cls != pivot")
+        lists.filter("cls != pivot")
         .select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
         .distinct()
     )
@@ -179,69 +180,105 @@ def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def matching(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Equal coordinates of all pairs of signatures, as bits, a chunk of rows at a time."""
-    bits = np.int64(1) << np.arange(left.shape[1], dtype=np.int64)
-    out = np.zeros((len(left), len(right)), np.int64)
-    for j, bit in enumerate(bits):
-        out |= np.where(left[:, j, None] == right[None, :, j], bit, 0)
-    return out
+    """Equal coordinates of signatures, row by row, as bits."""
+    packed = np.packbits(left == right, axis=1, bitorder="little")
+    out = np.zeros((len(left), 8), np.uint8)
+    out[:, : packed.shape[1]] = packed
+    return out.view("<i8").reshape(-1)
 
 
 def first_bit(x: np.ndarray) -> np.ndarray:
     return x & -x
 
 
-class Block:
-    """The classes of a list that one task compares."""
+class Lists:
+    """Blocks of posting lists that one task compares, several small ones at once."""
 
     def __init__(self, table: pa.Table, settings: Settings):
-        n, k = table.num_rows, settings.coordinates
-        signature = table.column("signature").combine_chunks()
-        self.signature = signature.flatten().to_numpy().reshape(n, k)
-        self.mask = table.column("mask").to_numpy()
-        self.cls = table.column("cls").to_pylist()
-        _, self.component = np.unique(
-            np.array(table.column("component").to_pylist(), dtype=object).astype("S16"), return_inverse=True
+        k = settings.coordinates
+        keys = [table.column(c).to_numpy() for c in ("bj", "bi", "token")]
+        order = np.lexsort(keys)
+        self.table = table.take(pa.array(order))
+        self.matches = settings.matches
+        self.signature = (
+            self.table.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, k)
         )
-        self.part = table.column("part").to_numpy()
-        self.left, self.right = (int(table.column(c)[0].as_py()) for c in ("bi", "bj"))
-        self.coordinate = int(table.column("token")[0].as_py()) >> 32
-
-    def pairs(self, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs of different components with enough matches whose first token is this one."""
-        rows = np.flatnonzero(self.part == self.left)
-        columns = np.flatnonzero(self.part == self.right)
-        found = []
-        for first in range(0, len(rows), 128):
-            some = rows[first : first + 128]
-            equal = matching(self.signature[some], self.signature[columns])
-            enough = np.bitwise_count(equal) >= settings.matches
-            enough &= self.component[some][:, None] != self.component[columns][None, :]
-            common = equal & self.mask[some][:, None] & self.mask[columns][None, :]
-            enough &= first_bit(common) == (1 << self.coordinate)
-            i, j = np.nonzero(enough)
-            found.append(np.stack([some[i], columns[j], np.bitwise_count(equal[i, j])]))
-        a, b, n = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
-        keep = a < b if self.left == self.right else slice(None)
-        return a[keep], b[keep], n[keep]
+        self.mask, self.part, self.token, self.left, self.right = (
+            self.table.column(c).to_numpy() for c in ("mask", "part", "token", "bi", "bj")
+        )
+        names = self.table.column("component").combine_chunks().dictionary_encode()
+        self.component = names.indices.to_numpy()
+        same = np.ones(len(order), bool)
+        for key in keys:
+            same[1:] &= key[order][1:] == key[order][:-1]
+        same[:1] = False
+        self.firsts = np.flatnonzero(~same)
+        self.sizes = np.diff(np.r_[self.firsts, len(order)])
+
+    def wanted(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Matches of the pairs that this task has to confirm, 0 for all others.
+
+        They are of different components, match enough, and this list's token is the
+        first that both are posted under.
+        """
+        sides = (self.part[i] == self.left[i]) & (self.part[j] == self.right[i])
+        sides |= (self.part[j] == self.left[i]) & (self.part[i] == self.right[i])
+        equal = matching(self.signature[i], self.signature[j])
+        n = np.bitwise_count(equal)
+        common = equal & self.mask[i] & self.mask[j]
+        ok = sides & (self.component[i] != self.component[j]) & (n >= self.matches)
+        ok &= first_bit(common) == np.int64(1) << (self.token[i] >> 32)
+        return np.where(ok, n, 0)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pairs to be confirmed: two rows each, and their matches."""
+        found = [np.empty((3, 0), np.int64)]
+
+        def keep(i: np.ndarray, j: np.ndarray) -> None:
+            n = self.wanted(i, j)
+            found.append(np.stack([i, j, n])[:, n > 0])
+
+        for size in np.unique(self.sizes[self.sizes > 1]).tolist():
+            firsts = self.firsts[self.sizes == size]
+            if size <= SMALL_LIST:  # the same pair of all lists of this size at once
+                for x in range(size):
+                    for y in range(x + 1, size):
+                        keep(firsts + x, firsts + y)
+                continue
+            for first in firsts.tolist():
+                for x in range(first, first + size, PAIR_ROWS):
+                    i, j = np.meshgrid(
+                        np.arange(x, min(x + PAIR_ROWS, first + size)),
+                        np.arange(x + 1, first + size), indexing="ij",
+                    )
+                    once = i < j
+                    keep(i[once], j[once])
+        a, b, n = np.concatenate(found, axis=1)
+        return a, b, n
 
 
 def involved(table: pa.Table, settings: Settings) -> pa.Table:
-    """The rows of a block that take part in any pair to be confirmed."""
-    a, b, _ = Block(table, settings).pairs(settings)
-    return table.select(["token", "bi", "bj", "cls"]).take(pa.array(np.unique(np.concatenate([a, b]))))
+    """The rows that take part in any pair to be confirmed."""
+    lists = Lists(table, settings)
+    a, b, _ = lists.pairs()
+    rows = pa.array(np.unique(np.concatenate([a, b])))
+    return lists.table.select(["token", "bi", "bj", "cls"]).take(rows)
 
 
 def joining_links(table: pa.Table, settings: Settings) -> pa.Table:
-    """Confirmed links of a block that join components; the best matches are tried first."""
-    block = Block(table, settings)
-    a, b, n = block.pairs(settings)
-    sets: dict[int, np.ndarray] = {}
-    texts = as_text(table.column("text"))
-    for first in range(0, table.num_rows, 64):
-        for i, s in enumerate(shingle_sets(*buffer_of(texts.slice(first, 64)), settings.width)):
-            sets[first + i] = s
-    root = list(range(int(block.component.max()) + 1))
+    """Confirmed links that join components; the best matches are tried first."""
+    lists = Lists(table, settings)
+    a, b, n = lists.pairs()
+    cls = lists.table.column("cls").to_pylist()
+    texts = as_text(lists.table.column("text"))
+    row_of = {c: i for i, c in enumerate(cls)}
+    rows = pa.array(sorted(row_of.values()))
+    sets: dict[bytes, np.ndarray] = {}
+    for first in range(0, len(rows), 64):
+        some = rows.slice(first, 64)
+        for i, s in zip(some.to_pylist(), shingle_sets(*buffer_of(texts.take(some)), settings.width)):
+            sets[cls[i]] = s
+    root = list(range(int(lists.component.max()) + 1))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -251,16 +288,23 @@ def joining_links(table: pa.Table, settings: Settings) -> pa.Table:
     links = []
     for i in np.argsort(-n, kind="stable").tolist():
         x, y = int(a[i]), int(b[i])
-        u, v = find(int(block.component[x])), find(int(block.component[y]))
-        if u != v and alike(sets[x], sets[y], settings.percent):
+        u, v = find(int(lists.component[x])), find(int(lists.component[y]))
+        if u != v and alike(sets[cls[x]], sets[cls[y]], settings.percent):
             root[u] = v
-            links.append((block.cls[x], block.cls[y]))
+            links.append((cls[x], cls[y]))
     return pa.table(
         {"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())}
     )
 
 
-def open_lists(lists: DataFrame, tokens: DataFrame, known: DataFrame, chosen: DataFrame, settings: Settings) -> DataFrame:
+def dealt_to_tasks(blocks: DataFrame, settings: Settings) -> DataFrame:
+    """Blocks with the ``task`` that compares them: bounded numbers of rows and shingles."""
+    size = blocks.agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")).first()
+    n = max(1, -(-size["n"] // settings.task_rows), -(-(size["shingles"] or 0) // settings.block_shingles))
+    return blocks.withColumn("task", F.pmod(F.xxhash64("token", "bi", "bj"), F.lit(n)))
+
+
+def open_lists(lists: DataFrame, known: DataFrame, chosen: DataFrame, settings: Settings) -> DataFrame:
     """Blocks (token, bi, bj) of the lists that still hold several components.
 
     The component of a list's typical class is its main side; main classes are compared
@@ -268,11 +312,8 @@ def open_lists(lists: DataFrame, tokens: DataFrame, known: DataFrame, chosen: Da
     """
     label = known.select(F.col("node").alias("cls"), "component")
     named = lists.join(label, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    main = tokens.join(label.toDF("pivot", "main"), "pivot", "left").select(
-        "token", F.coalesce("main", "pivot").alias("main")
-    )
+    main = named.filter("cls = pivot").select("token", F.col("component").alias("main"))
     sided = named.join(main, "token").withColumn("other", F.col("component") != F.col("main"))
-    sided = stored(sided.drop("main"), "sided")
     many = lambda side: F.greatest(
         F.ceil(F.sum(F.when(side, 1).otherwise(0)) / settings.block_rows),
         F.ceil(F.sum(F.when(side, F.col("n_shingles")).otherwise(0)) / settings.block_shingles),
@@ -294,7 +335,7 @@ def open_lists(lists: DataFrame, tokens: DataFrame, known: DataFrame, chosen: Da
     ).otherwise(F.transform(others(), lambda i: block(F.col("part"), i)))
     spread = rows.select("token", "cls", "component", "part", F.explode(mine).alias("b"))
     spread = spread.select("token", "b.bi", "b.bj", "cls", "component", "part")
-    return spread.join(chosen.select("cls", "signature", "mask"), "cls")
+    return spread.join(chosen.select("cls", "n_shingles", "signature", "mask"), "cls")
 
 
 def linked_classes(docs: DataFrame, rows: DataFrame, settings: Settings) -> DataFrame:
@@ -304,24 +345,25 @@ def linked_classes(docs: DataFrame, rows: DataFrame, settings: Settings) -> Data
     tokens = posted.groupBy("token").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.struct("score", "cls")).alias("best")
     ).filter("n > 1").select("token", F.col("best.cls").alias("pivot"))
-    tokens = stored(tokens, "tokens")
-    lists = stored(posted.join(tokens.select("token"), "token").select("token", "cls", "n_shingles"), "postings")
-    pairs = star_pairs(lists, tokens, chosen, settings)
+    lists = stored(posted.join(tokens, "token").select("token", "cls", "n_shingles", "pivot"), "postings")
     texts = texts_of(docs, chosen.join(lists.select("cls").distinct(), "cls", "left_semi"))
+    pairs = star_pairs(lists, chosen, settings)
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
     confirmed = both.select("a", "b", "ta", "tb").mapInArrow(
         lambda b: confirm(b, settings), "a binary, b binary"
     )
-    star = stored(confirmed, "star")
-    known = components(star)
-    blocks = stored(open_lists(lists, tokens, known, chosen, settings), "blocks")
-    group = ["token", "bi", "bj"]
-    needed = blocks.groupBy(*group).applyInArrow(
+    known = components(confirmed)
+    blocks = stored(open_lists(lists, known, chosen, settings), "blocks")
+    dealt = dealt_to_tasks(blocks, settings)
+    needed = dealt.groupBy("task").applyInArrow(
         lambda t: involved(t, settings), "token long, bi int, bj int, cls binary"
     )
-    with_text = blocks.join(needed, [*group, "cls"]).join(texts, "cls")
-    rest = with_text.groupBy(*group).applyInArrow(lambda t: joining_links(t, settings), "a binary, b binary")
-    return components(stored(rest, "rest").unionByName(star))
+    remaining = dealt.join(needed, ["token", "bi", "bj", "cls"]).join(texts, "cls")
+    rest = remaining.groupBy("task").applyInArrow(
+        lambda t: joining_links(t, settings), "a binary, b binary"
+    )
+    # What the star pass linked goes on as links to the least class of each component.
+    return components(rest.unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
 def labelled(docs: DataFrame, rows: DataFrame, settings: Settings) -> DataFrame:

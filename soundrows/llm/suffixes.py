@@ -362,7 +362,8 @@ def stretch_rows(unit_table: pa.Table, told: pa.Table, plan: Plan) -> pa.Table:
     lengths = np.diff(np.r_[firsts, len(suffixes)])
     offset = np.arange(len(suffixes)) - np.repeat(firsts, lengths)
     values = mix(np.add.reduceat(prints * WEIGHTS[0][offset], firsts) + lengths.astype(np.uint64))
-    rest = mix(np.add.reduceat(prints * WEIGHTS[1][offset], firsts)) >> np.uint64(32)
+    rest = np.add.reduceat(prints * WEIGHTS[1][offset], firsts)
+    rest = mix(rest + unit.fingerprints(suffixes[firsts], plan.length, 2)) >> np.uint64(32)
     return entry_rows(unit, suffixes[firsts], lengths, values, rest.astype(np.uint32), plan.stretch_buckets)
 
 

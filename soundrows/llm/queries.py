@@ -69,7 +69,7 @@ def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)
 
 
-@query("op5_suffix_dedup")
+@query("op5_suffix_dedup", sql.SUFFIXES)
 def op5_suffix_dedup(spark, folder):
     return suffixes.digest(suffixes.deduplicated(table(spark, folder, "documents")))
 

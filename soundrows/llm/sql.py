@@ -146,3 +146,29 @@ reach(doc_id, other) AS (
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id, d.doc_id = min(other) AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id) GROUP BY d.doc_id, n
 """
+
+SUFFIXES = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+starts AS (
+  SELECT doc_id, unnest(range(0, n - 49)) AS p,
+    unnest(list_transform(range(0, n - 49), lambda i: substr(h, 2 * i + 1, 100))) AS g
+  FROM d WHERE n >= 50),
+least AS (SELECT g, min(doc_id) AS first FROM starts GROUP BY g),
+hit AS (SELECT doc_id, p FROM starts JOIN least USING (g) WHERE first < doc_id),
+bytes AS (
+  SELECT doc_id, unnest(range(0, n)) AS p, unnest(list_transform(range(0, n), lambda i: substr(h, 2 * i + 1, 2))) AS byte
+  FROM d WHERE doc_id IN (SELECT doc_id FROM hit)),
+covered AS (
+  SELECT b.doc_id, b.p, byte,
+    max(CASE WHEN hit.p IS NULL THEN 0 ELSE 1 END)
+      OVER (PARTITION BY b.doc_id ORDER BY b.p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+  FROM bytes b LEFT JOIN hit ON hit.doc_id = b.doc_id AND hit.p = b.p),
+edges AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), 0) = 0 AS begins FROM covered),
+sums AS (
+  SELECT doc_id, sum(gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans,
+    coalesce(string_agg(byte, '' ORDER BY p) FILTER (WHERE gone = 0), '') AS kept
+  FROM edges GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id)
+"""

@@ -29,6 +29,9 @@ Defined results for odd input: a NULL or empty text has no bytes; texts shorter
 ``length`` lose nothing; a document without an id loses nothing and takes nothing from
 others; documents with equal ids do not take from each other; an empty table gives an empty
 result; extra columns are ignored.
+
+The result reads the table of units, which stays in the session's catalog until
+``drop_units`` removes it.
 """
 
 from __future__ import annotations
@@ -53,6 +56,7 @@ from soundrows.session import scratch_path, stored
 COVERS = {31: (1, 5, 11, 24, 25, 27), 13: (0, 1, 3, 9), 7: (0, 1, 3), 1: (0,)}
 LEAST_NAME = 20
 UNIT_BYTES = 4 << 20
+UNITS = "soundrows_units_"
 BUCKET_ENTRIES = 2 << 20
 SPARE_BITS = 9  # short fingerprints have this many bits more than needed to count them
 ANCHOR_MASK = np.uint64(31)  # a stretch begins where a fingerprint's low bits are zero
@@ -475,12 +479,19 @@ def units_table(docs: DataFrame, unit_bytes: int) -> DataFrame:
         "unit long, ids array<long>, lengths array<long>, data binary, n_bytes long",
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"soundrows_units_{uuid.uuid4().hex}"
+    name = f"{UNITS}{uuid.uuid4().hex}"
     writer = packed.write.bucketBy(n, "unit").option("compression", "zstd")
     writer.option("path", scratch_path(spark, "units")).saveAsTable(name)
     return spark.table(name)
 
 
+def drop_units(spark) -> None:
+    """Forget the tables of units of earlier runs (their files are the owner's to remove)."""
+    for found in spark.catalog.listTables():
+        if found.name.startswith(UNITS):
+            spark.sql(f"DROP TABLE IF EXISTS {found.name}")
+
+
 def deduplicated(
     docs: DataFrame,
     length: int = 50,

@@ -92,3 +92,11 @@ def test_covers_and_code():
             values = np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64) >> np.uint64(max(0, 63 - bits)))
             low, packed = suffixes.pack(values, bits)
             assert (suffixes.unpack(n, low, packed) == values).all()
+
+
+def test_units_can_be_dropped(spark):
+    suffixes.deduplicated(documents(spark, ["a", "b"])).collect()
+    names = lambda: [t.name for t in spark.catalog.listTables() if t.name.startswith(suffixes.UNITS)]
+    assert names()
+    suffixes.drop_units(spark)
+    assert not names()

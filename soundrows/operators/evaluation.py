@@ -12,6 +12,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -204,7 +205,8 @@ class Evaluation:
             s for s in self.key_sets
             if any(rule.severity in severities for _, rule in s.rules)
         ]
-        measured = [self.verdicts(key_set) for key_set in wanted]
+        with ThreadPoolExecutor(max_workers=max(len(wanted), 1)) as pool:
+            measured = list(pool.map(self.verdicts, wanted))  # independent jobs
         rows = self.table if table is None else table
         identity = ()
         if any(size > self.limits.broadcast_bytes for _, size in measured):

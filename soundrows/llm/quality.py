@@ -4,9 +4,11 @@ Everything is DataFrame expressions; no Python runs on rows.
 
 Line rules: a line fails when it has words and
 * punctuation: no sentence mark anywhere in it, or symbols and doubled marks instead,
-* shouting: capitals without a single small letter,
+* shouting: capitals without a single small letter or letter of a script without case,
 * navigation: entries between bars, arrows or bullets,
-* boilerplate: a phrase of notices, menus and scripts.
+* boilerplate: a phrase of notices, menus and scripts, as whole words.
+Symbols, navigation and boilerplate count by the length of the line, so a paragraph in one
+line is not judged by three marks or one phrase somewhere in it.
 Lines without words stay (they separate paragraphs).  A document is kept when it passes the
 base rules and the cleaned text still holds ``least_kept`` of its word characters.
 
@@ -34,13 +36,18 @@ WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # per cent of the words
 
-SENTENCE = r"[.!?…。]"
-SYMBOL_WORDS = r"(?:[#*$%&]{2,}[^#*$%&]*){3}|[!?]{2,}(?:[^!?]*[!?]{2,}){2}"
-SHOUTING = r"^[^a-z]*[A-Z]{2}[^a-z]*$"
-NAVIGATION = r"(?:[|»›>•][^|»›>•]*){3}"
-BOILERPLATE = (
-    "licensed under ",
-    "released under ",
+SENTENCE = r"[.!?…。！？．।॥؟۔։።]"
+#: Capitals, and no small letter or letter without case (Chinese, Arabic, ...) anywhere.
+SHOUTING = r"^[[^\p{Ll}\p{Lo}]ªº]*\p{Lu}{2}[[^\p{Ll}\p{Lo}]ªº]*$"
+EMPHASIS = r"(\*{2,3})(?=[^\s*])([^*]*[^\s*])\1"  # **bold** words of prose
+SYMBOL_WORDS = r"[#*$%&]{2,}"
+DOUBLED_MARKS = r"[!?]{2,}"
+BARS = r"[|>•]"
+ARROWS = r"(?<=\s)[»›](?=\s)"
+GUILLEMETS = r"[«‹]"
+NOTICES = (
+    "licensed under",
+    "released under",
     "all rights reserved",
     "privacy policy",
     "terms of use",
@@ -52,15 +59,37 @@ BOILERPLATE = (
     "enable javascript",
     "requires javascript",
     "lorem ipsum",
-    "click here",
-    "read more",
-    "sign in",
-    "log in to",
     "subscribe to our",
-    "powered by ",
     "©",
     "&copy;",
 )
+MENUS = ("click here", "read more", "sign in", "log in to", "powered by")
+
+
+@dataclass(frozen=True)
+class Dense:
+    """Marks that a line may not hold ``least`` times and once per ``chars`` characters.
+
+    A mark in short lines is one entry of a menu; the same mark in a long paragraph is not.
+    What ``ignored`` matches is taken out first; a line that ``unless`` matches is not judged.
+    """
+
+    mark: str
+    least: int
+    chars: int
+    ignored: str = ""
+    unless: str = ""
+
+
+@dataclass(frozen=True)
+class Phrases:
+    """Phrases in small letters that a line may not hold once per ``chars`` characters.
+
+    They count as whole words, so "design in Milan" does not hold "sign in".
+    """
+
+    phrases: tuple[str, ...]
+    chars: int
 
 
 @dataclass(frozen=True)
@@ -68,8 +97,14 @@ class Rules:
     """Line rules, and the share of word characters that must remain in a document."""
 
     needed: tuple[str, ...] = (SENTENCE,)  # a line without a match fails
-    failing: tuple[str, ...] = (SYMBOL_WORDS, SHOUTING, NAVIGATION)  # a line with one fails
-    phrases: tuple[str, ...] = BOILERPLATE  # in small letters; a line with one fails
+    failing: tuple[str, ...] = (SHOUTING,)  # a line with one fails
+    dense: tuple[Dense, ...] = (
+        Dense(SYMBOL_WORDS, 3, 25, ignored=EMPHASIS),
+        Dense(DOUBLED_MARKS, 3, 25),
+        Dense(BARS, 3, 25),
+        Dense(ARROWS, 3, 25, unless=GUILLEMETS),
+    )
+    phrases: tuple[Phrases, ...] = (Phrases(NOTICES, 200), Phrases(MENUS, 60))
     least_kept: float = 0.5
 
 
@@ -137,14 +172,37 @@ def fails(line: Column, rules: Rules) -> Column:
         bad = bad | ~line.rlike(pattern)
     for pattern in rules.failing:
         bad = bad | line.rlike(pattern)
-
-    def phrase(lower: Column) -> Column:
-        found = F.lit(False)
-        for words in rules.phrases:
-            found = found | lower.contains(words)
-        return found
-
-    return bad | let(F.lower(line), phrase)
+    for rule in rules.dense:
+        bad = bad | too_dense(line, rule)
+    return bad | let(F.lower(line), lambda lower: says_too_much(lower, rules.phrases))
+
+
+def once_per(marks: Column, line: Column, least: int, chars: int) -> Column:
+    return let(marks, lambda n: (n >= least) & (n * chars >= F.length(line)))
+
+
+def too_dense(line: Column, rule: Dense) -> Column:
+    """Only lines with enough marks in any spacing are counted."""
+    some = line.rlike(rf"(?s)(?:{rule.mark}.*?){{{rule.least}}}")
+    if rule.unless:
+        some = some & ~line.rlike(rule.unless)
+    left = F.regexp_replace(line, rule.ignored, "$2") if rule.ignored else line
+    return some & once_per(F.regexp_count(left, F.lit(rule.mark)), line, rule.least, rule.chars)
+
+
+def says_too_much(lower: Column, groups: tuple[Phrases, ...]) -> Column:
+    """Only lines with a phrase as a substring meet the pattern of whole words."""
+    out = F.lit(False)
+    for group in groups:
+        some = F.lit(False)
+        for phrase in group.phrases:
+            some = some | lower.contains(phrase)
+        whole = "|".join(
+            rf"(?<![\p{{L}}\p{{N}}_]){p}(?![\p{{L}}\p{{N}}_])" if p[0].isalpha() else p
+            for p in group.phrases
+        )
+        out = out | (some & once_per(F.regexp_count(lower, F.lit(whole)), lower, 1, group.chars))
+    return out
 
 
 def has_word(line: Column) -> Column:

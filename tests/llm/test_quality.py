@@ -66,6 +66,35 @@ def test_lines_and_verdicts(spark):
     assert rows[3].n_bad_lines == 1 and rows[3].cleaned == good + "\n"
 
 
+CLEAN = [
+    "The plan was written in terms of user needs, and the design in Milan spread more quickly than anyone on the small team had expected at first.",
+    "Il a dit « oui », puis « non », puis « peut-être », et enfin « jamais » avant de partir de la maison avec son frère et sa petite sœur hier soir.",
+    "Hon sade »ja» och sedan »nej» och sedan »kanske» innan hon gick hem till sin bror och sin lilla syster som väntade på henne hela kvällen i går.",
+    "This is a **bold** move and a **brave** one for the whole team, which had waited for years until somebody took the first step in public.",
+    "中国 的 GDP 在 去年 增长 了 很多 ， 专家 认为 这 一 趋势 将 继续 下去 ， 但是 也 有 一些 风险 需要 注意 。",
+    "Страны НАТО и ВОЗ обсудили новый договор о помощи, который должен вступить в силу в начале следующего года после долгих переговоров всех сторон в Женеве.",
+    "भारत की GDP पिछले साल बहुत बढ़ी और जानकार मानते हैं कि यह रुझान आगे भी जारी रहेगा लेकिन कुछ जोखिम भी हैं जिन पर ध्यान देना होगा।",
+    "He wanted to sign in at the desk of the hotel, but the clerk told him to read more of the small print first, and so he sat down in the hall and did.",
+    "The engineers compared the ratio a > b with b > c and then with c > d over many years of records, and they found that the order never changed at all in any of the stations.",
+]
+
+
+def test_clean_documents_of_one_line_stay(spark):
+    rows = {r.doc_id: r for r in quality.judged(documents(spark, CLEAN)).collect()}
+    assert [i for i in range(len(CLEAN)) if not rows[i].kept] == []
+    assert all(rows[i].cleaned == text for i, text in enumerate(CLEAN))
+
+
+def test_short_and_dense_lines_go(spark):
+    bad = [
+        "Home » News » Sport » Football.", "Start › Shop › Schuhe › Rot.", "КУПИТЕ СЕЙЧАС НАТО!", "OFERTA Nº 1 HOY!",
+        "Click here to sign in.", "READ MORE... or read more.", "© 2020 Somebody.", "*** $$$ ### now.",
+        "Accept all cookies. Privacy policy. Terms of use. Cookie settings. " * 5,
+    ]
+    [row] = quality.judged(documents(spark, ["\n".join([*bad, CLEAN[0]])])).collect()
+    assert row.cleaned == CLEAN[0] and row.n_bad_lines == len(bad)
+
+
 def test_cleaned_keeps_columns_and_length(spark):
     rng = random.Random(5)
     good = sentences(8, rng)

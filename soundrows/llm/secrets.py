@@ -5,7 +5,9 @@ entropy: a candidate is a run of at least ``window`` characters of one character
 window slides over it while counts of its characters are updated by the one that enters
 and the one that leaves, which gives the Shannon entropy at every place.  Windows at or
 above the threshold of the class are united to spans.  A candidate that an allow pattern
-matches as a whole (plain words, numbers, paths, placeholders) is passed over.
+matches as a whole (plain words, numbers, paths, placeholders) is passed over.  An entropy
+span is left out only where spans of known formats cover all of it; one that reaches beyond
+them is reported whole, beside them.
 
 Scale: one scan, no shuffle, memory follows the longest text.  A clean text costs a few
 vector operations per byte; only candidates meet Python code.
@@ -158,7 +160,7 @@ class Scanner:
         for first, kind, last in self.dense(data, offsets):
             i = int(np.searchsorted(offsets, first, "right")) - 1
             a, b = first - int(offsets[i]), last - int(offsets[i])
-            if all(b <= start or end <= a for start, _, end in base[i]):
+            if not inside_spans(a, b, base[i]):
                 per_text[i].append((a, kind, b))
         for i, found in enumerate(per_text):
             if found:
@@ -168,6 +170,14 @@ class Scanner:
         return per_text
 
 
+def inside_spans(a: int, b: int, spans) -> bool:
+    """Do the spans together cover every place from a to b?"""
+    for start, _, end in sorted(spans, key=lambda span: span[0]):
+        if start <= a < end:
+            a = end
+    return a >= b
+
+
 def renumbered(patterns) -> list[str]:
     """Back-references count from 1 in each pattern; move them to their joint place."""
     out, groups = [], 0

@@ -1,13 +1,16 @@
 """Secret scans: known formats, and windows of high entropy in unknown strings.
 
 Known formats are found by patterns (kinds assign, access, hex).  Everything else goes by
-entropy: a candidate is a run of at least ``window`` characters of one character class; a
-window slides over it while counts of its characters are updated by the one that enters
-and the one that leaves, which gives the Shannon entropy at every place.  Windows at or
-above the threshold of the class are united to spans.  A candidate that an allow pattern
-matches as a whole (plain words, numbers, paths, placeholders) is passed over.  An entropy
-span is left out only where spans of known formats cover all of it; one that reaches beyond
-them is reported whole, beside them.
+entropy: a candidate is a run of at least ``least`` base64 characters; a window slides over
+it while counts of its characters are updated by the one that enters and the one that
+leaves, which gives the Shannon entropy at every place.  A window is dense at ``share`` of
+the entropy that random characters of its class have in a window of its length: short
+candidates and small alphabets are held against less.  Dense windows that consist mostly of
+plain parts (words by their letter pairs, numbers, matches of the allow patterns) are passed
+over; all others are united to spans, which reach on to the next plain part or separator.
+An allow pattern thus hides only what it matches, not the key beside it.  An entropy span is
+left out only where spans of known formats cover all of it; one that reaches beyond them is
+reported whole, beside them.
 
 Scale: one scan, no shuffle, memory follows the longest text.  A clean text costs a few
 vector operations per byte; only candidates meet Python code.
@@ -22,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,49 +50,133 @@ KINDS = ("assign", "access", "hex", "entropy")
 LOWER_TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+#: Letter pairs of words: a vowel beside a frequent consonant, and common clusters.
+PAIRS = frozenset(
+    [v + c for v in "aeiou" for c in "bcdfglmnprstv"]
+    + [c + v for v in "aeiou" for c in "bcdfghlmnprstv"]
+    + (
+        "th he ch sh ck st nd nt ng rt rs rd ld lt ll ss tt ff pp mm nn rr ee oo ou ea ai ei ie"
+        " io ia ue au eu sc sp tr pr br cr dr gr fr pl bl cl fl gl ct pt ns ts ls ks mp ph wh ft"
+        " ly ty ry ny my ay ey by wa we wi wo ow aw ew ke ki ka ak ek ik ok ic je jo ju ja ze zu"
+        " tz tw sw sk rn rm rk rl rg rb ht hl hr hn ms lm gs gh cc sl sm sn qu ex ax ve iv av nk kn wn oa ds"
+    ).split()
+)
+PLAIN_PAIRS = 0.68  # of the pairs of a word
+SEPARATORS = "+/_=-"
+SEGMENT = re.compile(r"[A-Za-z0-9]+")
+HUMP = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]")
+LEAST_HUMP = 4  # shorter parts of a segment say nothing
+NUMBERED = re.compile(r"[A-Za-z]{1,3}[0-9]{0,3}|[0-9]{1,4}[a-z][0-9]{0,4}")  # v2, en, 1024x768
+
+
+@lru_cache
+def expected_entropy(window: int, alphabet: int) -> float:
+    """Mean Shannon entropy of a window of random characters of the alphabet."""
+    p = 1 / alphabet
+    mean = sum(
+        math.comb(window, c) * p**c * (1 - p) ** (window - c) * c * math.log2(c)
+        for c in range(1, window + 1)
+    )
+    return math.log2(window) - alphabet * mean / window
+
+
 @dataclass(frozen=True)
 class CharacterClass:
-    """Characters of a candidate, as a regular expression set, and its entropy threshold."""
+    """Characters of a window, as a regular expression set, and the size of their alphabet."""
 
     name: str
     members: str
-    threshold: float
+    alphabet: int
 
     def table(self) -> np.ndarray:
         pattern = re.compile(f"[{self.members}]")
         return np.array([b < 128 and bool(pattern.match(chr(b))) for b in range(256)])
 
+    def threshold(self, window: int, share: float) -> float:
+        return share * expected_entropy(window, self.alphabet)
+
 
 @dataclass(frozen=True)
 class Entropy:
-    """Settings of the entropy search."""
+    """Settings of the entropy search; a window is of the first class that has all of it."""
 
     window: int = 20
+    least: int = 16  # a shorter run is no candidate; a run below the window is one window
+    share: float = 0.88
+    most_plain: float = 0.6  # of the letters and digits of a window
     classes: tuple[CharacterClass, ...] = (
-        CharacterClass("hex", "0-9a-fA-F", 3.0),
-        CharacterClass("base64", "A-Za-z0-9+/_=-", 3.8),
-    )
-    allow: tuple[str, ...] = (
-        r"[A-Za-z]+(?:[-_/=][A-Za-z]*)*",  # words, also joined ones
-        r"[0-9]+(?:[-_/][0-9]+)*",  # numbers, dates
-        r"(?:[A-Za-z0-9_-]{1,15}/)+[A-Za-z0-9_-]{0,15}",  # paths
-        r"(?i:.*(?:example|changeme|placeholder|xxxxxx|000000).*)",
-        r"(.{1,4}?)\1+",  # one short piece again and again
+        CharacterClass("hex", "0-9a-f", 16),
+        CharacterClass("upper hex", "0-9A-F", 16),
+        CharacterClass("lower letters", "a-z+/_=-", 26),
+        CharacterClass("upper letters", "A-Z+/_=-", 26),
+        CharacterClass("lower", "a-z0-9+/_=-", 36),
+        CharacterClass("upper", "A-Z0-9+/_=-", 36),
+        CharacterClass("letters", "A-Za-z+/_=-", 52),
+        CharacterClass("base64", "A-Za-z0-9+/_=-", 64),
     )
+    allow: tuple[str, ...] = (r"(?i:example|changeme|placeholder|x{6,}|0{6,})",)  # what they match
 
 
 DEFAULT_ENTROPY = Entropy()
 
 
-def dense_windows(candidate: bytes, window: int, threshold: float) -> list[tuple[int, int]]:
+@lru_cache(4096)
+def is_word(letters: str) -> bool:
+    """Do the pairs of the letters look like those of words?"""
+    low = letters.lower()
+    pairs = [low[i : i + 2] in PAIRS for i in range(len(low) - 1)]
+    return sum(pairs) >= PLAIN_PAIRS * len(pairs)
+
+
+def plain_places(candidate: str, allowed: re.Pattern | None) -> bytearray:
+    """Flags: 1 inside words, numbers and allowed parts, 0 elsewhere; separators are 2."""
+    out = bytearray(2 if c in SEPARATORS else 0 for c in candidate)
+
+    def mark(first: int, last: int) -> None:
+        for i in range(first, last):
+            out[i] = out[i] or 1
+
+    for segment in SEGMENT.finditer(candidate):
+        if segment[0].isdigit() or NUMBERED.fullmatch(segment[0]):
+            mark(*segment.span())
+        else:
+            for hump in HUMP.finditer(candidate, *segment.span()):
+                if hump.end() - hump.start() >= LEAST_HUMP and is_word(hump[0]):
+                    last = hump.end()
+                    while last < segment.end() and candidate[last].isdigit():
+                        last += 1  # the number of a word: readme3, but no key of digits
+                    mark(hump.start(), last if last - hump.end() <= 4 else hump.end())
+    for part in allowed.finditer(candidate) if allowed else ():
+        mark(*part.span())
+    return out
+
+
+def reaching(plain: bytearray, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans, each up to the next plain part or separator, united."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        while a > 0 and not plain[a - 1]:
+            a -= 1
+        while b < len(plain) and not plain[b]:
+            b += 1
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def dense_windows(candidate: bytes, window: int, threshold) -> list[tuple[int, int]]:
     """United windows of the candidate whose entropy reaches the threshold.
 
+    The threshold is a number, or a function of the start of a window.
+
     The entropy of a window of n characters is log2(n) - sum(c * log2(c)) / n over its
     character counts c; the sum changes by one count up and one count down per step.
     """
     n = window
     term = [0.0] + [c * math.log2(c) for c in range(1, n + 1)]
-    most = (math.log2(n) - threshold) * n + 1e-9  # the sum must not exceed this
+    at = threshold if callable(threshold) else lambda first: threshold
     counts = [0] * 256
     total = 0.0
     spans: list[tuple[int, int]] = []
@@ -100,8 +188,8 @@ def dense_windows(candidate: bytes, window: int, threshold: float) -> list[tuple
             c = counts[candidate[i - n]]
             total += term[c - 1] - term[c] if c <= n else 0.0
             counts[candidate[i - n]] = c - 1
-        if i >= n - 1 and total <= most:
-            first = i - n + 1
+        first = i - n + 1
+        if first >= 0 and total <= (math.log2(n) - at(first)) * n + 1e-9:
             if spans and first <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], i + 1)
             else:
@@ -114,8 +202,10 @@ class Scanner:
 
     def __init__(self, entropy: Entropy):
         self.entropy = entropy
-        self.tables = [(c, c.table()) for c in entropy.classes]
-        self.allowed = re.compile("|".join(f"(?:{p})" for p in renumbered(entropy.allow)))
+        tables = [c.table() for c in entropy.classes]
+        self.members = np.logical_or.reduce(tables)
+        self.classes = [(c, bytes(np.flatnonzero(t).astype(np.uint8))) for c, t in zip(entropy.classes, tables)]
+        self.allowed = re.compile("|".join(f"(?:{p})" for p in entropy.allow)) if entropy.allow else None
 
     def known(self, text: bytes) -> list[tuple[int, int, int]]:
         """Spans (start, kind, end) in bytes of the kinds that need a pattern."""
@@ -131,23 +221,32 @@ class Scanner:
                     found.append((m.start(), 1, m.end()))
         return found
 
+    def secret_windows(self, candidate: bytes) -> list[tuple[int, int]]:
+        """United dense windows of a candidate that are not plain."""
+        plain = plain_places(candidate.decode("ascii"), self.allowed)
+        if 0 not in plain:
+            return []
+        n = min(self.entropy.window, len(candidate))
+        lowest = {
+            members: c.threshold(n, self.entropy.share) for c, members in self.classes
+        }
+
+        def threshold(first: int) -> float:
+            here = plain[first : first + n]
+            if here.count(1) > self.entropy.most_plain * (n - here.count(2)):
+                return math.inf
+            window = candidate[first : first + n]
+            return next((t for m, t in lowest.items() if not window.translate(None, m)), math.inf)
+
+        return reaching(plain, dense_windows(candidate, n, threshold))
+
     def dense(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
-        """Entropy spans of a whole piece, united over the classes."""
+        """Entropy spans of a whole piece."""
         found = []
-        for kind, table in self.tables:
-            for first, last in zip(*(x.tolist() for x in runs(data, offsets, table, self.entropy.window))):
-                candidate = data[first:last].tobytes()
-                if not self.allowed.fullmatch(candidate.decode("ascii")):
-                    for a, b in dense_windows(candidate, self.entropy.window, kind.threshold):
-                        found.append((first + a, 3, first + b))
-        found.sort()
-        united: list[tuple[int, int, int]] = []
-        for span in found:
-            if united and span[0] < united[-1][2]:
-                united[-1] = (united[-1][0], 3, max(united[-1][2], span[2]))
-            else:
-                united.append(span)
-        return united
+        for first, last in zip(*(x.tolist() for x in runs(data, offsets, self.members, self.entropy.least))):
+            for a, b in self.secret_windows(data[first:last].tobytes()):
+                found.append((first + a, 3, first + b))
+        return found
 
     def spans(self, data: np.ndarray, offsets: np.ndarray):
         """Per text the sorted spans (start, kind, end) in code points."""
@@ -178,15 +277,6 @@ def inside_spans(a: int, b: int, spans) -> bool:
     return a >= b
 
 
-def renumbered(patterns) -> list[str]:
-    """Back-references count from 1 in each pattern; move them to their joint place."""
-    out, groups = [], 0
-    for pattern in patterns:
-        out.append(re.sub(r"\\([1-9])", lambda m, g=groups: f"\\{int(m[1]) + g}", pattern))
-        groups += re.compile(pattern).groups
-    return out
-
-
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
 

@@ -96,6 +96,29 @@ def test_secrets_that_touch_a_known_format_are_redacted_whole(spark):
     assert spans[0] == "hex:2:18,entropy:2:47" and spans[3] == "hex:2:34"
 
 
+def test_random_keys_of_every_class_are_found():
+    """Before, up to 38 of a hundred keys of 20 characters and all shorter ones were missed."""
+    rng, scanner = random.Random(2), secrets.Scanner(secrets.DEFAULT_ENTROPY)
+    small, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = [small + digits, (small + digits).upper(), small + small.upper(), small + small.upper() + digits + "+/"]
+    for alphabet in alphabets:
+        for n, most in ((16, 8), (20, 5), (24, 3), (32, 1)):
+            keys = ["".join(rng.choice(alphabet) for _ in range(n)).encode() for _ in range(500)]
+            assert sum(not scanner.secret_windows(k) for k in keys) <= most * 5, (alphabet, n)
+    assert scanner.secret_windows(b"a/example/q8Zr1Xw0Lk3Vn7Tb5Yd2")[-1][1] == 30
+    assert scanner.secret_windows(b"q8Zr1Xw0Lk3Vn7Tb/changeme") and scanner.secret_windows(b"q8Zr1Xw0Lk3/n7Tb5Yd2")
+
+
+def test_words_paths_and_names_are_no_secrets():
+    scanner = secrets.Scanner(secrets.DEFAULT_ENTROPY)
+    names = [
+        "AbstractSingletonProxyFactoryBean", "get_user_name_from_database_by_id", "Geschwindigkeitsbegrenzung",
+        "org/apache/spark/sql/catalyst/expressions", "wp-content/uploads/2019/05/header-image-1024x768",
+        "IMG_20190203_123456_final", "anticonstitutionnellement", "=" * 40, "hunter2hunter2hunter2", "x" * 60,
+    ]
+    assert [n for n in names if scanner.secret_windows(n.encode())] == []
+
+
 def test_redact_keeps_rows_and_columns(spark):
     frame = documents(spark, TEXTS).selectExpr("doc_id", "text", "length(text) spans", "1 c0")
     out = {r.doc_id: r for r in secrets.redact(frame, length="spans").collect()}

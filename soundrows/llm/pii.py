@@ -59,6 +59,10 @@ SCRIPTS = {
     "greek": ("αβγδεζηθικλμνξοπρστυφχψω", "βγδκλμνπρστφ", "αεηιο", ("α", "ος", "η")),
 }
 MOST_DRAWS = 64
+#: What a telephone number keeps: the country's digits, or the zeros of a national number.
+KEPT_DIGITS = (
+    r"^(?:\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})|0+)"
+)
 
 
 def type_of(mention: Column) -> Column:
@@ -84,7 +88,8 @@ def gender_of(mention: Column) -> Column:
 def canonical(kind: Column, mention: Column) -> Column:
     """What all spellings of an entity share.  A person's gender belongs to it."""
     return (
-        F.when(kind.isin("phone", "card"), F.regexp_replace(mention, "[^0-9]", ""))
+        F.when(kind == "card", F.regexp_replace(mention, "[^0-9]", ""))
+        .when(kind == "phone", F.regexp_replace(mention, r"[^0-9+]", ""))
         .when(kind == "person", F.concat(gender_of(mention), F.lit(":"), F.lower(without_title(mention))))
         .otherwise(F.lower(mention))
     )
@@ -156,6 +161,12 @@ def card_surrogate(digits: Column, hex_digits: Column) -> Column:
     )
 
 
+def phone_surrogate(number: Column, hex_digits: Column) -> Column:
+    """The country stays, so that the checked value is the one that is written."""
+    kept = F.regexp_extract(number, KEPT_DIGITS, 0)
+    return F.concat(kept, restyled(number.substr(F.length(kept) + 1, F.length(number)), hex_digits))
+
+
 def email_surrogate(address: Column, key: str, draw: Column, hex_digits: Column) -> Column:
     """The local part by the address, the domain by itself; the top level stays."""
     local = F.substring_index(address, "@", 1)
@@ -215,12 +226,12 @@ def surrogate(key: str, kind: Column, value: Column, draw: Column) -> Column:
         .when(kind == "ip", ip_surrogate(h))
         .when(kind == "card", card_surrogate(value, h))
         .when(kind == "person", person_surrogate(value, key, draw))
-        .otherwise(restyled(value, h)),
+        .otherwise(phone_surrogate(value, h)),
     )
 
 
-def filled(mention: Column, digits: Column, kept: Column) -> Column:
-    """The mention with its digits after the first ``kept`` replaced in turn."""
+def filled(mention: Column, digits: Column) -> Column:
+    """The mention with its digits replaced in turn."""
     chars = F.split(mention, "")
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"))
 
@@ -228,7 +239,7 @@ def filled(mention: Column, digits: Column, kept: Column) -> Column:
         digit = c.rlike("^[0-9]$")
         n = state["n"] + F.when(digit, 1).otherwise(0)
         return F.struct(
-            F.concat(state["text"], F.when(digit & (n > kept), digits.substr(n, F.lit(1))).otherwise(c)).alias("text"),
+            F.concat(state["text"], F.when(digit, digits.substr(n, F.lit(1))).otherwise(c)).alias("text"),
             n.alias("n"),
         )
 
@@ -248,7 +259,6 @@ def cased(mention: Column, text: Column) -> Column:
 
 def written(kind: Column, mention: Column, new: Column) -> Column:
     """A canonical surrogate in the format of a mention."""
-    country = F.length(F.regexp_extract(mention, r"^\+([0-9]{1,3})(?=[ .(-])", 1))
     title = mention.substr(F.lit(1), F.length(mention) - F.length(without_title(mention)))
     name = F.substring_index(new, ":", -1)
     shouted = without_title(mention).rlike(r"^\P{Ll}+$")
@@ -256,7 +266,7 @@ def written(kind: Column, mention: Column, new: Column) -> Column:
         F.when(kind == "email", cased(mention, new))
         .when(kind == "ip", new)
         .when(kind == "person", F.concat(title, F.when(shouted, F.upper(name)).otherwise(F.initcap(name))))
-        .otherwise(filled(mention, new, F.when(kind == "phone", country).otherwise(0)))
+        .otherwise(filled(mention, F.replace(new, F.lit("+"), F.lit(""))))
     )
 
 

@@ -90,6 +90,16 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
     assert not set(new) & set(mapped)
 
 
+def test_written_phone_numbers_are_distinct(spark):
+    """Four national digits for 400 numbers: most draws collide in what is written."""
+    texts = [f"+999 {i // 100 + 10} {i % 100:02d}" for i in range(400)] + ["+99910 01", "+999 10.01"]
+    rows = out(spark, texts)
+    new = [rows[i].text for i in range(400)]
+    assert all(re.fullmatch(r"\+999 \d\d \d\d", t) for t in new)
+    assert len(set(new)) == 400 and not set(new) & set(texts)
+    assert {re.sub(r"\D", "", rows[i].text) for i in (1, 400, 401)} == {re.sub(r"\D", "", new[1])}
+
+
 @pytest.mark.parametrize("n", [1, 3000])
 def test_long_texts_and_hot_entities(spark, n):
     rows = out(spark, ["word " * 2000 + "ab@example.org " * n] * 3)

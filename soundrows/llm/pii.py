@@ -3,7 +3,8 @@
 Everything is DataFrame expressions; no Python runs on rows.
 
 Entities are e-mail addresses, telephone numbers, card numbers, IPv4 addresses and persons
-named after a title.  An entity's canonical form (digits only, lower case) and a secret key
+named after titles: all their names, initials and particles, and their family names alone
+elsewhere in the same text.  An entity's canonical form (digits only, lower case) and a secret key
 give its surrogate by SHA-256, so every mention of it, in any document and any spelling,
 gets the same one, written in the mention's own format: separators, capitals, country
 codes, issuer digits, valid and invalid check digits, top-level domains, the script of
@@ -46,7 +47,13 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Го
 NEUTRAL = ("Dr", "Prof")
 SPELLINGS = {t for title in (*MALE, *FEMALE, *NEUTRAL) for t in (title, title.upper())}
 TITLES = "|".join(sorted(SPELLINGS, key=lambda t: (-len(t), t)))
-PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
+#: Titles in a chain ("Prof. Dr. med."), with what follows them in small letters.
+TITLED = rf"(?:(?:{TITLES})\.?(?:-Ing\.)? (?:(?:med|phil|rer|nat|jur|pol|oec|theol|habil|h\. ?c)\.? )*)+"
+PARTICLES = "von|van|der|den|dem|de|del|della|di|da|do|dos|das|la|le|du|ten|ter|zu|zur|zum|af|av|bin|ibn|al|el|y|e"
+NO_NAME = rf"(?!(?:{TITLES}|Jr|II|III|IV)(?![\p{{L}}\p{{M}}]))"
+WORD = rf"{NO_NAME}\p{{Lu}}(?:[\p{{L}}\p{{M}}]|['’-](?!s(?!\p{{L}}))\p{{L}})+"
+INITIAL = r"\p{Lu}\.?(?:-?\p{Lu}\.)*"
+PERSON = rf"(?<![\p{{L}}\p{{N}}]){TITLED}(?:(?:{WORD}|{INITIAL}|{PARTICLES}) )*{WORD}"
 # The only group is the card's separator; it comes first so that \1 is right.
 ENTITY = "|".join((CARD, EMAIL, IP, PHONE, PERSON))
 
@@ -68,7 +75,7 @@ KEPT_DIGITS = (
 def type_of(mention: Column) -> Column:
     return (
         F.when(mention.contains("@"), "email")
-        .when(mention.rlike(rf"^(?:{TITLES})\.? "), "person")
+        .when(~mention.rlike("[0-9]"), "person")
         .when(mention.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"), "ip")
         .when(mention.rlike(r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})$"), "card")
         .otherwise("phone")
@@ -76,12 +83,17 @@ def type_of(mention: Column) -> Column:
 
 
 def without_title(mention: Column) -> Column:
-    return F.regexp_replace(mention, rf"^(?:{TITLES})\.? ", "")
+    return F.regexp_replace(mention, f"^{TITLED}", "")
+
+
+def title_of(mention: Column) -> Column:
+    return mention.substr(F.lit(1), F.length(mention) - F.length(without_title(mention)))
 
 
 def gender_of(mention: Column) -> Column:
-    title = F.regexp_extract(mention, rf"^({TITLES})\.? ", 1)
-    told = lambda titles: F.lower(title).isin(*[t.lower() for t in titles])
+    """The gender that any title of the chain tells."""
+    titles = F.split(F.lower(title_of(mention)), "[ .]+")
+    told = lambda some: F.arrays_overlap(titles, F.array(*[F.lit(t.lower()) for t in some]))
     return F.when(told(FEMALE), "f").when(told(MALE), "m").otherwise("n")
 
 
@@ -208,14 +220,22 @@ def name_like(token: Column, hex_digits: Column, syllables: int, ending: Column
 
 
 def person_surrogate(value: Column, key: str, draw: Column) -> Column:
-    """Given and family name each by itself, so that a family name alone gets the same."""
+    """Every name by itself, so that a family name alone gets the same; particles stay."""
     gender, name = F.substring_index(value, ":", 1), F.substring_index(value, ":", -1)
-    given = F.when(name.contains(" "), F.substring_index(name, " ", 1))
     family = F.substring_index(name, " ", -1)
     new_family = name_like(family, stream(key, F.lit("family"), family, draw, F.lit(32)), 4, None)
-    by_given = stream(key, F.concat(F.lit("given"), gender), given, draw, F.lit(32))
-    new_given = F.when(given.isNotNull(), name_like(given, by_given, 2, gender))
-    return F.concat(gender, F.lit(":"), F.concat_ws(" ", new_given, new_family))
+
+    def before(token: Column) -> Column:
+        by_token = stream(key, F.concat(F.lit("given"), gender), token, draw, F.lit(32))
+        return (
+            F.when(token.rlike(rf"^(?:{PARTICLES})$"), token)
+            .when(token.rlike(r"^\p{L}(?:[.-]|$)"), restyled(token, by_token))
+            .otherwise(name_like(token, by_token, 2, gender))
+        )
+
+    tokens = F.split(name, " ")
+    others = F.transform(F.slice(tokens, F.lit(1), F.size(tokens) - 1), before)
+    return F.concat(gender, F.lit(":"), F.array_join(F.concat(others, F.array(new_family)), " "))
 
 
 def surrogate(key: str, kind: Column, value: Column, draw: Column) -> Column:
@@ -257,19 +277,35 @@ def cased(mention: Column, text: Column) -> Column:
     )
 
 
+def named(mention: Column, name: Column) -> Column:
+    """The title, and the names with the mention's capitals; a family name alone is the last."""
+    old = F.split(without_title(mention), " ")
+    new = F.split(name, " ")
+    new = F.slice(new, F.size(new) - F.size(old) + 1, F.size(old))
+
+    def like(m: Column, t: Column) -> Column:
+        return F.when(m.rlike(r"^\P{Ll}+$"), F.upper(t)).when(m == F.lower(m), t).otherwise(F.initcap(t))
+
+    return F.concat(title_of(mention), F.array_join(F.zip_with(old, new, like), " "))
+
+
 def written(kind: Column, mention: Column, new: Column) -> Column:
     """A canonical surrogate in the format of a mention."""
-    title = mention.substr(F.lit(1), F.length(mention) - F.length(without_title(mention)))
-    name = F.substring_index(new, ":", -1)
-    shouted = without_title(mention).rlike(r"^\P{Ll}+$")
     return (
         F.when(kind == "email", cased(mention, new))
         .when(kind == "ip", new)
-        .when(kind == "person", F.concat(title, F.when(shouted, F.upper(name)).otherwise(F.initcap(name))))
+        .when(kind == "person", named(mention, F.substring_index(new, ":", -1)))
         .otherwise(filled(mention, F.replace(new, F.lit("+"), F.lit(""))))
     )
 
 
+def wrapped(pattern: Column | str):
+    """The pattern as one group; the card's separator becomes the second one."""
+    if isinstance(pattern, str):
+        return f"({pattern})".replace("\\1", "\\2")
+    return F.concat(F.lit(wrapped(ENTITY)[:-1]), pattern, F.lit(")"))
+
+
 def mentions(text: Column) -> Column:
     """All mentions of a text in order: array of (type, text, canonical form)."""
 
@@ -279,10 +315,46 @@ def mentions(text: Column) -> Column:
             lambda kind: F.struct(kind.alias("type"), m.alias("text"), canonical(kind, m).alias("value")),
         )
 
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({ENTITY})".replace("\\1", "\\2")), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(wrapped(ENTITY)), F.lit(1))
     return F.transform(found, one)
 
 
+def family_of(value: Column) -> Column:
+    return F.substring_index(F.substring_index(value, ":", -1), " ", -1)
+
+
+def bare_names(found: Column) -> Column:
+    """The pattern of the family names of a text's persons, as an alternative; NULL without."""
+    persons = F.filter(found, lambda m: m["type"] == "person")
+    names = F.flatten(
+        F.transform(
+            persons,
+            lambda m: F.array(
+                F.substring_index(m["text"], " ", -1), F.initcap(family_of(m["value"])), F.upper(family_of(m["value"]))
+            ),
+        )
+    )
+    longest = F.reverse(F.sort_array(F.transform(F.array_distinct(names), lambda n: F.struct(F.length(n), n.alias("n")))))
+    either = F.array_join(F.transform(longest, lambda x: x["n"]), "|")
+    pattern = F.concat(F.lit(r"|(?<![\p{L}\p{N}])(?:"), either, F.lit(r")(?![\p{L}\p{M}\p{N}])"))
+    return F.when(F.size(persons) > 0, pattern)
+
+
+def with_bare_names(text: Column, found: Column, names: Column) -> Column:
+    """All mentions, also family names without a title: those of the first such person."""
+    persons = F.filter(found, lambda m: m["type"] == "person")
+
+    def one(m: Column) -> Column:
+        first = F.filter(persons, lambda p: family_of(p["value"]) == F.lower(m))
+        kind = type_of(m)
+        bare = (kind == "person") & (without_title(m) == m)
+        value = F.coalesce(F.when(bare, F.get(first, F.lit(0))["value"]), canonical(kind, m))
+        return F.struct(kind.alias("type"), m.alias("text"), value.alias("value"))
+
+    every = F.regexp_extract_all(text, wrapped(names), F.lit(1))
+    return F.when(names.isNull(), found).otherwise(F.transform(every, one))
+
+
 def redrawn(entities: DataFrame, key: str) -> DataFrame:
     """Entities (type, value) whose first surrogate collides, with the draw that does not."""
     kind, value = F.col("type"), F.col("value")
@@ -310,7 +382,7 @@ def redrawn(entities: DataFrame, key: str) -> DataFrame:
     raise ValueError(f"no distinct surrogates after {MOST_DRAWS} draws")
 
 
-def rewritten(text: Column, found: Column, key: str, draws: Column) -> Column:
+def rewritten(text: Column, found: Column, names: Column, key: str, draws: Column) -> Column:
     """The text with every mention replaced; ``draws`` has one number per mention."""
     fresh = F.transform(
         F.arrays_zip(found.alias("m"), draws.alias("d")),
@@ -318,7 +390,9 @@ def rewritten(text: Column, found: Column, key: str, draws: Column) -> Column:
             x["m"]["type"], x["m"]["text"], surrogate(key, x["m"]["type"], x["m"]["value"], x["d"])
         ),
     )
-    between = F.split(text, ENTITY, -1)
+    between = F.when(names.isNull(), F.split(text, ENTITY, -1)).otherwise(
+        F.split(text, F.concat(F.lit(ENTITY), names), -1)
+    )
     return F.array_join(
         F.zip_with(between, fresh, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""
     )
@@ -334,9 +408,9 @@ def pseudonymized(docs: DataFrame, key: str, text: str = "text", length: str | N
     own = renamed.column(text)
     marked = renamed.frame.withColumn("_found", mentions(own))
     clean = marked.filter(F.size("_found") == 0)
-    dirty = stored(
-        marked.filter(F.size("_found") > 0).withColumn("_row", F.monotonically_increasing_id()), "mentions"
-    )
+    dirty = marked.filter(F.size("_found") > 0).withColumn("_names", bare_names(F.col("_found")))
+    dirty = dirty.withColumn("_found", with_bare_names(own, F.col("_found"), F.col("_names")))
+    dirty = stored(dirty.withColumn("_row", F.monotonically_increasing_id()), "mentions")
     flat = dirty.select("_row", F.posexplode("_found").alias("_place", "_m"))
     flat = flat.select("_row", "_place", "_m.type", "_m.value")
     entities = flat.select("type", "value").distinct()
@@ -351,7 +425,7 @@ def pseudonymized(docs: DataFrame, key: str, text: str = "text", length: str | N
         draws = F.when(F.col("_draws").isNull(), none).otherwise(some)
     else:
         draws = none
-    fresh = dirty.withColumn(renamed.name(text), rewritten(own, F.col("_found"), key, draws))
+    fresh = dirty.withColumn(renamed.name(text), rewritten(own, F.col("_found"), F.col("_names"), key, draws))
     if length:
         kind = docs.schema[length].dataType
         fresh = fresh.withColumn(renamed.name(length), F.length(own).cast(kind))

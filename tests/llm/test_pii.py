@@ -75,6 +75,24 @@ def test_persons_keep_gender_script_and_family(spark):
     assert re.fullmatch(r"Dr [A-Z][a-z]+ and the Others", rows[4].text)
 
 
+def test_whole_names_are_replaced(spark):
+    texts = [
+        "Mr John Fitzgerald Kennedy spoke.", "Mr. John F. Kennedy spoke.", "Prof. Dr. Anna Schmidt kam.", "Herr Dr. Mueller kam.",
+        "Mr. J. Smith spoke.", "Frau Dr. med. Anna von der Leyen kam.", "Mr Kennedy's car. Later Kennedy left, KENNEDY's dog too, Kennedys not.",
+        "Kennedy alone stays.",
+    ]
+    rows = out(spark, texts)
+    for i, names in enumerate(["John|Fitzgerald|Kennedy", "John|F\\.|Kennedy", "Anna|Schmidt", "Mueller", "J\\.|Smith", "Anna|Leyen", r"Kennedy\b|KENNEDY"]):
+        assert not re.search(rf"\b(?:{names})", rows[i].text) and rows[i].n_person >= 1, rows[i].text
+    assert re.fullmatch(r"Mr [A-Z][a-z]+o [A-Z][a-z]+o [A-Z][a-z]+ spoke\.", rows[0].text)
+    assert re.fullmatch(r"Mr\. [A-Z][a-z]+o [A-Z]\. [A-Z][a-z]+ spoke\.", rows[1].text)
+    assert re.fullmatch(r"Prof\. Dr\. [A-Z][a-z]+ [A-Z][a-z]+ kam\.", rows[2].text)
+    assert re.fullmatch(r"Frau Dr\. med\. [A-Z][a-z]+a von der [A-Z][a-z]+ kam\.", rows[5].text)
+    m = re.fullmatch(r"Mr (\w+)'s car\. Later (\w+) left, (\w+)'s dog too, Kennedys not\.", rows[6].text)
+    assert m and m[1] == m[2] and m[3] == m[1].upper() and rows[6].n_person == 3
+    assert rows[0].text.split()[3] == m[1] and rows[7].text == texts[7]
+
+
 def test_collisions_are_drawn_again(spark, monkeypatch):
     """With twelve possible surrogates, six of them taken by originals, all stay distinct."""
     few = lambda h: F.concat(F.lit("9.9.9."), (pii.number(h, F.lit(0)) % 12).cast("string"))

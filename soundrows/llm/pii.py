@@ -2,7 +2,7 @@
 
 Everything is DataFrame expressions; no Python runs on rows.
 
-Entities are e-mail addresses, telephone numbers, card numbers, IPv4 addresses and persons
+Entities are e-mail addresses, telephone numbers, card numbers, IPv4 and IPv6 addresses and persons
 named after titles: all their names, initials and particles, and their family names alone
 elsewhere in the same text.  An entity's canonical form (digits only, lower case) and a secret key
 give its surrogate by SHA-256, so every mention of it, in any document and any spelling,
@@ -32,15 +32,36 @@ from soundrows.llm.frames import Renamed
 from soundrows.llm.quality import let
 from soundrows.session import stored
 
-EMAIL = r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+# A domain of ASCII letters ends where another script follows without a blank.
+EMAIL = (
+    r"[\p{L}\p{M}\p{N}._%+-]+@"
+    r"(?:[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?![\p{IsLatin}\p{M}])"
+    r"|[\p{L}\p{M}\p{N}-]+(?:\.[\p{L}\p{M}\p{N}-]+)+)"
+)
 PHONE = (
     r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,5}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,5}(?!\w)"
     r"|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,5}){2,5}(?!\w)"
     r"|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])"
+    r"|(?<![\w.+-])(?<![0-9] )[2-9][0-9]{2} [0-9]{3}[ -][0-9]{4}(?![\w-]| [0-9])"
+    # National numbers with their zero: 9 to 12 digits, no dates.
+    r"|(?<![\w.+/-])(?=0(?:[ /-]?[0-9]){8,11}(?![\w-]))(?![0-9]{2}[/-][0-9]{2}[/-][0-9]{4}(?![0-9]))"
+    r"0[0-9]{1,4}(?:[ /-][0-9]{2,8}){1,4}(?![\w-])"
 )
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?!\w|\.[0-9])"
-CARD = r"(?<![\w.-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![\w-])"
+HEX = "[0-9A-Fa-f]{1,4}"
+IPV6 = (
+    r"(?<![\w:.])(?=[0-9A-Fa-f]{0,4}:)(?=[A-Fa-f:]*[0-9])"
+    rf"(?:(?:{HEX}:){{7}}{HEX}"
+    r"|(?=[0-9A-Fa-f:]*::)(?![0-9A-Fa-f:]*::[0-9A-Fa-f:]*::)(?![0-9A-Fa-f:]*:::)"
+    rf"(?:{HEX}(?::{HEX})*::(?:{HEX}(?::{HEX})*)?|::{HEX}(?::{HEX})*))(?![\w:]|\.[0-9])"
+)
+# In one run, or grouped 4-4-4-4, 4-4-4-4-3, and 4-6-5 or 4-6-4 with a first 3.
+CARD_NUMBER = (
+    r"(?:[0-9]{13,19}|[0-9]{4}([ -])(?:[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?"
+    r"|(?<=3[0-9]{3}[ -])[0-9]{6}\1[0-9]{4,5}))"
+)
+CARD = rf"(?<![\w.-]){CARD_NUMBER}(?![\w-])"
 #: Titles that tell a gender, and those that do not.
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Sir", "Господин", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία")
@@ -55,7 +76,7 @@ WORD = rf"{NO_NAME}\p{{Lu}}(?:[\p{{L}}\p{{M}}]|['’-](?!s(?!\p{{L}}))\p{{L}})+"
 INITIAL = r"\p{Lu}\.?(?:-?\p{Lu}\.)*"
 PERSON = rf"(?<![\p{{L}}\p{{N}}]){TITLED}(?:(?:{WORD}|{INITIAL}|{PARTICLES}) )*{WORD}"
 # The only group is the card's separator; it comes first so that \1 is right.
-ENTITY = "|".join((CARD, EMAIL, IP, PHONE, PERSON))
+ENTITY = "|".join((CARD, EMAIL, IP, IPV6, PHONE, PERSON))
 
 TYPES = ("email", "phone", "card", "ip", "person")
 DIGITS = "0123456789"
@@ -76,8 +97,8 @@ def type_of(mention: Column) -> Column:
     return (
         F.when(mention.contains("@"), "email")
         .when(~mention.rlike("[0-9]"), "person")
-        .when(mention.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"), "ip")
-        .when(mention.rlike(r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})$"), "card")
+        .when(mention.contains(":") | mention.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"), "ip")
+        .when(mention.rlike(rf"^{CARD_NUMBER}$"), "card")
         .otherwise("phone")
     )
 
@@ -97,12 +118,26 @@ def gender_of(mention: Column) -> Column:
     return F.when(told(FEMALE), "f").when(told(MALE), "m").otherwise("n")
 
 
+def full_ipv6(address: Column) -> Column:
+    """All eight groups of four hex digits."""
+
+    def groups(part: Column) -> Column:
+        some = F.filter(F.split(part, ":"), lambda g: g != "")
+        return F.transform(some, lambda g: F.lpad(g, 4, "0"))
+
+    left = groups(F.substring_index(address, "::", 1))
+    right = F.when(address.contains("::"), groups(F.substring_index(address, "::", -1))).otherwise(groups(F.lit("")))
+    missing = F.array_repeat(F.lit("0000"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right)))
+    return F.array_join(F.concat(left, missing, right), ":")
+
+
 def canonical(kind: Column, mention: Column) -> Column:
     """What all spellings of an entity share.  A person's gender belongs to it."""
     return (
         F.when(kind == "card", F.regexp_replace(mention, "[^0-9]", ""))
         .when(kind == "phone", F.regexp_replace(mention, r"[^0-9+]", ""))
         .when(kind == "person", F.concat(gender_of(mention), F.lit(":"), F.lower(without_title(mention))))
+        .when((kind == "ip") & mention.contains(":"), full_ipv6(F.lower(mention)))
         .otherwise(F.lower(mention))
     )
 
@@ -197,6 +232,12 @@ def ip_surrogate(hex_digits: Column) -> Column:
     return F.array_join(octets, ".")
 
 
+def ipv6_surrogate(hex_digits: Column) -> Column:
+    """A global address, with all groups."""
+    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: hex_digits.substr(4 * i + 1, F.lit(4)))
+    return F.overlay(F.array_join(groups, ":"), F.lit("2"), 1)
+
+
 def name_like(token: Column, hex_digits: Column, syllables: int, ending: Column | None) -> Column:
     """A name of the token's script, from syllables; ``ending`` tells the gender."""
 
@@ -243,6 +284,7 @@ def surrogate(key: str, kind: Column, value: Column, draw: Column) -> Column:
     return let(
         stream(key, kind, value, draw, F.length(value)),
         lambda h: F.when(kind == "email", email_surrogate(value, key, draw, h))
+        .when((kind == "ip") & value.contains(":"), ipv6_surrogate(h))
         .when(kind == "ip", ip_surrogate(h))
         .when(kind == "card", card_surrogate(value, h))
         .when(kind == "person", person_surrogate(value, key, draw))

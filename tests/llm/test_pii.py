@@ -93,6 +93,32 @@ def test_whole_names_are_replaced(spark):
     assert rows[0].text.split()[3] == m[1] and rows[7].text == texts[7]
 
 
+FORMATS = [
+    ("call 555 123 4567 now", "phone", r"call \d{3} \d{3} \d{4} now"),
+    ("call 020 7946 0958 now", "phone", r"call 0\d\d \d{4} \d{4} now"),
+    ("call 01 23 45 67 89 now", "phone", r"call 0\d \d\d \d\d \d\d \d\d now"),
+    ("call 0221/1234567 now", "phone", r"call 0\d{3}/\d{7} now"),
+    ("card 3782 822463 10005 now", "card", r"card 3\d{3} \d{6} \d{5} now"),
+    ("card 3056-930902-5904 now", "card", r"card 3\d{3}-\d{6}-\d{4} now"),
+    ("card 6304 0000 0000 0000 007 now", "card", r"card 6\d{3} \d{4} \d{4} \d{4} \d{3} now"),
+    ("mail anna@bücher.de now", "email", r"mail \w{4}@\w{6}\.de now"),
+    ("mail a.b@mail.пример.рф now", "email", r"mail \w\.\w@\w{4}\.[а-я]{6}\.рф now"),
+    ("at 2001:db8::8a2e:370:7334 now", "ip", r"at 2\w{3}(?::\w{4}){7} now"),
+    ("at 2001:0db8:0:0:0:8a2e:0370:7334 now", "ip", r"at 2\w{3}(?::\w{4}){7} now"),
+    ("at fe80::1, now", "ip", r"at 2\w{3}(?::\w{4}){7}, now"),
+]
+
+
+def test_every_format_is_found(spark):
+    rows = out(spark, [text for text, _, _ in FORMATS])
+    for i, (text, kind, pattern) in enumerate(FORMATS):
+        assert rows[i].text != text and re.fullmatch(pattern, rows[i].text), rows[i].text
+        assert rows[i][f"n_{kind}"] == 1 and sum(rows[i][f"n_{k}"] for k in pii.TYPES) == 1
+    assert luhn(re.sub(r"\D", "", rows[4].text)) and rows[9].text == rows[10].text
+    others = ["std::dec a::b 12:30:45 on 01-02-2020 and 2020 123456 12345", "size 100 200 3000 4000", "x::"]
+    assert [r.text for _, r in sorted(out(spark, others).items())] == others
+
+
 def test_collisions_are_drawn_again(spark, monkeypatch):
     """With twelve possible surrogates, six of them taken by originals, all stay distinct."""
     few = lambda h: F.concat(F.lit("9.9.9."), (pii.number(h, F.lit(0)) % 12).cast("string"))

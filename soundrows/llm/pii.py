@@ -34,7 +34,7 @@ from soundrows.session import stored
 
 # A domain of ASCII letters ends where another script follows without a blank.
 EMAIL = (
-    r"[\p{L}\p{M}\p{N}._%+-]+@"
+    r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@"
     r"(?:[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?![\p{IsLatin}\p{M}])"
     r"|[\p{L}\p{M}\p{N}-]+(?:\.[\p{L}\p{M}\p{N}-]+)+)"
 )
@@ -42,16 +42,16 @@ PHONE = (
     r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,5}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,5}(?!\w)"
     r"|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,5}){2,5}(?!\w)"
     r"|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])"
-    r"|(?<![\w.+-])(?<![0-9] )[2-9][0-9]{2} [0-9]{3}[ -][0-9]{4}(?![\w-]| [0-9])"
+    r"|(?=[2-9])(?<![\w.+-])(?<![0-9] )[2-9][0-9]{2} [0-9]{3}[ -][0-9]{4}(?![\w-]| [0-9])"
     # National numbers with their zero: 9 to 12 digits, no dates.
-    r"|(?<![\w.+/-])(?=0(?:[ /-]?[0-9]){8,11}(?![\w-]))(?![0-9]{2}[/-][0-9]{2}[/-][0-9]{4}(?![0-9]))"
+    r"|(?=0)(?<![\w.+/-])(?=0(?:[ /-]?[0-9]){8,11}(?![\w-]))(?![0-9]{2}[/-][0-9]{2}[/-][0-9]{4}(?![0-9]))"
     r"0[0-9]{1,4}(?:[ /-][0-9]{2,8}){1,4}(?![\w-])"
 )
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?!\w|\.[0-9])"
 HEX = "[0-9A-Fa-f]{1,4}"
 IPV6 = (
-    r"(?<![\w:.])(?=[0-9A-Fa-f]{0,4}:)(?=[A-Fa-f:]*[0-9])"
+    r"(?=[0-9A-Fa-f]{0,4}:)(?<![\w:.])(?=[A-Fa-f:]*[0-9])"
     rf"(?:(?:{HEX}:){{7}}{HEX}"
     r"|(?=[0-9A-Fa-f:]*::)(?![0-9A-Fa-f:]*::[0-9A-Fa-f:]*::)(?![0-9A-Fa-f:]*:::)"
     rf"(?:{HEX}(?::{HEX})*::(?:{HEX}(?::{HEX})*)?|::{HEX}(?::{HEX})*))(?![\w:]|\.[0-9])"

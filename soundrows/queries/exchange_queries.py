@@ -476,7 +476,7 @@ def csv_quotes(spark, folder):
     stray = F.col("doc_id") % 3 == 0
     quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
     cell = F.when(stray, F.concat("lang", F.lit('" wide'))).otherwise(quoted)
-    file = file_name(F.col("doc_id") % 6, ".csv").alias("file")
+    file = file_name(F.floor(F.col("doc_id") / 5000) * 2 + stray.cast("long"), ".csv").alias("file")
     rows = docs.select(file, "doc_id", F.concat_ws(",", "doc_id", cell, "lang").alias("value"))
     header = rows.select("file", F.lit(-1).cast("long").alias("doc_id"), F.lit("doc_id,note,lang").alias("value")).distinct()
     return read_csv(spark, f"{written(rows.unionByName(header), 'csv-files', 'doc_id')}/*")

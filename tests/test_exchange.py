@@ -423,3 +423,17 @@ def test_dates_and_references_are_strings(spark, tmp_path):
     rows = {r["encounter_id"]: r for r in fhir.tables_of_bundle(spark, str(tmp_path / "a.json"))["encounters"].collect()}
     values = [(r["patient_id"] is not None, r["admit_date"]) for r in sorted(rows.values(), key=lambda r: int(r["encounter_id"]))]
     assert values.count((True, "2020-01-01")) == 1 and values.count((False, None)) == 2
+
+
+def test_csv_files_follow_the_table(spark, monkeypatch):
+    """One file of quoted and one of stray cells per 5,000 documents, not six for any table."""
+    from soundrows.queries import exchange_queries
+
+    docs = spark.range(20_000).selectExpr("id doc_id", "'a text' text", "'en' lang")
+    seen = []
+    monkeypatch.setattr(exchange_queries, "table", lambda *_: docs)
+    monkeypatch.setattr(exchange_queries, "written", lambda rows, *_: seen.append(rows) or "nowhere")
+    monkeypatch.setattr(exchange_queries, "read_csv", lambda *_: None)
+    exchange_queries.csv_quotes(spark, "")
+    sizes = [r["count"] for r in seen[0].groupBy("file").count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 5001 and sum(sizes) == 20_008

@@ -96,12 +96,13 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(hadoop_path, True)
 
 
-def stored(frame: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+def stored(frame: DataFrame, name: str, partition_by: Sequence[str] = (), **options: str) -> DataFrame:
     """Write ``frame`` as a Parquet table in the shared folder and read it back.
 
-    Unlike a checkpoint, later reads prune columns and partitions.
+    Unlike a checkpoint, later reads prune columns and partitions.  ``options`` are the
+    writer's, such as ``compression``.
     """
     path = scratch_path(frame.sparkSession, name)
-    frame.write.partitionBy(*partition_by).parquet(path)
+    frame.write.options(**options).partitionBy(*partition_by).parquet(path)
     back = frame.sparkSession.read.schema(frame.schema).parquet(path)
     return back.select(*[f"`{c}`" for c in frame.columns])

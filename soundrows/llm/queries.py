@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from soundrows.llm import decontaminate, minhash, mixing, pii, quality, secrets, sql, suffixes, tokens, urlfilter, warc
+from soundrows.llm import (
+    decontaminate, minhash, mixing, packing, pii, quality, secrets, sql, suffixes, tokens, urlfilter, warc,
+)
 from soundrows.queries.register import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -78,3 +80,8 @@ def op5_suffix_dedup(spark, folder):
 def op4_pii_surrogates(spark, folder):
     documents = table(spark, folder, "documents").select("doc_id", "text")
     return pii.pseudonymized(documents, key="surrogates of the registered query")
+
+
+@query("op11_best_fit_packing")
+def op11_best_fit_packing(spark, folder):
+    return packing.digest(packing.packed(packing.pieces(table(spark, folder, "documents"))))

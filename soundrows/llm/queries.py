@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import corpus_pipeline
 from soundrows.llm import (
-    decontaminate, minhash, mixing, packing, pii, quality, secrets, sql, suffixes, tokens, urlfilter, warc,
+    decontaminate, minhash, mixing, packing, pii, quality, secrets, spelling, sql, suffixes, tokens,
+    urlfilter, warc,
 )
 from soundrows.queries.register import Query, table
 
@@ -84,4 +85,9 @@ def op4_pii_surrogates(spark, folder):
 
 @query("op11_best_fit_packing")
 def op11_best_fit_packing(spark, folder):
-    return packing.digest(packing.packed(packing.pieces(table(spark, folder, "documents"))))
+    return packing.digest(packing.pieces(table(spark, folder, "documents")))
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark, folder):
+    return spelling.forms(spelling.vocabulary(table(spark, folder, "documents")))

@@ -380,9 +380,9 @@ def sequences(packed: DataFrame) -> DataFrame:
     return rows.select("sequence_id", "length", joined.alias("ids"))
 
 
-def digest(packed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Per piece where it is and the CRC-32 of its ids."""
-    return packed.select(
-        F.col("id").alias(doc_id), "piece", "start", "length",
-        F.crc32("ids").alias("ids_crc32"), "sequence_id", F.col("offset").cast("long").alias("offset"),
+def digest(pieces: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id") -> DataFrame:
+    """Pack the pieces; per piece where it is and the CRC-32 of its ids, which are not moved."""
+    rows = pieces.select(
+        "number", F.col("id").alias(doc_id), "piece", "start", "length", F.crc32("ids").alias("ids_crc32")
     )
+    return packed(rows, capacity).drop("number").withColumn("offset", F.col("offset").cast("long"))

@@ -57,8 +57,8 @@ def tokenizer():
 
 def test_ids_and_places(spark, tokenizer):
     docs = documents(spark, TEXTS).withColumn("piece", F.lit("clash")).withColumn("number", F.lit(1)).withColumn("ids", F.lit(2))
-    result = packing.packed(packing.pieces(docs))
-    rows = packing.digest(result).collect()
+    pieces = packing.pieces(docs)
+    rows = packing.digest(pieces).collect()
     by_doc = defaultdict(dict)
     for row in rows:
         by_doc[row.doc_id][row.piece] = row
@@ -71,7 +71,7 @@ def test_ids_and_places(spark, tokenizer):
             assert (row.start, row.length, row.ids_crc32) == (2048 * piece, len(part), zlib.crc32(part.tobytes()))
     n = sequences_of(rows, 2048)
     assert n == best_fit([r.length for r in rows], 2048)
-    whole = packing.sequences(result).collect()
+    whole = packing.sequences(packing.packed(pieces)).collect()
     assert len(whole) == n and all(len(r.ids) == 4 * r.length for r in whole)
 
 
@@ -117,8 +117,8 @@ def test_tiny_pieces_are_bundled(spark):
 
 def test_empty_table_and_odd_ids(spark):
     docs = documents(spark, ["a"])
-    assert packing.digest(packing.packed(packing.pieces(docs.limit(0)))).count() == 0
+    assert packing.digest(packing.pieces(docs.limit(0))).count() == 0
     twice = spark.createDataFrame([(None, "a b"), (None, "a b"), ("x", None)], "doc_id string, text string")
-    rows = packing.digest(packing.packed(packing.pieces(twice))).collect()
+    rows = packing.digest(packing.pieces(twice)).collect()
     assert sorted((r.doc_id or "", r.length) for r in rows) == [("", 3), ("", 3), ("x", 1)]
     assert len({r.sequence_id for r in rows}) == 1

@@ -17,7 +17,9 @@ Scale: one scan, no shuffle.  Repeated windows are found per row by sorting wind
 
 Words are ``[^\\x20\\x09-\\x0D]+``.  Defined results for odd input: a NULL or empty text has
 no words, fails the base rules and is not kept; repeated documents are judged one by one;
-an empty table gives an empty result; extra columns are kept whatever their names.
+an empty table gives an empty result; extra columns are kept whatever their names.  Texts
+and lines of any length are judged whole, in time that grows with their length: every
+pattern looks at a character a bounded number of times.
 """
 
 from __future__ import annotations
@@ -37,8 +39,9 @@ LEAST_WORDS = 20
 MOST_REPEATED = 30  # per cent of the words
 
 SENTENCE = r"[.!?…。！？．।॥؟۔։።]"
-#: Capitals, and no small letter or letter without case (Chinese, Arabic, ...) anywhere.
-SHOUTING = r"^[[^\p{Ll}\p{Lo}]ªº]*\p{Lu}{2}[[^\p{Ll}\p{Lo}]ªº]*$"
+CAPITALS = r"\p{Lu}{2}"
+#: Small letters and letters without case (Chinese, Arabic, ...), but for ordinal signs.
+SMALL = r"[\p{Ll}\p{Lo}&&[^ªº]]"
 EMPHASIS = r"(\*{2,3})(?=[^\s*])([^*]*[^\s*])\1"  # **bold** words of prose
 SYMBOL_WORDS = r"[#*$%&]{2,}"
 DOUBLED_MARKS = r"[!?]{2,}"
@@ -81,6 +84,14 @@ class Dense:
     unless: str = ""
 
 
+@dataclass(frozen=True)
+class Unless:
+    """A pattern that a line may not match unless it matches another one, too."""
+
+    mark: str
+    unless: str
+
+
 @dataclass(frozen=True)
 class Phrases:
     """Phrases in small letters that a line may not hold once per ``chars`` characters.
@@ -97,7 +108,7 @@ class Rules:
     """Line rules, and the share of word characters that must remain in a document."""
 
     needed: tuple[str, ...] = (SENTENCE,)  # a line without a match fails
-    failing: tuple[str, ...] = (SHOUTING,)  # a line with one fails
+    failing: tuple[Unless, ...] = (Unless(CAPITALS, SMALL),)  # a line with one fails
     dense: tuple[Dense, ...] = (
         Dense(SYMBOL_WORDS, 3, 25, ignored=EMPHASIS),
         Dense(DOUBLED_MARKS, 3, 25),
@@ -170,8 +181,8 @@ def fails(line: Column, rules: Rules) -> Column:
     bad = F.lit(False)
     for pattern in rules.needed:
         bad = bad | ~line.rlike(pattern)
-    for pattern in rules.failing:
-        bad = bad | line.rlike(pattern)
+    for rule in rules.failing:
+        bad = bad | (line.rlike(rule.mark) & ~line.rlike(rule.unless))
     for rule in rules.dense:
         bad = bad | too_dense(line, rule)
     return bad | let(F.lower(line), lambda lower: says_too_much(lower, rules.phrases))

@@ -33,17 +33,48 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-FAILING_LINE = r"""NOT regexp_matches(x, '[.!?…。]')
-  OR regexp_matches(x, '(?:[#*$%&]{2,}[^#*$%&]*){3}|[!?]{2,}(?:[^!?]*[!?]{2,}){2}')
-  OR regexp_matches(x, '^[^a-z]*[A-Z]{2}[^a-z]*$') OR regexp_matches(x, '(?:[|»›>•][^|»›>•]*){3}')""" + "".join(
-    f" OR contains(lower(x), '{phrase}')"
-    for phrase in (
-        "licensed under |released under |all rights reserved|privacy policy|terms of use|terms of service"
-        "|cookie policy|cookie settings|accept cookies|accept all cookies|enable javascript|requires javascript"
-        "|lorem ipsum|click here|read more|sign in|log in to|subscribe to our|powered by |©|&copy;"
-    ).split("|")
+BLANK = r"[\x09-\x0D\x20]"
+NOT_WORD = r"[^\p{L}\p{N}_]"
+#: **Emphasis** without its stars.  RE2 has no look-around, so both widths are spelled out.
+EMPHASIS = "|".join(
+    rf"\*{{{n}}}([^\x09-\x0D\x20*](?:[^*]*[^\x09-\x0D\x20*])?)\*{{{n}}}" for n in (3, 2)
 )
 
+
+def dense(mark: str, chars: int, line: str = "x") -> str:
+    """A mark three times and once in so many characters."""
+    count = f"len(regexp_extract_all({line}, '{mark}'))"
+    return f"({count} >= 3 AND {count} * {chars} >= length(x) AND regexp_matches(x, '(?s)(?:{mark}.*?){{3}}'))"
+
+
+def phrases(words: str, others: tuple[str, ...], chars: int) -> str:
+    """Phrases as whole words: borders are doubled, so that neighbours do not share one."""
+    doubled = f"regexp_replace(lower(x), '({NOT_WORD})', '\\1\\1', 'g')"
+    either = words.replace(" ", "  ")
+    count = f"len(regexp_extract_all({doubled}, '(?:^|{NOT_WORD})(?:{either})(?:$|{NOT_WORD})'))"
+    count += "".join(f" + len(regexp_extract_all(lower(x), '{other}'))" for other in others)
+    return f"(({count}) >= 1 AND ({count}) * {chars} >= length(lower(x)))"
+
+
+SPACED = f"regexp_replace(x, '({BLANK})', '\\1\\1', 'g')"
+ARROWS = f"len(regexp_extract_all({SPACED}, '{BLANK}[»›]{BLANK}'))"
+FAILING_LINE = " OR ".join((
+    "NOT regexp_matches(x, '[.!?…。！？．।॥؟۔։።]')",
+    r"(regexp_matches(x, '\p{Lu}{2}') AND NOT regexp_matches(translate(x, 'ªº', ''), '[\p{Ll}\p{Lo}]'))",
+    dense("[#*$%&]{2,}", 25, f"regexp_replace(x, '{EMPHASIS}', '\\1\\2', 'g')"),
+    dense("[!?]{2,}", 25),
+    dense("[|>•]", 25),
+    f"({ARROWS} >= 3 AND {ARROWS} * 25 >= length(x) AND NOT regexp_matches(x, '[«‹]'))",
+    phrases(
+        "licensed under|released under|all rights reserved|privacy policy|terms of use|terms of service"
+        "|cookie policy|cookie settings|accept cookies|accept all cookies|enable javascript|requires javascript"
+        "|lorem ipsum|subscribe to our",
+        ("©", "&copy;"),
+        200,
+    ),
+    phrases("click here|read more|sign in|log in to|powered by", (), 60),
+))
+
 QUALITY = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, {SPACE_WORDS} AS w,

@@ -2,11 +2,14 @@
 
 import random
 import re
+import time
 
+import duckdb
+import regex
 from llm_frames import documents
 from pyspark.sql import functions as F
 
-from soundrows.llm import quality
+from soundrows.llm import quality, sql
 
 PROSE = "The quick brown fox jumps over the lazy dog near a quiet river bank today. " * 1
 
@@ -29,6 +32,45 @@ def plain(text):
     )
 
 
+BLANK = "[\x09-\x0d\x20]"
+
+
+def plain_fails(line):
+    """The line rules, told once more."""
+
+    def often(found, least, chars, of=line):
+        return found >= least and found * chars >= len(of)
+
+    if not re.search("[.!?…。！？．।॥؟۔։።]", line):
+        return True
+    if regex.search(r"\p{Lu}{2}", line) and not regex.search(r"[\p{Ll}\p{Lo}]", re.sub("[ªº]", "", line)):
+        return True
+    calm = re.sub(r"(\*{2,3})(?=[^\s*])([^*]*[^\s*])\1", r"\2", line, flags=re.ASCII)
+    if often(len(re.findall("[#*$%&]{2,}", calm)), 3, 25) or often(len(re.findall("[!?]{2,}", line)), 3, 25):
+        return True
+    if often(len(re.findall("[|>•]", line)), 3, 25):
+        return True
+    if often(len(re.findall(f"(?<={BLANK})[»›](?={BLANK})", line)), 3, 25) and not re.search("[«‹]", line):
+        return True
+    small = line.lower()
+    for phrases, chars in ((quality.NOTICES, 200), (quality.MENUS, 60)):
+        whole = "|".join(
+            rf"(?<![\p{{L}}\p{{N}}_]){p}(?![\p{{L}}\p{{N}}_])" if p[0].isalpha() else p for p in phrases
+        )
+        if often(len(regex.findall(whole, small)), 1, chars, small):
+            return True
+    return False
+
+
+def plain_cleaned(text):
+    """(is the document kept, its text without failing lines)."""
+    words = re.compile(r"[^\x20\x09-\x0D]+")
+    lines = [(x, bool(words.search(x)) and plain_fails(x)) for x in (text or "").split("\n")]
+    whole = sum(map(len, words.findall(text or "")))
+    lost = sum(len("".join(words.findall(x))) for x, bad in lines if bad)
+    return not plain(text)[5] and whole - lost >= 0.5 * whole, "\n".join(x for x, bad in lines if not bad)
+
+
 def texts():
     rng = random.Random(3)
     vocabulary = ["a", "bb", "ccc", "dé", "e.", "#x", "|", "y%"]
@@ -79,6 +121,45 @@ CLEAN = [
 ]
 
 
+BAD = [
+    "Home » News » Sport » Football.", "Start › Shop › Schuhe › Rot.", "КУПИТЕ СЕЙЧАС НАТО!", "OFERTA Nº 1 HOY!",
+    "Click here to sign in.", "READ MORE... or read more.", "© 2020 Somebody.", "*** $$$ ### now.",
+    "Accept all cookies. Privacy policy. Terms of use. Cookie settings. " * 5,
+    "Home | About | News | Contact", "BUY NOW AND SAVE!", "wow!! great!! yes!! more.", "a%%% b%%% c%%% d.",
+    "We use Cookie Settings here.", "Licensed under CC BY.", "no mark at all",
+]
+
+
+def test_sql_and_plain_version_agree_line_by_line(spark):
+    """Every line decides a document of its own: 30 good words, and the line with as many."""
+    rng = random.Random(8)
+    lines = [*CLEAN, *BAD, *[x[:60] for x in CLEAN], *[f"{b} {c}" for b in BAD for c in CLEAN[:3]]]
+    pieces = ["**a b**", "***x***", "##", "!!", "??", " » ", "›", " | ", "•", "ªº", "GDP", "sign in", "design in", "©", "word.", "ß", "ля", "中"]
+    lines += ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    cases = [f"{x}\n" * 25 + "".join(f"w{i}x{k}. " for i in range(len(x) * 8)) for k, x in enumerate(lines)]
+    cases += lines + [None, ""]
+    rows = quality.judged(documents(spark, cases)).collect()
+    for r in rows:
+        assert (r.kept, r.cleaned) == plain_cleaned(cases[r.doc_id]), cases[r.doc_id][:200]
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    connection.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(cases)))
+    said = {row[0]: row[1:] for row in connection.execute(sql.QUALITY).fetchall()}
+    for r in rows:
+        mine = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept)
+        assert said[r.doc_id] == mine, cases[r.doc_id][:200]
+
+
+def test_very_long_lines(spark):
+    long = [
+        "ACGT" * 2_500_000 + "acgt", "A" * 3_000_000, "ab " * 1_000_000 + "!!", "**a " * 500_000, "#" * 2_000_000 + ".",
+        "!? " * 500_000, "*" * 1_000_000 + "x", "read " * 500_000 + ".",
+    ]
+    start = time.time()
+    rows = quality.judged(documents(spark, long)).collect()
+    assert len(rows) == len(long) and time.time() - start < 60
+
+
 def test_clean_documents_of_one_line_stay(spark):
     rows = {r.doc_id: r for r in quality.judged(documents(spark, CLEAN)).collect()}
     assert [i for i in range(len(CLEAN)) if not rows[i].kept] == []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from soundrows.llm import (
-    decontaminate, minhash, mixing, packing, pii, quality, secrets, spelling, sql, suffixes, tokens,
+    alignment, decontaminate, minhash, mixing, packing, pii, quality, secrets, spelling, sql, suffixes, tokens,
     urlfilter, warc,
 )
 from soundrows.queries.register import Query, table
@@ -91,3 +91,8 @@ def op11_best_fit_packing(spark, folder):
 @query("op12_spelling_variants")
 def op12_spelling_variants(spark, folder):
     return spelling.forms(spelling.vocabulary(table(spark, folder, "documents")))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark, folder):
+    return alignment.digest(alignment.aligned(table(spark, folder, "documents")))

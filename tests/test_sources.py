@@ -270,3 +270,68 @@ def test_checks_leave_no_intermediates(spark, tmp_path, folder):
     Checker(spark).audit_folder(str(folder))
     Checker(spark).check_csv(f"{folder}/departments.csv")
     assert folders() == before
+
+
+# -- records across block borders ---------------------------------------------------
+def python_rows(path):
+    import csv
+
+    with open(path, newline="", encoding="utf-8-sig") as file:
+        rows = [r for r in csv.reader(file) if r and (len(r) > 1 or r[0].strip())]
+    return rows[0], sorted(tuple(c or None for c in r) for r in rows[1:])
+
+
+@pytest.mark.parametrize("block, end", [(150, "\n"), (150, "\r\n"), (2500, "\n")])
+def test_line_breaks_at_every_block_border(spark, tmp_path, end, block):
+    """Cells longer than blocks, quotes at borders, blank lines inside and outside cells."""
+    import random
+
+    draw = random.Random(block)
+    pieces = ["a", "b c", ",", '""', end, end * 2, '"",""', "long " * 60, "é", "1"]
+    lines = ["\ufeffid,note,more"]
+    for i in range(80):
+        note = "".join(draw.choice(pieces) for _ in range(draw.randrange(6)))
+        lines.append(f'{i},"{note}",' + draw.choice(["x", '"y"', f'"z{end}"', "", 'p"q']))
+        if draw.random() < 0.1:
+            lines.append("")
+    path = tmp_path / "t.csv"
+    path.write_bytes(end.join(lines).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        table = stage_csv(spark, str(path))
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    header, rows = python_rows(path)
+    assert table.columns[:3] == header == ["id", "note", "more"]
+    assert sorted(tuple(r)[:3] for r in table.collect()) == rows
+    by_place = table.orderBy("_src_file", "_src_block", "_src_seq").collect()
+    assert [int(r.id) for r in by_place] == list(range(80))
+
+
+def test_headers_over_many_lines(spark, tmp_path):
+    header = '"a' + "\n" * 250 + 'z",b'
+    for name in ("1.csv", "2.csv"):
+        (tmp_path / name).write_text(f'{header}\n1,"x\ny"\n')
+    names = ["a" + "\n" * 250 + "z", "b"]
+    assert header_names(spark, str(tmp_path)) == names
+    assert read_csv(spark, str(tmp_path), strip_header=False, multi_line=True).columns == names
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path)).collect()] == [("1", "x\ny")] * 2
+    (tmp_path / "2.csv").write_text(header.replace("z", "y") + "\n1,2\n")
+    with pytest.raises(CheckError, match="different headers"):
+        read_csv(spark, str(tmp_path))
+
+
+def test_cells_that_are_never_closed_and_lone_carriage_returns(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('a,b\n1,"x\n2,y\n')
+    assert [tuple(r) for r in read_csv(spark, str(path)).collect()][0][1].startswith("x\n2,y")
+    path.write_bytes(b'a,b\r1,"x\ry"\r2,z\r')
+    assert sorted(tuple(r) for r in read_csv(spark, str(path)).collect()) == [("1", "x\ny"), ("2", "z")]
+
+
+def test_surplus_cells_over_several_lines(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('a,b\n1,"x\ny",3\n')
+    with pytest.raises(Exception, match="expected 2 fields, saw more"):
+        read_csv(spark, str(path)).collect()

@@ -32,6 +32,8 @@ from soundrows.operators.keyed import (
 )
 from soundrows.operators.numbering import numbered
 from soundrows.session import stored
+from soundrows.sources import bundles
+from soundrows.sources.bundles import Bundles
 from soundrows.sources.origin import BLOCK, FILE, ORIGIN, SEQUENCE, with_file_origin
 
 # Which resource types a table is made of, in table order.
@@ -49,13 +51,13 @@ OTHER = "other"  # stands for all types that no table uses
 
 # -- bundles to resources ------------------------------------------------------------
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """One row per bundle file: (_src_file, bundle)."""
+    """One row per bundle file: (_src_file, bundle).  For small files; see ``bundles``."""
     return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias(FILE), F.col("value").alias("bundle")
     )
 
 
-def opened(bundles: DataFrame) -> DataFrame:
+def opened(texts: DataFrame) -> DataFrame:
     """Split bundles into (type, entries); ``sound`` is false for text that is no JSON.
 
     Entries are read as text, so one malformed entry does not lose the others.  Of a
@@ -67,7 +69,7 @@ def opened(bundles: DataFrame) -> DataFrame:
     sound = F.when(is_object, shape.getField(fx.MALFORMED).isNull()).otherwise(
         F.size(listed) == 1  # a list or a single value is JSON, too
     )
-    return bundles.select(
+    return texts.select(
         FILE,
         F.coalesce(sound, F.lit(False)).alias("sound"),
         shape.getField("resourceType").alias("bundle_type"),
@@ -75,17 +77,30 @@ def opened(bundles: DataFrame) -> DataFrame:
     )
 
 
-def skipped(bundles: DataFrame) -> DataFrame:
+def skipped(files: DataFrame) -> DataFrame:
     """(_src_file, reason) of the files that contribute nothing."""
     reason = (
         F.when(~F.col("sound"), "This is not JSON.")
         .when(~F.col("bundle_type").eqNullSafe(F.lit("Bundle")), "Not a bundle.")
-        .when(F.coalesce(F.size("entries"), F.lit(0)) <= 0, "Empty.")
+        .when(F.col("n") <= 0, "Empty.")
     )
-    return opened(bundles).select(FILE, reason.alias("reason")).filter("reason is not null")
+    return files.select(FILE, reason.alias("reason")).filter("reason is not null")
 
 
-def resources_of(bundles: DataFrame) -> DataFrame:
+def resources_in(found: Bundles) -> DataFrame:
+    """One row per object that the bundles hold as entries."""
+    return _typed(
+        found.entries.select(
+            FILE,
+            F.lit(0).cast("bigint").alias(BLOCK),
+            F.col(SEQUENCE).cast("bigint").alias(SEQUENCE),
+            nonempty(F.col("full_url")).alias("full_url"),
+            "resource",
+        )
+    )
+
+
+def resources_of(texts: DataFrame) -> DataFrame:
     """One row per bundle entry; entries without a resource object have no type.
 
     Nothing is filtered on parsed values here: a pushed-down filter would parse the text
@@ -93,7 +108,7 @@ def resources_of(bundles: DataFrame) -> DataFrame:
     that no table selects.
     """
     listed = F.when(F.col("sound") & (F.col("bundle_type") == "Bundle"), F.col("entries"))
-    entries = opened(bundles).select(FILE, listed.alias("entries")).select(
+    entries = opened(texts).select(FILE, listed.alias("entries")).select(
         FILE, F.posexplode_outer("entries").alias(SEQUENCE, "entry")
     )
     parts = entries.select(
@@ -522,27 +537,25 @@ def _stored_together(makers: Mapping[str, Callable[[], DataFrame]]) -> dict[str,
 
 def tables_of_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of one bundle file; anything that is no usable bundle is an error."""
-    bundles = read_bundles(spark, path)
-    shape = opened(bundles).select(
-        "sound", "bundle_type", F.coalesce(F.size("entries"), F.lit(0)).alias("entries")
-    ).first()
+    found = bundles.read(spark, path, opened)
+    shape = found.files.first()
     if shape is None or not shape["sound"]:
         raise CheckError("This is not JSON.")
     if shape["bundle_type"] != "Bundle":
         raise CheckError("This JSON is not a FHIR Bundle.")
-    if shape["entries"] <= 0:
+    if shape["n"] <= 0:
         raise CheckError("The bundle is empty.")
-    return tables_of(staged(resources_of(bundles)))
+    return tables_of(staged(resources_in(found)))
 
 
 def tables_of_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The tables of all ``*.json`` bundles of a folder, merged in file-name order."""
-    return tables_of(staged(resources_of(read_bundles(spark, f"{folder}/*.json"))), merged=True)
+    return tables_of(staged(resources_in(bundles.read(spark, f"{folder}/*.json", opened))), merged=True)
 
 
 def skipped_in_folder(spark: SparkSession, folder: str) -> DataFrame:
     """The files of a folder that ``tables_of_folder`` passes over, and why."""
-    return skipped(read_bundles(spark, f"{folder}/*.json"))
+    return skipped(bundles.read(spark, f"{folder}/*.json", opened).files)
 
 
 def tables_of_ndjson(spark: SparkSession, path: str) -> dict[str, DataFrame]:

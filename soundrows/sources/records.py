@@ -10,7 +10,7 @@ the open record at the end of a block, and what the following blocks have of it.
 Plan: two scans of the lines by as many tasks as there are blocks.  The first sends on one
 row for each block, the second adds the text of at most two cut records for each block; the
 third scan is the caller's, of whole records.  The blocks that begin inside a cell are
-broadcast (16 bytes each, at most ``MOST_INSIDE``).
+broadcast, up to a limit (see ``with_starts``).
 
 A quote opens a cell only at its beginning; two quotes inside a quoted cell are one; the
 first single quote ends it.  A cell that is never closed goes on to the end of the file.
@@ -35,7 +35,7 @@ from soundrows.sources.origin import BLOCK, FILE, SEQUENCE
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RECORD = "record"
-MOST_INSIDE = 1 << 20
+MOST_BROADCAST = 1 << 20  # rows of some 32 bytes
 #: Whole records, the open end of a block, and what a block has of a record begun before.
 WHOLE, OPEN, MIDDLE, LAST = 0, 1, 2, 3
 
@@ -182,19 +182,42 @@ def cut(batches):
     yield cutter.taken()
 
 
-def joined(parts: DataFrame) -> DataFrame:
-    """The records that block borders cut."""
+def joined(parts: DataFrame, text: str, *flags: str) -> DataFrame:
+    """What block borders cut, put together: with place and flags of its first part."""
     order = [F.col(BLOCK), (F.col("part") == OPEN).cast("int")]
     number = F.sum((F.col("part") == OPEN).cast("int")).over(Window.partitionBy(FILE).orderBy(*order))
-    pieces = F.sort_array(F.collect_list(F.struct(order[0], order[1].alias("opens"), SEQUENCE, RECORD, "header")))
+    pieces = F.sort_array(F.collect_list(F.struct(order[0], order[1].alias("opens"), SEQUENCE, text, *flags)))
     together = parts.withColumn("number", number).groupBy(FILE, "number").agg(pieces.alias("pieces"))
     first = F.col("pieces")[0]
+    separator = "\n" if text == RECORD else ""
     return together.select(
-        FILE, first[BLOCK].alias(BLOCK), first[SEQUENCE].alias(SEQUENCE), first["header"].alias("header"),
-        F.array_join(F.transform("pieces", lambda p: p[RECORD]), "\n").alias(RECORD),
+        FILE, *[first[c].alias(c) for c in (BLOCK, SEQUENCE, *flags)],
+        F.array_join(F.transform("pieces", lambda p: p[text]), separator).alias(text),
     )
 
 
+def in_block_order(text: str) -> Column:
+    """An aggregate: a file's texts, one for each block, end to end."""
+    pieces = F.sort_array(F.collect_list(F.struct(BLOCK, text)))
+    return F.array_join(F.transform(pieces, lambda p: p[text]), "")
+
+
+def with_starts(texts: DataFrame, starts: DataFrame) -> DataFrame:
+    """Texts in their order, with the columns of ``starts``, one row for each block.
+
+    Up to ``MOST_BROADCAST`` blocks are broadcast.  Beyond, each block's texts go through one
+    shuffle and are put in order again.
+    """
+    columns = [c for c in starts.columns if c not in (FILE, BLOCK)]
+    keyed = starts.select(F.xxhash64(FILE).alias("_file"), F.col(BLOCK).alias("_block"), *columns)
+    same = (F.xxhash64(FILE) == F.col("_file")) & (F.col(BLOCK) == F.col("_block"))
+    if starts.count() <= MOST_BROADCAST:
+        return texts.join(F.broadcast(keyed), same, "left").drop("_file", "_block")
+    numbered = texts.withColumn("_place", F.monotonically_increasing_id())
+    sorted_again = numbered.join(starts, [FILE, BLOCK], "left").repartition(FILE, BLOCK)
+    return sorted_again.sortWithinPartitions(FILE, BLOCK, "_place").drop("_place")
+
+
 @dataclass(frozen=True)
 class Records:
     """``rows``: file, block, sequence, record; ``headers``: the same of each file's first record."""
@@ -206,8 +229,7 @@ class Records:
 def split_records(spark: SparkSession, path: str) -> Records | None:
     """The records of files, blank ones left out.
 
-    None if blocks cannot be told apart: with carriage returns inside lines, which some
-    files use as line ends, or with too many blocks that begin inside a cell.
+    None where carriage returns stand inside lines: some files use them as line ends.
     """
     lines = lines_of(spark, path)
     kind = f"{FILE} string, {BLOCK} long"
@@ -217,15 +239,12 @@ def split_records(spark: SparkSession, path: str) -> Records | None:
     )
     if blocks.filter("odd").limit(1).count():
         return None
-    inside = stored(begins_inside(blocks).select(F.xxhash64(FILE).alias("file_hash"), F.col(BLOCK).alias("at"), F.lit(True).alias("inside")), "inside")
-    if inside.count() > MOST_INSIDE:
-        return None
-    marked = lines.join(
-        F.broadcast(inside), (F.xxhash64(FILE) == F.col("file_hash")) & (F.col(BLOCK) == F.col("at")), "left"
-    ).select(FILE, BLOCK, "value", "open0", "open1", F.coalesce("inside", F.lit(False)).alias("inside"))
+    inside = stored(begins_inside(blocks).withColumn("inside", F.lit(True)), "inside")
+    marked = with_starts(lines.select(FILE, BLOCK, "value", "open0", "open1"), inside)
+    marked = marked.select(FILE, BLOCK, "value", "open0", "open1", F.coalesce("inside", F.lit(False)).alias("inside"))
     found = marked.mapInArrow(cut, f"{kind}, {SEQUENCE} long, part int, header boolean, {RECORD} string")
     parts = stored(found.filter(F.col("part") != WHOLE), "parts")
-    every = found.filter(F.col("part") == WHOLE).drop("part").unionByName(joined(parts))
+    every = found.filter(F.col("part") == WHOLE).drop("part").unionByName(joined(parts, RECORD, "header"))
     every = every.withColumn(RECORD, F.rtrim(RECORD, F.lit("\r"))).filter(F.trim(RECORD) != "")
     columns = [FILE, BLOCK, SEQUENCE, RECORD]
     return Records(every.filter("not header").select(*columns), every.filter("header").select(*columns))

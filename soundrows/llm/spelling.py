@@ -3,13 +3,13 @@
 Words are counted over all texts; those long and frequent enough become the vocabulary.
 Two words are near if one inserted, deleted or replaced code point makes them equal.
 
-Method: a trie as a relation.  A node is a prefix of a padded word, its edges lead to the
-prefixes that are one code point longer.  A frontier of states (word, position, node, edits)
-moves level by level.  States without an edit stand on the word's own prefixes; each level
-lets them take one edit: a code point of the trie is read instead of the word's own
-(replaced) or before it (inserted; deletions are insertions seen from the other word).
-States with an edit go on only along edges that read the word's next code point.  A state
-that reads the end mark has come to another word: the two are near.
+Method: a trie as a relation.  A node is a prefix of a padded word; the edge table leads from
+nodes to those ``AHEAD`` code points further down.  A frontier of states (word, position,
+node, edits) moves along it.  States without an edit stand on all prefixes of their own word;
+each of them may take one edit there: a code point of the trie is read instead of the word's
+own (replaced) or before it (inserted; deletions are insertions seen from the other word).
+States with an edit go on, level by level, only along edges that read the word's next code
+points.  A state that reads the end mark has come to another word: the two are near.
 
 An edit is taken only where the next ``AHEAD`` code points can be followed, too.  The trie
 itself says so: a node ``AHEAD + 1`` levels down names the node above, the code point that
@@ -17,10 +17,10 @@ was put in, and those that follow it.  So the join for an edit has the key (node
 points), not the node alone, and the root's edges do not multiply every word.
 
 Each pair is found once: by the smaller code point when one is replaced, by the shorter word
-when one is inserted, before a different code point.  Every level is two joins of the
-frontier with the prefixes of that level, partitioned by both sides' keys; keys repeat at
-most as often as words share ``AHEAD`` code points at a place, and adaptive execution splits
-the frequent ones.
+when one is inserted, before a different code point.  Every step is one join of the frontier
+with the edge table by both sides' keys; keys repeat at most as often as words share
+``AHEAD`` code points at a place, and adaptive execution splits the frequent ones.  Steps go
+on until the frontier is empty, at most ``LONGEST / AHEAD`` times.
 
 Words longer than ``LONGEST`` code points would need a level for each; their pairs are found
 by the other way to be one edit apart: both give the same text when one code point is left
@@ -149,51 +149,47 @@ def padded() -> Column:
     return F.concat("word", F.lit(END * AHEAD))
 
 
-def near_in_trie(words: DataFrame, longest: int) -> DataFrame:
-    """Pairs (word, other) one edit apart, each once, of words (word) up to ``longest`` letters."""
-    letters = F.char_length("word")
-    trie = stored(words.select("word", padded().alias("path"), letters.alias("letters")), "trie")
-    deepest = trie.agg(F.max("letters")).first()[0]
-    if deepest is None:
-        return words.select("word", F.col("word").alias("other")).limit(0)
-    frontier = None
+def near_in_trie(words: DataFrame) -> DataFrame:
+    """Pairs (word, other) one edit apart, each once, of words (word)."""
+    trie = stored(words.select("word", padded().alias("path"), F.char_length("word").alias("letters")), "trie")
+    depths = F.sequence(F.lit(AHEAD + 1), F.col("letters") + AHEAD)
+    prefix = F.explode(F.transform(depths, lambda depth: F.substring("path", F.lit(1), depth)))
+    nodes = stored(trie.filter("letters > 0").select(prefix.alias("child")).distinct(), "nodes")
+    above = F.char_length("child") - (AHEAD + 1)
+    edges = nodes.select(
+        F.substring("child", F.lit(1), above).alias("node"),
+        F.substring("child", above + 1, F.lit(1)).alias("read"),
+        F.substring("child", above + 2, F.lit(AHEAD)).alias("next"),
+        "child",
+    ).filter(F.col("read") != END)
+    # States without an edit: each word on all of its prefixes.
+    level = F.col("level")
+    stands = trie.select("word", "path", "letters", F.explode(F.sequence(F.lit(0), F.col("letters"))).alias("level"))
+    asks = stands.select(
+        "word", "level",
+        F.substring("path", F.lit(1), level).alias("node"),
+        F.substring("path", level + 1, F.lit(1)).alias("own"),
+        F.inline(F.array(
+            F.struct(F.lit(1).alias("skips"), F.substring("path", level + 2, F.lit(AHEAD)).alias("next")),
+            F.struct(F.lit(0).alias("skips"), F.substring("path", level + 1, F.lit(AHEAD)).alias("next")),
+        )),
+    ).filter((F.col("skips") == 0) | (F.col("own") != END))
+    replaced = (F.col("skips") == 1) & (F.col("read") > F.col("own"))
+    inserted = (F.col("skips") == 0) & (F.col("read") != F.col("own"))
+    states = asks.join(edges, ["node", "next"]).filter(replaced | inserted).select(
+        "word", (F.col("level") + F.col("skips") + AHEAD).alias("position"), F.col("child").alias("node")
+    )
     found = []
-    for level in range(deepest + 1):
-        depth = level + 1 + AHEAD
-        # Nodes of this depth; a word that ended before has been read to its mark.
-        nodes = trie.filter(F.col("letters") + AHEAD >= depth).select(F.substring("path", 1, depth).alias("child")).distinct()
-        edges = nodes.select(
-            F.substring("child", 1, level).alias("node"),
-            F.substring("child", level + 1, 1).alias("read"),
-            F.substring("child", level + 2, AHEAD).alias("next"),
-            "child",
-        )
-        own = F.substring("path", level + 1, 1)
-        stands = trie.filter(F.col("letters") >= level)
-        asks = stands.select(
-            "word", "letters", own.alias("own"), F.substring("path", 1, level).alias("node"),
-            F.inline(F.array(
-                F.struct(F.lit(True).alias("replaces"), F.substring("path", level + 2, AHEAD).alias("next")),
-                F.struct(F.lit(False).alias("replaces"), F.substring("path", level + 1, AHEAD).alias("next")),
-            )),
-        ).filter("not replaces or letters > " + str(level))
-        edited = asks.join(edges, ["node", "next"]).filter(
-            (F.col("read") != END)
-            & F.when(F.col("replaces"), F.col("read") > F.col("own")).otherwise(F.col("read") != F.col("own"))
-        ).select(
-            "word",
-            F.when(F.col("replaces"), F.lit(depth)).otherwise(F.lit(depth - 1)).alias("position"),
-            F.col("child").alias("node"),
-        )
-        if frontier is not None:
-            reads = F.substring(padded(), F.col("position") + 1, F.lit(1))
-            moves = frontier.select("word", F.col("position") + 1, F.concat("node", reads).alias("child"))
-            moves = moves.toDF("word", "position", "child").join(nodes, "child", "left_semi")
-            edited = edited.unionByName(moves.select("word", "position", F.col("child").alias("node")))
-        states = stored(edited, "frontier")
+    while True:
+        states = stored(states, "frontier")
         at_end = F.col("node").endswith(END)
         found.append(states.filter(at_end).select("word", F.rtrim("node").alias("other")))
         frontier = states.filter(~at_end)
+        if not frontier.limit(1).count():
+            break
+        reads = F.substring(padded(), F.col("position") + 1, F.lit(AHEAD))
+        moves = frontier.select("word", (F.col("position") + AHEAD).alias("position"), F.concat("node", reads).alias("child"))
+        states = moves.join(nodes, "child").select("word", "position", F.col("child").alias("node"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -247,7 +243,7 @@ def near_long(words: DataFrame, longest: int) -> DataFrame:
 
 def near(words: DataFrame, longest: int = LONGEST) -> DataFrame:
     """All pairs (word, other) one edit apart, both ways round."""
-    in_trie = near_in_trie(words.filter(F.char_length("word") <= longest), longest)
+    in_trie = near_in_trie(words.filter(F.char_length("word") <= longest))
     pairs = in_trie.unionByName(near_long(words, longest))
     return stored(pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("word").alias("other"))), "near")
 

@@ -157,3 +157,76 @@ def test_empty_table_length_column_and_no_python(spark):
     assert all(r.n_chars == len(r.text) for r in frame.collect())
     assert not re.search("Python|Pandas|Arrow", frame._jdf.queryExecution().executedPlan().toString())
     assert pii.pseudonymized(docs.limit(0), KEY).count() == 0
+
+
+def repeated(n):
+    return [
+        "Dr " + "Aa " * n, "Dr A" + "a" * n, "Dr " + "A" * n, "Dr A" + "-a" * n, "Dr " * n + "Aa", "Dr A" + ".A" * n + ". Bb",
+        "Dr " + "von " * n + "Aa", "Dr " + "med. " * n + "Aa", "Dr " + "A. " * n + "Aa", "x@" + "a." * n + "com", "x@" + "é." * n + "com",
+        "x" * n + "@a.de", "x@" + "a" * n, "a@" * n, "1:" * n, "::" * n, "1::" + "1:" * n, "+1 " + "23 " * n, "0 1" * n,
+        "(020) " * n, "1234 " * n, "4" * n, "1.1.1.1." * n, "Mr. " * n,
+    ]
+
+
+def holds_one(text):
+    return "Aa" in text or "Bb" in text or text.endswith(("com", "@a.de"))
+
+
+def test_a_million_repetitions_of_everything_are_searched(spark):
+    texts = repeated(1_000_000)
+    rows = documents(spark, texts).select("doc_id", F.transform(pii.mentions(F.col("text")), lambda m: m["type"]).alias("t"))
+    found = {r.doc_id: set(r.t) & set(pii.TYPES) for r in rows.collect()}
+    assert all(found[i] for i, text in enumerate(texts) if holds_one(text))
+
+
+def test_long_entities_are_replaced(spark):
+    texts = repeated(20_000)
+    rows = out(spark, texts)
+    assert len(rows) == len(texts)
+    for i, text in enumerate(texts):
+        assert (rows[i].n_person + rows[i].n_email > 0) == (rows[i].text != text) or not holds_one(text)
+
+
+def test_surrogates_do_not_run_out(spark):
+    """More one-letter names than there are letters, and initials of one family."""
+    texts = [f"{chr(0x4E00 + i)}@qq.com" for i in range(30)]
+    texts += [f"Dr {chr(c)}. Smith" for c in range(65, 91)] + ["Herr " + chr(c) + "a" for c in range(65, 80)]
+    rows = out(spark, texts)
+    new = [rows[i].text for i in range(len(texts))]
+    assert len(set(new)) == len(texts) and not set(new) & set(texts)
+    assert len({t.split("@")[1] for t in new[:30]}) == 1 and len({t.split()[-1] for t in new[30:56]}) == 1
+
+
+def test_domains_and_families_stay_distinct(spark, monkeypatch):
+    """Two-letter domains and a small alphabet of families: parts collide at first."""
+    monkeypatch.setitem(pii.SCRIPTS, "latin", ("abcdefghijklmnopqrstuvwxyz", "bd", "a", ("a", "o", "e")))
+    texts = [f"u@{chr(97 + i % 26)}{chr(97 + i // 26)}.de" for i in range(120)] + [f"Dr Name{chr(97 + i)}" for i in range(26)]
+    rows = out(spark, texts)
+    domains = [rows[i].text.split("@")[1] for i in range(120)]
+    assert len(set(domains)) == 120 and not set(domains) & {t.split("@")[1] for t in texts[:120]}
+    assert len({rows[i].text for i in range(120, 146)}) == 26
+
+
+def test_whole_table_and_plain_search(spark):
+    """All documents come back; those without a trace of an entity as they were."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    rows = pii.pseudonymized(docs, KEY).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(before)
+    card = re.compile(r"(?<![\w.-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?)(?![\w-])")
+    mail = re.compile(r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    octet = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    ip = re.compile(rf"(?<![\w.])(?:{octet}\.){{3}}{octet}(?!\w|\.[0-9])")
+    seen = 0
+    for r in rows:
+        text = before[r.doc_id]
+        counts = [r[f"n_{k}"] for k in pii.TYPES]
+        if not sum(counts):
+            assert r.text == text
+        for pattern, n in ((card, r.n_card), (mail, r.n_email), (ip, r.n_ip)):
+            found = [m[0] for m in pattern.finditer(text)]
+            assert n >= len(found)
+            seen += len(found)
+            new = [m[0] for m in pattern.finditer(r.text)]
+            assert not set(found) & set(new)
+    assert seen

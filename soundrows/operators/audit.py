@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 from collections import Counter
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import Any
 
@@ -23,6 +22,7 @@ from soundrows.operators.keyed import DEFAULT_LIMITS, Limits
 from soundrows.operators.report import Report, report_document
 from soundrows.operators.rules import ForeignKey, ParentKeys, Tables
 from soundrows.plans.profile import Registry
+from soundrows.session import Workers
 
 
 class Audit:
@@ -71,7 +71,7 @@ class Audit:
             (e, s) for e in self.evaluations for s in e.key_sets
             if any(rule.severity == "error" for _, rule in s.rules)
         ]
-        with ThreadPoolExecutor(max_workers=8) as pool:
+        with Workers(max_workers=8) as pool:
             list(pool.map(lambda pair: pair[0].verdicts(pair[1]), work))
 
     def results(self) -> DataFrame:
@@ -89,7 +89,7 @@ class Audit:
 
     def reports(self, samples: bool = True) -> list[Report]:
         self._prepare()
-        with ThreadPoolExecutor(max_workers=4) as pool:
+        with Workers(max_workers=4) as pool:
             return list(pool.map(lambda e: Report(e, samples), self.evaluations))
 
     def documents(self, samples: bool = True) -> DataFrame:

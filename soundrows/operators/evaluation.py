@@ -12,7 +12,6 @@ from __future__ import annotations
 import datetime as dt
 import json
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -42,7 +41,7 @@ from soundrows.operators.rules import (
     key_type,
 )
 from soundrows.plans.profile import Profile
-from soundrows.session import durable
+from soundrows.session import Workers, durable
 from soundrows.sources import origin
 
 TABLE_ROW = -1  # rule_index of the row that carries table-level counts
@@ -205,7 +204,7 @@ class Evaluation:
             s for s in self.key_sets
             if any(rule.severity in severities for _, rule in s.rules)
         ]
-        with ThreadPoolExecutor(max_workers=max(len(wanted), 1)) as pool:
+        with Workers(max_workers=max(len(wanted), 1)) as pool:
             measured = list(pool.map(self.verdicts, wanted))  # independent jobs
         rows = self.table if table is None else table
         identity = ()

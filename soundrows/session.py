@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
-import threading
 import uuid
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +27,8 @@ SETTINGS = {
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
-_made: list[str] = []  # folders of intermediates, in the order they were made
-_made_lock = threading.Lock()
+#: The folders of intermediates that the current piece of work owns, if it owns any.
+_owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
 
 
 def build_session(app_name: str = "soundrows", **settings: str) -> SparkSession:
@@ -65,27 +66,34 @@ def durable(frame: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder next to the checkpoints."""
     path = f"{checkpoint_dir(spark)}/soundrows-{name}-{uuid.uuid4().hex}"
-    with _made_lock:
-        _made.append(path)
+    owned = _owned.get()
+    if owned is not None:
+        owned.append(path)
     return path
 
 
+class Workers(ThreadPoolExecutor):
+    """Threads that make intermediates for whoever hands them work."""
+
+    def submit(self, function, /, *args, **kwargs):
+        return super().submit(copy_context().run, function, *args, **kwargs)
+
+
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
     """Own the intermediates that are made inside the block and remove them at its end.
 
-    For work that ends in plain values.  Frames that still read them must not leave the
-    block, and other work of this process must not make any meanwhile.
+    For work that ends in plain values: frames that still read them must not leave the
+    block.  Blocks of several threads own their intermediates each; ``Workers`` that a block
+    starts work for it.
     """
-    with _made_lock:
-        before = len(_made)
+    owned: list[str] = []
+    token = _owned.set(owned)
     try:
         yield
     finally:
-        with _made_lock:
-            mine = _made[before:]
-            del _made[before:]
-        for path in mine:
+        _owned.reset(token)
+        for path in owned:
             remove(spark, path)
 
 

@@ -7,7 +7,6 @@ are selected from these rows; references between resources are joins.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from concurrent.futures import ThreadPoolExecutor
 from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +30,7 @@ from soundrows.operators.keyed import (
     most_frequent,
 )
 from soundrows.operators.numbering import numbered
-from soundrows.session import stored
+from soundrows.session import Workers, stored
 from soundrows.sources import bundles
 from soundrows.sources.bundles import Bundles
 from soundrows.sources.origin import BLOCK, FILE, ORIGIN, SEQUENCE, with_file_origin
@@ -530,7 +529,7 @@ def _made_in_one_order(make: Callable[[], DataFrame]) -> DataFrame:
 
 def _stored_together(makers: Mapping[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
     """Write independent tables side by side."""
-    with ThreadPoolExecutor(max_workers=max(len(makers), 1)) as pool:
+    with Workers(max_workers=max(len(makers), 1)) as pool:
         frames = pool.map(lambda name: stored(makers[name](), name), makers)
         return dict(zip(makers, frames))
 

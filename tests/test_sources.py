@@ -335,3 +335,36 @@ def test_surplus_cells_over_several_lines(spark, tmp_path):
     path.write_text('a,b\n1,"x\ny",3\n')
     with pytest.raises(Exception, match="expected 2 fields, saw more"):
         read_csv(spark, str(path)).collect()
+
+
+def test_checks_in_threads_keep_their_own_intermediates(spark, tmp_path):
+    """The check that ends first removes nothing of the other one."""
+    import threading
+    from concurrent.futures import ThreadPoolExecutor
+
+    from soundrows.session import scratch_path, tidy
+
+    (tmp_path / "departments.csv").write_text(DEPARTMENTS)
+    begun, ended = threading.Event(), threading.Event()
+
+    def slow():
+        with tidy(spark):
+            path = scratch_path(spark, "slow")
+            spark.range(3).write.parquet(path)
+            begun.set()
+            ended.wait(120)
+            return spark.read.parquet(path).count(), path
+
+    def quick():
+        begun.wait(120)
+        result = Checker(spark).check_csv(str(tmp_path / "departments.csv"))
+        ended.set()
+        return result["row_count"]
+
+    with ThreadPoolExecutor(2) as pool:
+        first, second = pool.submit(slow), pool.submit(quick)
+        assert second.result() > 0
+        count, path = first.result()
+    assert count == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

@@ -17,7 +17,8 @@ the shared folder (any store that Arrow's file systems reach).
 Defined results for odd input: a NULL body is an empty payload; a NULL url leaves the
 target out, control characters in it are percent-encoded; a NULL page id counts as the
 smallest and is read back as NULL; repeated rows of the largest page id are all responses;
-an empty table gives no records; extra columns are ignored.
+an empty table gives no records; extra columns are ignored.  Headers and bodies of any
+length are read whole.
 """
 
 from __future__ import annotations
@@ -40,7 +41,6 @@ from soundrows.session import stored
 
 ARCHIVE_BYTES = 256 << 20
 CHUNK = 1 << 16
-MOST_HEADER = 1 << 20
 UNKNOWN_DATE = "1970-01-01T00:00:00Z"
 ID = "urn:soundrows:page:"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -207,11 +207,11 @@ class Member:
         return True
 
     def until(self, mark: bytes) -> bytes:
-        """Everything up to and with the mark."""
+        """Everything up to and with the mark, however long (a header holds a whole URL)."""
         searched = 0
         while (place := self.ready.find(mark, searched)) < 0:
             searched = max(0, len(self.ready) - len(mark))
-            if len(self.ready) > MOST_HEADER or not self.more():
+            if not self.more():
                 raise Broken("no end of the header")
         out, self.ready = self.ready[: place + len(mark)], self.ready[place + len(mark) :]
         return out

@@ -92,3 +92,8 @@ def test_damage_is_told():
     shorter = read(gzip.compress(plain[:-8]))
     assert shorter[0]["problem"] == "block shorter than its Content-Length"
     assert read(gzip.compress(b"not a record\r\n\r\n"))[0]["problem"] == "not a WARC record"
+
+
+def test_urls_of_any_length(spark):
+    pages = [(1, "http://a/" + "x" * 1_200_000, "body"), (2, "http://a/" + "y" * 3_000_000, "body")]
+    assert Counter(map(tuple, warc.round_trip(frame(spark, pages)).collect())) == expected(pages)

@@ -461,29 +461,42 @@ def surrogate_numbers(tables: Mapping[str, DataFrame]) -> DataFrame:
 def with_surrogate_keys(
     tables: Mapping[str, DataFrame], limits: Limits = DEFAULT_LIMITS
 ) -> dict[str, DataFrame]:
-    """Replace the ids of all tables by shared whole numbers, as text."""
+    """Replace the ids of all tables by shared whole numbers, as text.
+
+    A small map is broadcast to the rows.  A large one meets the ids alone, all columns of
+    a table in one join; rows are shuffled once, to get their numbers back.
+    """
     numbers = surrogate_numbers(tables)
-    small = fits_broadcast(numbers, "id", limits)
-    # Joined by every id column, so the names are found once; a small map needs none.
-    hot = None if small else stored(most_frequent(numbers, "id", limits), "hot-ids")
-    position = [F.col(c) for c in ORIGIN]
-    renumbered = {}
-    for name, rows in tables.items():
-        columns = rows.columns
-        for column in columns:
-            if column not in ID_COLUMNS:
-                continue
-
-            named = numbers.select(
-                F.col("id").alias(column), F.col("number").cast("string").alias("_number")
-            )
-            often = None if small else hot.select(F.col("id").alias(column))
-            joined = attach(rows, column, named, position, often, small, limits)
-            rows = joined.select(
-                *[F.col("_number").alias(c) if c == column else F.col(c) for c in columns]
-            )
-        renumbered[name] = rows
-    return renumbered
+    if fits_broadcast(numbers, "id", limits):
+        return {name: _numbered_by_broadcast(rows, numbers) for name, rows in tables.items()}
+    hot = stored(most_frequent(numbers, "id", limits), "hot-ids")
+    return {name: _numbered_by_position(rows, numbers, hot, limits) for name, rows in tables.items()}
+
+
+def _numbered_by_broadcast(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    columns = rows.columns
+    for column in [c for c in columns if c in ID_COLUMNS]:
+        named = numbers.select(F.col("id").alias(column), F.col("number").cast("string").alias("_number"))
+        joined = attach(rows, column, named, (), small=True)
+        rows = joined.select(*[F.col("_number").alias(c) if c == column else F.col(c) for c in columns])
+    return rows
+
+
+def _numbered_by_position(rows: DataFrame, numbers: DataFrame, hot: DataFrame, limits: Limits) -> DataFrame:
+    """Ids in long form (row, column, id), one join with the numbers, and back to columns."""
+    ids = [c for c in rows.columns if c in ID_COLUMNS]
+    placed = rows.withColumn("_row", F.struct(*ORIGIN))
+    each = [F.struct(F.lit(place).alias("_column"), F.col(c).alias("id")) for place, c in enumerate(ids)]
+    long = placed.select("_row", F.inline(F.array(*each))).filter("id is not null")
+    named = numbers.select("id", F.col("number").cast("string").alias("_number"))
+    found = attach(long, "id", named, [F.col("_row"), F.col("_column")], hot, limits=limits)
+    wide = found.groupBy("_row").agg(
+        *[F.max(F.when(F.col("_column") == place, F.col("_number"))).alias(f"_n{place}") for place in range(len(ids))]
+    )
+    number_of = {c: f"_n{place}" for place, c in enumerate(ids)}
+    return placed.join(wide, "_row", "left").select(
+        *[F.col(number_of[c]).alias(c) if c in number_of else F.col(c) for c in rows.columns]
+    )
 
 
 def tables_of(

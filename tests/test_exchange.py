@@ -498,3 +498,24 @@ def test_odd_files_are_judged_like_whole_texts(spark, tmp_path):
             assert mine[name] == theirs[name], text
         else:
             assert not mine[name][0], text
+
+
+def test_large_maps_of_ids_give_the_same_tables(spark, tmp_path):
+    """Every table with several id columns, by broadcast and in long form."""
+    resources = [{"resourceType": "Patient", "id": f"p{i}"} for i in range(6)]
+    resources += [
+        {"resourceType": "Encounter", "id": f"e{i}", "subject": ref(f"p{i % 3}"),
+         **({"serviceProvider": ref("d")} if i % 2 else {}),
+         "participant": [{"individual": ref(f"doc{i % 4}")}]}
+        for i in range(20)
+    ]
+    path = write_bundle(tmp_path / "b.json", *resources)
+    found = fhir.resources_in(bundles.read(spark, path, fhir.opened))
+    staged = fhir.staged(found)
+    tables = {"patients": fhir.patients(staged), "encounters": fhir.encounters(staged)}
+    by_broadcast = fhir.with_surrogate_keys(tables)
+    in_long_form = fhir.with_surrogate_keys(tables, Limits(broadcast_bytes=0, hot_rows=5, hot_keys=2, salts=3))
+    for name in tables:
+        assert by_broadcast[name].columns == in_long_form[name].columns == tables[name].columns
+        rows = [sorted(map(str, t[name].collect())) for t in (by_broadcast, in_long_form)]
+        assert rows[0] == rows[1] and len(rows[0]) == tables[name].count()

@@ -382,10 +382,15 @@ class Evaluation:
         return F.create_map(*pairs)
 
     def _numbered(self, table: DataFrame, top: DataFrame) -> DataFrame:
-        """Line numbers for a handful of sampled rows, from row counts per block.
+        """Line numbers for a handful of sampled rows.
 
-        ``top`` holds at most SAMPLE_ROWS rows per rule, so it is the broadcast side.
+        Rows that know their place in their file need no more; for others the rows of each
+        block are counted.  ``top`` holds at most SAMPLE_ROWS rows per rule, so it is the
+        broadcast side.
         """
+        if origin.knows_row_index(self.table):
+            line = F.col(origin.SEQUENCE) + F.lit(FIRST_DATA_LINE)
+            return top.withColumn("_line", line.cast("bigint"))
         place = [origin.FILE, origin.BLOCK]
         before = (
             Window.partitionBy(origin.FILE)

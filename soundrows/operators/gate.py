@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from soundrows.errors import GateFailed
 from soundrows.operators.evaluation import Evaluation
+from soundrows.session import durable
 
 
 def gate(report: dict[str, Any], max_errors: int = 0) -> dict[str, Any]:
@@ -20,7 +21,11 @@ def gate(report: dict[str, Any], max_errors: int = 0) -> dict[str, Any]:
 
 
 def split(evaluation: Evaluation) -> tuple[DataFrame, DataFrame]:
-    """Accepted rows (no error-level failure) and quarantined rows with their rule ids."""
-    flagged = evaluation.flagged()
-    accepted = flagged.filter(~F.col("has_error")).drop("has_error", "failed_rules")
-    return accepted, flagged.filter("has_error").drop("has_error")
+    """Accepted rows (no error-level failure) and quarantined rows with their rule ids.
+
+    The rules are evaluated once: the flagged rows are written to the shared folder, and both
+    sides read them, in row order.
+    """
+    routed = durable(evaluation.flagged())
+    accepted = routed.filter(~F.col("has_error")).drop("has_error", "failed_rules")
+    return accepted, routed.filter("has_error").drop("has_error")

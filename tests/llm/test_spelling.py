@@ -68,12 +68,12 @@ def test_vocabulary(spark):
     assert found == counted(rows)
 
 
-@pytest.mark.parametrize("longest", [8, 12, 32])
+@pytest.mark.parametrize("longest", [9, 32])
 def test_forms_equal_all_pairs(spark, longest):
     """Small alphabets make many neighbours; low limits send words both ways."""
     draw = np.random.default_rng(longest)
     words = {}
-    for _ in range(1500):
+    for _ in range(800):
         letters = ["abé", "ab", "xyzÿ"][draw.integers(3)]
         word = "".join(draw.choice(list(letters), draw.integers(7, 14)))
         words[word] = int(10 ** draw.uniform(0.4, 4))

@@ -7,6 +7,7 @@ malformed resources flow through instead of failing a job.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,14 +23,20 @@ from soundrows.fixed_values import (
 from soundrows.functions.text import float_text, nonempty
 
 URN = "urn:uuid:"
-#: The members of resources that any table uses.
-MEMBERS = (
-    "resourceType", "id", "code", "total", "name", "gender", "birthDate", "address", "meta",
-    "class", "subject", "serviceProvider", "period", "hospitalization", "participant",
-    "encounter", "onsetDateTime", "recordedDate", "category", "performedDateTime",
-    "performedPeriod", "medicationCodeableConcept", "medicationReference", "contained",
-    "dosageInstruction", "item", "claim", "payment", "patient",
-)
+#: The members that tell what a resource is and what others may refer to.
+KEY_MEMBERS = ("resourceType", "id", "code", "total")
+#: The members that tables use, by type of resource.
+MEMBERS = {
+    "Patient": ("name", "gender", "birthDate", "address", "meta"),
+    "Encounter": ("class", "subject", "participant", "serviceProvider", "period", "hospitalization"),
+    "Condition": ("encounter", "code", "onsetDateTime", "recordedDate", "category"),
+    "Procedure": ("encounter", "code", "performedDateTime", "performedPeriod"),
+    "MedicationRequest": (
+        "encounter", "medicationCodeableConcept", "medicationReference", "contained", "dosageInstruction",
+    ),
+    "ExplanationOfBenefit": ("claim", "encounter", "item", "total", "payment", "patient", "contained"),
+    "Claim": ("item", "encounter"),
+}
 #: Nothing in a file is too long to be read.
 NO_LIMITS = {
     "maxStringLen": str((1 << 31) - 1),
@@ -45,9 +52,9 @@ def shaped(text: Column, shape: str) -> Column:
     return F.from_json(text, f"{shape}, {MALFORMED} string", options)
 
 
-def opened(resource: Column) -> Column:
-    """The used members of a resource, each a VARIANT; all others are skipped unread."""
-    return shaped(resource, ", ".join(f"`{name}` variant" for name in MEMBERS))
+def opened(resource: Column, members: Sequence[str]) -> Column:
+    """Members of a resource, each a VARIANT; all others are skipped unread."""
+    return shaped(resource, ", ".join(f"`{name}` variant" for name in members))
 
 
 class Body:
@@ -99,9 +106,13 @@ def day_of(stamp: Column) -> Column:
     return nonempty(F.substring(stamp, 1, 10))
 
 
-def reference_at(value: Column, path: str) -> Column:
-    """The id a reference points to: a reference object, or a plain string."""
-    written = F.coalesce(string_at(value, f"{path}.reference"), string_at(value, path))
+def written_reference(value: Column | Body, path: str) -> Column:
+    """A reference as it is written: a reference object's text, or a plain string."""
+    return F.coalesce(string_at(value, f"{path}.reference"), string_at(value, path))
+
+
+def referred_id(written: Column) -> Column:
+    """The id that a written reference points to."""
     return (
         F.when(written == "", F.lit(None).cast("string"))
         .when(written.startswith(URN), F.substring(written, len(URN) + 1, 1 << 30))
@@ -109,6 +120,11 @@ def reference_at(value: Column, path: str) -> Column:
     )
 
 
+def reference_at(value: Column | Body, path: str) -> Column:
+    """The id a reference points to: a reference object, or a plain string."""
+    return referred_id(written_reference(value, path))
+
+
 def label_at(value: Column, path: str) -> Column:
     """The human label of a CodeableConcept: its text, else its first coding."""
     return F.coalesce(
@@ -129,14 +145,13 @@ def official_name(patient: Column) -> Column:
     return F.coalesce(official, F.get(names, F.lit(0)))
 
 
-def attending_id(encounter: Column) -> Column:
+def attending(encounter: Column) -> Column:
     """The first participant that names an individual."""
-    named = first_where(
+    return first_where(
         list_at(encounter, "$.participant"),
         lambda p: pick(p, "$.individual", "variant").isNotNull()
         & text_at(p, "$.individual").isNotNull(),
     )
-    return reference_at(named, "$.individual")
 
 
 def diagnosis_code(condition: Column) -> tuple[Column, Column]:

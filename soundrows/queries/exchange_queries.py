@@ -15,24 +15,20 @@ from soundrows.sources.origin import BLOCK, FILE, ORIGIN, SEQUENCE
 
 
 # -- building bundles ----------------------------------------------------------------
-def bundles(rows: DataFrame, file: Column, *resources: Column) -> DataFrame:
+#: Bundles that one task makes and opens.
+BUNDLES_PER_TASK = 200_000
+
+
+def bundles(rows: DataFrame, file: Column, *entries: Column) -> DataFrame:
     """One bundle per row.  Every bundle also holds entries that must be ignored."""
-    entries = [F.lit('"oops"'), F.lit('{"resource": "text"}')] + [
-        F.when(
-            resource.isNotNull(),
-            F.concat(F.lit('{"fullUrl": "urn:uuid:'),
-                     F.get_json_object(resource, "$.id"),
-                     F.lit('", "resource": '), resource, F.lit("}")),
-        )
-        for resource in resources
-    ]
+    listed = [F.lit('"oops"'), F.lit('{"resource": "text"}'), *entries]
     bundle = F.concat(
         F.lit('{"resourceType": "Bundle", "type": "collection", "entry": ['),
-        F.concat_ws(", ", *entries),
+        F.concat_ws(", ", *listed),
         F.lit("]}"),
     )
     # Bundles would come as many files, hence as many tasks; a table may be one split.
-    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // BUNDLES_PER_TASK))
     spread = rows.select("*", file.alias(FILE)).repartition(tasks, FILE)
     return spread.select(FILE, bundle.alias("bundle"))
 
@@ -48,8 +44,10 @@ def place(prefix: str, *keys: str) -> Column:
 
 
 def resource(kind: str, id_: Column, **fields: Column) -> Column:
+    """An entry with its resource."""
     named = [F.lit(kind).alias("resourceType"), id_.alias("id")]
-    return F.to_json(F.struct(*named, *[value.alias(name) for name, value in fields.items()]))
+    body = F.to_json(F.struct(*named, *[value.alias(name) for name, value in fields.items()]))
+    return F.concat(F.lit('{"fullUrl": "urn:uuid:'), id_, F.lit('", "resource": '), body, F.lit("}"))
 
 
 def obj(**fields: Column) -> Column:

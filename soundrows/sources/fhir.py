@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from soundrows.errors import CheckError
@@ -62,7 +62,11 @@ def opened(texts: DataFrame) -> DataFrame:
     Entries are read as text, so one malformed entry does not lose the others.  Of a
     repeated key the last value counts, and no string is too long.
     """
-    shape = fx.shaped(F.col("bundle"), "resourceType string, entry array<string>")
+    # A column of its own: as part of several expressions each of them would parse the text.
+    texts = texts.select(
+        FILE, "bundle", fx.shaped(F.col("bundle"), "resourceType string, entry array<string>").alias("shape")
+    )
+    shape = F.col("shape")
     is_object = F.ltrim(F.col("bundle")).startswith("{")
     listed = F.from_json(F.concat(F.lit("["), "bundle", F.lit("]")), "array<string>", fx.NO_LIMITS)
     sound = F.when(is_object, shape.getField(fx.MALFORMED).isNull()).otherwise(
@@ -103,13 +107,13 @@ def resources_of(texts: DataFrame) -> DataFrame:
     """One row per bundle entry; entries without a resource object have no type.
 
     Nothing is filtered on parsed values here: a pushed-down filter would parse the text
-    again.  Files that are no bundle, and entries that hold no object, stay typeless rows
-    that no table selects.
+    again.  Entries that are no objects go by their first character, unparsed: each would
+    cost an exception.  Objects without a resource stay typeless rows that no table selects.
     """
     listed = F.when(F.col("sound") & (F.col("bundle_type") == "Bundle"), F.col("entries"))
     entries = opened(texts).select(FILE, listed.alias("entries")).select(
         FILE, F.posexplode_outer("entries").alias(SEQUENCE, "entry")
-    )
+    ).filter(F.ltrim("entry").startswith("{"))
     parts = entries.select(
         FILE,
         SEQUENCE,
@@ -140,7 +144,7 @@ def _typed(resources: DataFrame) -> DataFrame:
     _last_key_wins(resources.sparkSession)
     is_object = F.ltrim(F.col("resource")).startswith("{")
     parsed = resources.select(
-        *ORIGIN, "full_url", "resource", F.when(is_object, fx.opened(F.col("resource"))).alias("body")
+        *ORIGIN, "full_url", "resource", F.when(is_object, fx.opened(F.col("resource"), fx.KEY_MEMBERS)).alias("body")
     )
     sound = F.col("body").isNotNull() & F.col(f"body.{fx.MALFORMED}").isNull()
     body = fx.Body("body")
@@ -171,19 +175,27 @@ def _last_key_wins(spark: SparkSession) -> None:
 def staged(resources: DataFrame) -> DataFrame:
     """Write resources once, one folder per used type, so that every table reads only its own.
 
-    Bodies stay text: a stored VARIANT may come back with whole numbers as decimals.
+    Bodies stay text: a stored VARIANT may come back with whole numbers as decimals.  Each
+    task keeps a file for each type open, so that no bodies are sorted by type.
     """
+    resources.sparkSession.conf.set("spark.sql.maxConcurrentOutputFileWriters", len(USED_TYPES) + 2)
     return stored(resources, "resources", partition_by=["resource_type"])
 
 
 def of_type(resources: DataFrame, kind: str) -> DataFrame:
-    """The resources of one type with their opened ``body``."""
+    """The resources of one type with their opened ``body``: the members its table uses."""
     _last_key_wins(resources.sparkSession)
     return resources.filter(F.col("resource_type") == kind).withColumn(
-        "body", fx.opened(F.col("resource"))
+        "body", fx.opened(F.col("resource"), fx.MEMBERS[kind])
     )
 
 
+def with_references(rows: DataFrame, value: Column | fx.Body, **paths: str) -> DataFrame:
+    """Add the ids that references point to; each reference is looked up once per row."""
+    written = rows.withColumns({name: fx.written_reference(value, path) for name, path in paths.items()})
+    return written.withColumns({name: fx.referred_id(F.col(name)) for name in paths})
+
+
 def indexed(resources: DataFrame, wanted: DataFrame, **values: str) -> DataFrame:
     """(reference, values): what a reference resolves to, the last resource winning.
 
@@ -240,12 +252,13 @@ def encounters(resources: DataFrame) -> DataFrame:
     admission = mapped(
         code, FHIR_ENCOUNTER_CLASSES, F.when(code.isNotNull(), F.lit(FHIR_DEFAULT_ADMISSION))
     )
-    return of_type(resources, "Encounter").select(
+    rows = of_type(resources, "Encounter").withColumn("_attending", fx.attending(body))
+    rows = with_references(rows, body, patient_id="$.subject", department_id="$.serviceProvider")
+    rows = with_references(rows, F.col("_attending"), provider_id="$.individual")
+    return rows.select(
         *ORIGIN,
         F.col("id").alias("encounter_id"),
-        fx.reference_at(body, "$.subject").alias("patient_id"),
-        fx.attending_id(body).alias("provider_id"),
-        fx.reference_at(body, "$.serviceProvider").alias("department_id"),
+        "patient_id", "provider_id", "department_id",
         fx.date_at(body, "$.period.start").alias("admit_date"),
         fx.date_at(body, "$.period.end").alias("discharge_date"),
         admission.alias("admission_type"),
@@ -295,10 +308,10 @@ def procedures(resources: DataFrame) -> DataFrame:
         nonempty(fx.string_at(body, "$.performedDateTime")),
         fx.string_at(body, "$.performedPeriod.start"),
     )
-    return of_type(resources, "Procedure").select(
+    return with_references(of_type(resources, "Procedure"), body, encounter_id="$.encounter").select(
         *ORIGIN,
         F.col("id").alias("procedure_id"),
-        fx.reference_at(body, "$.encounter").alias("encounter_id"),
+        "encounter_id",
         fx.label_at(body, "$.code").alias("procedure_name"),
         fx.day_of(performed).alias("procedure_date"),
     )
@@ -307,20 +320,24 @@ def procedures(resources: DataFrame) -> DataFrame:
 def prescriptions(resources: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Medication requests; a medication may be inline, another resource, or contained."""
     body = fx.Body("body")
-    label = fx.label_at(body, "$.medicationCodeableConcept")
-    reference = F.when(label.isNull(), fx.reference_at(body, "$.medicationReference"))
-    contained = fx.first_where(
-        fx.list_at(body, "$.contained"),
-        lambda c: fx.text_at(c, "$.id") == F.substring(reference, 2, 1 << 30),
-    )
-    requests = of_type(resources, "MedicationRequest").select(
+    # Each step reads columns of the step before; as one expression it would be computed again
+    # wherever it is mentioned, within the filter over contained resources for each of them.
+    rows = of_type(resources, "MedicationRequest")
+    opened = with_references(rows, body, encounter_id="$.encounter", _reference="$.medicationReference").select(
         *ORIGIN,
         F.col("id").alias("prescription_id"),
-        fx.reference_at(body, "$.encounter").alias("encounter_id"),
-        label.alias("_label"),
-        reference.alias("reference"),
-        F.when(reference.startswith("#"), fx.label_at(contained, "$.code")).alias("_contained"),
+        "encounter_id",
+        fx.label_at(body, "$.medicationCodeableConcept").alias("_label"),
+        "_reference",
+        fx.list_at(body, "$.contained").alias("_contents"),
         fx.label_at(body, "$.dosageInstruction[0].route").alias("route"),
+    ).withColumn("reference", F.when(F.col("_label").isNull(), F.col("_reference")))
+    contained = fx.first_where("_contents", lambda c: fx.text_at(c, "$.id") == F.substring("reference", 2, 1 << 30))
+    requests = opened.withColumn(
+        "_medication", F.when(F.col("reference").startswith("#"), contained)
+    ).select(
+        *ORIGIN, "prescription_id", "encounter_id", "_label", "reference",
+        fx.label_at(F.col("_medication"), "$.code").alias("_contained"), "route",
     )
     rows = stored(requests, "requests")
     named = indexed(resources, rows, _name="label")

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import evaluate
 
@@ -519,3 +520,46 @@ def test_large_maps_of_ids_give_the_same_tables(spark, tmp_path):
         assert by_broadcast[name].columns == in_long_form[name].columns == tables[name].columns
         rows = [sorted(map(str, t[name].collect())) for t in (by_broadcast, in_long_form)]
         assert rows[0] == rows[1] and len(rows[0]) == tables[name].count()
+
+
+def plans_of(monkeypatch, spark, name):
+    """The frames that a query stores, by name, without their rows."""
+    from soundrows import session
+    from soundrows.queries import QUERIES
+
+    seen = {}
+
+    def plan(frame):
+        return frame._jdf.queryExecution().executedPlan().toString()
+
+    def noted(frame, label, *args, **options):
+        seen[label] = plan(frame)
+        return session.stored(frame, label, *args, **options)
+
+    monkeypatch.setattr(fhir, "stored", noted)
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    return seen
+
+
+def test_staging_parses_each_text_once(spark, monkeypatch):
+    """The bundle, the entry and the resource; no body is sorted by type, no other member opened."""
+    staging = plans_of(monkeypatch, spark, "fhir_procedures")["resources"]
+    bundle = staging.count("StructField(entry,ArrayType(StringType,true),true)")
+    assert (bundle, staging.count("StructField(fullUrl,StringType,true)")) == (1, 1)
+    assert staging.count("StructField(resourceType,VariantType,true)") == 1
+    assert staging.count("to_json") + staging.count("StructsToJson") <= 1 and "get_json_object" not in staging
+    assert "StructField(birthDate" not in staging and "Sort [" not in staging
+
+
+def test_bundles_are_dealt_by_their_number(spark, monkeypatch):
+    from soundrows.queries import exchange_queries
+
+    monkeypatch.setattr(exchange_queries, "BUNDLES_PER_TASK", 50)
+    found = exchange_queries.encounter_bundles(spark, "/root/testdata/sf0.001")
+    rows = exchange_queries.table(spark, "/root/testdata/sf0.001", "orders").count()
+    assert found.rdd.getNumPartitions() == -(-rows // 50) > 8
+
+
+def test_a_contained_medication_is_looked_up_once(spark, monkeypatch):
+    requests = plans_of(monkeypatch, spark, "fhir_prescriptions")["requests"]
+    assert requests.count("lambdafunction") <= 2 and requests.count("filter(") <= 1

@@ -42,8 +42,9 @@ def attach(
     hot: DataFrame | None = None,
     small: bool = False,
     limits: Limits = DEFAULT_LIMITS,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Left-join ``values`` (one row per ``key``) to ``rows``.
+    """Left-join ``values`` (one row per ``key``) to ``rows``, in ``tasks`` if given.
 
     * ``small`` (a measured frame): broadcast, no shuffle of the rows.
     * otherwise a shuffled join on the key and a salt.  Rows of the ``hot`` keys (a
@@ -64,6 +65,8 @@ def attach(
     left = rows.join(often, key, "left").withColumn(
         "_salt", F.when(salted, salt).otherwise(F.lit(0)).cast("int")
     )
+    if tasks:
+        left = left.repartition(tasks, key, "_salt")
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(limits.salts - 1))).otherwise(
         F.array(F.lit(0))
     )

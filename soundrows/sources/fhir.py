@@ -45,6 +45,7 @@ TABLE_TYPES = {
     "billing": ("ExplanationOfBenefit", "Claim"),
 }
 USED_TYPES = tuple(sorted({t for types in TABLE_TYPES.values() for t in types}))
+ROWS_PER_TASK = 200_000  # of what is sorted with its place
 OTHER = "other"  # stands for all types that no table uses
 
 
@@ -451,22 +452,26 @@ def with_insurance(
     )
 
 
+def tasks_for(rows: DataFrame, copies: int = 1) -> int:
+    """How many tasks share the work, so that none gets more rows however many there are."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() * copies // ROWS_PER_TASK))
+
+
 def surrogate_numbers(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(id, number, _rows): one number per id text, in order of first appearance.
 
-    Appearance runs over tables, then id columns, then rows.
+    Appearance runs over tables, then id columns, then rows.  A table is read once for all its
+    id columns, a bounded number of rows to a task: the first place of an id is found by sorting.
     """
-    seen = [
-        rows.select(
-            F.col(column).alias("id"),
-            F.struct(
-                F.lit(table_at).alias("t"), F.lit(column_at).alias("c"), *ORIGIN,
-            ).alias("at"),
-        ).filter(F.col("id").isNotNull())
-        for table_at, rows in enumerate(tables.values())
-        for column_at, column in enumerate(rows.columns)
-        if column in ID_COLUMNS
-    ]
+    seen = []
+    for table_at, rows in enumerate(tables.values()):
+        ids = [c for c in rows.columns if c in ID_COLUMNS]
+        spread = rows.select(*ORIGIN, *ids).repartition(tasks_for(rows), *ORIGIN)
+        each = [
+            F.struct(F.col(c).alias("id"), F.struct(F.lit(table_at).alias("t"), F.lit(at).alias("c"), *ORIGIN).alias("at"))
+            for at, c in enumerate(rows.columns) if c in ID_COLUMNS
+        ]
+        seen += [spread.select(F.inline(F.array(*each))).filter("id is not null")] if ids else []
     first = (
         reduce(DataFrame.unionByName, seen)
         .groupBy("id")
@@ -505,14 +510,15 @@ def _numbered_by_position(rows: DataFrame, numbers: DataFrame, hot: DataFrame, l
     placed = rows.withColumn("_row", F.struct(*ORIGIN))
     each = [F.struct(F.lit(place).alias("_column"), F.col(c).alias("id")) for place, c in enumerate(ids)]
     long = placed.select("_row", F.inline(F.array(*each))).filter("id is not null")
-    named = numbers.select("id", F.col("number").cast("string").alias("_number"))
-    found = attach(long, "id", named, [F.col("_row"), F.col("_column")], hot, limits=limits)
-    wide = found.groupBy("_row").agg(
+    named = numbers.select("id", F.col("number").alias("_number"))
+    tasks = tasks_for(rows, len(ids))
+    found = attach(long, "id", named, [F.col("_row"), F.col("_column")], hot, limits=limits, tasks=tasks)
+    wide = found.repartition(tasks, "_row").groupBy("_row").agg(
         *[F.max(F.when(F.col("_column") == place, F.col("_number"))).alias(f"_n{place}") for place in range(len(ids))]
     )
     number_of = {c: f"_n{place}" for place, c in enumerate(ids)}
-    return placed.join(wide, "_row", "left").select(
-        *[F.col(number_of[c]).alias(c) if c in number_of else F.col(c) for c in rows.columns]
+    return placed.repartition(tasks, "_row").join(wide, "_row", "left").select(
+        *[F.col(number_of[c]).cast("string").alias(c) if c in number_of else F.col(c) for c in rows.columns]
     )
 
 

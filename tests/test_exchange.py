@@ -563,3 +563,23 @@ def test_bundles_are_dealt_by_their_number(spark, monkeypatch):
 def test_a_contained_medication_is_looked_up_once(spark, monkeypatch):
     requests = plans_of(monkeypatch, spark, "fhir_prescriptions")["requests"]
     assert requests.count("lambdafunction") <= 2 and requests.count("filter(") <= 1
+
+
+def test_surrogate_numbers_read_a_table_once_in_bounded_tasks(spark, tmp_path, monkeypatch):
+    resources = [
+        {"resourceType": "Encounter", "id": f"e{i}", "subject": ref(f"p{i % 7}"), "serviceProvider": ref("d"),
+         "participant": [{"individual": ref(f"e{i - 1}")}]}
+        for i in range(60)
+    ]
+    path = write_bundle(tmp_path / "b.json", *resources)
+    tables = {"encounters": fhir.encounters(fhir.staged(fhir.resources_of(fhir.read_bundles(spark, path))))}
+    numbered = {r.id: r.number for r in fhir.surrogate_numbers(tables).collect()}
+    monkeypatch.setattr(fhir, "ROWS_PER_TASK", 2)
+    seen = []
+    monkeypatch.setattr(fhir, "numbered", lambda first, *_: seen.append(first) or first.withColumn("number", F.lit(0)))
+    fhir.surrogate_numbers(tables)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and ", REPARTITION_BY_NUM" in plan and ", 30)" in plan
+    # Ids of encounters come first, then patients, then the practitioner of the first row.
+    assert numbered["e0"] == 1 and numbered["e59"] == 60 and numbered["p0"] == 61
+    assert numbered["e-1"] == 68 and numbered["d"] == 69 and len(numbered) == 69

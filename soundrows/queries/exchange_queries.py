@@ -423,7 +423,10 @@ def visit_resources(spark: SparkSession, folder: str) -> DataFrame:
     JOIN numbers d ON v.provider_id = d.id LEFT JOIN numbers g ON v.department_id = g.id""")
 def fhir_surrogate_keys(spark, folder):
     resources = visit_resources(spark, folder)
-    tables = {"patients": fhir.patients(resources), "encounters": fhir.encounters(resources)}
+    tables = {
+        "patients": stored(fhir.patients(resources), "patients"),
+        "encounters": stored(fhir.encounters(resources), "encounters"),
+    }
     return fhir.with_surrogate_keys(tables)["encounters"].drop(*ORIGIN)
 
 

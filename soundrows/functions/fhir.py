@@ -189,26 +189,31 @@ def is_encounter_diagnosis(condition: Column) -> Column:
 def amount_text(value: Column, path: str) -> Column:
     """An amount as written: whole numbers stay whole, others show as floats."""
     shape = F.schema_of_variant(pick(value, path, "variant"))
+    return written_amount(shape, amount(value, path), text_at(value, path))
+
+
+def written_amount(shape: Column, number: Column, text: Column) -> Column:
     fractional = shape.startswith("DECIMAL") | shape.isin("DOUBLE", "FLOAT")
-    return F.when(
-        fractional, float_text(pick(value, path, "double"))
-    ).otherwise(text_at(value, path))
+    return F.when(fractional, float_text(number)).otherwise(text)
 
 
 def amount(value: Column, path: str) -> Column:
     return pick(value, path, "double")
 
 
-def billed_encounter(benefit: Column) -> Column:
-    """The encounter of the first item that has one, else of the whole document."""
-    named = F.transform(
-        list_at(benefit, "$.item"), lambda item: nonempty(reference_at(item, "$.encounter[0]"))
-    )
-    return F.coalesce(
-        F.get(F.array_compact(named), F.lit(0)), reference_at(benefit, "$.encounter")
+def written_encounters(benefit: Column) -> Column:
+    """The encounter that each item names, as it is written."""
+    return F.transform(
+        list_at(benefit, "$.item"), lambda item: written_reference(item, "$.encounter[0]")
     )
 
 
+def billed_encounter(of_items: Column, of_document: Column) -> Column:
+    """The encounter of the first item that has one, else of the whole document."""
+    named = F.transform(of_items, lambda written: nonempty(referred_id(written)))
+    return F.coalesce(F.get(F.array_compact(named), F.lit(0)), of_document)
+
+
 def claimed_encounter(claim: Column) -> Column:
     return F.coalesce(
         nonempty(reference_at(claim, "$.item[0].encounter[0]")),
@@ -226,8 +231,8 @@ def submitted_total(benefit: Column) -> Column:
     )
 
 
-def patient_share(benefit: Column) -> Column:
-    """Sum of the adjudicated amounts the patient owes; NULL when there is none."""
+def patient_shares(benefit: Column) -> Column:
+    """The adjudicated amounts the patient owes."""
     adjudications = F.flatten(
         F.transform(list_at(benefit, "$.item"), lambda item: list_at(item, "$.adjudication"))
     )
@@ -241,9 +246,13 @@ def patient_share(benefit: Column) -> Column:
         )
         return words.contains(PATIENT_SHARE) & amount(entry, "$.amount.value").isNotNull()
 
-    shares = F.transform(
+    return F.transform(
         F.filter(adjudications, is_share), lambda entry: amount(entry, "$.amount.value")
     )
+
+
+def patient_share(shares: Column) -> Column:
+    """Sum of what the patient owes; NULL when there is none."""
     summed = F.aggregate(shares, F.lit(0.0), lambda total, share: total + share)
     return F.when(F.size(shares) > 0, F.bround(summed, 2))
 

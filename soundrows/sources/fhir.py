@@ -197,6 +197,22 @@ def with_references(rows: DataFrame, value: Column | fx.Body, **paths: str) -> D
     return written.withColumns({name: fx.referred_id(F.col(name)) for name in paths})
 
 
+def with_amounts(rows: DataFrame, value: Column | fx.Body, **paths: str) -> DataFrame:
+    """Add amounts as numbers and, as ``_text``, as written; each is looked up once per row."""
+    found = rows.withColumns({
+        column: part
+        for name, path in paths.items()
+        for column, part in (
+            (name, fx.amount(value, path)),
+            (f"{name}_as", fx.text_at(value, path)),
+            (f"{name}_shape", F.schema_of_variant(fx.pick(value, path, "variant"))),
+        )
+    })
+    return found.withColumns({
+        f"{name}_text": fx.written_amount(F.col(f"{name}_shape"), F.col(name), F.col(f"{name}_as")) for name in paths
+    })
+
+
 def indexed(resources: DataFrame, wanted: DataFrame, **values: str) -> DataFrame:
     """(reference, values): what a reference resolves to, the last resource winning.
 
@@ -354,17 +370,18 @@ def prescriptions(resources: DataFrame, limits: Limits = DEFAULT_LIMITS) -> Data
 def benefit_rows(resources: DataFrame) -> DataFrame:
     """What billing and insurers need from benefits, extracted once."""
     body = fx.Body("body")
-    submitted = fx.submitted_total(body)
-    return stored(of_type(resources, "ExplanationOfBenefit").select(
+    rows = of_type(resources, "ExplanationOfBenefit").withColumns({
+        "_total": fx.submitted_total(body), "_shares": fx.patient_shares(body), "_items": fx.written_encounters(body),
+    })
+    rows = with_references(rows, body, reference="$.claim", _document="$.encounter", patient_id="$.patient")
+    rows = with_amounts(rows, F.col("_total"), _submitted="$.amount.value")
+    rows = with_amounts(rows, body, _insurance="$.payment.amount.value")
+    return stored(rows.select(
         *ORIGIN,
-        fx.billed_encounter(body).alias("encounter_id"),
-        fx.reference_at(body, "$.claim").alias("reference"),
-        fx.amount_text(submitted, "$.amount.value").alias("_submitted_text"),
-        fx.amount(submitted, "$.amount.value").alias("_submitted"),
-        fx.amount_text(body, "$.payment.amount.value").alias("_insurance_text"),
-        fx.amount(body, "$.payment.amount.value").alias("_insurance"),
-        fx.patient_share(body).alias("_patient"),
-        nonempty(fx.reference_at(body, "$.patient")).alias("patient_id"),
+        fx.billed_encounter(F.col("_items"), F.col("_document")).alias("encounter_id"),
+        "reference", "_submitted_text", "_submitted", "_insurance_text", "_insurance",
+        fx.patient_share(F.col("_shares")).alias("_patient"),
+        nonempty(F.col("patient_id")).alias("patient_id"),
         fx.coverage_name(body).alias("payer"),
     ), "benefits")
 

@@ -583,3 +583,10 @@ def test_surrogate_numbers_read_a_table_once_in_bounded_tasks(spark, tmp_path, m
     # Ids of encounters come first, then patients, then the practitioner of the first row.
     assert numbered["e0"] == 1 and numbered["e59"] == 60 and numbered["p0"] == 61
     assert numbered["e-1"] == 68 and numbered["d"] == 69 and len(numbered) == 69
+
+
+def test_benefits_are_read_once_per_part(spark, monkeypatch):
+    """What several columns need is a column itself, not an expression in each of them."""
+    benefits = plans_of(monkeypatch, spark, "fhir_billing")["benefits"]
+    assert benefits.count("$.item") + benefits.count("item, $, ArrayType") <= 2
+    assert benefits.count(".total, $,") <= 1

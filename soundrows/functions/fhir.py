@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,10 +70,21 @@ class Body:
 
 
 def pick(value: Column | Body, path: str, kind: str) -> Column:
-    """What a path leads to, as a type; NULL where it is not there or does not fit."""
+    """What a path leads to, as a type; NULL where it is not there or does not fit.
+
+    Objects are read as structs that have the wanted member.  A path with names would give the
+    same, but by an exception in each row without the member, which costs more than parsing.
+    """
     if isinstance(value, Body):
         value, path = value.split(path)
-    return F.try_variant_get(value, path, kind)
+    steps = [step for step in re.findall(r"((?:\[\d+\])?)((?:\.\w+)*)", path[1:]) if any(step)] or [("", "")]
+    for at, (place, names) in enumerate(steps, 1):
+        members = names.split(".")[1:]
+        shape = kind if at == len(steps) else "variant"
+        for name in reversed(members):
+            shape = f"struct<`{name}`: {shape}>"
+        value = reduce(Column.getField, members, F.try_variant_get(value, f"${place}", shape))
+    return value
 
 
 def text_at(value: Column | Body, path: str) -> Column:

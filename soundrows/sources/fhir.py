@@ -94,7 +94,7 @@ def skipped(files: DataFrame) -> DataFrame:
 def resources_in(found: Bundles) -> DataFrame:
     """One row per object that the bundles hold as entries."""
     return _typed(
-        found.entries.select(
+        found.entries.filter(_is_object(F.col("resource"))).select(
             FILE,
             F.lit(0).cast("bigint").alias(BLOCK),
             F.col(SEQUENCE).cast("bigint").alias(SEQUENCE),
@@ -105,32 +105,38 @@ def resources_in(found: Bundles) -> DataFrame:
 
 
 def resources_of(texts: DataFrame) -> DataFrame:
-    """One row per bundle entry; entries without a resource object have no type.
+    """One row per object that the bundles hold as entries' resources.
 
-    Nothing is filtered on parsed values here: a pushed-down filter would parse the text
+    Nothing is filtered on parsed values as rows: a pushed-down filter would parse the text
     again.  Entries that are no objects go by their first character, unparsed: each would
-    cost an exception.  Objects without a resource stay typeless rows that no table selects.
+    cost an exception.  Those without a resource object, which have no type, id or body, go
+    within the list, before they are rows to be stored.
     """
     listed = F.when(F.col("sound") & (F.col("bundle_type") == "Bundle"), F.col("entries"))
-    entries = opened(texts).select(FILE, listed.alias("entries")).select(
-        FILE, F.posexplode_outer("entries").alias(SEQUENCE, "entry")
-    ).filter(F.ltrim("entry").startswith("{"))
-    parts = entries.select(
-        FILE,
-        SEQUENCE,
-        F.from_json("entry", "fullUrl string, resource string", fx.NO_LIMITS).alias("e"),
-    )
+    entries = opened(texts).select(FILE, listed.alias("entries"))
+
+    def placed(entry: Column, place: Column) -> Column:
+        parts = F.from_json(entry, "fullUrl string, resource string", fx.NO_LIMITS)
+        return F.struct(
+            place.cast("bigint").alias(SEQUENCE), F.when(F.ltrim(entry).startswith("{"), parts).alias("e")
+        )
+
+    holding = F.filter(F.transform("entries", placed), lambda one: _is_object(one["e"]["resource"]))
     return _typed(
-        parts.select(
+        entries.select(FILE, F.inline(holding)).select(
             FILE,
             F.lit(0).cast("bigint").alias(BLOCK),
-            F.col(SEQUENCE).cast("bigint").alias(SEQUENCE),
+            SEQUENCE,
             nonempty(F.col("e.fullUrl")).alias("full_url"),
             F.col("e.resource").alias("resource"),
         )
     )
 
 
+def _is_object(text: Column) -> Column:
+    return F.ltrim(text).startswith("{")
+
+
 def read_resources(spark: SparkSession, path: str) -> DataFrame:
     """Newline-delimited resources: the form that splits and scales."""
     lines = with_file_origin(spark.read.text(path))
@@ -143,9 +149,8 @@ def read_resources(spark: SparkSession, path: str) -> DataFrame:
 def _typed(resources: DataFrame) -> DataFrame:
     """Type, keys and referable values of each resource; its body only if a table uses it."""
     _last_key_wins(resources.sparkSession)
-    is_object = F.ltrim(F.col("resource")).startswith("{")
     parsed = resources.select(
-        *ORIGIN, "full_url", "resource", F.when(is_object, fx.opened(F.col("resource"), fx.KEY_MEMBERS)).alias("body")
+        *ORIGIN, "full_url", "resource", F.when(_is_object(F.col("resource")), fx.opened(F.col("resource"), fx.KEY_MEMBERS)).alias("body")
     )
     sound = F.col("body").isNotNull() & F.col(f"body.{fx.MALFORMED}").isNull()
     body = fx.Body("body")

@@ -53,9 +53,18 @@ def shaped(text: Column, shape: str) -> Column:
     return F.from_json(text, f"{shape}, {MALFORMED} string", options)
 
 
+def variants(members: Sequence[str]) -> str:
+    return ", ".join(f"`{name}` variant" for name in members)
+
+
 def opened(resource: Column, members: Sequence[str]) -> Column:
     """Members of a resource, each a VARIANT; all others are skipped unread."""
-    return shaped(resource, ", ".join(f"`{name}` variant" for name in members))
+    return shaped(resource, variants(members))
+
+
+def in_entry(members: Sequence[str]) -> str:
+    """The shape of the same members within an entry of a bundle."""
+    return f"resource struct<{variants(members)}>"
 
 
 class Body:
@@ -97,6 +106,11 @@ def string_at(value: Column | Body, path: str) -> Column:
     return F.when(is_string, text_at(value, path))
 
 
+def string_of(found: Column) -> Column:
+    """The same of a VARIANT that is a column already, so that nothing is looked up again."""
+    return F.when(F.schema_of_variant(found) == "STRING", text_at(found, "$"))
+
+
 def list_at(value: Column | Body, path: str) -> Column:
     """The items of a JSON list; an empty array when there is no list."""
     return F.coalesce(
@@ -157,13 +171,15 @@ def official_name(patient: Column) -> Column:
     return F.coalesce(official, F.get(names, F.lit(0)))
 
 
-def attending(encounter: Column) -> Column:
-    """The first participant that names an individual."""
+def attending(encounter: Column | Body) -> Column:
+    """The first individual that a participant names; a VARIANT.
+
+    All participants are looked up at once.  Nothing is written as JSON to tell whether it is there.
+    """
     return first_where(
-        list_at(encounter, "$.participant"),
-        lambda p: pick(p, "$.individual", "variant").isNotNull()
-        & text_at(p, "$.individual").isNotNull(),
-    )
+        pick(encounter, "$.participant", "array<struct<individual: variant>>"),
+        lambda p: p["individual"].isNotNull() & ~F.is_variant_null(p["individual"]),
+    )["individual"]
 
 
 def diagnosis_code(condition: Column) -> tuple[Column, Column]:

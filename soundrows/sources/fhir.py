@@ -108,31 +108,44 @@ def resources_of(texts: DataFrame) -> DataFrame:
     """One row per object that the bundles hold as entries' resources.
 
     Nothing is filtered on parsed values as rows: a pushed-down filter would parse the text
-    again.  Entries that are no objects go by their first character, unparsed: each would
-    cost an exception.  Those without a resource object, which have no type, id or body, go
-    within the list, before they are rows to be stored.
+    again.  Entries without a resource object, which have no type, id or body, go within the
+    list, before they are rows to be stored.  Most are told by their text, unparsed: values that
+    do not fit cost an exception each.  An entry is read once, for its keys, and stays as it is:
+    to write its resource as a text of its own would take two more readings.
     """
     listed = F.when(F.col("sound") & (F.col("bundle_type") == "Bundle"), F.col("entries"))
     entries = opened(texts).select(FILE, listed.alias("entries"))
+    _last_key_wins(texts.sparkSession)
 
     def placed(entry: Column, place: Column) -> Column:
-        parts = F.from_json(entry, "fullUrl string, resource string", fx.NO_LIMITS)
-        return F.struct(
-            place.cast("bigint").alias(SEQUENCE), F.when(F.ltrim(entry).startswith("{"), parts).alias("e")
-        )
-
-    holding = F.filter(F.transform("entries", placed), lambda one: _is_object(one["e"]["resource"]))
-    return _typed(
+        # Objects among the entries have been written anew, without blanks or escapes in names.
+        may_hold = F.ltrim(entry).startswith("{") & entry.contains('"resource":{')
+        keys = F.when(may_hold, fx.shaped(entry, f"fullUrl string, {fx.in_entry(fx.KEY_MEMBERS)}"))
+        return F.struct(place.cast("bigint").alias(SEQUENCE), entry.alias("entry"), keys.alias("e"))
+
+    holding = F.filter(F.transform("entries", placed), lambda one: one["e"]["resource"].isNotNull())
+    fits = F.col(f"e.{fx.MALFORMED}").isNull()
+    return _with_keys(
         entries.select(FILE, F.inline(holding)).select(
             FILE,
             F.lit(0).cast("bigint").alias(BLOCK),
             SEQUENCE,
             nonempty(F.col("e.fullUrl")).alias("full_url"),
-            F.col("e.resource").alias("resource"),
-        )
+            "entry",
+            F.col("e.resource").alias("body"),
+            F.when(fits, F.lit(True)).otherwise(_last_is_sound(F.col("entry"))).alias("sound"),
+        ),
+        "entry",
     )
 
 
+def _last_is_sound(entry: Column) -> Column:
+    """Of an entry that did not fit: is the last value of its resource an object that does?"""
+    last = F.from_json(entry, "resource string", fx.NO_LIMITS).getField("resource")
+    others = fx.opened(last, [name for name in fx.KEY_MEMBERS if name != "resourceType"])
+    return F.coalesce(_is_object(last) & others.getField(fx.MALFORMED).isNull(), F.lit(False))
+
+
 def _is_object(text: Column) -> Column:
     return F.ltrim(text).startswith("{")
 
@@ -147,15 +160,20 @@ def read_resources(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _typed(resources: DataFrame) -> DataFrame:
-    """Type, keys and referable values of each resource; its body only if a table uses it."""
+    """Type, keys and referable values of each resource; its text only if a table uses it."""
     _last_key_wins(resources.sparkSession)
     parsed = resources.select(
         *ORIGIN, "full_url", "resource", F.when(_is_object(F.col("resource")), fx.opened(F.col("resource"), fx.KEY_MEMBERS)).alias("body")
     )
     sound = F.col("body").isNotNull() & F.col(f"body.{fx.MALFORMED}").isNull()
-    body = fx.Body("body")
+    return _with_keys(parsed.withColumn("sound", sound), "resource")
+
+
+def _with_keys(parsed: DataFrame, text: str) -> DataFrame:
+    """The same of resources with an opened ``body``; ``text`` names the column of their texts."""
+    sound, body = F.col("sound"), fx.Body("body")
     typed = parsed.select(
-        *ORIGIN, "full_url", "resource", sound.alias("sound"),
+        *ORIGIN, "full_url", text, "sound",
         F.when(sound, fx.text_at(body, "$.resourceType")).alias("resource_type"),
         F.when(sound, fx.text_at(body, "$.id")).alias("id"),
         F.when(sound, fx.label_at(body, "$.code")).alias("label"),
@@ -165,11 +183,11 @@ def _typed(resources: DataFrame) -> DataFrame:
     used = F.col("resource_type").isin(*USED_TYPES)
     return typed.select(
         *ORIGIN,
-        F.when(F.col("sound"), F.col("full_url")).alias("full_url"),
+        F.when(sound, F.col("full_url")).alias("full_url"),
         F.when(used, F.col("resource_type"))
         .when(F.col("resource_type").isNotNull(), OTHER).alias("resource_type"),
         "id", "label", "total_text", "total",
-        F.when(used, F.col("resource")).alias("resource"),
+        F.when(used, F.col(text)).alias(text),
     )
 
 
@@ -189,16 +207,24 @@ def staged(resources: DataFrame) -> DataFrame:
 
 
 def of_type(resources: DataFrame, kind: str) -> DataFrame:
-    """The resources of one type with their opened ``body``: the members its table uses."""
+    """The resources of one type with their opened ``body``: the members its table uses.
+
+    Their texts are those of the resources, or of the entries that hold them.
+    """
     _last_key_wins(resources.sparkSession)
-    return resources.filter(F.col("resource_type") == kind).withColumn(
-        "body", fx.opened(F.col("resource"), fx.MEMBERS[kind])
-    )
+    if "entry" in resources.columns:
+        body = fx.shaped(F.col("entry"), fx.in_entry(fx.MEMBERS[kind])).getField("resource")
+    else:
+        body = fx.opened(F.col("resource"), fx.MEMBERS[kind])
+    return resources.filter(F.col("resource_type") == kind).withColumn("body", body)
 
 
 def with_references(rows: DataFrame, value: Column | fx.Body, **paths: str) -> DataFrame:
     """Add the ids that references point to; each reference is looked up once per row."""
-    written = rows.withColumns({name: fx.written_reference(value, path) for name, path in paths.items()})
+    found = rows.withColumns({f"{name}_at": fx.pick(value, f"{path}.reference", "variant") for name, path in paths.items()})
+    written = found.withColumns({
+        name: F.coalesce(fx.string_of(F.col(f"{name}_at")), fx.string_at(value, path)) for name, path in paths.items()
+    })
     return written.withColumns({name: fx.referred_id(F.col(name)) for name in paths})
 
 
@@ -274,15 +300,17 @@ def encounters(resources: DataFrame) -> DataFrame:
     admission = mapped(
         code, FHIR_ENCOUNTER_CLASSES, F.when(code.isNotNull(), F.lit(FHIR_DEFAULT_ADMISSION))
     )
-    rows = of_type(resources, "Encounter").withColumn("_attending", fx.attending(body))
+    rows = of_type(resources, "Encounter").withColumns({
+        "_attending": fx.attending(body), "_period": fx.pick(body, "$.period", "struct<start: variant, end: variant>"),
+    })
     rows = with_references(rows, body, patient_id="$.subject", department_id="$.serviceProvider")
-    rows = with_references(rows, F.col("_attending"), provider_id="$.individual")
+    rows = with_references(rows, F.col("_attending"), provider_id="$")
     return rows.select(
         *ORIGIN,
         F.col("id").alias("encounter_id"),
         "patient_id", "provider_id", "department_id",
-        fx.date_at(body, "$.period.start").alias("admit_date"),
-        fx.date_at(body, "$.period.end").alias("discharge_date"),
+        fx.day_of(fx.string_of(F.col("_period.start"))).alias("admit_date"),
+        fx.day_of(fx.string_of(F.col("_period.end"))).alias("discharge_date"),
         admission.alias("admission_type"),
         fx.label_at(body, "$.hospitalization.dischargeDisposition").alias(
             "discharge_disposition"

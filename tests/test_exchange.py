@@ -617,3 +617,63 @@ def test_lookups_by_structs_equal_lookups_by_paths(spark):
         assert row.mine == row.theirs, row.t
     plan = parsed.select(*[fx.pick(F.col("v"), p, k) for p, k in cases])._jdf.queryExecution().optimizedPlan().toString()
     assert "variant_get" in plan and "$." not in plan
+
+
+def test_an_entry_is_read_once_for_its_keys(spark, monkeypatch):
+    """No text of its own is written for the resource, neither at staging nor for its table."""
+    seen = plans_of(monkeypatch, spark, "fhir_encounters")["resources"]
+    assert "StructField(resource,StructType(StructField(resourceType,VariantType,true)" in seen
+    assert seen.count("StructField(id,VariantType,true)") <= 2 and "StructField(fullUrl,StringType,true), StructField(resource,StringType" not in seen
+
+
+def test_an_encounter_looks_its_participants_up_at_once(spark, tmp_path):
+    path = write_bundle(tmp_path / "b.json", {"resourceType": "Encounter", "id": "e"})
+    rows = fhir.encounters(fhir.staged(fhir.resources_of(fhir.read_bundles(spark, path))))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(".participant, $,") == 1 and "StructField(individual,StringType" not in plan
+    assert plan.count(".period, $,") == 1
+
+
+def test_entries_in_odd_spellings(spark):
+    """Blanks and escapes in names, repeated names, members of the same name further inside."""
+    good = '{"resourceType": "Encounter", "id": "%s", "period": {"start": "2020-01-02"}}'
+    entries = [
+        '{"fullUrl": "u0", "resource" :\n\t' + good % "0" + "}",
+        r'{"resource": ' + good % "1" + "}",
+        '{"resource": "text", "resource": ' + good % "2" + "}",
+        '{"resource": ' + good % "no" + ', "resource": "text"}',
+        '{"resource": ' + good % "no" + ', "resource": null}',
+        '{"resource": ' + good % "no" + ', "resource": [7], "fullUrl": "u", "resource": ' + good % "5" + "}",
+        '{"x": {"resource": {"id": "no"}}, "resource": "text"}',
+        '{"x": {"resource": {"id": "no"}}}',
+        '{"x": [{"resource": {"id": "no"}}], "resource": ' + good % "8" + "}",
+        '{"resource": [' + good % "no" + "]}",
+        '"{\\"fullUrl\\": 1}"', "[]", "null", "7",
+        '{"resource": ' + (good % "14").replace('"period"', '"note": "\\"resource\\":{", "period"') + "}",
+    ]
+    bundle = '{"resourceType": "Bundle", "entry": [%s]}' % ", ".join(entries)
+    texts = spark.createDataFrame([("f", bundle)], f"{FILE} string, bundle string")
+    staged = fhir.staged(fhir.resources_of(texts))
+    rows = staged.filter("resource_type is not null").select(SEQUENCE, "resource_type", "id", "full_url").collect()
+    urls = {0: "u0", 5: "u"}
+    assert sorted(map(tuple, rows)) == [(i, "Encounter", str(i), urls.get(i)) for i in (0, 1, 2, 5, 8, 14)]
+    found = fhir.encounters(staged).select("encounter_id", "admit_date").collect()
+    assert sorted(map(tuple, found)) == [(str(i), "2020-01-02") for i in (0, 1, 14, 2, 5, 8)]
+
+
+def test_participants_in_odd_shapes(spark):
+    lists = [
+        ('[{}, {"individual": null}, 7, null, [], {"individual": {"reference": "Practitioner/a"}}]', "a"),
+        ('[{"individual": "Practitioner/b"}, {"individual": {"reference": "c"}}]', "b"),
+        ('[{"individual": {}}, {"individual": {"reference": "c"}}]', None), ('[{"individual": 7}]', None), ("[]", None), ("null", None),
+        ('{"individual": {"reference": "c"}}', None), ('[{"individual": {"reference": ""}}]', None), ('[{"individual": [1]}]', None),
+    ]
+    entries = [
+        f'{{"resource": {{"resourceType": "Encounter", "id": "{i}", "participant": {people}, "period": {{"start": {i}, "end": "2020-01-02T03:04"}}}}}}'
+        for i, (people, _) in enumerate(lists)
+    ]
+    bundle = '{"resourceType": "Bundle", "entry": [%s]}' % ", ".join(entries)
+    texts = spark.createDataFrame([("f", bundle)], f"{FILE} string, bundle string")
+    rows = fhir.encounters(fhir.staged(fhir.resources_of(texts))).orderBy(SEQUENCE)
+    found = [tuple(r) for r in rows.select("provider_id", "admit_date", "discharge_date").collect()]
+    assert found == [(provider, None, "2020-01-02") for _, provider in lists]

@@ -129,7 +129,8 @@ def date_at(value: Column, path: str) -> Column:
 
 
 def day_of(stamp: Column) -> Column:
-    return nonempty(F.substring(stamp, 1, 10))
+    """The first ten characters; a day in a year of more than four digits is longer."""
+    return nonempty(F.regexp_extract(stamp, r"(?s)^(?:[0-9]{5,}-[0-9]{2}-[0-9]{2}|.{0,10})", 0))
 
 
 def written_reference(value: Column | Body, path: str) -> Column:

@@ -89,7 +89,8 @@ def patient_bundles(spark: SparkSession, folder: str) -> DataFrame:
         name=names,
         gender=F.when(nation % 5 == 0, "unknown").when(nation % 2 == 0, "male")
         .otherwise("female"),
-        birthDate=F.date_format(born, "yyyy-MM-dd"),
+        # As a date: a timestamp overflows in the year 294,247.  Spark signs years of over four digits.
+        birthDate=F.ltrim(born.cast("string"), F.lit("+")),
         address=F.array(obj(city=F.col("c_mktsegment"),
                             state=F.concat(F.lit("S"), nation.cast("string")))),
         meta=obj(lastUpdated=F.lit("1999-05-05T10:00:00Z")),

@@ -2,7 +2,9 @@
 
 import json
 
+import duckdb
 import pytest
+from compare import differences
 from pyspark.sql import functions as F
 
 from helpers import evaluate
@@ -12,6 +14,7 @@ from soundrows.errors import CheckError
 from soundrows.functions import fhir as fx
 from soundrows.operators import rules
 from soundrows.operators.keyed import Limits
+from soundrows.queries import ORACLES, QUERIES
 from soundrows.sources import bundles, fhir, hl7
 from soundrows.sources.origin import FILE, ORIGIN, SEQUENCE
 
@@ -677,3 +680,30 @@ def test_participants_in_odd_shapes(spark):
     rows = fhir.encounters(fhir.staged(fhir.resources_of(texts))).orderBy(SEQUENCE)
     found = [tuple(r) for r in rows.select("provider_id", "admit_date", "discharge_date").collect()]
     assert found == [(provider, None, "2020-01-02") for _, provider in lists]
+
+
+def test_days_of_long_years_are_whole(spark):
+    days = {
+        "2024-03-05T10:00:00Z": "2024-03-05", "2024-03": "2024-03", "2024": "2024", "": None, None: None, "10005-02-27": "10005-02-27",
+        "297583-12-17T10:00:00Z": "297583-12-17", "+10005-02-27": "+10005-02-", "20240305T10:00-05:00": "20240305T1", "12345-6-7 or so": "12345-6-7 ",
+        "2024\n03\n05 x": "2024\n03\n05", "\U0001f600" * 11: "\U0001f600" * 10,
+    }
+    rows = spark.createDataFrame([(d,) for d in days], "d string").select("d", fx.day_of(F.col("d")).alias("day")).collect()
+    assert {r.d: r.day for r in rows} == days
+
+
+@pytest.fixture(scope="module")
+def far(tmp_path_factory):
+    """Customers by whose keys births are in years of four, five and seven digits, and their orders."""
+    folder, connection = str(tmp_path_factory.mktemp("far")), duckdb.connect()
+    for name, key in (("customer", "c_custkey"), ("orders", "o_custkey")):
+        moved = f"{key} + CASE WHEN {key} < 50 THEN 0 WHEN {key} < 100 THEN 75000 ELSE 9200000 END AS {key}"
+        connection.execute(f"CREATE TABLE {name} AS SELECT * REPLACE ({moved}) FROM '/root/testdata/sf0.001/{name}.parquet'")
+        connection.execute(f"COPY {name} TO '{folder}/{name}.parquet'")
+    return connection, folder
+
+
+@pytest.mark.parametrize("name", ["fhir_patients"])
+def test_births_in_far_years(spark, far, name):
+    connection, folder = far
+    assert differences(spark, connection, name, QUERIES[name], ORACLES[name], folder) is None

@@ -703,7 +703,7 @@ def far(tmp_path_factory):
     return connection, folder
 
 
-@pytest.mark.parametrize("name", ["fhir_patients", "fhir_insurance", "fhir_audit", "fhir_surrogate_keys"])
+@pytest.mark.parametrize("name", ["fhir_patients", "fhir_insurance", "fhir_audit", "fhir_surrogate_keys", "fhir_folder"])
 def test_births_in_far_years(spark, far, name):
     connection, folder = far
     assert differences(spark, connection, name, QUERIES[name], ORACLES[name], folder) is None
